@@ -6,12 +6,23 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .common import remainder, table
+from .decontamination import contaminated, digest
 from .near_dups import near_duplicates
+from .toxicity import toxicity, trained
+
+
+def op1_toxicity(spark, sf_dir):
+    out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), trained(3, 1))
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted", F.size("segments").cast("long").alias("n_segments"))
 
 
 def op4_near_dups(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES = {"op4_near_dups": op4_near_dups}
-ORACLE_SQL: dict[str, str] = {"op4_near_dups": sql.near_dups(2, 80)}
+def op6_decontamination(spark, sf_dir):
+    return digest(contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op6_decontamination": op6_decontamination, "op4_near_dups": op4_near_dups}
+ORACLE_SQL: dict[str, str] = {"op4_near_dups": sql.near_dups(2, 80), "op6_decontamination": sql.decontamination(10)}

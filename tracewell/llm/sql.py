@@ -24,3 +24,23 @@ both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, t.b FROM r JOIN both_ways t ON t.a = r.other)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS c FROM r GROUP BY 1) m USING (doc_id)"""
+
+
+def decontamination(size: int = 10) -> str:
+    words = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {words.format(_lower("coalesce(text, '')"))} AS ws FROM documents),
+i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, {words.format(_lower("coalesce(text, '')"))} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+w AS (
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {size} THEN [ws]
+    ELSE list_transform(range(1, len(ws) - {size} + 2), lambda k: ws[k : k + {size - 1}]) END) AS win FROM i),
+l AS (SELECT DISTINCT len(win) AS n FROM w),
+g AS (
+  SELECT doc_id, n, p, ws[p : p + n - 1] AS win FROM (
+    SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, l WHERE len(ws) >= n)),
+m AS (SELECT doc_id, p, n, item_id FROM g JOIN w USING (win)),
+h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS place FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM m GROUP BY 1)
+SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
