@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import sql
+from . import byte_pairs, sql
 from .common import remainder, table
 from .decontamination import contaminated, digest
 from .near_dups import near_duplicates
+from .pseudonyms import pseudonymise
 from .toxicity import toxicity, trained
 
+#: The pseudonyms' key in the registered queries. Users pass a secret of their own.
+KEY = b"tracewell example key"
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 
 def op1_toxicity(spark, sf_dir):
     out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), trained(3, 1))
@@ -20,9 +26,20 @@ def op4_near_dups(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op5_byte_pairs(spark, sf_dir):
+    encoded = byte_pairs.encode(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+    return byte_pairs.digest(byte_pairs.decode(encoded, BYTE_BPE))
+
+
 def op6_decontamination(spark, sf_dir):
     return digest(contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op6_decontamination": op6_decontamination, "op4_near_dups": op4_near_dups}
+def op8_pseudonyms(spark, sf_dir):
+    out = pseudonymise(table(spark, sf_dir, "documents"), KEY)
+    kinds = F.array_join(F.transform("entities", lambda e: e["kind"]), ",")
+    return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_byte_pairs": op5_byte_pairs, "op8_pseudonyms": op8_pseudonyms, "op6_decontamination": op6_decontamination, "op4_near_dups": op4_near_dups}
 ORACLE_SQL: dict[str, str] = {"op4_near_dups": sql.near_dups(2, 80), "op6_decontamination": sql.decontamination(10)}
