@@ -8,8 +8,9 @@ collision-corrected similarity that screens them, and the full sets confirm each
 * Texts with equal sets are one representative from the start (grouping by a 128-bit hash of
   the set), so a group of copies, however large, costs one signature row.
 * Round one links each bucket's members to the bucket's smallest. After its components are
-  known, round two takes from each bucket the pairs of *different* components only. All pairs of
-  a bucket are thus either joined already or compared; none is capped or dropped.
+  known, round two takes from each bucket the pairs of *different* components only, screened once
+  more by wide signatures (1,024 minima) inside the join. All pairs of a bucket are thus either
+  joined already or compared; none is capped or dropped.
 * A pair at similarity 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6.
 
 Defined results: null or empty texts have no shingles and link with nothing; a text with fewer
@@ -29,14 +30,17 @@ from .common import pick, ship, slices, stash, texts
 
 BANDS, ROWS, BITS = 32, 5, 2
 HASHES = BANDS * ROWS
-#: A pair is compared in full if its estimate is no further than this below the threshold
-#: (over five standard deviations of the estimate).
-SLACK = 0.2
+#: Minima of the wide signatures that pairs of different components are screened by.
+WIDE = 1024
+#: A pair is compared in full if its estimate is no further than this below the threshold: five
+#: standard deviations of the estimates at least.
+SLACK, WIDE_SLACK = 0.2, 0.075
 MEMO = 300_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _RNG = np.random.default_rng(20240229)
-_A = (_RNG.integers(0, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_X = _RNG.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
+_A = (_RNG.integers(0, 2**32, HASHES + WIDE, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_X = _RNG.integers(0, 2**32, HASHES + WIDE, dtype=np.uint64).astype(np.uint32)
+_BANDED, _REST = slice(0, HASHES), slice(HASHES, HASHES + WIDE)
 
 
 class _Hashes(dict):
@@ -72,11 +76,12 @@ def shingle_hashes(words: list[bytes], k: int, memo: _Hashes) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(u: np.ndarray) -> np.ndarray:
+def minima(u: np.ndarray, which: slice = _BANDED) -> np.ndarray:
     x = (u ^ (u >> np.uint64(32))).astype(np.uint32)
-    best = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 512):
-        best = np.minimum(best, (_A[:, None] * (x[None, i : i + 512] ^ _X[:, None])).min(1))
+    a, flip = _A[which, None], _X[which, None]
+    best = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(x), 256):
+        best = np.minimum(best, (a * (x[None, i : i + 256] ^ flip)).min(1))
     return best
 
 
@@ -117,14 +122,26 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n long, set_hash binary, sig array<long>, keys array<long>")
 
 
-def estimate(a: str, b: str):
+def wide_signatures(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, wide): packed low bits of further minima."""
+
+    def run(batches):
+        memo = _Hashes()
+        for b in slices(batches):
+            own = [packed(minima(shingle_hashes(words_of(raw), k, memo), _REST)) for raw in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "wide"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, wide array<long>")
+
+
+def estimate(a: str, b: str, hashes: int = HASHES):
     """Similarity from two packed signatures, corrected for lanes that agree by chance."""
     lanes = 0
-    for i in range(HASHES * BITS // 64):
+    for i in range(hashes * BITS // 64):
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
         lanes = lanes + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
     chance = 2.0**-BITS
-    return (1 - lanes / F.lit(float(HASHES)) - chance) / (1 - chance)
+    return (1 - lanes / F.lit(float(hashes)) - chance) / (1 - chance)
 
 
 def _screen(pairs: DataFrame, percent: int) -> DataFrame:
@@ -199,10 +216,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     known = shared.join(label.toDF("rep", "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     apart = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    open_ = stash(known.join(apart, "key").join(sides, "rep"), "open")
-    one = open_.select("key", F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-    two = open_.select("key", F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-    cross = _screen(one.join(two, "key").where("label_a < label_b"), percent)
+    open_ = stash(known.join(apart, "key"), "open")
+    asked = pick(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), open_.select(F.col("rep").alias("doc_id")).distinct(), "left_semi")
+    wide = wide_signatures(asked, k).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
+    open_ = stash(open_.join(sides.join(wide, "rep"), "rep"), "open")
+    one, two = (open_.select("key", *(F.col(c).alias(f"{to}_{x}") for c, to in (("rep", "rep"), ("label", "label"), ("n", "n"), ("sig", "sig"), ("wide", "wide")))) for x in "ab")
+    cross = _screen(one.join(two, "key").where("label_a < label_b"), percent).where(estimate("wide_a", "wide_b", WIDE) >= percent / 100 - WIDE_SLACK)
+    cross = cross.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stash(confirmed(stash(cross, "pairs"), docs, k, percent), "links")
     if more.limit(1).count():

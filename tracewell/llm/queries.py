@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from . import byte_pairs, sql
 from .common import remainder, table
 from .decontamination import contaminated, digest
+from .ann import nearest
+from .language_id import identify
+from .language_model import language_scores
 from .near_dups import near_duplicates
+from .piece_counts import piece_counts
 from .pseudonyms import pseudonymise
 from .toxicity import toxicity, trained
 
@@ -22,6 +26,16 @@ def op1_toxicity(spark, sf_dir):
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted", F.size("segments").cast("long").alias("n_segments"))
 
 
+def op2_language_model(spark, sf_dir):
+    out = language_scores(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0, BYTE_BPE)
+    return out.withColumn("held_out", remainder("doc_id", 10) == 0)
+
+
+def op3_nearest(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op4_near_dups(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -35,11 +49,30 @@ def op6_decontamination(spark, sf_dir):
     return digest(contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10))
 
 
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, remainder("doc_id", 4) != 2).withColumn("held_out", remainder("doc_id", 4) == 2)
+
+
 def op8_pseudonyms(spark, sf_dir):
     out = pseudonymise(table(spark, sf_dir, "documents"), KEY)
     kinds = F.array_join(F.transform("entities", lambda e: e["kind"]), ",")
     return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op5_byte_pairs": op5_byte_pairs, "op8_pseudonyms": op8_pseudonyms, "op6_decontamination": op6_decontamination, "op4_near_dups": op4_near_dups}
+def op9_piece_counts(spark, sf_dir):
+    return piece_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language_model": op2_language_model,
+    "op3_nearest": op3_nearest,
+    "op4_near_dups": op4_near_dups,
+    "op5_byte_pairs": op5_byte_pairs,
+    "op6_decontamination": op6_decontamination,
+    "op7_language_id": op7_language_id,
+    "op8_pseudonyms": op8_pseudonyms,
+    "op9_piece_counts": op9_piece_counts,
+}
 ORACLE_SQL: dict[str, str] = {"op4_near_dups": sql.near_dups(2, 80), "op6_decontamination": sql.decontamination(10)}
