@@ -8,7 +8,8 @@ D components, times D/d, estimates the whole; its error falls with d.
 * Index: centroids of a bounded sample (``SAMPLE`` rows, ``lists`` centroids); every row goes to
   its nearest centroid's list. Lists are cut into blocks of about ``BLOCK`` rows by a hash of the
   id, so a list with a third of all rows is many tasks' work.
-* Search: a query probes its ``probes`` nearest lists. Each (list, block) is one task that holds the
+* Search: a query probes its nearest lists, as many as hold 97 % of the true neighbours in the
+  sample, where both are known. Each (list, block) is one task that holds the
   block's vectors by columns. Blocks of ``STEP`` columns are added to the partial distances; after
   each, the hypothesis "nearer than the twentieth so far" is rejected, and the candidate abandoned,
   where the estimate exceeds the twentieth by the factor (1 + EPSILON / sqrt(d))^2.
@@ -33,10 +34,12 @@ from pyspark.sql import types as T
 from .common import ship, stash
 
 SAMPLE, BLOCK, STEP, EPSILON = 20_000, 4096, 16, 2.1
-QUERIES = 512
-#: Lists: the root of the rows, at most this many (their centroids are broadcast: 8 MB at 256
+QUERIES, CHUNK = 512, 256
+#: Share of the true neighbours that the probed lists are to hold, and queries it is measured on.
+RECALL, TRIED = 0.97, 256
+#: Lists: one for each ROWS rows, at most this many (their centroids are broadcast: 8 MB at 256
 #: components).
-MOST_LISTS = 4096
+ROWS, MOST_LISTS = 1024, 4096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -77,6 +80,19 @@ class Index:
         self.rotation = np.linalg.qr(rng.standard_normal((self.dim + 1, self.dim + 1)))[0]
         self.centroids = _kmeans(self.rows(sample), min(lists, len(sample)), rng)
 
+        self.probes = self._probes(sample, rng)
+
+    def _probes(self, sample: np.ndarray, rng: np.random.Generator, k: int = 20) -> int:
+        """How many lists hold RECALL of the sample's own true neighbours, by brute force."""
+        x = sample[rng.permutation(len(sample))[:TRIED]]
+        lists = _near(self.rows(sample), self.centroids, 1)[:, 0]
+        order = _near(self.queries(x), self.centroids, len(self.centroids))
+        place = np.argsort(order, axis=1)
+        k = min(k + 1, len(sample))
+        true = np.argpartition(-(x @ sample.T), k - 1, axis=1)[:, :k]
+        need = np.take_along_axis(place, lists[true], 1) + 1
+        return int(np.quantile(need, RECALL, method="higher"))
+
     def rows(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(0.0, self.norm**2 - (x * x).sum(1)))
         return np.concatenate([x, rest[:, None]], 1) @ self.rotation.T
@@ -101,43 +117,60 @@ def fit(vectors: DataFrame, lists: int | None = None) -> Index | None:
     if not len(rows):
         rows = vectors.where(size == d).limit(1).select("v").toArrow().column(0)
     x = np.array(rows.to_pylist(), np.float64)
-    return Index(x, math.sqrt(stats[d]["m"]) * (1 + 1e-9), lists or int(min(MOST_LISTS, max(1, math.isqrt(n)))))
+    return Index(x, math.sqrt(stats[d]["m"]) * (1 + 1e-9), lists or min(MOST_LISTS, max(1, n // ROWS)))
 
 
-def scan(ids: np.ndarray, columns: np.ndarray, q: np.ndarray, own: int, k: int) -> np.ndarray:
-    """Places of the candidates that the adaptive scan of one query keeps (k at least, if there
-    are). columns: a row for each component."""
+def scan(ids: np.ndarray, columns: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, candidate) that the adaptive scan keeps, k for each query at least, if there
+    are. columns: a row for each component; q: a row for each query; own: the queries' ids."""
     dim, n = columns.shape
-    alive = np.flatnonzero(ids != own)
-    first = alive[: 4 * k]  # measured in full: they give the first bound
-    partial = ((columns[:, first] - q[:, None]) ** 2).sum(0)
-    bound = np.partition(partial, k - 1)[k - 1] if len(first) >= k else math.inf
-    alive, dist = alive[4 * k :], np.zeros(max(0, len(alive) - 4 * k))
-    for a in range(0, dim, STEP):
-        if not len(alive):
-            break
-        z = min(dim, a + STEP)
-        dist += ((columns[a:z, alive] - q[a:z, None]) ** 2).sum(0)
-        if z < dim:
-            keep = dist * (dim / z) <= bound * (1 + EPSILON / math.sqrt(z)) ** 2
-            alive, dist = alive[keep], dist[keep]
-    places, dist = np.concatenate([first, alive]), np.concatenate([partial, dist])
-    if len(places) > k:  # equal distances stay, whatever rounding did to them
-        places = places[dist <= np.partition(dist, k - 1)[k - 1] * (1 + 1e-9) + 1e-12]
-    return places
+    near = np.full((len(q), k), np.inf)  # each query's nearest so far
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a in range(0, n, CHUNK):
+        x, bound = columns[:, a : a + CHUNK], near[:, -1]
+        z = min(STEP, dim)
+        dist = _squares(q[:, :z], x[:z])
+        i, j = np.nonzero(_may(dist, z, dim, bound[:, None]) & (own[:, None] != ids[None, a : a + CHUNK]))
+        dist = dist[i, j]
+        while z < dim and len(i):
+            for c in range(z, min(dim, z + STEP)):
+                dist += (x[c, j] - q[i, c]) ** 2
+            z = min(dim, z + STEP)
+            keep = _may(dist, z, dim, bound[i])
+            i, j, dist = i[keep], j[keep], dist[keep]
+        full = np.full((len(q), x.shape[1]), np.inf)
+        full[i, j] = dist
+        near = np.sort(np.concatenate([near, full], 1), axis=1)[:, :k]
+        kept.append((i, a + j, dist))
+    i, j, dist = (np.concatenate(c) for c in zip(*kept))
+    last = dist <= near[i, -1] * (1 + 1e-9) + 1e-12  # equal distances stay, whatever rounding did
+    return i[last], j[last]
+
+
+def _may(dist: np.ndarray, z: int, dim: int, bound: np.ndarray) -> np.ndarray:
+    """The hypothesis "nearer than the bound" stands, from the first z components."""
+    return dist * (dim / z) <= bound * ((1 + EPSILON / math.sqrt(z)) ** 2 if z < dim else 1 + 1e-9) + 1e-12
+
+
+def _squares(q: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    return (q * q).sum(1)[:, None] + (columns * columns).sum(0)[None, :] - 2 * q @ columns
 
 
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, component by component."""
+    """Inner products of rows in double precision, component by component: equal rows get equal
+    scores wherever they stand."""
     out = np.zeros(len(x))
-    for j in range(len(q)):
-        out += x[:, j] * q[j]
+    for c in range(x.shape[1]):
+        out += x[:, c] * q[:, c]
     return out
 
 
-def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    order = np.lexsort((ids, -score))[: k + 1]
-    return order[:k]
+def best(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """The places of each query's k best, ties to the smaller id."""
+    order = np.lexsort((ids, -score, i))
+    first = np.flatnonzero(np.concatenate([[True], i[order][1:] != i[order][:-1]])) if len(order) else np.empty(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.concatenate([first, [len(order)]])))
+    return order[rank < k]
 
 
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -151,7 +184,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int | N
     index = fit(own, lists)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    probes = min(len(index.centroids), probes or max(1, -(-len(index.centroids) * 2 // 5)))
+    probes = min(len(index.centroids), probes or index.probes)
     share, d = spark.sparkContext.broadcast(index), index.dim
 
     def place(batches):
@@ -189,14 +222,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int | N
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
         columns = np.ascontiguousarray(share.value.rows(x).T)
-        q = np.array(right["v"].tolist(), np.float64)
-        out = []
-        for i, v, r in zip(right["vec_id"].to_numpy(), q, share.value.queries(q)):
-            at = scan(ids, columns, r, i, k)
-            score = exact(x[at], v)
-            keep = best(ids[at], score, k)
-            out.append(pd.DataFrame({"query_id": i, "vec_id": ids[at][keep], "score": score[keep]}))
-        return pd.concat(out)
+        q, asked_ids = np.array(right["v"].tolist(), np.float64), right["vec_id"].to_numpy()
+        i, j = scan(ids, columns, share.value.queries(q), asked_ids, k)
+        score = exact(x[j], q[i])
+        keep = best(i, ids[j], score, k)
+        return pd.DataFrame({"query_id": asked_ids[i[keep]], "vec_id": ids[j[keep]], "score": score[keep]})
 
     keys = ["list", "block", "turn"]
     found = held.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInPandas(search, FOUND)
