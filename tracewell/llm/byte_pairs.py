@@ -16,6 +16,7 @@ alike. Texts are never cut. Special tokens are ordinary text.
 
 from __future__ import annotations
 
+import array
 import base64
 import hashlib
 import heapq
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import ship, slices
 
 LONG = 512
-MEMO = 300_000
+MEMO = 120_000
 NONE = np.int32(2**31 - 1)
 _RUN = re.compile(r"\s\s")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -48,11 +49,17 @@ class Vocabulary:
         self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
         self.byte = np.array([self.rank.get(bytes([b]), -1) for b in range(256)], np.int32)
-        pairs = {(self.rank[t[:i]] << 32) | self.rank[t[i:]]: r for t, r in self.rank.items() for i in range(1, len(t)) if t[:i] in self.rank and t[i:] in self.rank}
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(pairs)) * 4))))
+        k, r = array.array("q"), array.array("i")
+        for t, rank in self.rank.items():
+            for i in range(1, len(t)):
+                left, right = self.rank.get(t[:i]), self.rank.get(t[i:])
+                if left is not None and right is not None:
+                    k.append((left << 32) | right)
+                    r.append(rank)
+        k, r = np.array(k, np.int64), np.array(r, np.int32)
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(k)) * 2))))
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.ranks = np.full(1 << self.bits, NONE, np.int32)
-        k, r = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32)
         at, self.probes = self._slot(k), 0
         while len(k):  # each round seats one key in each free slot; the others go one on
             free = self.keys[at] == -1
@@ -174,7 +181,7 @@ class _Chunks(dict):
     their ids lie one after another in ``flat``."""
 
     def __init__(self, v: Vocabulary, pattern: str):
-        self.v, self.split = v, regex.compile(pattern).findall
+        self.v, self.pattern, self.split = v, pattern, regex.compile(pattern).findall
         self.reset()
 
     def reset(self):
@@ -247,15 +254,17 @@ def decode_ids(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     return out, np.diff(ends)
 
 
-_KNOWN: dict[tuple[bytes, str], _Chunks] = {}
+_KNOWN: dict[bytes, _Chunks] = {}
 
 
 def _known(data: bytes, pattern: str) -> _Chunks:
-    """A worker's tasks, one after another, share one bounded memory."""
-    key = hashlib.sha256(data).digest(), pattern
+    """A worker's tasks, one after another, share one vocabulary and one bounded memory."""
+    key = hashlib.sha256(data).digest()
     if key not in _KNOWN:
         _KNOWN.clear()
         _KNOWN[key] = _Chunks(Vocabulary(data), pattern)
+    if pattern and _KNOWN[key].pattern != pattern:
+        _KNOWN[key] = _Chunks(_KNOWN[key].v, pattern)
     return _KNOWN[key]
 
 
@@ -285,7 +294,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     data = encoded.sparkSession.sparkContext.broadcast(_read(path))
 
     def run(batches):
-        v = Vocabulary(data.value)
+        v = _known(data.value, "").v
         for b in slices(batches):
             lists = b.column(1)
             n = np.diff(np.asarray(lists.offsets))

@@ -11,6 +11,9 @@ import tempfile
 import uuid
 import zipfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,8 +81,16 @@ def pick(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return df.join(ids, "doc_id", how)
 
 
-def slices(batches, rows: int = 256):
-    """Small pieces of the incoming Arrow batches, to bound a worker's memory."""
+def slices(batches, rows: int = 256, most: int = 4 << 20):
+    """Small pieces of the incoming Arrow batches, by rows and bytes, to bound a worker's memory."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        size = np.ones(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                size += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, i = np.cumsum(size), 0
+        while i < b.num_rows:
+            j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right"))
+            j = max(i + 1, min(i + rows, j))
+            yield b.slice(i, j - i)
+            i = j

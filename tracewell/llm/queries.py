@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import byte_pairs, sql
-from .common import remainder, table
+from .common import remainder, shared_dir, table
 from .decontamination import contaminated, digest
 from .ann import nearest
 from .language_id import identify
@@ -14,12 +16,15 @@ from .language_model import language_scores
 from .near_dups import near_duplicates
 from .piece_counts import piece_counts
 from .pseudonyms import pseudonymise
+from .shards import store_by_arrivals
 from .toxicity import toxicity, trained
 
 #: The pseudonyms' key in the registered queries. Users pass a secret of their own.
 KEY = b"tracewell example key"
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
+MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 
 def op1_toxicity(spark, sf_dir):
     out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), trained(3, 1))
@@ -27,7 +32,7 @@ def op1_toxicity(spark, sf_dir):
 
 
 def op2_language_model(spark, sf_dir):
-    out = language_scores(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0, BYTE_BPE)
+    out = language_scores(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0, MULTI_BPE)
     return out.withColumn("held_out", remainder("doc_id", 10) == 0)
 
 
@@ -64,6 +69,14 @@ def op9_piece_counts(spark, sf_dir):
     return piece_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_shards(spark, sf_dir):
+    """Three eighths of the documents arrive first, then an eighth five times; each row with its shard."""
+    root = f"{shared_dir(spark).rstrip('/')}/tracewell/shards-{uuid.uuid4().hex}"
+    store = store_by_arrivals(table(spark, sf_dir, "documents"), root, [(0, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 8)], 8, 64 << 20)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return store.placed().select("doc_id", size.alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "shard_id", "shard_rows", "shard_bytes", "tier", "version")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_model": op2_language_model,
@@ -74,5 +87,6 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_pseudonyms": op8_pseudonyms,
     "op9_piece_counts": op9_piece_counts,
+    "op10_shards": op10_shards,
 }
 ORACLE_SQL: dict[str, str] = {"op4_near_dups": sql.near_dups(2, 80), "op6_decontamination": sql.decontamination(10)}

@@ -152,7 +152,7 @@ class ShardStore:
         shards = self.manifest(v).select(F.regexp_extract("name", "[^/]+$", 0).alias("file"), "shard_id", F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"), "tier", "version")
         entries = self._entries(v)
         if not entries:
-            return self.spark.createDataFrame([], self.schema).join(shards.drop("file"))
+            return self._read([]).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in shards.drop("file").schema))
         own = self._read(entries).withColumn("file", F.col("_metadata.file_name"))
         return own.join(shards, "file").drop("file")
 

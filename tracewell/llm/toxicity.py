@@ -101,12 +101,15 @@ def evidence(found: list[tuple[int, int, float]], m: int, lam: float, k: float)
     return sum(max(0.0, -math.log(max(e, 1e-300))) for e in by_chance), by_chance
 
 
-def _sample(docs: DataFrame, labels: DataFrame, train) -> DataFrame:
-    """(doc_id, raw, toxic, fit, weight): one row of each distinct labelled text, bounded by SAMPLE."""
+def _sample(docs: DataFrame, labels: DataFrame, train) -> DataFrame | None:
+    """(doc_id, raw, toxic, fit, weight): one row of each distinct labelled text, bounded by SAMPLE;
+    None where a class has no label."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    share = {t: min(1.0, SAMPLE / n[t]) if n.get(t) else 0.0 for t in (0, 1)}
+    if len(n) < 2:
+        return None
+    share = {t: min(1.0, SAMPLE / n[t]) for t in (0, 1)}
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1_000_000)) / 1e6
     part = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
     chosen = known.where(draw < part).withColumn("weight", 1 / part)
@@ -146,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
     """``train``: a condition on doc_id for the labels that may be learned from."""
     ship(docs.sparkSession)
     rows = _sample(docs, labels, F.lit(True) if train is None else train)
-    model = Model(_log_odds(rows))
+    model = Model(_log_odds(rows) if rows else {})
     if not model.scores:
         return model
     share = docs.sparkSession.sparkContext.broadcast(model.scores)
