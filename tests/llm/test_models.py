@@ -102,14 +102,15 @@ def test_attention_is_causal_and_sums_to_one():
     m = language_model.Attention.fresh(v, rng)
     ids, target, where = language_model.windows([rng.integers(0, 200, 70), np.array([5]), rng.integers(0, 200, 32)])
     assert len(where) == 103 and (target.ravel()[where] != language_model.PAD).all()
-    a = m.log_p(ids, target)
+    ready = m.ready()
+    a = ready.log_p(ids, target)
     other = ids.copy()
     other[:, -1] = 7  # the last id of a window is not seen by the positions before it
-    assert np.allclose(a[:, :-1], m.log_p(other, target)[:, :-1])
+    assert np.allclose(a[:, :-1], ready.log_p(other, target)[:, :-1])
     one = np.repeat(ids[:1], language_model.ALL, 0)
     all_ = np.repeat(target[:1], language_model.ALL, 0)
     all_[:, 3] = np.arange(language_model.ALL)
-    assert abs(np.exp(m.log_p(one, all_)[:, 3].astype(float)).sum() - 1) < 1e-3
+    assert abs(np.exp(ready.log_p(one, all_)[:, 3].astype(float)).sum() - 1) < 1e-3
     loss, grad = m.gradient(ids, target)
     for k in ("q", "far", "w", "o", "y"):
         at = np.unravel_index(np.abs(grad[k]).argmax(), grad[k].shape)
