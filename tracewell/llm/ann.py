@@ -29,12 +29,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import ship, stash
 
 SAMPLE, BLOCK, STEP, EPSILON = 20_000, 4096, 16, 2.1
-QUERIES, CHUNK = 512, 256
+QUERIES, CHUNK, PARTS = 512, 256, 8
 #: Share of the true neighbours that the probed lists are to hold, and queries it is measured on.
 RECALL, TRIED = 0.97, 256
 #: Lists: one for each ROWS rows, at most this many (their centroids are broadcast: 8 MB at 256
@@ -173,7 +172,7 @@ def best(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarra
     return order[rank < k]
 
 
-FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+FOUND = "query_id long, part int, ids array<long>, scores array<double>"
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int | None = None, lists: int | None = None) -> DataFrame:
@@ -215,8 +214,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int | N
     held = held.join(load, ["list", "block"]).select("list", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "vec_id", "v")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": [], "part": [], "ids": [], "scores": []})
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return none
         left = left.drop_duplicates("vec_id")
         ids, x = left["vec_id"].to_numpy(), np.array(left["v"].tolist(), np.float64)
         order = np.argsort(ids, kind="stable")
@@ -226,13 +226,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int | N
         i, j = scan(ids, columns, share.value.queries(q), asked_ids, k)
         score = exact(x[j], q[i])
         keep = best(i, ids[j], score, k)
-        return pd.DataFrame({"query_id": asked_ids[i[keep]], "vec_id": ids[j[keep]], "score": score[keep]})
+        if not len(keep):
+            return none
+        cut = np.flatnonzero(np.diff(i[keep])) + 1
+        first = i[keep][np.concatenate([[0], cut])]
+        return pd.DataFrame({"query_id": asked_ids[first], "part": int(left["list"].iloc[0]) % PARTS, "ids": np.split(ids[j[keep]], cut), "scores": np.split(score[keep], cut)})
 
     keys = ["list", "block", "turn"]
     found = held.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInPandas(search, FOUND)
-    # Each task's best k go into one ordered k for each query; parts of a query are merged first.
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(8))
-    entry = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("vec_id"), F.col("score").alias("score"))
-    first = found.groupBy("query_id", part.alias("part")).agg(F.slice(F.array_sort(F.collect_set(entry)), 1, k).alias("top"))
-    top = first.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+    # A row for each query and task; the parts of a query are merged first.
+    entries = F.transform(F.arrays_zip("scores", "ids"), lambda e: F.struct((-e["scores"]).alias("s"), e["ids"].alias("vec_id"), e["scores"].alias("score")))
+    merged = lambda c: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), 1, k).alias("top")
+    first = found.select("query_id", "part", entries.alias("top")).groupBy("query_id", "part").agg(merged("top"))
+    top = first.groupBy("query_id").agg(merged("top"))
     return top.select("query_id", F.posexplode("top").alias("pos", "t")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "t.vec_id", "t.score")
