@@ -115,7 +115,7 @@ query("x31_conversions", f"""{WITH_X}, n AS (SELECT *, lead(token) OVER w AS nex
     lambda t: (lambda w: t.transfers.withColumn("next_token", F.lead("token").over(w)).withColumn("next_type", F.lead("tx_type").over(w)).where("tx_type = 'sell' and next_type = 'buy' and token <> next_token").groupBy(F.col("token").alias("src"), F.col("next_token").alias("dst")).agg(F.count("*").alias("n"), L.total().alias("total")))(L.Window.partitionBy("from_address").orderBy("ts_s", "transfer_id"))
 )
 query("x32_structuring", f"""{WITH_X}, t(threshold) AS (VALUES {", ".join(f"({v})" for v in L.THRESHOLDS)}) SELECT from_address AS owner, {DAY} AS day, threshold, count(*) AS n, {S('amount')} AS total FROM x JOIN t ON amount >= threshold * 0.9 AND amount < threshold GROUP BY 1, 2, 3 HAVING count(*) >= 1""")(lambda t: L.structuring(t.transfers, 1))
-query("x33_wash_trades", f"""{WITH_X} SELECT a.token, a.transfer_id AS first_id, b.transfer_id AS second_id, b.ts_s - a.ts_s AS seconds FROM x a JOIN x b ON a.token = b.token AND b.ts_s - a.ts_s <= 3600 AND ((a.tx_type = 'buy' AND b.tx_type = 'sell' AND b.ts_s >= a.ts_s) OR (a.tx_type = 'sell' AND b.tx_type = 'buy' AND b.ts_s > a.ts_s))""")(lambda t: L.wash_trades(t.transfers, 3600))
+query("x33_wash_trades", f"""{WITH_X} SELECT a.token, a.transfer_id AS first_id, b.transfer_id AS second_id, b.ts_s - a.ts_s AS seconds FROM x a JOIN x b ON a.token = b.token AND b.ts_s - a.ts_s <= 21600 AND ((a.tx_type = 'buy' AND b.tx_type = 'sell' AND b.ts_s >= a.ts_s) OR (a.tx_type = 'sell' AND b.tx_type = 'buy' AND b.ts_s > a.ts_s))""")(lambda t: L.wash_trades(t.transfers, 21600))
 query("x33_wash_ratio", f"""{WITH_X}, g AS (SELECT from_address AS owner, token, {_if("tx_type = 'buy'")} AS bought, {_if("tx_type = 'sell'")} AS sold FROM x GROUP BY 1, 2) SELECT *, round(abs(bought - sold) / (bought + sold), 6) AS ratio FROM g WHERE bought > 0 AND sold > 0 AND abs(bought - sold) / (bought + sold) < 0.1""")(lambda t: L.wash_ratio(t.transfers))
 query("x34_fiat_ramp", f"""{WITH_X}, g AS (SELECT from_address AS owner, {_if("tx_type = 'deposit' AND token = 'PLN'")} AS fiat_in, {_if("tx_type = 'withdrawal' AND token = 'PLN'")} AS fiat_out, min(CASE WHEN tx_type = 'deposit' THEN ts_s END) AS first_in FROM x GROUP BY 1),
 w AS (SELECT owner, min(ts_s) AS first_out FROM x JOIN g ON owner = from_address WHERE tx_type = 'withdrawal' AND ts_s >= first_in GROUP BY 1) SELECT owner, fiat_in, fiat_out, first_out - first_in AS seconds FROM g LEFT JOIN w USING (owner)""")(lambda t: L.fiat_ramp(t.transfers))

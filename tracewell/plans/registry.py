@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .tables import Tables
 
-MODULES = ["bank", "household", "ledger", "calls", "places", "segments", "streams"]
+MODULES = ["bank", "references", "household", "ledger", "calls", "places", "segments", "streams"]
 
 
 def _modules():
