@@ -8,8 +8,8 @@ collision-corrected similarity that screens them, and the full sets confirm each
 * Texts with equal sets are one representative from the start (grouping by a 128-bit hash of
   the set), so a group of copies, however large, costs one signature row.
 * Round one links each bucket's members to the bucket's smallest. After its components are
-  known, round two takes from each bucket the pairs of *different* components only, screened once
-  more by wide signatures (1,024 minima) inside the join. All pairs of a bucket are thus either
+  known, round two takes from each bucket the pairs of *different* components only, screened by
+  wide signatures (2,048 further minima) block by block. All pairs of a bucket are thus either
   joined already or compared; none is capped or dropped.
 * A pair at similarity 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6.
 
@@ -31,10 +31,12 @@ from .common import pick, ship, slices, stash, texts
 BANDS, ROWS, BITS = 32, 5, 2
 HASHES = BANDS * ROWS
 #: Minima of the wide signatures that pairs of different components are screened by.
-WIDE = 1024
+WIDE = 2048
 #: A pair is compared in full if its estimate is no further than this below the threshold: five
 #: standard deviations of the estimates at least.
-SLACK, WIDE_SLACK = 0.2, 0.075
+SLACK, WIDE_SLACK = 0.2, 0.055
+#: Rows of a bucket that one task compares with as many others; larger buckets are cut.
+BLOCK = 1024
 MEMO = 300_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _RNG = np.random.default_rng(20240229)
@@ -123,25 +125,90 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def wide_signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, wide): packed low bits of further minima."""
+    """(rep, n, wide, keys): packed low bits of further minima, and the band keys again."""
 
     def run(batches):
         memo = _Hashes()
         for b in slices(batches):
-            own = [packed(minima(shingle_hashes(words_of(raw), k, memo), _REST)) for raw in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "wide"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, wide array<long>")
-
+            u = [shingle_hashes(words_of(raw), k, memo) for raw in b.column(1).to_pylist()]
+            longs = pa.list_(pa.int64())
+            cols = [pa.array([packed(minima(x, _REST)) for x in u], longs), pa.array([band_keys(minima(x)) for x in u], longs)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in u], pa.int64()), *cols], names=["rep", "n", "wide", "keys"])
+
+    return texts(docs).mapInArrow(run, "rep long, n long, wide array<long>, keys array<long>").dropDuplicates(["rep"])
+
+
+def _pairs_of(key: int, across: bool, rep, label, n, block, wide, keys, percent: int):
+    """The pairs of one bucket, or of two of its blocks, that must be compared in full: of different
+    components, near in size and by wide signatures, each in its first common band only."""
+    lanes, chance = WIDE, 2.0**-BITS
+    most = lanes * (1 - (chance + (percent / 100 - WIDE_SLACK) * (1 - chance)))
+    for i in range(0, len(rep), 64):
+        own = slice(i, i + 64)
+        ok = label[own, None] < label[None, :]
+        if across:
+            ok &= block[own, None] != block[None, :]
+        small, large = np.minimum(n[own, None], n[None, :]), np.maximum(n[own, None], n[None, :])
+        a, b = np.nonzero(ok & (small * 100 >= large * percent))
+        a += i
+        for j in range(0, len(a), 16384):
+            x, y = a[j : j + 16384], b[j : j + 16384]
+            same = keys[x] == keys[y]
+            first = keys[x, same.argmax(1)] == key
+            x, y = x[first], y[first]
+            d = wide[x] ^ wide[y]
+            d = (d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)
+            near = np.bitwise_count(d).sum(1, dtype=np.int64) <= most
+            if near.any():
+                yield np.minimum(rep[x[near]], rep[y[near]]), np.maximum(rep[x[near]], rep[y[near]])
+
+
+def _across_components(open_: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """(a, b) to compare, out of the buckets (key, rep, label) that hold several components.
+
+    A bucket of t rows is dealt to tasks as pairs of its blocks, so none holds more than two.
+    """
+    cut = open_.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rows = open_.join(cut, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("key", "rep", "label", "block", other).select("key", "rep", "label", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    dealt = rows.join(wide, "rep").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
-def estimate(a: str, b: str, hashes: int = HASHES):
+    def run(batches):
+        held: list[np.ndarray] | None = None
+
+        def compare(g):
+            head, rep, label, n, block, w, k = g
+            for a, b in _pairs_of(int(head[0, 0]), head[0, 1] != head[0, 2], rep, label, n, block, w, k, percent):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = lambda c, kind: np.asarray(b.column(c).flatten()).view(kind).reshape(b.num_rows, -1)
+            col = lambda c: np.asarray(b.column(c)).astype(np.int64)
+            new = [np.stack([col("key"), col("lo"), col("hi")], 1), col("rep"), col("label"), col("n"), col("block"), flat("wide", np.uint64), flat("keys", np.int64)]
+            held = new if held is None else [np.concatenate(c) for c in zip(held, new)]
+            ends = np.flatnonzero((held[0][1:] != held[0][:-1]).any(1)) + 1
+            at = 0
+            for z in ends.tolist():
+                yield from compare([c[at:z] for c in held])
+                at = z
+            held = [c[at:] for c in held]
+        if held is not None:
+            yield from compare(held)
+
+    return dealt.select("key", "lo", "hi", "rep", "label", "n", "block", "wide", "keys").mapInArrow(run, "a long, b long")
+
+
+def estimate(a: str, b: str):
     """Similarity from two packed signatures, corrected for lanes that agree by chance."""
     lanes = 0
-    for i in range(hashes * BITS // 64):
+    for i in range(HASHES * BITS // 64):
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
         lanes = lanes + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
     chance = 2.0**-BITS
-    return (1 - lanes / F.lit(float(hashes)) - chance) / (1 - chance)
+    return (1 - lanes / F.lit(float(HASHES)) - chance) / (1 - chance)
 
 
 def _screen(pairs: DataFrame, percent: int) -> DataFrame:
@@ -218,12 +285,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     apart = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     open_ = stash(known.join(apart, "key"), "open")
     asked = pick(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), open_.select(F.col("rep").alias("doc_id")).distinct(), "left_semi")
-    wide = wide_signatures(asked, k).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
-    open_ = stash(open_.join(sides.join(wide, "rep"), "rep"), "open")
-    one, two = (open_.select("key", *(F.col(c).alias(f"{to}_{x}") for c, to in (("rep", "rep"), ("label", "label"), ("n", "n"), ("sig", "sig"), ("wide", "wide")))) for x in "ab")
-    cross = _screen(one.join(two, "key").where("label_a < label_b"), percent).where(estimate("wide_a", "wide_b", WIDE) >= percent / 100 - WIDE_SLACK)
-    cross = cross.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    wide = stash(wide_signatures(asked, k), "wide")
+    cross = _across_components(open_, wide, percent).distinct().join(tried, ["a", "b"], "left_anti")
     more = stash(confirmed(stash(cross, "pairs"), docs, k, percent), "links")
     if more.limit(1).count():
         label = components(edges.union(more))
