@@ -116,6 +116,10 @@ def test_pseudonyms(spark):
     back = {r["doc_id"]: r["text"] for r in reveal(out.select("doc_id", "text"), b"key").collect()}
     assert back == dict(rows)
     assert {r["text"] for r in pseudonymise(df, b"other").collect()} != {r["text"] for r in got.values()}
+    from tracewell.llm.pseudonyms import Vault
+
+    text, found = Vault(b"k").rewrite("4111111111111111 27.65.93. +1 (229) 555-4838 12 ab.378282246310005")
+    assert [e["kind"] for e in found] == ["card", "phone", "card"] and text.split()[1] == "27.65.93." and text.split()[5] == "12"
     whole = rewrite_column(df.withColumn("n_chars", F.lit(3).cast("long")), b"key")
     assert whole.columns == ["doc_id", "text", "entities", "n_chars"]
     assert {r["doc_id"]: r["text"] for r in whole.collect()} == {i: r["text"] for i, r in got.items()}

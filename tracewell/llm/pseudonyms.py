@@ -193,7 +193,8 @@ KINDS: list[tuple[str, str, Callable[[str, Walk], str | None]]] = [
     ("date", r"(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])", _date("mdy")),
     ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", address),
     ("ssn", r"(?<![\d-])\d{3}[- ]\d{2}[- ]\d{4}(?![\d-])", ssn),
-    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])", card),
+    ("card", r"(?<!\d)(?<!\d\.)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\d)", card),
+    ("phone", r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)", phone),
     ("phone", r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)", phone),
     ("phone", r"(?<![\d-])(?:1[ .-])?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\d-])", phone),
 ]
