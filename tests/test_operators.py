@@ -170,3 +170,11 @@ def test_resolve_entities(spark):
     names = spark.createDataFrame([("alfa beta sp",), ("Alfa Beta Sp z",), ("sp beta alfa",), ("delta",)], "name string")
     got = {r["name"]: (r["entity_id"], r["how"]) for r in bank.resolve_entities(names, known).collect()}
     assert got == {"alfa beta sp": (1, "exact"), "Alfa Beta Sp z": (1, "part"), "sp beta alfa": (1, "fuzzy"), "delta": (None, "new")}
+
+
+def test_transit(spark):
+    at = {"H": (0.0, 0.0), "W": (0.0, 1.0), "T": (0.0, 0.5), "F": (9.0, 9.0)}
+    rows = [("H", d, h) for d in range(4) for h in (23, 2)] + [("W", d, h) for d in range(4) for h in (9, 14)] + [("T", d, 7) for d in range(3)] + [("F", 0, h) for h in (10, 11, 12, 13)]
+    r = spark.createDataFrame([(1, i, p, dt.datetime(2024, 1, 1 + d, h), *at[p]) for i, (p, d, h) in enumerate(rows)], "subscriber long, event_id long, place string, ts timestamp, lat double, lon double")
+    got = {x["place"]: (x["score"], x["transit"]) for x in places.transit(r, spark.createDataFrame([(1, "H", "W")], "subscriber long, home string, work string")).collect()}
+    assert got == {"T": (100, True), "F": (0, False)}

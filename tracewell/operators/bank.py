@@ -357,4 +357,4 @@ def resolve_entities(names: DataFrame, known: DataFrame, fuzzy: float = 0.8) ->
     score = F.when(stage == 1, 1.0).when(stage == 2, part).otherwise(ratio)
     best = near.withColumn("stage", stage).where("stage is not null").groupBy("name").agg(F.min(F.struct("stage", (-score).alias("s"), "entity_id")).alias("b"))
     out = a.select("name").join(best, "name", "left")
-    return out.select("name", F.col("b.entity_id").alias("entity_id"), F.coalesce(F.element_at(F.array(F.lit("exact"), F.lit("part"), F.lit("fuzzy")), F.col("b.stage")), F.lit("new")).alias("how"))
+    return out.select("name", F.col("b.entity_id").alias("entity_id"), F.when(F.col("b.stage") == 1, "exact").when(F.col("b.stage") == 2, "part").when(F.col("b.stage") == 3, "fuzzy").otherwise("new").alias("how"))

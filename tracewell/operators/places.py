@@ -141,3 +141,31 @@ def operator_history(ids: DataFrame) -> DataFrame:
     d = ids.where("person_id is not null").withColumn("before", F.lag("operator").over(w)).where("before is null or before <> operator")
     h = F.array_sort(F.collect_list(F.struct("record_id", "operator")))
     return d.groupBy("person_id").agg(h.alias("h")).select("person_id", (F.size("h") - 1).alias("migrations"), F.array_join(F.transform("h", lambda x: x["operator"].cast("string")), ">").alias("path"))
+
+
+def transit(r: DataFrame, labels: DataFrame) -> DataFrame:
+    """M6: places on the way, by four signals of 25 points: short stays (upper median under 15
+    minutes), commuting hours (6 to 9 and 16 to 19) over 70 %, near the line from home to work, and
+    at most 1.5 records a day. Home and work themselves are left out.
+
+    r: key, place, ts, lat, lon; labels: key, home, work.
+    """
+    minute = F.hour("ts") * 60 + F.minute("ts")
+    day = r.groupBy(KEY, "place", F.to_date("ts").alias("day")).agg((F.max(minute) - F.min(minute)).alias("dwell"))
+    s = F.array_sort(F.collect_list("dwell"))
+    stay = day.groupBy(KEY, "place").agg(F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1).alias("dwell"), F.count("*").alias("days"))
+    h = F.hour("ts")
+    g = r.groupBy(KEY, "place").agg(F.count("*").alias("n"), F.count_if(h.between(6, 8) | h.between(16, 18)).alias("commute"), F.min("lat").alias("lat"), F.min("lon").alias("lon"))
+    g = g.join(stay, [KEY, "place"])
+    at = g.select(KEY, "place", "lat", "lon")
+    one = labels.join(at.toDF(KEY, "home", "hlat", "hlon"), [KEY, "home"], "left").join(at.toDF(KEY, "work", "wlat", "wlon"), [KEY, "work"], "left")
+    g = g.join(one, KEY, "left")
+    c = F.col
+    turn = F.abs(F.degrees(F.atan2(c("wlon") - c("hlon"), c("wlat") - c("hlat")) - F.atan2(c("lon") - c("hlon"), c("lat") - c("hlat"))))
+    turn = F.when(turn > 180, 360 - turn).otherwise(turn)
+    hw, hc, cw = haversine(c("hlat"), c("hlon"), c("wlat"), c("wlon")), haversine(c("hlat"), c("hlon"), c("lat"), c("lon")), haversine(c("lat"), c("lon"), c("wlat"), c("wlon"))
+    between = (c("home") != c("work")) & (turn <= 30) & (hc < hw * 1.3) & (cw < hw * 1.3)
+    points = lambda x: F.when(x, 25).otherwise(0)
+    score = points(c("dwell") < 15) + points(c("commute") / c("n") > 0.7) + points(between) + points(c("n") / c("days") <= 1.5)
+    own = (c("place") == c("home")) | (c("place") == c("work"))
+    return g.where(~F.coalesce(own, F.lit(False))).select(KEY, "place", score.alias("score"), (score >= 50).alias("transit"))

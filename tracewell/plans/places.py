@@ -122,3 +122,9 @@ query("i9_identity_anomalies", f"{_ID}, g AS (SELECT person_id, count(DISTINCT n
 query("i10_result_type", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'not_found' WHEN c_mktsegment = 'BUILDING' THEN 'company' WHEN c_nationkey % 4 = 3 THEN 'other_operator' ELSE 'person' END AS kind FROM customer")(
     lambda t: t("customer").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, "not_found").when(F.col("c_mktsegment") == "BUILDING", "company").when(F.col("c_nationkey") % 4 == 3, "other_operator").otherwise("person").alias("kind"))
 )
+
+
+@query("m6_transit")
+def m6(t):
+    r = located(t)
+    return P.transit(r, P.home_and_work(r))

@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Encodings that Spark's reader knows.
+ENCODINGS = {"utf-8", "utf-16", "utf-16be", "utf-16le", "utf-32", "us-ascii", "iso-8859-1"}
 TRANSFER = "tx_hash string, ts timestamp, from_address string, to_address string, amount decimal(38,18), token string, tx_type string, source string"
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ";", encoding: str = "windows-1250") -> DataFrame:
-    """SRC2: a delimited file of known columns; rows that do not fit are dropped."""
-    return spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding).option("mode", "DROPMALFORMED").csv(path)
+    """SRC2: a delimited file of known columns; rows that do not fit are dropped.
+
+    Spark reads few encodings; other one-byte ones are read byte for byte and then translated.
+    """
+    native = encoding.lower() in ENCODINGS
+    df = spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding if native else "iso-8859-1").option("mode", "DROPMALFORMED").csv(path)
+    if native:
+        return df
+    high = bytes(range(128, 256))
+    own, real = high.decode("latin-1"), high.decode(encoding, "replace")
+    return df.select(*(F.translate(f.name, own, real).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in df.schema))
 
 
 #: Column names by which a ledger's format is known.
