@@ -47,6 +47,7 @@ class Model:
     k: float = 1.0
     slope: float = 0.0
     base: float = -50.0
+    drift: float = DRIFT
 
 
 def tokens(raw: bytes | None) -> list[bytes]:
@@ -62,13 +63,13 @@ def starts(word: bytes) -> list[str]:
 class _Scores(dict):
     """A word's score: its own, else that of its longest known beginning, else none."""
 
-    def __init__(self, known: dict[str, float]):
-        self.known = known
+    def __init__(self, model: Model):
+        self.known, self.drift = model.scores, model.drift
 
     def __missing__(self, w: bytes) -> float:
         if len(self) >= MEMO:
             self.clear()
-        self[w] = s = next((self.known[x] for x in starts(w) if x in self.known), 0.0) - DRIFT
+        self[w] = s = next((self.known[x] for x in starts(w) if x in self.known), 0.0) - self.drift
         return s
 
 
@@ -149,10 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
     """``train``: a condition on doc_id for the labels that may be learned from."""
     ship(docs.sparkSession)
     rows = _sample(docs, labels, F.lit(True) if train is None else train)
-    model = Model(_log_odds(rows) if rows else {})
+    model = Model(_log_odds(rows) if rows else {}, drift=DRIFT)
     if not model.scores:
         return model
-    share = docs.sparkSession.sparkContext.broadcast(model.scores)
+    share = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         memo = _Scores(share.value)
@@ -214,7 +215,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = share.value
-        memo = _Scores(m.scores)
+        memo = _Scores(m)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
         for b in slices(batches):
             out, n, parts = [], [], []
