@@ -42,7 +42,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_pairs.digest(byte_pairs.decode(byte_pairs.encode(docs, path, public_tokenizers.PATTERN), path))
+    return byte_pairs.digest(byte_pairs.round_trip(docs, path, public_tokenizers.PATTERN))
 
 
 STAGES = [

@@ -39,6 +39,7 @@ def test_byte_pairs_like_tiktoken(spark, texts):
     out = byte_pairs.decode(byte_pairs.encode(df, path, public_tokenizers.PATTERN), path)
     rows = out.collect()
     assert len(rows) == df.count()
+    assert sorted(map(str, byte_pairs.round_trip(df, path, public_tokenizers.PATTERN).collect())) == sorted(map(str, rows))
     for r in rows:
         t = texts[r["doc_id"]] if r["doc_id"] < 900 else ""
         assert r["ids"] == enc.encode_ordinary(t)

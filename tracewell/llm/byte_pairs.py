@@ -307,6 +307,24 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded): ``encode`` and ``decode`` of the ids in one pass, so that a task needs
+    one Python worker, not two."""
+    data = docs.sparkSession.sparkContext.broadcast(_read(path))
+
+    def run(batches):
+        memo = _known(data.value, pattern)
+        for b in slices(batches):
+            ids, n = encode_texts(b.column(1).to_pylist(), memo)
+            out, size = decode_ids(memo.v, ids, n)
+            raw = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, _offsets(size).buffers()[1], pa.py_buffer(np.ascontiguousarray(out))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(_offsets(n), pa.array(ids)), raw], names=["doc_id", "ids", "decoded"])
+
+    ship(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def digest(decoded: DataFrame) -> DataFrame:
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),

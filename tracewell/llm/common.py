@@ -94,3 +94,4 @@ def slices(batches, rows: int = 256, most: int = 4 << 20):
             j = max(i + 1, min(i + rows, j))
             yield b.slice(i, j - i)
             i = j
+    pa.default_memory_pool().release_unused()  # the worker serves later stages too

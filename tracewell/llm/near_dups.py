@@ -37,7 +37,7 @@ WIDE = 2048
 SLACK, WIDE_SLACK = 0.2, 0.055
 #: Rows of a bucket that one task compares with as many others; larger buckets are cut.
 BLOCK = 1024
-MEMO = 300_000
+MEMO = 100_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 2**32, HASHES + WIDE, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)

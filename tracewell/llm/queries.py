@@ -46,8 +46,7 @@ def op4_near_dups(spark, sf_dir):
 
 
 def op5_byte_pairs(spark, sf_dir):
-    encoded = byte_pairs.encode(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
-    return byte_pairs.digest(byte_pairs.decode(encoded, BYTE_BPE))
+    return byte_pairs.digest(byte_pairs.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN))
 
 
 def op6_decontamination(spark, sf_dir):

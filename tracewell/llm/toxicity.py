@@ -36,7 +36,7 @@ SAMPLE = 10_000
 LEXICON = 200_000
 PRIOR, Z, DRIFT, LOWEST = 50.0, 2.0, 0.1, -2.0
 STARTS = (6, 5, 4)
-MEMO = 400_000
+MEMO = 100_000
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() or c == 39 else 32 for c in range(256))
 
 
