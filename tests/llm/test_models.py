@@ -123,6 +123,15 @@ def test_attention_is_causal_and_sums_to_one():
         assert abs((up - down) / 2e-3 - grad[k][at]) < 0.05 * abs(grad[k][at]) + 5e-4, k
 
 
+def test_windows_hold_32_ids_of_context():
+    ids, target, where = language_model.windows([np.arange(150)])
+    span = target.shape[1]
+    for place, at in enumerate(where):
+        window, i = divmod(int(at), span)
+        seen = (ids[window, : span + i + 1] != language_model.PAD).sum()  # the text's start included
+        assert seen >= min(place + 1, 33), place
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((1500, 24)) * rng.uniform(0.5, 2, (1500, 1))
