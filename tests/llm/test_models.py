@@ -185,3 +185,64 @@ def test_placed(spark, tmp_path):
     got = store_by_arrivals(df, str(tmp_path / "p"), [(0, 8)], 8, 1 << 20).placed()
     assert got.groupBy("doc_id").count().where("count <> 1").count() == 0 and got.count() == 100
     assert {r["shard_rows"] for r in got.select("shard_rows").distinct().collect()} == {100}
+
+
+def test_language_model_counts_every_training_pair(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        data = f.read()
+    rng = random.Random(8)
+    rows = [(i, prose(rng, "en", rng.choice([1, 2, 5, 70]))) for i in range(300)] + [(500, None), (501, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spell, want = language_model.Spelling(language_model.vocabulary(data)), Counter()
+    for i, t in rows:
+        if i % 3:
+            ws = [*words_of((t or "").encode()), b""]
+            spell.numbers([ws])
+            ids = [language_model.END] + [int(x) for w in ws for x in spell.flat[spell.start[spell[w]] :][: spell.size[spell[w]]]]
+            want.update(a * language_model.ALL + b for a, b in zip(ids, ids[1:]))
+    got = {r["cell"]: r["c"] for r in language_model.count_pairs(df, F.col("doc_id") % 3 != 0, data).collect()}
+    assert got == dict(want)
+    counts = np.zeros(language_model.ALL**2, np.int64)
+    counts[list(got)] = list(got.values())
+    assert np.allclose(language_model.pair_shares(counts).reshape(language_model.ALL, -1).sum(1), 1, atol=1e-4)
+
+
+def test_more_training_documents_help_the_score(spark, monkeypatch):
+    """The sample of the attention model is the same size, what follows what is only learnt from more."""
+    monkeypatch.setattr(language_model, "STEPS", 30)
+    monkeypatch.setattr(language_model, "SAMPLE", 80)
+    monkeypatch.setattr(language_model, "HELD", 30)
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "bdgklm" for b in "aeiou" for c in "nrst"]
+    follow = {w: rng.sample(words, 2) for w in words}
+
+    def text():
+        w = [rng.choice(words)]
+        while len(w) < 40:
+            w.append(rng.choice(follow[w[-1]]))
+        return " ".join(w)
+
+    held = [(i, text()) for i in range(40)]
+    gain = []
+    for n in (100, 2000):
+        df = spark.createDataFrame(held + [(1000 + i, text()) for i in range(n)], "doc_id long, text string")
+        got = language_model.language_scores(df, F.col("doc_id") >= 1000, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).where("doc_id < 1000").collect()
+        gain.append(sum(r["score"] - r["base_score"] for r in got) / sum(r["n_tokens"] for r in got))
+    assert gain[1] > gain[0] + 0.02, gain
+
+
+def test_padding_is_no_target_and_short_texts_are_trained_on(monkeypatch):
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        data = f.read()
+    monkeypatch.setattr(language_model, "STEPS", 60)
+    monkeypatch.setattr(language_model, "HELD", 0)
+    long_ = b" ".join([b"the"] * 200)
+    model, _ = language_model.train([long_, *[b"red fox"] * 60], data)
+    spell = language_model.Spelling(language_model.vocabulary(data))
+    _, _, flat, ends = language_model.spelled(spell, [[b"red", b"fox", b""]])
+    ids, target, where = language_model.windows([flat])
+    assert model.ready().log_p(ids, target).ravel()[where].mean() > -1
+    _, grad = model.gradient(ids, target)
+    pad = model.cluster[language_model.PAD], model.member[language_model.PAD]
+    assert grad["ob"][pad] >= 0  # nothing draws towards padding
