@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tracewell.llm import near_dups
 from tracewell.llm.near_dups import near_duplicates, words_of
 
 
@@ -53,3 +55,32 @@ def test_repeated_rows_and_empty(spark):
     got = sorted(near_duplicates(df, 2).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
     assert [(r["doc_id"], r["component_id"], r["kept"]) for r in got[:3]] == [(1, 1, True), (1, 1, True), (2, 1, False)]
     assert near_duplicates(df.limit(0), 2).count() == 0
+
+
+def test_short_pairs_pass_the_screens():
+    """Pairs at similarity 0.8 exactly, of few shingles: (of one, of the other, of both)."""
+    rng = np.random.default_rng(1)
+    for a, b, both in ((5, 4, 4), (10, 8, 8), (9, 9, 8)):
+        for _ in range(300):
+            h = rng.integers(0, 2**63, a + b - both, dtype=np.uint64)
+            for which, lanes, slack in ((near_dups._REST, near_dups.WIDE, near_dups.WIDE_SLACK), (near_dups._BANDED, near_dups.HASHES, near_dups.SLACK)):
+                x, y = (near_dups.packed(near_dups.minima(np.sort(s), which)).view(np.uint64) for s in (h[:a], np.concatenate([h[:both], h[a:]])))
+                d = x ^ y
+                differ = int(np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum())
+                assert (1 - differ / lanes - 0.25) / 0.75 >= 0.8 - slack
+
+
+def test_crowded_short_texts_like_brute_force(spark):
+    rng = random.Random(14)
+    rows = []
+    for _ in range(25):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(9)) for _ in range(rng.randint(5, 15))]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                i = rng.randrange(len(w))
+                w[i : i + 1] = rng.choice([[], [w[i], "z"], [rng.choice("xyz")]])
+            rows.append((rng.randrange(10**9), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df, 2, 80).collect()}
+    assert got == brute(rows, 2, 80)

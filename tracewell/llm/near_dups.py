@@ -95,8 +95,13 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 
 
 def packed(m: np.ndarray) -> np.ndarray:
-    """Low bits of the minima, 32 lanes of two bits to a long."""
-    low = (m & np.uint32(2**BITS - 1)).astype(np.uint64).reshape(-1, 64 // BITS)
+    """Low bits of the minima, 32 lanes of two bits to a long.
+
+    Minima are mixed with their lane's number first: the low bits of a * x alone depend on those of
+    x only, so that two shingles would agree in all lanes or in none.
+    """
+    lane = np.arange(1, len(m) + 1, dtype=np.uint64) * _M1
+    low = (_mix((m ^ lane) * _M2) & np.uint64(2**BITS - 1)).reshape(-1, 64 // BITS)
     return np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=1).view(np.int64)
 
 
