@@ -8,7 +8,11 @@ and written back in the same format: separators stay, check digits are made anew
 letters and digits digits. The permutation depends on key, kind and domain only, so equal values
 get equal pseudonyms in all documents, and ``reveal`` takes them back with the key.
 
-What is not valid (a 16-digit number without the check digit, 31 February) is left alone.
+What is not valid (a 16-digit number without the check digit, 31 February) is left alone. Where a
+pattern takes in too much, shorter readings are tried: an account number ends where its country's
+length says, a telephone number at a separator. The search goes on behind the first character of
+what is not valid. A number right behind groups that look like its own may then, with its pseudonym,
+be read in another place by ``reveal``, which then does not take it back.
 
 Defined results: null stays null; empty texts and texts without such values are unchanged; where
 candidates overlap, the one that begins first wins, ties by the order of kinds; repeated rows are
@@ -130,14 +134,52 @@ def address(text: str, walk: Walk) -> str | None:
     return ".".join(map(str, mixed([(int(x), 256) for x in p], "ipv4", walk)))
 
 
-def iban(text: str, walk: Walk) -> str | None:
+#: Characters of an account number by country (ISO 13616).
+_LENGTHS = """15 NO 16 BE 18 DK FI FK FO GL NL SD 19 MK SI 20 AT BA EE KZ LT LU MN XK 21 CH HR LI LV 22 BG BH CR DE GB GE IE ME RS VA
+23 AE GI IL IQ OM SO TL 24 AD CZ ES MD PK RO SA SE SK TN VG 25 LY PT ST 26 IS TR 27 BI DJ FR GR IT MC MR SM 28 AL AZ BY CY DO GT HN HU LB NI PL SV
+29 BR EG PS QA UA 30 JO KW MU YE 31 MT SC 32 LC 33 RU"""
+LENGTH: dict[str, int] = {}
+for _x in _LENGTHS.split():
+    if _x.isdigit():
+        _size = int(_x)
+    else:
+        LENGTH[_x] = _size
+
+
+def _number(s: str) -> int:
+    return int("".join(str(int(x, 36)) for x in s))
+
+
+def _is_iban(text: str) -> bool:
     c = text.replace(" ", "")
-    number = lambda s: int("".join(str(int(x, 36)) for x in s))
-    if not 15 <= len(c) <= 34 or number(c[4:] + c[:4]) % 97 != 1:
+    return 15 <= len(c) <= 34 and _number(c[4:] + c[:4]) % 97 == 1
+
+
+def iban_ends(text: str) -> list[int]:
+    """Where the account number may end: at its country's length, else at the end of all."""
+    cuts = [i for i, x in enumerate(text) if x == " " and len(text[:i].replace(" ", "")) == LENGTH.get(text[:2])]
+    return [*cuts[:1], len(text)]
+
+
+def phone_ends(text: str) -> list[int]:
+    return [len(text), *(i for i in range(len(text) - 1, 0, -1) if text[i] in " .-" and text[i - 1].isdigit())]
+
+
+def iban(text: str, walk: Walk) -> str | None:
+    """Walks on while the result would be read as a shorter number, so that it is taken back."""
+    if not _is_iban(text):
         return None
+    text = _iban_once(text, walk)
+    while any(_is_iban(text[:i]) for i in iban_ends(text)[:-1]):
+        text = _iban_once(text, walk)
+    return text
+
+
+def _iban_once(text: str, walk: Walk) -> str:
+    c = text.replace(" ", "")
     own = mixed([(int(x, 36) - (0 if x.isdigit() else 10), 10 if x.isdigit() else 26) for x in c[4:]], "iban:" + c[:2], walk)
     body = "".join(str(d) if x.isdigit() else chr(65 + d) for d, x in zip(own, c[4:]))
-    it = iter(c[:2] + f"{98 - number(body + c[:2] + '00') % 97:02d}" + body)
+    it = iter(c[:2] + f"{98 - _number(body + c[:2] + '00') % 97:02d}" + body)
     return "".join(next(it) if x != " " else x for x in text)
 
 
@@ -199,7 +241,10 @@ KINDS: list[tuple[str, str, Callable[[str, Walk], str | None]]] = [
     ("phone", r"(?<![\d-])(?:1[ .-])?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\d-])", phone),
 ]
 _COMPILED = [(k, re.compile(p), f) for k, p, f in KINDS]
-_HINT = re.compile(r"[0-9@]")
+#: Kinds whose first match may take in too much: where its readings may end, in the order of trial.
+_ENDS = {"iban": iban_ends, "phone": phone_ends}
+#: What each kind has at least: a digit, an address's @, a secret's = or :, an access key's beginning.
+_HINT = re.compile(r"[0-9@=:]|A[KS]IA")
 
 
 class Vault:
@@ -227,9 +272,15 @@ class Vault:
         for i, (kind, pattern, _) in enumerate(_COMPILED):
             if kind == "email" and "@" not in text:
                 continue
-            for m in pattern.finditer(text):
-                if (new := self.value(i, m[0])) is not None:
-                    found.append((m.start(), i, m.end(), new))
+            at = 0
+            while m := pattern.search(text, at):
+                start, at = m.start(), m.start() + 1
+                for size in _ENDS[kind](m[0]) if kind in _ENDS else (len(m[0]),):
+                    end = start + size
+                    if pattern.fullmatch(text, start, end) and (new := self.value(i, text[start:end])) is not None:
+                        found.append((start, i, end, new))
+                        at = end
+                        break
         out, at, entities = [], 0, []
         for start, i, end, new in sorted(found):
             if start >= at:
