@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.llm import ann, language_id, language_model, toxicity
@@ -246,3 +247,13 @@ def test_padding_is_no_target_and_short_texts_are_trained_on(monkeypatch):
     _, grad = model.gradient(ids, target)
     pad = model.cluster[language_model.PAD], model.member[language_model.PAD]
     assert grad["ob"][pad] >= 0  # nothing draws towards padding
+
+
+def test_no_language_is_left_out_silently(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    rows = [(i, f"text {'abcd'[i % 4] * 9}", "wxyz"[i % 4]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language_id.identify(df, F.lit(True))
+    three = language_id.identify(df.where("lang <> 'z'"), F.lit(True)).select("lang_pred").distinct().collect()
+    assert {r["lang_pred"] for r in three} == {"w", "x", "y"}

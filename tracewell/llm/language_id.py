@@ -12,7 +12,8 @@ landmarks' presence matrix gives all kernel values; a second product gives all l
 The softmax of the scaled scores is the returned one.
 
 The fit uses a bounded sample: ``TRAIN`` texts a language (about), drawn by a hash of the id. The
-languages are those of the training rows, at most ``LANGUAGES``.
+languages are those of the training rows; more than ``LANGUAGES`` of them are an error, none is left
+out.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; rows without a
 language are not learned from; without any training row all is ``und``. Ties go to the language
@@ -142,9 +143,11 @@ def predict_texts(m: Model, places: Places, texts: list[str]) -> tuple[list[str]
 def fit(docs: DataFrame, train: Column) -> Model | None:
     """From a sample of the rows that ``train`` allows: TRAIN of each language, about."""
     known = docs.where(train & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
     if not counts:
         return None
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages in the training rows")
     part = F.lit(0.0)
     for r in counts:
         part = F.when(F.col("lang") == r["lang"], min(1.0, TRAIN / r["count"])).otherwise(part)
