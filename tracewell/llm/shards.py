@@ -8,9 +8,14 @@ Merging reads the small files and writes each merged file from whole ones: no sh
 
 Every change is a new manifest version: a file of one JSON line a shard, written under another
 name and put in place by a rename that fails if the version is there already. Readers see the old
-version or the new one whole; a writer that comes second gets ``Conflict`` and may try again.
-Shards no version names are removed by ``vacuum``; a lost executor's half-written files never are
-in a manifest.
+version or the new one whole. A writer that comes second adds its shards to the version that came
+first; a merge whose sources are gone by then is given up. A lost executor's half-written files
+never are in a manifest.
+
+Nothing is removed by writers, so every version stays readable. ``vacuum`` removes versions older
+than the last ``keep`` and files that none of the kept names, if they are older than ``older_s``
+seconds: what another writer has written but not committed yet is younger, as long as no write takes
+that long.
 
 Defined results: an empty arrival adds no shard; an empty store reads as no rows; rows are stored
 as they are, nulls, repeated rows and all columns included; ties in size go by shard id.
@@ -19,6 +24,7 @@ as they are, nulls, repeated rows and all columns included; ties in size go by s
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,55 +93,66 @@ class ShardStore:
             t += 1
         return t
 
-    def _written(self, folder: str, version: int, first: int) -> list[dict]:
-        """Entries of the files in a folder just written. Empty files are no shards."""
-        fs, at = self._fs(), self._path("data", folder)
-        if not fs.exists(at):
-            return []
-        rows = self.spark.read.schema(self.schema).parquet(f"{self.root}/data/{folder}").groupBy(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("n_bytes")).agg(F.count("*").alias("n_rows"))
-        return [{"shard_id": first + i, "name": f"{folder}/{r['name']}", "n_rows": r["n_rows"], "n_bytes": r["n_bytes"], "tier": self.tier(r["n_bytes"]), "version": version} for i, r in enumerate(rows.orderBy("name").collect())]
+    def _write(self, rows: DataFrame) -> list[dict]:
+        """Writes a new folder; its files, without ids and version yet. Empty files are no shards."""
+        folder = uuid.uuid4().hex
+        rows.select(*(F.col(f.name) for f in self.schema)).write.parquet(f"{self.root}/data/{folder}")
+        files = self.spark.read.schema(self.schema).parquet(f"{self.root}/data/{folder}").groupBy(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("n_bytes")).agg(F.count("*").alias("n_rows"))
+        return [{"name": f"{folder}/{r['name']}", "n_rows": r["n_rows"], "n_bytes": r["n_bytes"], "tier": self.tier(r["n_bytes"])} for r in files.orderBy("name").collect()]
+
+    def _add(self, files: list[dict], instead: list[dict] = ()) -> int | None:
+        """Commits files in the place of others; over again where another writer came first. None if
+        the others are not in the store any more."""
+        gone = {e["shard_id"] for e in instead}
+        while True:
+            base = self.version()
+            old = self._entries(base)
+            if not gone <= {e["shard_id"] for e in old}:
+                return None
+            first = 1 + max((e["shard_id"] for e in old), default=-1)
+            new = [{"shard_id": first + i, **f, "version": base + 1} for i, f in enumerate(files)]
+            try:
+                return self._commit(base, [e for e in old if e["shard_id"] not in gone] + new)
+            except Conflict:
+                continue
 
     def append(self, rows: DataFrame) -> int:
         """Writes an arrival and commits it; the new version."""
-        base = self.version()
-        old = self._entries(base)
-        folder = f"a{uuid.uuid4().hex}"
-        rows.select(*(F.col(f.name) for f in self.schema)).write.parquet(f"{self.root}/data/{folder}")
-        return self._commit(base, old + self._written(folder, base + 1, 1 + max((e["shard_id"] for e in old), default=-1)))
+        return self._add(self._write(rows))
 
     def compact(self) -> int:
         """Merges tiers until none has ``fan`` shards; the last version. Each tier is one commit."""
         while True:
             base = self.version()
-            entries = self._entries(base)
-            small = [e for e in entries if 2 * e["n_bytes"] < self.target]
+            small = [e for e in self._entries(base) if 2 * e["n_bytes"] < self.target]
             tiers = sorted({e["tier"] for e in small})
             full = next((t for t in tiers if sum(e["tier"] == t for e in small) >= self.fan), None)
             if full is None:
                 return base
             own = [e for e in small if e["tier"] == full]
             n = max(1, round(sum(e["n_bytes"] for e in own) / self.target))
-            folder = f"m{uuid.uuid4().hex}"
-            self._read(own).coalesce(n).write.parquet(f"{self.root}/data/{folder}")
-            gone = {e["shard_id"] for e in own}
-            new = self._written(folder, base + 1, 1 + max(e["shard_id"] for e in entries))
-            if len(new) >= len(own):
+            files = self._write(self._read(own).coalesce(n))
+            if len(files) >= len(own):
                 return base
-            self._commit(base, [e for e in entries if e["shard_id"] not in gone] + new)
-            self.vacuum()
-
-    def vacuum(self) -> None:
-        """Removes the files that the last version does not name."""
-        fs, named = self._fs(), {e["name"] for e in self._entries(self.version())}
-        folders = {n.split("/")[0] for n in named}
+            self._add(files, own)
+
+    def vacuum(self, keep: int = 10, older_s: float = 86_400.0) -> None:
+        """See above. ``older_s`` must exceed the time that any write takes."""
+        fs, last = self._fs(), self.version()
+        kept = [v for v in range(max(1, last - keep + 1), last + 1)]
+        named = {e["name"] for v in kept for e in self._entries(v)}
+        for v in range(1, kept[0] if kept else 1):
+            fs.delete(self._path("manifest", f"v{v:010d}.json"), False)
+        before = (time.time() - older_s) * 1000
+        if not fs.exists(self._path("data")):
+            return
         for s in fs.listStatus(self._path("data")):
-            folder = s.getPath().getName()
-            if folder not in folders:
+            files = [(f"{s.getPath().getName()}/{f.getPath().getName()}", f) for f in fs.listStatus(s.getPath())]
+            if s.getModificationTime() < before and not any(n in named for n, _ in files) and all(f.getModificationTime() < before for _, f in files):
                 fs.delete(s.getPath(), True)
                 continue
-            for f in fs.listStatus(s.getPath()):
-                name = f.getPath().getName()
-                if name.endswith(".parquet") and f"{folder}/{name}" not in named:
+            for name, f in files:
+                if name.endswith(".parquet") and name not in named and f.getModificationTime() < before:
                     fs.delete(f.getPath(), False)
 
     def _read(self, entries: list[dict]) -> DataFrame:
