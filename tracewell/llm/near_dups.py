@@ -10,12 +10,14 @@ collision-corrected similarity that screens them, and the full sets confirm each
 * Round one links each bucket's members to the bucket's smallest. After its components are
   known, round two takes from each bucket the pairs of *different* components only, screened by
   wide signatures (2,048 further minima) block by block. All pairs of a bucket are thus either
-  joined already or compared; none is capped or dropped.
+  joined already or compared; none is capped or dropped. A bucket of more than ``BLOCK`` rows is
+  split over tasks by a salt.
 * A pair at similarity 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6.
 
 Defined results: null or empty texts have no shingles and link with nothing; a text with fewer
 than k words is one shingle; ties are broken by the smaller doc_id; repeated rows of one doc_id
-are one document and each gets its row; an empty table gives an empty result.
+are one document and each gets its row; rows of one doc_id with different texts are linked; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, ship, slices, stash, texts
+from .common import BROADCAST_IDS, pick, ship, slices, stash, texts
 
 BANDS, ROWS, BITS = 32, 5, 2
 HASHES = BANDS * ROWS
@@ -140,7 +142,7 @@ def wide_signatures(docs: DataFrame, k: int) -> DataFrame:
             cols = [pa.array([packed(minima(x, _REST)) for x in u], longs), pa.array([band_keys(minima(x)) for x in u], longs)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in u], pa.int64()), *cols], names=["rep", "n", "wide", "keys"])
 
-    return texts(docs).mapInArrow(run, "rep long, n long, wide array<long>, keys array<long>").dropDuplicates(["rep"])
+    return texts(docs).mapInArrow(run, "rep long, n long, wide array<long>, keys array<long>").dropDuplicates(["rep", "n", "keys"])
 
 
 def _pairs_of(key: int, across: bool, rep, label, n, block, wide, keys, percent: int):
@@ -169,14 +171,22 @@ def _pairs_of(key: int, across: bool, rep, label, n, block, wide, keys, percent:
 
 
 def _across_components(open_: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
-    """(a, b) to compare, out of the buckets (key, rep, label) that hold several components.
+    """(a, b) to compare, out of the buckets (key, salt, salts, rep, label) that hold several components.
 
-    A bucket of t rows is dealt to tasks as pairs of its blocks, so none holds more than two.
+    Most of a large bucket is one component, whose own pairs need no comparison. So its rows and all
+    others are cut into blocks apart, and only pairs of blocks of which one holds others are dealt to
+    tasks, none of which gets more than two blocks.
     """
-    cut = open_.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    rows = open_.join(cut, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("key", "rep", "label", "block", other).select("key", "rep", "label", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    each = open_.groupBy("key", "label").agg(F.count("*").alias("c"), F.first("salts").alias("salts"))
+    main = F.max(F.struct("c", "label")).alias("m")
+    cut = each.groupBy("key").agg(main, F.sum("c").alias("all"), F.first("salts").alias("salts"))
+    n = lambda c: F.greatest(F.ceil(c / F.lit(BLOCK)), F.lit(1)).cast("int")
+    cut = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("m.label").alias("main"), n(F.col("m.c")).alias("own"), n(F.col("all") - F.col("m.c")).alias("others"))
+    within = F.pmod(F.xxhash64("rep"), F.when(F.col("label") == F.col("main"), F.col("own")).otherwise(F.col("others")))
+    most = F.when(F.col("label") == F.col("main"), F.col("others") - 1).otherwise(F.col("own") + F.col("others") - 1)
+    rows = open_.join(cut, ["key", "salt"]).withColumn("block", (within + F.when(F.col("label") == F.col("main"), F.col("others")).otherwise(0)).cast("int"))
+    rows = rows.select("key", "rep", "label", "block", F.explode(F.sequence(F.lit(0), most)).alias("other"))
+    rows = rows.select("key", "rep", "label", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     dealt = rows.join(wide, "rep").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def run(batches):
@@ -248,6 +258,19 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for a key. Rows of a key that more than
+    ``BLOCK`` rows of ``left`` have stay where they are: their keys, one in ``BLOCK`` rows at most, are
+    counted and broadcast. The others are shuffled."""
+    hot = stash(left.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(key), "hot")
+    n = hot.limit(BROADCAST_IDS + 1).count()
+    if not n or n > BROADCAST_IDS:
+        return left.join(right, key, how)
+    hot = F.broadcast(hot)
+    few = right.join(hot, key, "left_semi")
+    return left.join(hot, key, "left_semi").join(F.broadcast(few), key, how).unionByName(left.join(hot, key, "left_anti").join(right, key, how))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of the edges (a, b) can reach.
 
@@ -258,37 +281,48 @@ def components(edges: DataFrame) -> DataFrame:
     both = stash(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct(), "edges")
     labels = stash(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), "labels")
     while True:
-        near = both.join(labels.toDF("other", "l"), "other").groupBy("node").agg(F.min("l").alias("l"))
+        near = join_hot(both, labels.toDF("other", "l"), "other").groupBy("node").agg(F.min("l").alias("l"))
         low = labels.join(near, "node").select("node", "label", F.least("label", "l").alias("low"))
         up = labels.toDF("low", "up")
-        new = stash(low.join(up, "low").select("node", F.least("low", "up").alias("label"), (F.least("low", "up") < F.col("label")).alias("moved")), "labels")
+        new = stash(join_hot(stash(low, "low"), up, "low").select("node", F.least("low", "up").alias("label"), (F.least("low", "up") < F.col("label")).alias("moved")), "labels")
         labels = new.select("node", "label")
         if not new.where("moved").limit(1).count():
             return labels
 
 
+def _of_one_id(own: DataFrame, heads: DataFrame) -> DataFrame:
+    """(a, b): representatives of the different texts that rows of one doc_id have."""
+    several = own.where("n > 0").groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x < y").select("doc_id")
+    each = own.join(several, "doc_id", "left_semi").select("doc_id", "set_hash").distinct().join(heads, "set_hash").select("doc_id", "rep")
+    return each.join(each.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
     own = stash(signatures(docs, k), "signatures")
     heads = stash(own.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "heads")
     reps = stash(
-        own.where("n > 0").select("set_hash", F.col("doc_id").alias("rep"), "n", "sig", "keys").join(heads, ["set_hash", "rep"]).drop("set_hash").dropDuplicates(["rep"]),
+        own.where("n > 0").select("set_hash", F.col("doc_id").alias("rep"), "n", "sig", "keys").join(heads, ["set_hash", "rep"]).dropDuplicates(["rep", "set_hash"]).drop("set_hash"),
         "representatives",
     )
     rows = reps.select("rep", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
-    shared = stash(rows.join(buckets.select("key", "first"), "key"), "buckets")
+    buckets = rows.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("n")).where("first < last")
+    # A large bucket's rows are dealt to several tasks from here on, by the salt beside its key.
+    salts = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.lit(1)).cast("int").alias("salts")
+    shared = join_hot(rows, stash(buckets.select("key", "first", salts), "shared"), "key")
+    shared = stash(shared.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")), "buckets")
     sides = reps.select("rep", "n", "sig")
     left, right = sides.toDF("a", "n_a", "sig_a"), sides.toDF("b", "n_b", "sig_b")
 
     star = shared.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     tried = stash(_screen(star.join(left, "a").join(right, "b"), percent).select("a", "b"), "pairs")
-    edges = stash(confirmed(tried, docs, k, percent), "links")
+    edges = stash(confirmed(tried, docs, k, percent).union(_of_one_id(own, heads)), "links")
     label = components(edges)
 
-    known = shared.join(label.toDF("rep", "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    apart = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    open_ = stash(known.join(apart, "key"), "open")
+    known = stash(shared.join(label.toDF("rep", "label"), "rep", "left").select("key", "salt", "salts", "rep", F.coalesce("label", "rep").alias("label")), "known")
+    apart = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("salts").alias("salts")).where("x < y")
+    apart = apart.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    open_ = stash(known.join(apart, ["key", "salt"]), "open")
     asked = pick(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), open_.select(F.col("rep").alias("doc_id")).distinct(), "left_semi")
     wide = stash(wide_signatures(asked, k), "wide")
     cross = _across_components(open_, wide, percent).distinct().join(tried, ["a", "b"], "left_anti")
