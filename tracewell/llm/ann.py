@@ -17,8 +17,9 @@ D components, times D/d, estimates the whole; its error falls with d.
   another, so equal vectors get equal scores; ties go to the smaller vec_id.
 
 Defined results: vectors that are null, zero, of another length than the sample's most common one,
-or hold null or non-finite components take no part; fewer candidates than k are all returned; a
-repeated vec_id is one vector (its first); an empty table gives an empty result.
+or hold null or non-finite components take no part; fewer candidates than k are all returned; of
+the different vectors that rows of one vec_id have, the smallest by its components is the one; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stash
+from .common import BROADCAST_IDS, pick, ship, stash
 
 SAMPLE, BLOCK, STEP, EPSILON = 20_000, 4096, 16, 2.1
 QUERIES, CHUNK, PARTS = 512, 256, 8
@@ -175,6 +176,15 @@ def best(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarra
 FOUND = "query_id long, part int, ids array<long>, scores array<double>"
 
 
+def _single(rows: DataFrame) -> DataFrame:
+    """One row for each vec_id. Only ids are shuffled, but for those that several rows have."""
+    several = stash(rows.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"), "several")
+    if not several.limit(1).count():
+        return rows
+    few = rows.join(several, "vec_id", "left_semi").groupBy("vec_id").agg(F.min(F.struct("v", *(c for c in rows.columns if c not in ("vec_id", "v")))).alias("m"))
+    return pick(rows, several, "left_anti", "vec_id").unionByName(few.select("vec_id", "m.*"))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int | None = None, lists: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) for each row of ``queries``, against all of ``vectors``."""
     spark = vectors.sparkSession
@@ -198,17 +208,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int | N
             yield p.assign(lists=[r.tolist() for r in near])
 
     one = own.where(F.size("v") == d).mapInPandas(place, "vec_id long, v array<double>, list int")
-    one = stash(one, "lists")
+    one = _single(stash(one, "lists"))
     sizes = F.broadcast(one.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")))  # a row for each centroid
     cut = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     held = one.join(sizes, "list").select("list", cut.alias("block"), "vec_id", "v")
-    ask = asked.where(F.size("v") == d).dropDuplicates(["vec_id"]).mapInPandas(probe, "vec_id long, v array<double>, lists array<int>")
+    ask = _single(asked.where(F.size("v") == d)).mapInPandas(probe, "vec_id long, v array<double>, lists array<int>")
     ask = ask.select("vec_id", "v", F.explode("lists").alias("list")).join(sizes, "list")
     ask = ask.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
     # A block's queries are dealt out as its rows are: one task has a bounded share of both.
-    load = F.broadcast(ask.groupBy("list", "block").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("turns")))
-    if ask.select("list").distinct().count() * 8 > 1_000_000:
-        load = load.hint("merge")
+    load = stash(ask.groupBy("list", "block").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("turns")), "load")
+    if load.count() <= BROADCAST_IDS:
+        load = F.broadcast(load)
     turn = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("turns")).cast("int")
     ask = ask.join(load, ["list", "block"]).select("list", "block", turn.alias("turn"), "vec_id", "v")
     held = held.join(load, ["list", "block"]).select("list", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "vec_id", "v")
@@ -217,7 +227,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int | N
         none = pd.DataFrame({"query_id": [], "part": [], "ids": [], "scores": []})
         if not len(left) or not len(right):
             return none
-        left = left.drop_duplicates("vec_id")
         ids, x = left["vec_id"].to_numpy(), np.array(left["v"].tolist(), np.float64)
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]

@@ -41,9 +41,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names. Only where all
+    runs on one machine (a local master, as in tests) and none is set, it is one of our own."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="tracewell-")
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -71,14 +74,14 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
 
 
-def pick(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of ``df`` whose doc_id is (left_semi) or is not (left_anti) in ``ids``.
+def pick(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose key is (left_semi) or is not (left_anti) in ``ids``.
 
     ``ids`` is broadcast only where a count shows that it is small; else both sides are shuffled.
     """
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return df.join(ids, "doc_id", how)
+    return df.join(ids, key, how)
 
 
 def slices(batches, rows: int = 256, most: int = 4 << 20):
