@@ -13,8 +13,9 @@ documents are read twice (once to count, once to match) without any shuffle of t
 counts and matches are shuffled joins of the same rows.
 
 Defined results: null texts have no words, null items no windows; documents without words get 0;
-items with equal windows all count; an item repeated under one id counts once; a repeated document
-gets a row each.
+items with equal windows all count; an item repeated under one id counts once; an
+item without an id takes no part; a repeated document gets a row each, one without a doc_id is
+searched like all others.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .near_dups import _M2, _Hashes, _mix
 
 SHINGLE = 3
 BROADCAST_WINDOWS = 500_000
+#: Parts that a shingle's occurrences are dealt to in the shuffled join, and what stands for no doc_id.
+PARTS, NO_ID = 32, -(2**63) + 11
 #: Digits, lower-case letters and all bytes from 0x80 are of words; A-Z are lowered first.
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -101,7 +104,13 @@ def _places(docs: DataFrame) -> DataFrame:
             cols = [np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64) for c in (ids, hs, at, size)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "hash", "place", "n"])
 
-    return texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, hash long, place long, n long")
+    return _keyed(docs).mapInArrow(run, "doc_id long, hash long, place long, n long")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """As ``texts``, with a number for documents without a doc_id, so that they can be joined. What is
+    proposed to the wrong document of a number is not confirmed there."""
+    return texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
 
 
 class _Table:
@@ -199,7 +208,10 @@ def _match(docs: DataFrame, prefixes, items) -> DataFrame:
 def _joined(docs: DataFrame, prefixes: DataFrame, wins: DataFrame) -> DataFrame:
     """The same by shuffled joins, for a benchmark of any size."""
     length = F.size(F.split(F.col("words").cast("string"), " "))
-    near = _places(docs).join(prefixes.withColumn("length", length), "hash").withColumn("at", F.col("place") - F.col("offset"))
+    # A shingle that is everywhere is dealt to PARTS tasks; the prefixes, of the benchmark's size, go to each.
+    places = _places(docs).withColumn("part", F.pmod(F.xxhash64("doc_id", "place"), F.lit(PARTS)).cast("int"))
+    each = prefixes.withColumn("length", length).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    near = places.join(each, ["hash", "part"]).withColumn("at", F.col("place") - F.col("offset"))
     near = near.where("at >= 0 and at + length <= n").select("doc_id", "at", "words").distinct()
     near = near.join(wins.groupBy("words").agg(F.collect_set("item_id").alias("of")), "words")
     by_doc = near.groupBy("doc_id").agg(F.collect_list(F.struct("at", "words", "of")).alias("maybe"))
@@ -218,7 +230,8 @@ def _joined(docs: DataFrame, prefixes: DataFrame, wins: DataFrame) -> DataFrame:
                 n.append(len(w)), hit.append(a), spans.append(s), names.append(i)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "spans", "items"])
 
-    return texts(docs).join(by_doc, "doc_id", "left").mapInArrow(run, KIND)
+    found = _keyed(docs).join(by_doc, "doc_id", "left").mapInArrow(run, KIND)
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
