@@ -14,6 +14,13 @@ length says, a telephone number at a separator. The search goes on behind the fi
 what is not valid. A number right behind groups that look like its own may then, with its pseudonym,
 be read in another place by ``reveal``, which then does not take it back.
 
+What stays in clear: an e-mail address's host, the country and first two digits of a telephone number
+beyond +1, a card's first digit, an account number's country, an access key's first four letters and
+the separators. A date is the same pseudonym day in the orders year-month-day and day-month-year; in
+month/day/year, where only days past the twelfth tell the order, the walk goes on to such a day, so
+that ``reveal`` reads it alike. Any four numbers up to 255 with dots between are an address, as
+nothing in the format tells one from a version.
+
 Defined results: null stays null; empty texts and texts without such values are unchanged; where
 candidates overlap, the one that begins first wins, ties by the order of kinds; repeated rows are
 rewritten alike. Whole texts are searched.
@@ -183,19 +190,30 @@ def _iban_once(text: str, walk: Walk) -> str:
     return "".join(next(it) if x != " " else x for x in text)
 
 
-def _date(order: str) -> Callable[[str, Walk], str | None]:
+def _day(order: str, parts: list[str]) -> int | None:
+    named = dict(zip(order, map(int, parts)))
+    try:
+        day = datetime.date(named["y"], named["m"], named["d"]).toordinal()
+    except ValueError:
+        return None
+    return day if FIRST <= day <= LAST else None
+
+
+def _date(order: str, but: str = "") -> Callable[[str, Walk], str | None]:
+    """but: an order that is tried before. What can be read in that order is not of this one, so the
+    walk goes on while the pseudonym can."""
+
     def run(text: str, walk: Walk) -> str | None:
         parts = re.split(r"(\D)", text)
-        named = dict(zip(order, map(int, parts[::2])))
-        try:
-            day = datetime.date(named["y"], named["m"], named["d"]).toordinal()
-        except ValueError:
-            return None
-        if not FIRST <= day <= LAST:
+        day = _day(order, parts[::2])
+        if day is None or but and _day(but, parts[::2]) is not None:
             return None
-        t = datetime.date.fromordinal(FIRST + walk("date", day - FIRST, LAST - FIRST + 1))
-        own = {"y": f"{t.year:04d}", "m": f"{t.month:02d}", "d": f"{t.day:02d}"}
-        return parts[1].join(own[k] for k in order)
+        while True:
+            day = FIRST + walk("date", day - FIRST, LAST - FIRST + 1)
+            t = datetime.date.fromordinal(day)
+            own = [{"y": f"{t.year:04d}", "m": f"{t.month:02d}", "d": f"{t.day:02d}"}[k] for k in order]
+            if not but or _day(but, own) is None:
+                return parts[1].join(own)
 
     return run
 
@@ -232,7 +250,7 @@ KINDS: list[tuple[str, str, Callable[[str, Walk], str | None]]] = [
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
     ("date", r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])", _date("ymd")),
     ("date", r"(?<![\d./])\d{2}([./])\d{2}\1\d{4}(?![\d/])", _date("dmy")),
-    ("date", r"(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])", _date("mdy")),
+    ("date", r"(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])", _date("mdy", "dmy")),
     ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", address),
     ("ssn", r"(?<![\d-])\d{3}[- ]\d{2}[- ]\d{4}(?![\d-])", ssn),
     ("card", r"(?<!\d)(?<!\d\.)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\d)", card),
