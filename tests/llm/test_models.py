@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -211,6 +212,48 @@ def test_shards(spark, tmp_path):
     assert empty.read().count() == 0 and empty.placed().count() == 0
 
 
+def test_shards_of_two_writers(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(60)], "doc_id long, text string").repartition(3)
+    one, two = (ShardStore(spark, str(tmp_path / "w"), df.schema, fan=2) for _ in range(2))
+    one.append(df.where("doc_id < 20"))
+    files = two._write(df.where("doc_id >= 40"))  # written, not committed yet
+    one.append(df.where("doc_id >= 20 and doc_id < 40"))
+    one.compact()
+    one.vacuum()
+    two._add(files)
+    ids = lambda d: sorted(r["doc_id"] for r in d.collect())
+    assert ids(two.read()) == list(range(60))
+    assert ids(two.read(1)) == list(range(20)) and ids(two.read(2)) == list(range(40))  # older versions stay
+    sources = one._entries(2)
+    merged = two._write(two._read(sources))
+    assert one.compact() == one.version() and two._add(merged, sources) is None  # its sources are merged already
+    assert ids(two.read()) == list(range(60))
+    time.sleep(1.1)
+    one.vacuum(keep=1, older_s=1)
+    assert ids(one.read()) == list(range(60))
+    left = [p for p in (tmp_path / "w" / "data").rglob("*.parquet")]
+    assert len(left) == len(one.manifest().collect())
+
+
+def test_tiers_like_a_plain_reading(spark, tmp_path):
+    """The shards' layout after each arrival is what the rules give on a list of sizes."""
+    store = ShardStore(spark, str(tmp_path / "t"), spark.createDataFrame([], "x long").schema, target_bytes=40_000, fan=3, least_bytes=1000)
+    rng = random.Random(1)
+    for n in [50, 400, 60, 70, 3000, 80, 90, 100, 500, 6000, 450]:
+        store.append(spark.createDataFrame([(rng.getrandbits(60),) for _ in range(n)], "x long").coalesce(1))
+        before = store._entries(store.version())
+        store.compact()
+        after = store._entries(store.version())
+        assert sum(e["n_rows"] for e in after) == sum(e["n_rows"] for e in before)
+        for e in after:
+            assert e["tier"] == next(t for t in range(20) if e["n_bytes"] <= 1000 * 3**t)
+        small = Counter(e["tier"] for e in after if 2 * e["n_bytes"] < 40_000)
+        assert all(c < 3 for c in small.values()), small
+        was = Counter(e["tier"] for e in before if 2 * e["n_bytes"] < 40_000)
+        if all(c < 3 for c in was.values()):
+            assert after == before  # nothing to merge: nothing is rewritten
+
+
 def test_placed(spark, tmp_path):
     df = spark.createDataFrame([(i, "t") for i in range(100)], "doc_id long, text string").repartition(5)
     got = store_by_arrivals(df, str(tmp_path / "p"), [(0, 8)], 8, 1 << 20).placed()
@@ -304,3 +347,100 @@ def test_no_language_is_left_out_silently(spark, monkeypatch):
         language_id.identify(df, F.lit(True))
     three = language_id.identify(df.where("lang <> 'z'"), F.lit(True)).select("lang_pred").distinct().collect()
     assert {r["lang_pred"] for r in three} == {"w", "x", "y"}
+
+
+def test_language_of_ties_numbers_long_and_repeated_texts(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, lang := list(SYLLABLES)[i % 3], 30), lang) for i in range(120)]
+    long_ = prose(rng, "de", 60_000)
+    rows += [(500, "½ ² ① Ⅷ ١", None), (501, long_, None), (501, long_, None), (502, "ß", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {}
+    for r in language_id.identify(df, F.col("doc_id") < 500).collect():
+        got.setdefault(r["doc_id"], []).append((r["lang_pred"], r["score"]))
+    assert got[500] == [("und", 0.0)] and len(got[501]) == 2 and got[501][0] == got[501][1] and got[501][0][0] == "de"
+    assert got[502][0][0] in SYLLABLES
+    same = spark.createDataFrame([(i, "same text", "ba"[i % 2]) for i in range(20)], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.identify(same, F.lit(True)).collect()} == {"a"}  # the one that sorts first
+
+
+def test_language_like_a_plain_kernel_machine():
+    """The same predictions from sets, a kernel computed pair by pair and a plain ridge regression."""
+    rng = random.Random(7)
+    rows = [(prose(rng, lang := list(SYLLABLES)[i % 3], 12), lang) for i in range(60)]
+    model = language_id.fit_texts(rows, landmarks=8)
+    langs = sorted(SYLLABLES)
+    marks = [set(language_id.grams(t).tolist()) for a in langs for t in [t for t, x in rows if x == a][:8]]
+    held = Counter(g for m in marks for g in m)
+    known = {g for g, n in held.items() if n >= language_id.LEAST}
+
+    def kernel(a, b):
+        a, b = a & known, b & known
+        return len(a & b) / math.sqrt(max(len(a), 1) * max(len(b), 1))
+
+    k = np.array([[kernel(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(k)
+    good = value > 1e-6 * value.max()
+    root = vector[:, good] / np.sqrt(value[good])
+    phi = np.array([[kernel(set(language_id.grams(t).tolist()), m) for m in marks] for t, _ in rows]) @ root
+    y = np.array([[1.0 if x == a else -1.0 for a in langs] for _, x in rows])
+    w = np.full(len(rows), 1 / 20)
+    mean, middle = np.average(phi, 0, w), np.average(y, 0, w)
+    a = (phi - mean) * np.sqrt(w)[:, None]
+    own = np.linalg.solve(a.T @ a + language_id.RIDGE * np.eye(a.shape[1]), a.T @ ((y - middle) * np.sqrt(w)[:, None]))
+    texts = [prose(rng, list(SYLLABLES)[i % 3], 9) for i in range(30)]
+    new = np.array([[kernel(set(language_id.grams(t).tolist()), m) for m in marks] for t in texts]) @ root
+    scores = (new - mean) @ own + middle
+    got, _ = language_id.predict_texts(model, language_id.Places(model.codes), texts)
+    assert got == [langs[i] for i in scores.argmax(1)]
+
+
+def test_toxicity_of_ties_long_and_repeated_texts(spark):
+    model = toxicity.Model({"vilor": 2.0, "calm": -1.0}, lam=0.8, k=0.05, slope=2.0, base=-4.0, drift=0.1)
+    long_ = "calm day " * 60_000 + "vilor vilor vilor " + "calm day " * 60_000
+    rows = [(1, long_), (1, long_), (2, "vilor x vilor"), (3, "vilor " * 30_000), (4, None)]
+    got = {}
+    for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert len(got[1]) == 2 and got[1][0] == got[1][1] and got[1][0]["n_tokens"] == 240_003
+    assert [(s["start"], s["end"]) for s in got[1][0]["segments"]] in ([(120_000, 120_003)], []) and got[3][0]["score"] > 0.9
+    two = toxicity.segments(np.array([1.0, -3.0, 1.0, -3.0, 1.0]))
+    assert two == [(0, 1, 1.0), (2, 3, 1.0), (4, 5, 1.0)]  # equal ones each count
+
+
+def test_toxicity_like_a_plain_reading(spark):
+    """Scores from the fitted model by quadratic search of segments, expected counts and the logistic map."""
+    rng = random.Random(9)
+    model = toxicity.Model({"bad": 1.5, "worse": 2.5, "good": -1.0, "bad*": 0.7}, lam=0.9, k=0.2, slope=1.7, base=-3.0, drift=0.1)
+    words = ["bad", "worse", "good", "x", "y", "BAD", "badly", "badder"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 14))) for _ in range(80)]
+    model.scores["badl*"] = 0.4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(df, model).collect():
+        s = []
+        for w in texts[r["doc_id"]].lower().split():
+            s.append(next((model.scores[k] for k in (w, *(f"{w[:n]}*" for n in (6, 5, 4) if len(w) >= n)) if k in model.scores), 0.0) - 0.1)
+
+        def parts(a, z):
+            tries = [(-round(sum(s[i:j]), 9), j - i, i, j) for i in range(a, z) for j in range(i + 1, z + 1)]
+            if not tries or -min(tries)[0] <= 0:
+                return []
+            x, _, i, j = min(tries)
+            return [*parts(a, i), -x, *parts(j, z)]
+
+        x = sum(max(0.0, -math.log(model.k * max(len(s), 1) * math.exp(-model.lam * v))) for v in parts(0, len(s)))
+        assert abs(r["score"] - 1 / (1 + math.exp(-(model.slope * math.log1p(x) + model.base)))) < 1e-6, texts[r["doc_id"]]
+
+
+def test_nearest_of_a_repeated_id(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(80)]
+    rows += [(7, [9.0] * 8), (7, [-9.0] * 8), (7, rows[7][1]), (20, rows[20][1]), (33, rows[33][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    first = {i: min(v for j, v in rows if j == i) for i, _ in rows}
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), 5, lists=3, probes=3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in (0, 20, 40, 60):
+        true = sorted((-sum(a * b for a, b in zip(first[q], v)), i) for i, v in first.items() if i != q)[:5]
+        assert [i for _, i in sorted(got[q])] == [i for _, i in true]

@@ -84,3 +84,34 @@ def test_crowded_short_texts_like_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df, 2, 80).collect()}
     assert got == brute(rows, 2, 80)
+
+
+def test_buckets_larger_than_a_block_like_brute_force(spark, monkeypatch):
+    """Blocks of 16 rows: hot buckets are salted, their rows cut into blocks of the main component and
+    of others, hubs of the components joined without a shuffle of their rows."""
+    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    rng = random.Random(21)
+    shared = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(260):
+        w = list(shared)
+        for _ in range(rng.choice([1, 1, 2, 6, 7])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df, 2, 80).collect()}
+    assert got == brute(rows, 2, 80)
+
+
+def test_components_of_stars_and_chains(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK", 8)
+    edges = [(1, i) for i in range(2, 60)] + [(i, i + 1) for i in range(100, 140)] + [(59, 100)] + [(200, 201), (202, 201), (200, 201)]
+    got = {r["node"]: r["label"] for r in near_dups.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 1 for i in [*range(1, 60), *range(100, 141)]} | {i: 200 for i in (200, 201, 202)}
+
+
+def test_one_id_with_two_texts(spark):
+    rows = [(5, "a b c d e"), (5, "k l m n o"), (1, "a b c d e"), (3, "k l m n o"), (9, "k l m n o"), (7, "q r s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df, 2).collect())
+    assert got == [(1, 1, True), (3, 1, False), (5, 1, False), (5, 1, False), (7, 7, True), (9, 1, False)]

@@ -64,3 +64,26 @@ def test_stages(spark, tmp_path):
         ids = enc.encode_ordinary(kept["pseudonyms"][i]["text"] or "")
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
     assert set(kept["tokens"]) == second - {500}
+
+
+def test_odd_tables(spark, tmp_path):
+    """Columns that clash with the operators' own, repeated rows, nulls, a very long text; then no rows."""
+    names = ["n", "sig", "keys", "score", "predicted", "raw", "ids", "n_hit", "kept", "label", "rep", "hash", "row"]
+    long_ = "calm words of a long text " * 20_000
+    rows = [(1, "one two three four five six", "en"), (1, "one two three four five six", "en"), (None, "without an id at all", None), (2, long_, "en"), (3, None, "en"), (4, "", None), (5, "one two three four five six", "en")]
+    for at, docs in (("some", rows), ("none", [])):
+        d = str(tmp_path / at)
+        df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+        for c in names:
+            df = df.selectExpr("*", f"'z' AS {c}")
+        df.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        now = spark.read.parquet(f"{d}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, d)
+            assert name == "tokens" or out.columns == df.columns
+            out.write.parquet(f"{d}/{name}")
+            now = spark.read.parquet(f"{d}/{name}")
+        got = sorted((r["doc_id"] or 0) for r in now.collect())
+        assert got == ([0, 1, 1, 2, 3, 4] if docs else []), got

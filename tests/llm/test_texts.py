@@ -159,3 +159,118 @@ def test_feistel_is_a_permutation():
     for n in (1, 2, 7, 100, 257):
         f = Feistel(b"k", "x", n)
         assert sorted(map(f, range(n))) == list(range(n)) and all(f(f(i), True) == i for i in range(n))
+
+
+def test_dates_come_back_in_every_order():
+    """A property: what is written in one order is read in it again, so reveal takes it back."""
+    from datetime import date, timedelta
+
+    from tracewell.llm.pseudonyms import Vault
+
+    there, back = Vault(b"k"), Vault(b"k", True)
+    for n in range(0, 73_000, 37):
+        d = date(1900, 1, 1) + timedelta(n)
+        for form in ("%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y"):
+            t = f"on {d.strftime(form)} it"
+            new, found = there.rewrite(t)
+            assert len(found) == 1 and back.rewrite(new)[0] == t, t
+
+
+def test_random_values_of_all_kinds_come_back():
+    from tracewell.llm.pseudonyms import Vault
+
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    hex_ = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+    def card_number():
+        body = rng.choice("3456") + digits(14)
+        return body + next(c for c in "0123456789" if luhn(body + c) == 0)
+
+    makers = [
+        lambda: f"{hex_(6)}.{digits(2)}@mail.org", lambda: f"secret: {hex_(20)}", lambda: "AKIA" + "".join(rng.choice("ABCDEFXYZ0123") for _ in range(16)),
+        lambda: f"{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}", card_number,
+        lambda: f"{rng.randrange(1, 600):03d}-{rng.randrange(1, 99):02d}-{rng.randrange(1, 9999):04d}", lambda: f"+48 {digits(3)} {digits(3)} {digits(3)}",
+        lambda: f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{digits(4)}",
+    ]
+    there, back = Vault(b"k"), Vault(b"k", True)
+    for i in range(1600):
+        t = f"it is {makers[i % len(makers)]()} here"
+        new, found = there.rewrite(t)
+        assert len(found) == 1 and back.rewrite(new)[0] == t, (t, new)
+
+
+def test_pseudonyms_of_long_and_repeated_texts(spark):
+    long_ = "nothing here, " * 80_000 + "mail bob.smith@mail.com now " + "more of it " * 50_000
+    rows = [(1, long_), (1, long_), (2, "bob.smith@mail.com"), (2, "bob.smith@mail.com"), (3, "9" * 300_000), (4, "a@" * 50_000)]
+    got = [(r["doc_id"], r["text"]) for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"key").collect()]
+    by = {}
+    for i, t in got:
+        by.setdefault(i, set()).add(t)
+    assert len(got) == 6 and all(len(x) == 1 for x in by.values()) and by[3] == {"9" * 300_000} and by[4] == {"a@" * 50_000}
+    name = next(iter(by[2]))
+    assert name != "bob.smith@mail.com" and next(iter(by[1])) == long_.replace("bob.smith@mail.com", name)
+
+
+def test_decontamination_without_ids_and_repeated(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = [(None, f"x {item} y"), (None, "clean"), (1, f"{item}"), (1, f"{item}"), (1, "other text"), (2, "w " * 100_000 + item), (3, None)]
+    items = [(7, item), (None, item), (8, None), (7, item), (9, f"w {item}")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    seen = []
+    for limit in (10**6, 0):
+        got = decontamination.contaminated(d, b, 10, limit).collect()
+        seen.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_hit"], tuple(r["items"])) for r in got))
+    assert seen[0] == seen[1]
+    assert seen[0] == sorted([(True, 0, 13, 11, ("7", "9")), (True, 0, 1, 0, ()), (False, 1, 11, 11, ("7", "9")), (False, 1, 11, 11, ("7", "9")), (False, 1, 2, 0, ()), (False, 2, 100_011, 12, ("7", "9")), (False, 3, 0, 0, ())])
+
+
+def test_byte_pairs_of_very_long_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    long_ = [" ".join("".join(rng.choice("thionegr,.1é") for _ in range(rng.randint(1, 9))) for _ in range(60_000)), "".join(rng.choice("abcé") for _ in range(20_000)), "\n \t" * 30_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(long_)] * 2, "doc_id long, text string")
+    rows = byte_pairs.round_trip(df, path, public_tokenizers.PATTERN).collect()
+    assert len(rows) == 6
+    for r in rows:
+        assert r["ids"] == enc.encode_ordinary(long_[r["doc_id"]]) and bytes(r["decoded"]).decode() == long_[r["doc_id"]]
+
+
+def plain_count(text, pieces, penalty=10.0):
+    """The definition, read plainly: best total score, of equal ones that found first from the left."""
+    text, own = "▁" + text.replace(" ", "▁"), dict(pieces)
+    unknown = min(own.values()) - penalty
+    best = [(0.0, 0)] + [None] * len(text)
+    for i in range(len(text)):
+        tries = [(j, own[text[i:j]], 1) for j in range(i + 1, min(len(text), i + 20) + 1) if text[i:j] in own]
+        if text[i] not in own:
+            tries.append((i + 1, unknown, len(text[i].encode())))
+        for j, s, n in tries:
+            if best[j] is None or best[i][0] + s > best[j][0]:
+                best[j] = (best[i][0] + s, best[i][1] + n)
+    return best[-1][1]
+
+
+def test_piece_counts_where_special_pieces_are_written_out(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(4)
+    words = ["<s>", "</s>", "<unk>", "<0x41>", "the", "cat", "日本", "aaaa", "\u2028", "▁▁", "ab<s>c", "  "]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
+    pieces = read_pieces(path)[0]
+    got = piece_counts(df, path).collect()
+    assert len(got) == 151 and all(r["n_tokens"] == plain_count(texts[r["doc_id"]], pieces) for r in got)
+    assert piece_counts(df.limit(0), path).count() == 0
+
+
+def test_piece_counts_of_ties():
+    from tracewell.llm.piece_counts import Counter
+
+    pieces = [("▁", -1.0), ("a", -1.0), ("aa", -2.0), ("aaa", -3.0), ("b", -2.0), ("ab", -3.0), ("▁a", -2.0)]
+    c, rng = Counter(pieces, True), random.Random(2)
+    for _ in range(400):
+        t = "".join(rng.choice("aab ") for _ in range(rng.randint(1, 12)))
+        assert c.total(t) == plain_count(t, pieces), t

@@ -2,7 +2,8 @@
 
 The blended spectrum of a text is the set of its character n-grams of 1 to 3 (lower-cased, white
 space as one space). The kernel of two texts is the share of n-grams present in both, normalised:
-|A and B| / sqrt(|A| |B|). ``LANDMARKS`` training texts of each language stand for all others:
+|A and B| / sqrt(|A| |B|), over the n-grams that at least ``LEAST`` landmarks hold (A and B are the
+texts' sets among these: what no landmark knows tells nothing of a language). ``LANDMARKS`` training texts of each language stand for all others:
 with K their own kernel matrix, a text's features are its kernel values against them times
 K^(-1/2). One ridge regression a language against the rest is fitted on these features, classes
 weighted alike.
@@ -16,8 +17,9 @@ languages are those of the training rows; more than ``LANGUAGES`` of them are an
 out.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; rows without a
-language are not learned from; without any training row all is ``und``. Ties go to the language
-that sorts first. Repeated rows get equal results. Texts are read whole.
+language are not learned from; without any training row all is ``und``. Ties (scores
+that agree to four places) go to the language that sorts first. Repeated rows get equal results. Texts are read whole, whatever their length. A
+letter is what Unicode calls one (category L): fractions, circled and Roman numbers are none.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ LANDMARKS, TRAIN, LANGUAGES = 48, 400, 200
 #: n-grams that occur in fewer landmarks than this tell little and are left out.
 LEAST = 2
 RIDGE, SHARP = 1e-2, 8.0
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # as the fit asks of its rows
 _SPACE = re.compile(r"\s+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,7 +139,7 @@ def predict_texts(m: Model, places: Places, texts: list[str]) -> tuple[list[str]
     s = (kernel @ m.weights + m.base).astype(np.float64) * SHARP
     p = np.exp(s - s.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
-    top = p.argmax(1)
+    top = np.round(s, 4).argmax(1)
     return [m.langs[i] for i in top], p[np.arange(len(top)), top]
 
 

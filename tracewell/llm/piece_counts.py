@@ -15,6 +15,9 @@ for). The rules are the tokenizer's:
 No piece goes on past a U+2581 that follows another character, so texts are cut before each; the
 best cut of the whole is that of the parts, and parts seen before are looked up (a bounded memory).
 
+Only the model's ordinary pieces are matched: its control and byte pieces (``<s>``, ``<0x41>``), where
+they are written out in a text, are ordinary text, as the tokenizer itself has it.
+
 Defined results: null counts as empty; empty texts have no pieces; repeated rows count alike; texts
 are counted whole, in time in proportion to their length.
 """

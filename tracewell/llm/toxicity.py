@@ -1,7 +1,7 @@
 """Operator 1: toxic passages by maximum-scoring segment search.
 
 1. Token log-odds: on a bounded, balanced sample of labelled rows, documents of either class that
-   hold a token are counted, and each class gets an informative Dirichlet prior (``PRIOR`` pseudo-
+   hold a token are counted (all tokens that the sample shows three times take part), and each class gets an informative Dirichlet prior (``PRIOR`` pseudo-
    documents spread as the token is in the whole sample). A log-odds counts only as far as its
    lower confidence bound goes (``Z`` standard deviations of the posterior). Tokens are words and,
    for words that the sample does not hold, their beginnings of 6, 5 or 4 characters.
@@ -15,7 +15,9 @@
 
 Defined results: null and empty texts have no segments and get the score of no evidence; a
 document without labels takes part in no fit; several labels of one document count as toxic if one
-does; without a toxic and a clean label, every score is 0. A repeated row is scored like the first.
+does; without a toxic and a clean label, every score is that of no evidence, below 1e-17. A repeated
+row is scored like the first. Whole texts are scanned, in time in proportion to their length; of
+segments of equal score each counts.
 """
 
 from __future__ import annotations
@@ -32,8 +34,6 @@ from .common import remainder, ship, slices, stash, texts
 
 #: Labelled documents of each class that the classifier is fitted on, at most (on average).
 SAMPLE = 10_000
-#: Tokens of the lexicon, at most; those whose log-odds are surest stay.
-LEXICON = 200_000
 PRIOR, Z, DRIFT, LOWEST = 50.0, 2.0, 0.1, -2.0
 STARTS = (6, 5, 4)
 MEMO = 100_000
@@ -140,8 +140,7 @@ def _log_odds(rows: DataFrame) -> dict[str, float]:
     a0, a1 = F.col("y0") + prior, F.col("y1") + prior
     odds = F.log(a1 / (n1 + PRIOR - F.col("y1"))) - F.log(a0 / (n0 + PRIOR - F.col("y0")))
     sure = F.abs(odds) - Z * F.sqrt(1 / a0 + 1 / a1)
-    best = seen.select("token", odds.alias("odds"), sure.alias("sure")).where("sure > 0").orderBy(F.desc("sure"), "token").limit(LEXICON)
-    t = best.toArrow()
+    t = seen.select("token", odds.alias("odds"), sure.alias("sure")).where("sure > 0").toArrow()  # tokens of the bounded sample
     sure_, odds_ = np.array(t.column("sure")), np.array(t.column("odds"))
     return dict(zip(t.column("token").to_pylist(), np.maximum(np.sign(odds_) * sure_, LOWEST).tolist()))
 
