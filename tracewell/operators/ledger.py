@@ -15,7 +15,6 @@ FIAT = ["PLN", "USD", "EUR", "GBP", "CHF"]
 PRIVACY = ["XMR", "ZEC", "DASH", "SCRT", "BEAM", "GRIN", "FIRO", "ARRR", "OXEN"]
 MEME = ["PEPE", "DOGE", "SHIB", "BONK", "FLOKI", "BABYDOGE", "ELON", "WOJAK", "TURBO", "MEME", "WIF", "BOME", "SLERF", "BRETT"]
 KNOWN = ["BTC", "ETH", "USDT", "USDC", "XMR", *FIAT]
-THRESHOLDS = [1000, 5000, 10_000, 15_000, 50_000]
 OWNER = "from_address"
 
 
@@ -140,42 +139,6 @@ def overall_risk(tx: DataFrame) -> DataFrame:
     return mean.join(points, "owner", "left").select("owner", F.round(F.least(F.lit(100.0), F.col("mean") * 0.3 + F.coalesce("points", F.lit(0))), 4).alias("risk"), F.coalesce("points", F.lit(0)).cast("long").alias("points"))
 
 
-def behaviour(tx: DataFrame) -> DataFrame:
-    """Rates, span, active days, large amounts, rapid pairs and holding time of each owner."""
-    w = Window.partitionBy(OWNER).orderBy("ts_s", "transfer_id")
-    later = Window.partitionBy(OWNER, "token").orderBy("ts_s", "transfer_id").rowsBetween(1, Window.unboundedFollowing)
-    next_sell = F.first(F.when(F.col("tx_type") == "sell", F.col("ts_s")), ignorenulls=True).over(later)
-    s = tx.withColumn("gap", F.col("ts_s") - F.lag("ts_s").over(w)).withColumn("held", F.when(F.col("tx_type") == "buy", next_sell - F.col("ts_s"))).withColumn("day", day())
-    return s.groupBy(F.col(OWNER).alias("owner")).agg(
-        F.count("*").alias("n"), (F.max("ts_s") - F.min("ts_s")).alias("span_s"), F.countDistinct("day").alias("active_days"), F.count_if(F.col("amount") > 400_000).alias("large"),
-        F.count_if(F.col("gap") < 300).alias("rapid_pairs"), F.median("gap").alias("median_gap"), (F.sum("held") / F.count("held")).alias("mean_held_s"), F.countDistinct("token").alias("tokens"),
-        F.countDistinct("to_address").alias("counterparties"), F.count_if(F.col("tx_type") == "buy").alias("buys"), F.count_if(F.col("tx_type") == "sell").alias("sells"),
-        F.count_if(F.col("token").isin(PRIVACY)).alias("privacy"), F.count_if(F.col("token").isin(MEME)).alias("meme"), total().alias("volume"), F.count_if(F.hour(F.timestamp_seconds("ts_s")) < 6).alias("night"),
-    )
-
-
-#: Ten profiles: conditions on the behaviour columns and their points.
-PROFILES: dict[str, list[tuple[str, int]]] = {
-    "hodler": [("mean_held_s > 2592000", 40), ("sells * 2 < buys", 30), ("n < 100", 10)],
-    "day_trader": [("active_days > 100", 30), ("rapid_pairs > 0", 20), ("buys + sells > n / 3", 20)],
-    "bot": [("rapid_pairs > n / 10", 40), ("night * 4 > n", 30), ("n > 300", 10)],
-    "whale": [("large > 10", 40), ("volume > 50000000", 40)],
-    "mixer_user": [("privacy * 8 > n", 50), ("counterparties > 15", 20)],
-    "meme_speculator": [("meme * 8 > n", 50), ("tokens > 4", 10)],
-    "accumulator": [("buys > sells", 40), ("tokens <= 3", 20)],
-    "distributor": [("sells > buys", 40), ("counterparties > 10", 20)],
-    "dormant": [("median_gap > 86400", 40), ("active_days < 60", 30)],
-    "diversified": [("tokens >= 5", 40), ("counterparties >= 20", 20)],
-}
-
-
-def profiles(b: DataFrame) -> DataFrame:
-    """All ten scores of each owner, ranked (ties by name)."""
-    scored = b.select("owner", *(sum((F.when(F.expr(c), p).otherwise(0) for c, p in rules), F.lit(0)).cast("int").alias(k) for k, rules in PROFILES.items()))
-    long = scored.unpivot(["owner"], list(PROFILES), "profile", "score")
-    return long.withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("score"), "profile")))
-
-
 def address_edges(tx: DataFrame, nodes: int = 200, edges: int = 500) -> DataFrame:
     """The heaviest edges between the busiest addresses, no self loops."""
     e = tx.where("from_address <> to_address").groupBy("from_address", "to_address").agg(F.count("*").alias("n"), total().alias("total"))
@@ -210,22 +173,6 @@ def token_balances(tx: DataFrame) -> DataFrame:
     return frame.join(d, ["token", "day"], "left").select("token", "day", F.sum(F.coalesce("delta", F.lit(0))).over(w).cast("double").alias("balance"))
 
 
-def velocity(tx: DataFrame, hot_s: int = 3600) -> DataFrame:
-    """Hours from each deposit to the next withdrawal of the token by the owner."""
-    w = Window.partitionBy(OWNER, "token").orderBy("ts_s", "transfer_id").rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("tx_type") == "withdrawal", F.col("ts_s")), ignorenulls=True).over(w)
-    d = tx.withColumn("wait", nxt - F.col("ts_s")).where("tx_type = 'deposit' and wait is not null")
-    g = d.groupBy("token").agg(F.count("*").alias("n"), (F.sum("wait") / F.count("*")).alias("mean_s"), F.min("wait").alias("fastest_s"))
-    return g.withColumn("hot", F.col("mean_s") < hot_s)
-
-
-def structuring(tx: DataFrame, least: int = 2) -> DataFrame:
-    """Days with several amounts just under a threshold."""
-    t = F.explode(F.array(*(F.lit(x) for x in THRESHOLDS)))
-    near = tx.select(F.col(OWNER).alias("owner"), day().alias("day"), "amount", t.alias("threshold")).where("amount >= threshold * 0.9 and amount < threshold")
-    return near.groupBy("owner", "day", "threshold").agg(F.count("*").alias("n"), total().alias("total")).where(F.col("n") >= least)
-
-
 def wash_trades(tx: DataFrame, seconds: int = 300) -> DataFrame:
     """Buys and sells of one market within the window, either first; all pairs of it count."""
     side = lambda k, t, i: tx.where(F.col("tx_type") == k).select("token", F.col("ts_s").alias(t), F.col("transfer_id").alias(i))

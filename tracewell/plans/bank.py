@@ -164,14 +164,14 @@ SELECT debit_id, credit_id, from_account, to_account, {D("amount")} AS amount, r
 FROM (SELECT *, row_number() OVER (PARTITION BY debit_id ORDER BY far, credit_id) AS r FROM p) WHERE r = 1""")(lambda t: B.internal_by_amount(_near_amounts(t)).withColumn("confidence", F.col("confidence").cast("double")))
 
 
-@query("a52_internal_by_account", f"""{WITH_B}, a AS (SELECT account_id, tx_id, booking_date, direction, floor(amount / 1000) AS amount, (account_id + tx_id) % 20 AS named FROM b)
+@query("a52_internal_by_account", f"""{WITH_B}, a AS (SELECT account_id, tx_id, booking_date, direction, floor(amount / 1000) AS amount, account_id + tx_id % 3 - 1 AS named FROM b)
 SELECT debit_id, credit_id, from_account, to_account, far AS days FROM (SELECT *, row_number() OVER (PARTITION BY debit_id ORDER BY far, credit_id) AS r FROM (
   SELECT d.tx_id AS debit_id, c.tx_id AS credit_id, d.account_id AS from_account, c.account_id AS to_account, abs(c.booking_date - d.booking_date) AS far
   FROM a d JOIN a c ON c.account_id = d.named AND c.account_id <> d.account_id AND abs(d.amount - c.amount) <= 0.02 AND abs(c.booking_date - d.booking_date) <= 3
   WHERE d.direction = 'DEBIT' AND c.direction = 'CREDIT')) WHERE r = 1""")
 def a52(t):
     a = _near_amounts(t).select("account_id", "tx_id", "booking_date", "direction", "amount")
-    debits = a.where("direction = 'DEBIT'").withColumn("named", (F.col("account_id") + F.col("tx_id")) % 20)
+    debits = a.where("direction = 'DEBIT'").withColumn("named", F.col("account_id") + F.col("tx_id") % 3 - 1)
     return B.internal_by_account(debits, a.where("direction = 'CREDIT'")).withColumn("days", F.col("days").cast("long"))
 
 

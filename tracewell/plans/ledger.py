@@ -75,14 +75,6 @@ query("x12_overall_risk", f"""{WITH_X}, {_RULES}, {_PEEL.format(0.7)}, {_TRIP.fo
 p AS (SELECT owner, CAST(sum(points) AS BIGINT) AS points FROM (SELECT address AS owner, 15 AS points FROM peel UNION ALL SELECT address, 20 FROM smurf UNION ALL SELECT address, 20 FROM trip UNION ALL SELECT owner, 10 FROM priv UNION ALL SELECT owner, 5 FROM meme) GROUP BY 1),
 m AS (SELECT from_address AS owner, sum(risk_score) / count(*) AS mean FROM r GROUP BY 1)
 SELECT owner, round(least(100.0, mean * 0.3 + coalesce(points, 0)), 4) AS risk, coalesce(points, 0) AS points FROM m LEFT JOIN p USING (owner)""")(lambda t: L.overall_risk(t.transfers))
-_B = f"""s AS (SELECT *, ts_s - lag(ts_s) OVER (PARTITION BY from_address ORDER BY ts_s, transfer_id) AS gap, {DAY} AS day, {TS} AS t,
-  CASE WHEN tx_type = 'buy' THEN first_value(CASE WHEN tx_type = 'sell' THEN ts_s END IGNORE NULLS) OVER (PARTITION BY from_address, token ORDER BY ts_s, transfer_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - ts_s END AS held FROM x),
-b AS (SELECT from_address AS owner, count(*) AS n, max(ts_s) - min(ts_s) AS span_s, count(DISTINCT day) AS active_days, count(*) FILTER (amount > 400000) AS large, count(*) FILTER (gap < 300) AS rapid_pairs, median(CAST(gap AS DOUBLE)) AS median_gap,
-  CAST(sum(held) AS DOUBLE) / count(held) AS mean_held_s, count(DISTINCT token) AS tokens, count(DISTINCT to_address) AS counterparties, count(*) FILTER (tx_type = 'buy') AS buys, count(*) FILTER (tx_type = 'sell') AS sells,
-  count(*) FILTER (token IN {_in(L.PRIVACY)}) AS privacy, count(*) FILTER (token IN {_in(L.MEME)}) AS meme, {S('amount')} AS volume, count(*) FILTER (hour(t) < 6) AS night FROM s GROUP BY 1)"""
-query("x13_behaviour", f"{WITH_X}, {_B} SELECT * FROM b")(lambda t: L.behaviour(t.transfers))
-query("x14_profiles", f"""{WITH_X}, {_B}, u AS ({" UNION ALL ".join(f"SELECT owner, '{k}' AS profile, CAST({' + '.join(f'CASE WHEN {c} THEN {p} ELSE 0 END' for c, p in v)} AS INT) AS score FROM b" for k, v in L.PROFILES.items())})
-SELECT *, row_number() OVER (PARTITION BY owner ORDER BY score DESC, profile) AS rank FROM u""")(lambda t: L.profiles(L.behaviour(t.transfers)))
 query("x15_address_edges", f"""{WITH_X}, e AS (SELECT from_address, to_address, count(*) AS n, {S('amount')} AS total FROM x WHERE from_address <> to_address GROUP BY 1, 2),
 t AS (SELECT node FROM (SELECT from_address AS node, n FROM e UNION ALL SELECT to_address, n FROM e) GROUP BY 1 ORDER BY sum(n) DESC, node LIMIT 200)
 SELECT * FROM e WHERE from_address IN (SELECT node FROM t) AND to_address IN (SELECT node FROM t) ORDER BY total DESC, from_address, to_address LIMIT 500""")(lambda t: L.address_edges(t.transfers))
@@ -97,31 +89,11 @@ SELECT token, day, CAST(sum(coalesce(delta, 0)) OVER (PARTITION BY token ORDER B
 for _name, _col in (("token_breakdown", "token"), ("operations", "tx_type"), ("counterparties", "to_address")):
     query(f"x20_{_name}", f"{WITH_X} SELECT {_col}, count(*) AS n, {S('amount')} AS total FROM x GROUP BY 1 ORDER BY n DESC, 1 LIMIT 15")(lambda t, c=_col: t.transfers.groupBy(c).agg(F.count("*").alias("n"), L.total().alias("total")).orderBy(F.desc("n"), c).limit(15))
 query("x20_month_volume", f"{WITH_X} SELECT strftime({DAY}, '%Y-%m') AS month, token, count(*) AS n, {S('amount')} AS total FROM x GROUP BY 1, 2")(lambda t: t.transfers.groupBy(F.date_format(L.day(), "yyyy-MM").alias("month"), "token").agg(F.count("*").alias("n"), L.total().alias("total")))
-query("x22_totals", f"""{WITH_X} SELECT from_address AS owner, count(*) AS n, {_if("token = 'PLN'")} AS fiat, {_if("tx_type = 'deposit'")} AS deposited, {_if("tx_type = 'withdrawal'")} AS withdrawn, count(DISTINCT to_address) AS counterparties FROM x GROUP BY 1""")(
-    lambda t: t.transfers.groupBy(F.col("from_address").alias("owner")).agg(F.count("*").alias("n"), L.sum_if("token = 'PLN'").alias("fiat"), L.sum_if("tx_type = 'deposit'").alias("deposited"), L.sum_if("tx_type = 'withdrawal'").alias("withdrawn"), F.countDistinct("to_address").alias("counterparties"))
-)
-query("x23_exchange_summary", f"""{WITH_X} SELECT from_address AS owner, token, {_if("tx_type = 'buy'")} AS bought, {_if("tx_type = 'sell'")} AS sold, count(*) FILTER (from_address = to_address) AS internal, count(*) FILTER (from_address <> to_address) AS external FROM x GROUP BY 1, 2""")(
-    lambda t: t.transfers.groupBy(F.col("from_address").alias("owner"), "token").agg(L.sum_if("tx_type = 'buy'").alias("bought"), L.sum_if("tx_type = 'sell'").alias("sold"), F.count_if(F.expr("from_address = to_address")).alias("internal"), F.count_if(F.expr("from_address <> to_address")).alias("external"))
-)
-query("x25_external_addresses", f"""{WITH_X} SELECT lower(to_address) AS address, tx_type, count(*) AS n, {S('amount')} AS total, count(DISTINCT from_address) AS owners FROM x WHERE tx_type IN ('deposit', 'withdrawal') GROUP BY 1, 2""")(
-    lambda t: t.transfers.where("tx_type in ('deposit', 'withdrawal')").groupBy(F.lower("to_address").alias("address"), "tx_type").agg(F.count("*").alias("n"), L.total().alias("total"), F.countDistinct("from_address").alias("owners"))
-)
-query("x28_privacy_by_action", f"{WITH_X} SELECT token, tx_type, count(*) AS n, {S('amount')} AS total FROM x WHERE token IN {_in(L.PRIVACY)} GROUP BY 1, 2")(lambda t: t.transfers.where(F.col("token").isin(L.PRIVACY)).groupBy("token", "tx_type").agg(F.count("*").alias("n"), L.total().alias("total")))
 query("x30_activity", f"{WITH_X}, d AS (SELECT *, hour({TS}) AS hour, isodow({TS}) - 1 AS weekday FROM x) SELECT from_address AS owner, hour, weekday, count(*) AS n, {S('amount')} AS total FROM d GROUP BY GROUPING SETS ((from_address, hour), (from_address, weekday))")(
     lambda t: L.activity(t.transfers).withColumn("hour", F.col("hour").cast("long")).withColumn("weekday", F.col("weekday").cast("long"))
 )
 query("x30_dormancy", f"{WITH_X}, d AS (SELECT *, lag(ts_s) OVER (PARTITION BY from_address ORDER BY ts_s, transfer_id) AS before FROM x) SELECT from_address AS owner, transfer_id, ts_s - before AS seconds FROM d WHERE ts_s - before > 259200")(lambda t: L.dormancy(t.transfers, 3))
-query("x31_conversions", f"""{WITH_X}, n AS (SELECT *, lead(token) OVER w AS next_token, lead(tx_type) OVER w AS next_type FROM x WINDOW w AS (PARTITION BY from_address ORDER BY ts_s, transfer_id)) SELECT token AS src, next_token AS dst, count(*) AS n, {S('amount')} AS total FROM n WHERE tx_type = 'sell' AND next_type = 'buy' AND token <> next_token GROUP BY 1, 2""")(
-    lambda t: (lambda w: t.transfers.withColumn("next_token", F.lead("token").over(w)).withColumn("next_type", F.lead("tx_type").over(w)).where("tx_type = 'sell' and next_type = 'buy' and token <> next_token").groupBy(F.col("token").alias("src"), F.col("next_token").alias("dst")).agg(F.count("*").alias("n"), L.total().alias("total")))(L.Window.partitionBy("from_address").orderBy("ts_s", "transfer_id"))
-)
-query("x32_structuring", f"""{WITH_X}, t(threshold) AS (VALUES {", ".join(f"({v})" for v in L.THRESHOLDS)}) SELECT from_address AS owner, {DAY} AS day, threshold, count(*) AS n, {S('amount')} AS total FROM x JOIN t ON amount >= threshold * 0.9 AND amount < threshold GROUP BY 1, 2, 3 HAVING count(*) >= 1""")(lambda t: L.structuring(t.transfers, 1))
 query("x33_wash_trades", f"""{WITH_X} SELECT a.token, a.transfer_id AS first_id, b.transfer_id AS second_id, b.ts_s - a.ts_s AS seconds FROM x a JOIN x b ON a.token = b.token AND b.ts_s - a.ts_s <= 21600 AND ((a.tx_type = 'buy' AND b.tx_type = 'sell' AND b.ts_s >= a.ts_s) OR (a.tx_type = 'sell' AND b.tx_type = 'buy' AND b.ts_s > a.ts_s))""")(lambda t: L.wash_trades(t.transfers, 21600))
 query("x33_wash_ratio", f"""{WITH_X}, g AS (SELECT from_address AS owner, token, {_if("tx_type = 'buy'")} AS bought, {_if("tx_type = 'sell'")} AS sold FROM x GROUP BY 1, 2) SELECT *, round(abs(bought - sold) / (bought + sold), 6) AS ratio FROM g WHERE bought > 0 AND sold > 0 AND abs(bought - sold) / (bought + sold) < 0.1""")(lambda t: L.wash_ratio(t.transfers))
 query("x34_fiat_ramp", f"""{WITH_X}, g AS (SELECT from_address AS owner, {_if("tx_type = 'deposit' AND token = 'PLN'")} AS fiat_in, {_if("tx_type = 'withdrawal' AND token = 'PLN'")} AS fiat_out, min(CASE WHEN tx_type = 'deposit' THEN ts_s END) AS first_in FROM x GROUP BY 1),
 w AS (SELECT owner, min(ts_s) AS first_out FROM x JOIN g ON owner = from_address WHERE tx_type = 'withdrawal' AND ts_s >= first_in GROUP BY 1) SELECT owner, fiat_in, fiat_out, first_out - first_in AS seconds FROM g LEFT JOIN w USING (owner)""")(lambda t: L.fiat_ramp(t.transfers))
-query("x36_velocity", f"""{WITH_X}, d AS (SELECT *, first_value(CASE WHEN tx_type = 'withdrawal' THEN ts_s END IGNORE NULLS) OVER (PARTITION BY from_address, token ORDER BY ts_s, transfer_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - ts_s AS wait FROM x)
-SELECT token, count(*) AS n, CAST(sum(wait) AS DOUBLE) / count(*) AS mean_s, min(wait) AS fastest_s, CAST(sum(wait) AS DOUBLE) / count(*) < 3600 AS hot FROM d WHERE tx_type = 'deposit' AND wait IS NOT NULL GROUP BY 1""")(lambda t: L.velocity(t.transfers))
-query("x37_fees", f"""{WITH_X} SELECT token, CAST(sum(CAST(amount * 0.001 AS DECIMAL(18,4))) AS DOUBLE) AS fees, count(*) AS n, token IN {_in(L.PRIVACY)} AS high_risk FROM x GROUP BY 1""")(lambda t: t.transfers.groupBy("token").agg(F.sum((F.col("amount") * F.lit("0.001").cast("decimal(4,3)")).cast("decimal(18,4)")).cast("double").alias("fees"), F.count("*").alias("n"), F.first(F.col("token").isin(L.PRIVACY)).alias("high_risk")))
-query("x39_portfolio", f"""{WITH_X} SELECT from_address AS owner, token, count(*) AS n, {_if("tx_type IN ('deposit', 'buy')")} AS inflow, {_if("tx_type IN ('withdrawal', 'sell')")} AS outflow, row_number() OVER (PARTITION BY from_address ORDER BY count(*) DESC, token) AS rank FROM x GROUP BY 1, 2""")(
-    lambda t: t.transfers.groupBy(F.col("from_address").alias("owner"), "token").agg(F.count("*").alias("n"), L.sum_if("tx_type in ('deposit', 'buy')").alias("inflow"), L.sum_if("tx_type in ('withdrawal', 'sell')").alias("outflow")).withColumn("rank", F.row_number().over(L.Window.partitionBy("owner").orderBy(F.desc("n"), "token")))
-)

@@ -153,24 +153,8 @@ query("i3_group_files", f"""{WITH_C}, g AS (SELECT subscriber, count(DISTINCT ev
 )
 
 query("x3_token_classes", f"{WITH_X} SELECT token, token IN ('BTC', 'ETH', 'USDT', 'USDC', 'XMR', 'PLN', 'USD', 'EUR', 'GBP', 'CHF') AS known, count(*) AS n FROM x GROUP BY 1")(lambda t: t.transfers.groupBy("token").agg(F.first(F.col("token").isin(L.KNOWN)).alias("known"), F.count("*").alias("n")))
-query("x19_chain_balance", f"""{WITH_X}, r AS (SELECT transfer_id, ts_s, {DAY} AS day, CAST(sum(CASE WHEN tx_type IN ('deposit', 'buy') THEN amount ELSE -amount END) OVER (PARTITION BY from_address ORDER BY ts_s, transfer_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS balance, from_address AS owner FROM x) SELECT owner, day, arg_max(balance, (ts_s, transfer_id)) AS balance FROM r GROUP BY 1, 2""")(
-    lambda t: t.transfers.withColumn("balance", F.sum(F.expr("case when tx_type in ('deposit', 'buy') then amount else -amount end")).over(Window.partitionBy("from_address").orderBy("ts_s", "transfer_id").rowsBetween(Window.unboundedPreceding, 0)).cast("double")).groupBy(F.col("from_address").alias("owner"), L.day().alias("day")).agg(F.max_by("balance", F.struct("ts_s", "transfer_id")).alias("balance"))
-)
-query("x21_phones_in_text", r"SELECT doc_id, len(regexp_extract_all(text, '\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}')) AS n_phones FROM documents")(lambda t: t("documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"), 0)).cast("long").alias("n_phones")))
-query("x24_access_log", "SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds, count(DISTINCT CAST(ts AS DATE)) AS days, count(*) FILTER (hour(ts) < 6) AS night FROM events GROUP BY 1")(
-    lambda t: t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"), F.countDistinct(F.to_date("ts")).alias("days"), F.count_if(F.hour("ts") < 6).alias("night"))
-)
-query("x38_many_countries", "SELECT user_id, CAST(ts AS DATE) AS day, count(DISTINCT event_id % 5) AS countries FROM events GROUP BY 1, 2 HAVING count(DISTINCT event_id % 5) >= 3")(
-    lambda t: t("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.countDistinct(F.col("event_id") % 5).alias("countries")).where("countries >= 3")
-)
-query("x26_pay_counterparties", f"{WITH_X} SELECT to_address AS counterparty, count(*) FILTER (tx_type = 'deposit') AS n_in, count(*) FILTER (tx_type = 'withdrawal') AS n_out, {S('amount')} AS total FROM x GROUP BY 1")(
-    lambda t: t.transfers.groupBy(F.col("to_address").alias("counterparty")).agg(F.count_if(F.col("tx_type") == "deposit").alias("n_in"), F.count_if(F.col("tx_type") == "withdrawal").alias("n_out"), L.total().alias("total"))
-)
 query("x29_orders", "SELECT o_orderpriority AS market, o_orderstatus AS state, count(*) AS n, rank FROM orders JOIN (SELECT o_orderpriority, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS rank FROM orders GROUP BY 1) USING (o_orderpriority) WHERE rank <= 15 GROUP BY 1, 2, 4")(
     lambda t: (lambda top: t("orders").join(top, "o_orderpriority").groupBy(F.col("o_orderpriority").alias("market"), F.col("o_orderstatus").alias("state"), "rank").agg(F.count("*").alias("n")))(
         t("orders").groupBy("o_orderpriority").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "o_orderpriority").limit(15).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("k"), "o_orderpriority"))).drop("k")
     )
 )
-query("x35_peer_to_peer", f"{WITH_X} SELECT from_address AS owner, to_address AS peer, count(*) AS n, {S('amount')} AS total, min(ts_s) AS first_s, max(ts_s) AS last_s FROM x WHERE tx_type = 'transfer' GROUP BY 1, 2")(
-    lambda t: t.transfers.where("tx_type = 'transfer'").groupBy(F.col("from_address").alias("owner"), F.col("to_address").alias("peer")).agg(F.count("*").alias("n"), L.total().alias("total"), F.min("ts_s").alias("first_s"), F.max("ts_s").alias("last_s"))
-)

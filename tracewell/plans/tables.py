@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BANK_TX = """SELECT o_orderkey AS tx_id, CAST(o_custkey % 20 AS BIGINT) AS account_id,
+BANK_TX = """SELECT o_orderkey AS tx_id, CAST((o_custkey - o_custkey % 64) / 64 AS BIGINT) AS account_id,
   DATE '2024-01-01' + CAST((o_orderkey * 7919) % 365 AS INT) AS booking_date,
   CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
   CASE WHEN o_orderkey % 5 = 0 THEN 'CREDIT' ELSE 'DEBIT' END AS direction,
@@ -15,21 +15,21 @@ BANK_TX = """SELECT o_orderkey AS tx_id, CAST(o_custkey % 20 AS BIGINT) AS accou
     WHEN 3 THEN 'BLIK_MERCHANT' WHEN 4 THEN 'CASH' WHEN 5 THEN 'FEE' ELSE 'OTHER' END AS channel,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'gambling' WHEN '2-HIGH' THEN 'loans'
     WHEN '3-MEDIUM' THEN 'crypto' WHEN '5-LOW' THEN 'risky' ELSE 'everyday' END AS category,
-  concat('CP', CAST((o_orderkey * 31 + o_custkey) % 97 AS STRING)) AS counterparty
+  concat('CP', CAST(CAST((o_custkey - o_custkey % 256) / 256 AS BIGINT) * 97 + (o_orderkey * 31 + o_custkey) % 97 AS STRING)) AS counterparty
 FROM {orders}"""
 
 CDR = """SELECT event_id, user_id AS subscriber, ts, value,
   CASE event_type WHEN 'click' THEN 'CALL_OUT' WHEN 'signup' THEN 'CALL_IN' WHEN 'view' THEN 'SMS_OUT'
     WHEN 'purchase' THEN 'SMS_IN' ELSE 'DATA' END AS record_type,
-  concat('+48', CAST(500000000 + (event_id * 7919) % 40 AS STRING)) AS contact,
+  concat('+48', CAST(500000000 + CAST((user_id - user_id % 50) AS BIGINT) * 4 + (event_id * 7919) % 40 AS STRING)) AS contact,
   CAST(FLOOR(value * 20) AS BIGINT) AS duration_seconds,
   CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
   concat('BTS-', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 12 AS STRING)) AS place
 FROM {events}"""
 
 TRANSFERS = """SELECT o_orderkey AS transfer_id, 1704067200 + (o_orderkey * 483059) % 31536000 AS ts_s,
-  concat('w', CAST(o_custkey % 40 AS STRING)) AS from_address,
-  concat('w', CAST((o_orderkey * 17) % 40 AS STRING)) AS to_address,
+  concat('w', CAST(CAST((o_custkey - o_custkey % 32) / 32 AS BIGINT) AS STRING)) AS from_address,
+  concat('w', CAST(CAST((o_orderkey - o_orderkey % 320) / 320 AS BIGINT) + o_orderkey % 3 AS STRING)) AS to_address,
   CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
   CASE o_orderkey % 6 WHEN 0 THEN 'BTC' WHEN 1 THEN 'ETH' WHEN 2 THEN 'PEPE' WHEN 3 THEN 'XMR'
     WHEN 4 THEN 'PLN' ELSE 'USDT' END AS token,
@@ -37,6 +37,23 @@ TRANSFERS = """SELECT o_orderkey AS transfer_id, 1704067200 + (o_orderkey * 4830
     WHEN 3 THEN 'sell' ELSE 'transfer' END AS tx_type
 FROM {orders}"""
 
+#: An exchange's records. g: the owner's number; owners differ in tokens, kinds of records, pace and amounts.
+EXCHANGE = """SELECT row_id, concat('u', CAST(g AS STRING)) AS owner, 1704067200 + (row_id * 483059) % (86400 * (10 + 70 * (g % 6))) AS ts_s,
+  CASE WHEN g % 5 = 0 THEN CASE row_id % 4 WHEN 0 THEN 'BTC' WHEN 1 THEN 'ETH' WHEN 2 THEN 'XMR' ELSE 'PLN' END ELSE concat('T', CAST(row_id % (3 + 9 * (g % 5)) AS STRING)) END AS token,
+  CAST(CASE WHEN g % 4 = 1 THEN FLOOR(price / 4000) ELSE FLOOR(price) END AS DECIMAL(18,2)) AS amount,
+  CASE WHEN g % 7 = 3 THEN CASE WHEN row_id % 5 = 0 THEN 'staking_reward' ELSE 'deposit' END ELSE
+    CASE (row_id * 7 + o_custkey) % 11 WHEN 0 THEN 'deposit' WHEN 1 THEN 'withdrawal' WHEN 2 THEN 'buy' WHEN 3 THEN 'sell' WHEN 7 THEN 'fiat_deposit' WHEN 8 THEN 'fiat_withdrawal' WHEN 9 THEN 'transfer' ELSE 'swap' END END AS tx_type,
+  CASE (row_id * 3 + g) % 4 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' WHEN 2 THEN '' END AS side,
+  CASE WHEN row_id % 9 <> 0 THEN concat('M', CAST(row_id % 13 AS STRING)) END AS market, CASE WHEN row_id % 8 <> 0 THEN concat('Q', CAST(row_id % 3 AS STRING)) END AS quote_token,
+  CAST(FLOOR(price / 7) AS DECIMAL(18,2)) AS total_value, CASE WHEN g % 3 <> 0 THEN CAST(FLOOR(price / CASE WHEN g % 2 = 0 THEN 100 ELSE 5 END) AS DECIMAL(18,2)) END AS fiat_value,
+  CASE row_id % 37 WHEN 0 THEN 'Airdrop' WHEN 1 THEN 'interest' END AS category,
+  CASE WHEN g % 6 = 5 AND row_id % 9 = 0 THEN 'Margin Order' WHEN row_id % 17 = 0 THEN 'Card Transaction' WHEN row_id % 19 = 0 THEN 'P2P' WHEN row_id % 11 = 0 THEN 'Pay' ELSE 'Ledger' END AS sheet,
+  CASE WHEN row_id % 4 = 0 THEN CAST(row_id % 23 AS DECIMAL(18,2)) END AS fee, CASE row_id % 3 WHEN 0 THEN 'BNB' WHEN 1 THEN 'BTC' END AS fee_coin,
+  CASE row_id % 6 WHEN 0 THEN 'TRX' WHEN 1 THEN 'ETH' WHEN 2 THEN 'bep20' END AS network, CASE WHEN row_id % 3 <> 1 THEN concat('c', CAST(g + row_id % 7 AS STRING)) END AS counterparty,
+  CASE WHEN row_id % 2 = 0 THEN 'IN' ELSE 'OUT' END AS direction, CASE row_id % 5 WHEN 0 THEN 'bank' WHEN 1 THEN 'cash' END AS payment_method,
+  CASE row_id % 3 WHEN 0 THEN 'FILLED' WHEN 1 THEN 'CANCELED' ELSE 'NEW' END AS status, CASE WHEN row_id % 5 <> 0 THEN concat('0xA', CAST(g + row_id % 4 AS STRING)) END AS from_address, row_id % 7 = 0 AS internal
+FROM (SELECT o_orderkey AS row_id, o_custkey, o_totalprice AS price, CAST((o_custkey - o_custkey % 32) / 32 AS BIGINT) AS g FROM {orders}) o"""
+
 TURNS = """SELECT conv_id, turn, role AS speaker, turn * 10.0 AS t0, turn * 10.0 + 4 + length(text) % 9 AS t1
 FROM {conversations}"""
 
@@ -44,6 +61,7 @@ FROM {conversations}"""
 WITH_B = f"WITH b AS ({BANK_TX.format(orders='orders')})"
 WITH_C = f"WITH c AS ({CDR.format(events='events')})"
 WITH_X = f"WITH x AS ({TRANSFERS.format(orders='orders')})"
+WITH_E = f"WITH e AS ({EXCHANGE.format(orders='orders')})"
 WITH_T = f"WITH t AS ({TURNS.format(conversations='conversations')})"
 
 
@@ -68,6 +86,10 @@ class Tables:
     def transfers(self) -> DataFrame:
         return self.spark.sql(TRANSFERS, orders=self("orders"))
 
+    @cached_property
+    def exchange(self) -> DataFrame:
+        return self.spark.sql(EXCHANGE, orders=self("orders"))
+
     @cached_property
     def turns(self) -> DataFrame:
         return self.spark.sql(TURNS, conversations=self("conversations"))
