@@ -29,21 +29,29 @@ def month(c: str = "booking_date") -> Column:
 
 
 def nearest_rank(c: str, q: float) -> Column:
-    """The value at place min(int(q n), n - 1) of the sorted ones."""
-    s = F.array_sort(F.collect_list(c))
-    return F.element_at(s, F.least(F.floor(F.size(s) * F.lit(q)).cast("int"), F.size(s) - 1) + 1)
+    """The value at place min(int(q n), n - 1) of the sorted ones, counted from above so that no list of
+    a group's values is made."""
+    return F.expr(f"-percentile_disc({round(1 - q, 12)}) within group (order by -{c})")
+
+
+def first_ids(rows: DataFrame, by: list[str], n: int, name: str = "tx_ids", column: str = "tx_id") -> DataFrame:
+    """The first n ids of each group, joined by commas; they are ranked first, so no group is gathered."""
+    r = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(column))).where(F.col("_r") <= n)
+    return r.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(column)).cast("array<string>"), ",").alias(name))
 
 
 def monthly_baseline(tx: DataFrame, key: str = KEY) -> DataFrame:
-    """Counts, sums, spread and nearest-rank 95 % of each month."""
-    amt = F.abs("amount").cast("double")
-    g = tx.withColumn("amt", amt).groupBy(key, month().alias("month"))
-    return g.agg(
+    """Counts, sums, spread and nearest-rank 95 % of each month, its rows by channel and its sums by
+    category (null is unclassified)."""
+    d = tx.withColumns({"amt": F.abs("amount").cast("double"), "month": month()})
+    out = d.groupBy(key, "month").agg(
         F.count("*").alias("tx_count"), when_sum(CREDIT).alias("total_credit"), when_sum(DEBIT).alias("total_debit"),
         F.countDistinct(F.substring(F.lower("counterparty"), 1, 50)).alias("counterparties"), (money(F.abs("amount")) / F.count("*")).alias("mean_amount"),
         F.round(F.coalesce(F.stddev_samp("amt"), F.lit(0.0)), 4).alias("std_amount"), F.round(F.median("amt"), 4).alias("median_amount"),
         nearest_rank("amt", 0.95).alias("p95_amount"),
     )
+    mapped = lambda c, value, name: d.groupBy(key, "month", F.coalesce(c, F.lit("unclassified")).alias("k")).agg(value.alias("v")).groupBy(key, "month").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(name))
+    return out.join(mapped("channel", F.count("*"), "channels"), [key, "month"]).join(mapped("category", money(F.abs("amount")), "categories"), [key, "month"])
 
 
 def large_outliers(tx: DataFrame, key: str = KEY, z: float = 2.5, high: float = 4.0) -> DataFrame:
@@ -95,12 +103,9 @@ def centroid_anomaly(feats: DataFrame, key: str = KEY, contamination: float = 0.
     stats = feats.groupBy(key).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in names), *(F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"s_{c}") for c in names))
     d = feats.join(stats, key).where(F.col("n") >= least)
     part = [F.when(F.col(f"s_{c}") > 1e-9, F.pow((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"), 2)).otherwise(0.0) for c in names]
-    d = d.select(key, "tx_id", "n", F.round(F.sqrt(sum(part[1:], part[0])), 6).alias("distance"))
-    w = Window.partitionBy(key).orderBy("distance", "tx_id")
-    cut = d.withColumn("place", F.row_number().over(w) - 1)
-    at = cut.where(F.col("place") == F.least(F.floor(F.col("n") * (1 - contamination)).cast("int"), F.col("n") - 1)).select(key, F.col("distance").alias("cut"))
-    most = d.groupBy(key).agg(F.max("distance").alias("most"))
-    return d.join(at, key).join(most, key).where("distance > cut").select(key, "tx_id", F.round("distance", 4).alias("distance"), F.round(F.col("distance") / F.col("most"), 4).alias("score"))
+    d = d.select(key, "tx_id", F.round(F.sqrt(sum(part[1:], part[0])), 6).alias("distance"))
+    at = d.groupBy(key).agg(nearest_rank("distance", 1 - contamination).alias("cut"), F.max("distance").alias("most"))
+    return d.join(at, key).where("distance > cut").select(key, "tx_id", F.round("distance", 4).alias("distance"), F.round(F.col("distance") / F.col("most"), 4).alias("score"))
 
 
 def income_table(tx: DataFrame, key: str = KEY) -> DataFrame:
@@ -174,11 +179,12 @@ def enrichment_rollup(tx: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def recurring(tx: DataFrame, key: str = KEY, least: int = 2) -> DataFrame:
-    """Groups of one normalised name."""
+    """Groups of one normalised name: sums, and its days and amounts, each once."""
     name = F.regexp_replace(F.lower("counterparty"), r"[^a-z]+", "")
     g = tx.withColumn("name", F.concat_ws("|", F.lower("counterparty"), name)).groupBy(key, "name")
-    g = g.agg(F.count("*").alias("n"), money("amount").alias("total"), (money("amount") / F.count("*")).alias("mean"), F.array_sort(F.collect_list(F.date_format("booking_date", "yyyy-MM-dd"))).alias("days"))
-    return g.where(F.col("n") >= least).withColumn("days", F.array_join("days", ","))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)).cast("array<string>"), ",")
+    g = g.agg(F.count("*").alias("n"), money("amount").alias("total"), (money("amount") / F.count("*")).alias("mean"), F.min("amount").cast("double").alias("least"), F.max("amount").cast("double").alias("most"), listed(F.date_format("booking_date", "yyyy-MM-dd")).alias("days"))
+    return g.where(F.col("n") >= least)
 
 
 def running_balance(tx: DataFrame, key: str = KEY, opening: float = 0.0) -> DataFrame:
@@ -231,6 +237,50 @@ def statement_chain(st: DataFrame, key: str = KEY) -> DataFrame:
     return nxt.select(key, "month", days.alias("days"), kind.alias("dates"), (F.abs(F.col("closing") - F.col("next_opening")) > 0.01).alias("balance_break"))
 
 
+def validate_statements(st: DataFrame, case: str = "case_id", tolerance: float = 0.01) -> DataFrame:
+    """What is wrong with the statements of a case: (case, statement_id, type, level, detail).
+
+    st: case, statement_id, account_number, bank_id, file_hash, period_from, period_to, opening, closing,
+    tx_min, tx_max, tx_count, declared. Checks: several accounts (error) or banks; a file met before
+    (error); days between periods, or periods that overlap; a closing balance that is not the next
+    opening one (error); transactions before or after the period; fewer than declared. A null on either
+    side of a comparison is no finding. Findings of a whole case bear no statement.
+    """
+    level = lambda kind: F.lit("error" if kind in ("account_mismatch", "duplicate", "balance_break") else "warning")
+
+    def finding(df: DataFrame, kind: str, detail: Column, one: Column | None = None) -> DataFrame:
+        return df.select(case, (F.lit(None).cast("string") if one is None else one.cast("string")).alias("statement_id"), F.lit(kind).alias("type"), level(kind).alias("level"), detail.cast("string").alias("detail"))
+
+    per = st.groupBy(case).agg(F.countDistinct(F.when(F.col("account_number") != "", F.col("account_number"))).alias("accounts"), F.countDistinct(F.when(F.col("bank_id") != "", F.col("bank_id"))).alias("banks"))
+    one = F.col("statement_id")
+    again = st.where("file_hash <> ''").withColumn("r", F.row_number().over(Window.partitionBy(case, "file_hash").orderBy("period_from", "statement_id"))).where("r > 1")
+    w = Window.partitionBy(case).orderBy("period_from", "statement_id")
+    nxt = st.withColumns({"next_from": F.lead("period_from").over(w), "next_opening": F.lead("opening").over(w)})
+    days = F.datediff("next_from", "period_to")
+    parts = [
+        finding(per.where("accounts > 1"), "account_mismatch", F.col("accounts")), finding(per.where("banks > 1"), "bank_mismatch", F.col("banks")), finding(again, "duplicate", F.col("file_hash"), one),
+        finding(nxt.where(days > 1), "date_gap", days - 1, one), finding(nxt.where(days < 0), "date_overlap", -days, one),
+        finding(nxt.where(F.abs(F.col("closing") - F.col("next_opening")) > tolerance), "balance_break", F.round(F.col("closing") - F.col("next_opening"), 2).cast("decimal(18,2)"), one),
+        finding(st.where("tx_min < period_from"), "tx_before_period", F.col("tx_min"), one), finding(st.where("tx_max > period_to"), "tx_after_period", F.col("tx_max"), one),
+        finding(st.where("declared > 0 and tx_count < declared"), "tx_incomplete", F.col("declared") - F.col("tx_count"), one),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def statement_history(st: DataFrame, tx: DataFrame, risky: list[str], key: str = KEY) -> DataFrame:
+    """Each statement with its rows and its risky ones."""
+    r = tx.where(F.col("category").isin(risky)).groupBy(key, month().alias("month")).agg(F.count("*").alias("risky"))
+    return st.join(r, [key, "month"], "left").select(key, "month", "n", F.coalesce("risky", F.lit(0)).cast("long").alias("risky"))
+
+
+def label_counts(labelled: DataFrame, key: str = KEY) -> DataFrame:
+    """Rows of each label, by account and (account null) in all."""
+    return labelled.groupingSets([[F.col(key), F.col("label")], [F.col("label")]], key, "label").agg(F.count("*").alias("n"))
+
+
 def internal_by_amount(tx: DataFrame, key: str = KEY, days: int = 1) -> DataFrame:
     """A debit and a credit of another account, same amount, a day apart at most. One a debit."""
     near = F.explode(F.array(*(F.date_add("booking_date", i) for i in range(-days, days + 1))))
@@ -264,9 +314,10 @@ def flow_edges(tx: DataFrame, key: str = KEY, ids: int = 20) -> DataFrame:
     """Edges of account and name, with sums, days and the first ids."""
     src = F.when(F.expr(CREDIT), F.concat(F.lit("cp:"), "counterparty")).otherwise(F.concat(F.lit("acc:"), F.col(key).cast("string")))
     dst = F.when(F.expr(CREDIT), F.concat(F.lit("acc:"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("cp:"), "counterparty"))
-    e = tx.withColumn("src", src).withColumn("dst", dst).groupBy("src", "dst", F.col("channel").alias("edge_type"))
-    first = F.array_join(F.slice(F.array_sort(F.collect_list("tx_id")), 1, ids).cast("array<string>"), ",")
-    return e.agg(F.count("*").alias("n"), money(F.abs("amount")).alias("total"), F.min("booking_date").alias("first_day"), F.max("booking_date").alias("last_day"), first.alias("tx_ids"))
+    e = tx.select(src.alias("src"), dst.alias("dst"), F.col("channel").alias("edge_type"), "amount", "booking_date", "tx_id")
+    by = ["src", "dst", "edge_type"]
+    g = e.groupBy(*by).agg(F.count("*").alias("n"), money(F.abs("amount")).alias("total"), F.min("booking_date").alias("first_day"), F.max("booking_date").alias("last_day"))
+    return g.join(first_ids(e, by, ids), by)
 
 
 #: Priority of risk categories at a node.
@@ -274,13 +325,14 @@ RISK = {"gambling": 3, "crypto": 2, "loans": 2, "risky": 1, "everyday": 0}
 
 
 def flow_nodes(tx: DataFrame, key: str = KEY) -> DataFrame:
-    """Accounts and names with their kind, count and highest risk."""
+    """Accounts and names with their kind, count, highest risk and the category it comes from."""
     level = F.create_map(*(x for k, v in RISK.items() for x in (F.lit(k), F.lit(v))))[F.col("category")]
     kind = F.when(F.col("channel") == "BLIK_P2P", "person").when(F.col("channel") == "CASH", "cash").when(F.col("channel") == "FEE", "bank").otherwise("merchant")
-    cp = tx.withColumn("level", level).withColumn("kind", kind).groupBy(F.concat(F.lit("cp:"), "counterparty").alias("node"))
-    cp = cp.agg(F.max("kind").alias("kind"), F.max("level").alias("risk"), F.count("*").alias("n"))
-    acc = tx.withColumn("level", level).groupBy(F.concat(F.lit("acc:"), F.col(key).cast("string")).alias("node")).agg(F.lit("account").alias("kind"), F.max("level").alias("risk"), F.count("*").alias("n"))
-    return cp.unionByName(acc)
+    cluster = F.max(F.struct("level", "category")).alias("m")
+    t = tx.withColumns({"level": level, "kind": kind})
+    cp = t.groupBy(F.concat(F.lit("cp:"), "counterparty").alias("node")).agg(F.max("kind").alias("kind"), F.max("level").alias("risk"), F.count("*").alias("n"), cluster)
+    acc = t.groupBy(F.concat(F.lit("acc:"), F.col(key).cast("string")).alias("node")).agg(F.lit("account").alias("kind"), F.max("level").alias("risk"), F.count("*").alias("n"), cluster)
+    return cp.unionByName(acc).withColumn("cluster", F.col("m.category")).drop("m")
 
 
 def filter_graph(nodes: DataFrame, edges: DataFrame, least_risk: int) -> DataFrame:
@@ -321,19 +373,31 @@ def latest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return top_per_key(df, key, order, 1, "rn").drop("rn")
 
 
-def risk_score(tags: DataFrame, weights: DataFrame, totals: DataFrame, key: str = KEY) -> DataFrame:
-    """Tags (key, tag, amount, tx_id) weighed by their share of the key's total; at most 100."""
-    t = tags.withColumn("tag", F.upper("tag")).groupBy(key, "tag").agg(F.count("*").alias("n"), money(F.abs("amount")).alias("amount"))
-    t = t.join(weights, "tag").join(totals.select(key, F.col("total").alias("all_")), key)
+def risk_reasons(tags: DataFrame, weights: DataFrame, totals: DataFrame, key: str = KEY, ids: int = 10) -> DataFrame:
+    """Tags (key, tag, amount, tx_id) weighed by their share of the key's total: under a tenth only in
+    part; with the first ids as evidence, ranked by what they add."""
+    t0 = tags.withColumn("tag", F.upper("tag"))
+    t = t0.groupBy(key, "tag").agg(F.count("*").alias("n"), money(F.abs("amount")).alias("amount"))
+    w = weights.select(F.col("tag").alias("wtag"), "weight").where("weight > 0")
+    t = t.join(w.toDF("tag", "own"), "tag", "left").join(w.toDF("bare", "other"), F.regexp_replace("tag", "RISK[:_]", "") == F.col("bare"), "left")
+    t = t.withColumn("weight", F.coalesce("own", "other")).where("weight is not null").drop("own", "other", "bare")
+    t = t.join(totals.select(key, F.col("total").alias("all_")), key)
     pct = F.when(F.col("all_") > 0, F.col("amount") / F.col("all_") * 100).otherwise(0.0)
-    t = t.withColumn("delta", F.when(pct < 10, F.least(F.col("weight"), F.col("weight") * pct / 10)).otherwise(F.col("weight")))
-    return t.groupBy(key).agg(F.round(F.least(F.sum("delta"), F.lit(100.0)), 4).alias("score"), F.count("*").alias("reasons"))
+    t = t.withColumn("pct", pct).withColumn("delta", F.when(F.col("pct") < 10, F.least(F.col("weight"), F.col("weight") * F.col("pct") / 10)).otherwise(F.col("weight")))
+    t = t.join(first_ids(t0, [key, "tag"], ids), [key, "tag"])
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("delta"), "tag"))
+    return t.select(key, "tag", "n", "amount", "pct", "delta", "tx_ids", rank.alias("rank"))
+
+
+def risk_score(tags: DataFrame, weights: DataFrame, totals: DataFrame, key: str = KEY) -> DataFrame:
+    """The reasons' sum, at most 100."""
+    return risk_reasons(tags, weights, totals, key).groupBy(key).agg(F.round(F.least(F.sum("delta"), F.lit(100.0)), 4).alias("score"), F.count("*").alias("reasons"))
 
 
 def evidence(tags: DataFrame, key: str = KEY, n: int = 10) -> DataFrame:
     """The first ids of each tag."""
-    ids = F.array_join(F.slice(F.array_sort(F.collect_list("tx_id")), 1, n).cast("array<string>"), ",")
-    return tags.groupBy(key, "tag").agg(F.count("*").alias("n"), ids.alias("tx_ids"))
+    g = tags.groupBy(key, "tag").agg(F.count("*").alias("n"))
+    return g.join(first_ids(tags, [key, "tag"], n), [key, "tag"])
 
 
 def deduplicate(tx: DataFrame, keys: list[str], order: str = "tx_id") -> DataFrame:
@@ -341,20 +405,40 @@ def deduplicate(tx: DataFrame, keys: list[str], order: str = "tx_id") -> DataFra
     return tx.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("rn = 1").drop("rn")
 
 
-def resolve_entities(names: DataFrame, known: DataFrame, fuzzy: float = 0.8) -> DataFrame:
-    """Exact name, else containment at 0.7, else shared words at 0.8, else a new entity.
+def resolve_entities(names: DataFrame, known: DataFrame, part: float = 0.7, fuzzy: float = 0.8) -> DataFrame:
+    """Exact name, else containment with the shorter at least ``part`` of the longer, else shared words
+    at ``fuzzy`` of the longer, else a new entity. Of several the best: stage, score, entity.
 
-    Candidates come from shared words (an equi-join), never from all pairs.
+    No stage pairs all names that share a common word or piece: what contains a name contains its rarest
+    piece of three characters, and names that share enough words share one of the rarest few of each
+    (prefix filter), within a bound on their sizes.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
-    a = names.select("name", words("name").alias("wa")).distinct()
-    b = known.select(F.col("name").alias("alias"), "entity_id", words("name").alias("wb"))
-    near = a.withColumn("w", F.explode("wa")).join(b.withColumn("w", F.explode("wb")), "w").drop("w").distinct()
-    ratio = F.size(F.array_intersect("wa", "wb")) / F.greatest(F.size("wa"), F.size("wb"))
-    x, y = F.lower("name"), F.lower("alias")
-    part = F.least(F.length("name"), F.length("alias")) / F.greatest(F.length("name"), F.length("alias"))
-    stage = F.when(x == y, 1).when((x.contains(y) | y.contains(x)) & (part >= 0.7), 2).when(ratio >= fuzzy, 3)
-    score = F.when(stage == 1, 1.0).when(stage == 2, part).otherwise(ratio)
-    best = near.withColumn("stage", stage).where("stage is not null").groupBy("name").agg(F.min(F.struct("stage", (-score).alias("s"), "entity_id")).alias("b"))
-    out = a.select("name").join(best, "name", "left")
+    low = lambda c: F.lower(F.trim(c))
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda x: x != ""))
+    pieces = lambda c: F.when(F.length(c) < 3, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3)))))
+    a = names.select("name", low("name").alias("x")).where("name is not null").distinct()
+    b = known.select(low("name").alias("y"), "entity_id").where("y is not null").distinct()
+    both = a.select(F.col("x").alias("v")).union(b.select("y")).distinct()
+
+    def ranked(values: Column) -> tuple[DataFrame, DataFrame]:
+        """All pieces of each text with how many texts hold them; the texts' pieces, rarest first."""
+        e = both.select("v", F.explode(values).alias("w"))
+        f = e.join(e.groupBy("w").agg(F.count("*").alias("f")), "w")
+        return e, f.groupBy("v").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda s: s["w"]).alias("ws"))
+
+    e3, r3 = ranked(pieces(F.col("v")))
+    first = r3.select("v", F.element_at("ws", 1).alias("w"))
+    bound = lambda p, q: (F.length(p) >= F.length(q) * part) & q.contains(p) & (p != q)
+    inside = first.join(e3.toDF("big", "w"), "w").where(bound(F.col("v"), F.col("big"))).select(F.col("v").alias("small"), "big").distinct()
+    share = F.length("small") / F.length("big")
+    two = inside.select(F.col("small").alias("x"), F.col("big").alias("y"), share.alias("s")).union(inside.select(F.col("big"), F.col("small"), share)).withColumn("stage", F.lit(2))
+    _, rw = ranked(words(F.col("v")))
+    n = F.size("ws")
+    head = rw.select("v", "ws", F.explode(F.slice("ws", 1, (n - F.ceil(n * F.lit(fuzzy)) + 1).cast("int"))).alias("w"))
+    pairs = head.toDF("x", "wx", "w").join(head.toDF("y", "wy", "w"), "w").where((F.col("x") != F.col("y")) & (F.least(F.size("wx"), F.size("wy")) >= F.greatest(F.size("wx"), F.size("wy")) * fuzzy))
+    ratio = F.size(F.array_intersect("wx", "wy")) / F.greatest(F.size("wx"), F.size("wy"))
+    three = pairs.select("x", "y", ratio.alias("s")).distinct().where(F.col("s") >= fuzzy).withColumn("stage", F.lit(3))
+    one = b.select(F.col("y").alias("x"), "y", F.lit(1.0).alias("s"), F.lit(1).alias("stage"))
+    best = one.unionByName(two).unionByName(three).join(b, "y").groupBy("x").agg(F.min(F.struct("stage", (-F.col("s")).alias("s"), "entity_id")).alias("b"))
+    out = a.join(best, "x", "left")
     return out.select("name", F.col("b.entity_id").alias("entity_id"), F.when(F.col("b.stage") == 1, "exact").when(F.col("b.stage") == 2, "part").when(F.col("b.stage") == 3, "fuzzy").otherwise("new").alias("how"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rules import city_of, first_of
 from .bank import CREDIT, DEBIT, KEY, money, month, when_sum
 
 
@@ -25,7 +26,11 @@ def steps(c: Column, limits: list[tuple[float, int]], last: int) -> Column:
     return out
 
 
-#: Weights of the eight components.
+#: How transfers to a telephone and purchases are written.
+BLIK_PHONE = r"przelew\s*(?:na|z)\s*telefon|blik\s*(?:przelew|transfer|na\s*telefon|z\s*telefonu)|przelew\s*blik\s*(?:na|z)\s*tel|przelew\s*mobilny"
+BLIK_PURCHASE = r"blik\s*(?:zakup|platnosc|płatność|p[łl]atno[śs][ćc])|zakup\s*blik|transakcja\s*blik|p[łl]atno[śs][ćc]\s*blik|blik\s*(?:w\s+)?(?:sklepie|internecie|online)"
+
+#: Weights of the eight components.
 WEIGHTS = {"income_stability": 15, "balance_trend": 10, "expense_ratio": 20, "recurring_burden": 15, "risk_gambling": 15, "risk_crypto": 5, "risk_loans": 15, "risk_deficit": 5}
 
 
@@ -96,13 +101,47 @@ def trajectory(months: DataFrame, key: str = KEY) -> DataFrame:
     return g.select(key, "months", "deficit_months", F.round(1 - F.col("deficit_months") / F.col("months"), 4).alias("discipline"), F.when(F.col("z") > F.col("a") * 1.1, "worsening").when(F.col("z") < F.col("a") * 0.9, "improving").otherwise("steady").alias("risk_direction"))
 
 
-def spending(tx: DataFrame, key: str = KEY, n: int = 5) -> DataFrame:
-    """spending by kind (fuel, then BLIK, then retail), the top shops and their share."""
-    kind = F.when(F.col("channel") == "CARD", "fuel").when(F.col("channel").startswith("BLIK"), F.col("channel")).otherwise("retail")
-    g = tx.where(DEBIT).withColumn("kind", kind).groupBy(key, "kind", "counterparty").agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
-    w = Window.partitionBy(key, "kind")
-    r = g.withColumn("rank", F.row_number().over(w.orderBy(F.desc("total"), "counterparty"))).withColumn("all_", F.sum("total").over(w))
-    return r.where(F.col("rank") <= n).select(key, "kind", "counterparty", "rank", F.col("total").cast("double").alias("total"), F.round(F.col("total").cast("double") / F.col("all_").cast("double"), 4).alias("share"))
+def spending_rows(tx: DataFrame, fuel: dict[str, str], shops: dict[str, str], cities: list[str]) -> DataFrame:
+    """what each outflow was: kind fuel, else BLIK (phone_transfer, online_purchase or payment), else
+    shop, else other; with its station or shop and its city.
+
+    tx: key, tx_id, booking_date, amount, direction, title, payee, bank_category. fuel and shops: pattern
+    to name, in order; they are rule tables of the caller.
+    """
+    text = F.lower(F.concat_ws(" ", "payee", "title"))
+    name = lambda rules: first_of([(F.col("text").rlike(f"(?i){p}"), n) for p, n in rules.items()])
+    t = tx.where(DEBIT).withColumn("text", text).withColumns({"station": name(fuel), "shop": name(shops), "city": city_of(F.col("text"), cities)})
+    blik = (F.upper(F.coalesce("bank_category", F.lit(""))) == "P.BLIK") | F.col("text").contains("blik")
+    kind = F.when(F.col("text").rlike(BLIK_PHONE), "phone_transfer").when(F.col("text").rlike(BLIK_PURCHASE) | F.col("shop").isNotNull(), "online_purchase").otherwise("payment")
+    return t.withColumn("kind", F.when(F.col("station").isNotNull(), "fuel").when(blik, kind).when(F.col("shop").isNotNull(), "shop").otherwise("other")).drop("text")
+
+
+def top_shops(rows: DataFrame, key: str = KEY, n: int = 5) -> DataFrame:
+    """the shops most often bought at, in them or online, with their share of all such purchases."""
+    g = rows.where("shop is not null and kind in ('shop', 'online_purchase')").groupBy(key, "shop").agg(F.count("*").alias("n"), money(F.abs("amount")).alias("total"))
+    w = Window.partitionBy(key)
+    g = g.withColumn("share", F.round(F.col("n") / F.sum("n").over(w), 4)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "shop")))
+    return g.where(F.col("rank") <= n)
+
+
+def fuel_visits(rows: DataFrame, key: str = KEY) -> DataFrame:
+    """visits to stations by city, and whether that is the home city: where most is bought (ties by name)."""
+    home = rows.where("city is not null and kind in ('fuel', 'shop')").groupBy(key, "city").agg(F.count("*").alias("k")).groupBy(key).agg(F.min_by("city", F.struct(-F.col("k"), "city")).alias("home"))
+    g = rows.where("kind = 'fuel'").groupBy(key, "station", F.coalesce("city", F.lit("")).alias("city")).agg(F.count("*").alias("n"), money(F.abs("amount")).alias("total"))
+    return g.join(home, key, "left").select(key, "station", "city", "n", "total", F.coalesce(F.col("city") == F.col("home"), F.lit(False)).alias("at_home"), ((F.col("city") != "") & ~F.coalesce(F.col("city") == F.col("home"), F.lit(False))).alias("travel"))
+
+
+def people_paid(rows: DataFrame, key: str = KEY) -> DataFrame:
+    """persons that transfers to a telephone went to."""
+    p = rows.where("kind = 'phone_transfer' and length(trim(payee)) >= 2")
+    return p.groupBy(key, F.lower(F.trim("payee")).alias("person")).agg(F.count("*").alias("n"), money(F.abs("amount")).alias("total"), F.max("booking_date").alias("last_day"))
+
+
+def standing_orders(tx: DataFrame, key: str = KEY) -> DataFrame:
+    """standing orders by who gets them, with their categories."""
+    s = tx.where("upper(bank_category) = 'ST.ZLEC' and length(trim(payee)) >= 2")
+    g = s.groupBy(key, F.lower(F.trim("payee")).alias("recipient")).agg(F.count("*").alias("n"), money(F.abs("amount")).alias("total"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
+    return g.withColumn("mean", F.round(F.col("total") / F.col("n"), 2)).withColumn("classified", F.col("categories") != "")
 
 
 def reconcile_totals(st: DataFrame) -> DataFrame:
@@ -139,3 +178,24 @@ def category_flows(tx: DataFrame, categories: Column, key: str = KEY) -> DataFra
     """F16: in, out and count of each of a row's categories; rows without any are unclassified."""
     e = tx.select(key, "amount", "direction", F.explode_outer(categories).alias("label")).withColumn("label", F.coalesce("label", F.lit("unclassified")))
     return e.groupBy(key, "label").agg(when_sum(CREDIT).alias("inflow"), when_sum(DEBIT).alias("outflow"), F.count("*").alias("n"))
+
+
+#: Shares of all outflows above which a category is flagged: warning, then alarm.
+BUDGET_FLAGS = {"gambling": (0.01, 0.05), "loans": (0.2, 0.4), "crypto": (0.05, 0.2), "risky": (0.05, 0.15)}
+
+
+def budget_flags(flows: DataFrame, key: str = KEY, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """F16: each category's share of all that went out, and the flag that the share earns. flows: as
+    ``category_flows`` of one label a row."""
+    limits = limits or BUDGET_FLAGS
+    share = F.col("outflow") / F.sum("outflow").over(Window.partitionBy(key))
+    low = F.create_map(*(F.lit(x) for k, (a, _) in limits.items() for x in (k, a)))[F.col("label")]
+    high = F.create_map(*(F.lit(x) for k, (_, z) in limits.items() for x in (k, z)))[F.col("label")]
+    f = flows.withColumn("share", share).withColumn("flag", F.when(F.col("share") > high, "alarm").when(F.col("share") > low, "warning").otherwise("none"))
+    return f.select(key, "label", "outflow", F.round("share", 6).alias("share"), "flag")
+
+
+def recurring_totals(recurring: DataFrame, groups: DataFrame, key: str = KEY) -> DataFrame:
+    """F16: what recurs each month, by the category of the name. groups: key, counterparty, category."""
+    r = recurring.join(groups, [key, "counterparty"], "left").withColumn("category", F.coalesce("category", F.lit("unclassified")))
+    return r.groupBy(key, "category").agg(F.count("*").alias("series"), F.round(F.sum(F.col("total") / F.col("n")), 4).alias("a_month"), F.sum("total").alias("total"))

@@ -1,31 +1,135 @@
-"""Pattern rules over texts: a small rule table against any number of rows."""
+"""Pattern rules over texts: a table of analysts' rules against any number of rows.
+
+Rules are few (``MOST_RULES`` at most, counted before they are read) and rows are many. So a rule
+table becomes expressions: the patterns of one group are one alternation, compiled once in each task,
+and no row is joined with rules.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules that a broadcast may hold; they are counted first.
-MOST_RULES = 20_000
+from ..functions.text import strip_diacritics, url_domain
 
+MOST_RULES = 5_000
 
-def matches(rows: DataFrame, rules: DataFrame, text: str) -> DataFrame:
-    """Rows joined to each rule (rule_id, category, weight, pattern) whose pattern their text has.
 
-    The rule table is analysts' work; its size is checked before it goes to all tasks.
-    """
+def read(rules: DataFrame, *order: str) -> list:
+    """The rules on the driver, after their number is known to be small."""
     if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules: split them into several passes")
-    return rows.join(F.broadcast(rules), F.expr(f"{text} rlike pattern"))
+    return rules.orderBy(*order).collect()
+
+
+def either(patterns: list[str]) -> str:
+    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+
+
+def grouped(rules: list, *by: str) -> list[tuple[tuple, list[str]]]:
+    """Groups in the order in which their first rule stands, each with its patterns in order."""
+    out: dict[tuple, list[str]] = {}
+    for r in rules:
+        out.setdefault(tuple(r[b] for b in by), []).append(r["pattern"])
+    return list(out.items())
+
+
+def found(cases: list[tuple[Column, Column]]) -> Column:
+    """An array of the values whose condition holds, in order."""
+    return F.array_compact(F.array(*(F.when(c, v) for c, v in cases))) if cases else F.array().cast("array<string>")
+
 
+def first_of(cases: list[tuple[Column, str]], default: str | None = None) -> Column:
+    return reduce(lambda out, c: F.when(c[0], F.lit(c[1])).otherwise(out), reversed(cases), F.lit(default).cast("string"))
 
-def classify(rows: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
-    """A10: first rule's category, distinct tags, all rules, and the tags' weights within 0 to 100."""
-    hit = matches(rows.select(key, text), rules, text)
-    g = hit.groupBy(key).agg(
-        F.min_by("category", "rule_id").alias("category"), F.array_sort(F.collect_set("category")).alias("tags"), F.array_sort(F.collect_list("rule_id")).alias("rules"),
-        F.aggregate(F.collect_set(F.struct("category", "weight")), F.lit(0).cast("bigint"), lambda a, x: a + x["weight"]).alias("sum"),
+
+def classify(rows: DataFrame, rules: DataFrame, key: str, text: str, weights: dict[str, int], urls: str | None = None, domains: DataFrame | None = None, merchants: DataFrame | None = None, label: str | None = None) -> DataFrame:
+    """A10: (key, category, subcategory, tags, risk_score, explains).
+
+    rules: kind (category or risk), category, subcategory, pattern, priority. A group (subcategory, or
+    risk) counts once, by the first of its patterns that the lower-cased text has, with or without its
+    diacritics; the first group's category is the row's. Tags are the categories in order, RISK:x for
+    risks, and categories of the domains (domain, category, subcategory) of the row's urls. Only a row
+    without a category asks the merchants (pattern, name, category, subcategory, priority). A
+    whitelisted label takes 10 points off, a blacklisted one adds 30 and a tag. weights: points by
+    tag in capitals, with or without RISK_. The sum is kept within 0 to 100.
+    """
+    own = read(rules, "priority", "pattern")
+    t = rows.withColumn("_t", F.lower(F.coalesce(text, F.lit("")))).withColumn("_a", strip_diacritics(F.col("_t")))
+    has = lambda p: F.col("_t").rlike(p) | F.col("_a").rlike(p)
+    groups = grouped([r for r in own if r["kind"] == "category"], "category", "subcategory")
+    risks = grouped([r for r in own if r["kind"] == "risk"], "category")
+    why = lambda rule, ps, what: F.concat(F.lit(f"{rule}|"), F.element_at(F.filter(F.array(*map(F.lit, ps)), lambda p: F.rlike(F.col("_t"), F.concat(F.lit("(?i)"), p)) | F.rlike(F.col("_a"), F.concat(F.lit("(?i)"), p))), 1), F.lit(f"|{what}"))
+    hits = [(f"_g{i}", has(either(ps))) for i, (_, ps) in enumerate(groups)] + [(f"_r{i}", has(either(ps))) for i, (_, ps) in enumerate(risks)]
+    t = t.withColumns(dict(hits)) if hits else t
+    cats = [(F.col(f"_g{i}"), c) for i, ((c, _), _) in enumerate(groups)]
+    subs = [(F.col(f"_g{i}"), f"{c}:{s}") for i, ((c, s), _) in enumerate(groups)]
+    tags = F.array_distinct(found([(c, F.lit(v)) for c, v in cats]))
+    risk = found([(F.col(f"_r{i}"), F.lit(f"RISK:{r[0]}")) for i, (r, _) in enumerate(risks)])
+    explains = [found([(F.col(f"_g{i}"), why(f"category:{c}:{s}", ps, c)) for i, ((c, s), ps) in enumerate(groups)]), found([(F.col(f"_r{i}"), why(f"risk:{r[0]}", ps, r[0])) for i, (r, ps) in enumerate(risks)])]
+    category, subcategory = first_of(cats), first_of(subs)
+    no = F.array().cast("array<string>")
+    if urls and domains is not None:
+        d = {r["domain"]: (r["category"], r["subcategory"]) for r in domains.limit(MOST_RULES).collect()}
+        table = lambda i: F.create_map(*(F.lit(x) for k, v in sorted(d.items()) for x in (k, v[i])))
+        host = F.transform(F.coalesce(urls, no), url_domain)
+        known = F.filter(host, lambda x: table(0)[x].isNotNull())
+        of_urls = F.transform(known, lambda x: table(0)[x])
+        tags = F.array_distinct(F.concat(tags, risk, of_urls))
+        first = F.try_element_at(known, F.lit(1))
+        category, subcategory = F.coalesce(category, table(0)[first]), F.coalesce(subcategory, F.concat_ws(":", table(0)[first], table(1)[first]))
+        subcategory = F.when(category.isNotNull(), subcategory)
+        explains.append(F.transform(known, lambda x: F.concat(F.lit("url_domain:"), x, F.lit("||"), table(0)[x], F.lit(":"), table(1)[x])))
+    else:
+        tags = F.concat(tags, risk)
+    t = t.withColumns({"category": category, "subcategory": subcategory, "tags": tags})
+    if merchants is not None:
+        m = read(merchants, "priority", "pattern")
+        pick = lambda c: first_of([(has(f"(?i){r['pattern']}"), r[c]) for r in m])
+        none = F.col("category").isNull()
+        t = t.withColumns({"_mc": F.when(none, pick("category")), "_ms": F.when(none, pick("subcategory")), "_mn": F.when(none, pick("name"))})
+        t = t.withColumns({"category": F.coalesce("category", "_mc"), "subcategory": F.coalesce("subcategory", "_ms")})
+        explains.append(F.when(F.col("_mc").isNotNull(), F.array(F.concat(F.lit("merchant_db:"), "_mc", F.lit("|"), "_mn", F.lit("|"), "_mc"))).otherwise(no))
+    points = F.lit(0)
+    if label:
+        black, white = F.col(label).eqNullSafe("blacklist"), F.col(label).eqNullSafe("whitelist")
+        t = t.withColumn("tags", F.when(black, F.concat("tags", F.array(F.lit("BLACKLISTED")))).otherwise(F.col("tags")))
+        points = F.when(white, weights.get("WHITELIST_MATCH", -10)).when(black, weights.get("BLACKLIST_MATCH", 30)).otherwise(0)
+        explains.append(F.when(white, F.array(F.lit("memory:whitelist||whitelist"))).when(black, F.array(F.lit("memory:blacklist||blacklist"))).otherwise(no))
+    of = F.create_map(*(F.lit(x) for k, v in sorted(weights.items()) for x in (k, v)))
+    worth = lambda x: F.coalesce(of[F.replace(F.upper(x), F.lit(":"), F.lit("_"))], of[F.replace(F.replace(F.upper(x), F.lit(":"), F.lit("_")), F.lit("RISK_"), F.lit(""))], F.lit(0))
+    score = points + F.aggregate("tags", F.lit(0), lambda a, x: a + worth(x))
+    return t.select(
+        key, F.coalesce("category", F.lit("unclassified")).alias("category"), F.coalesce("subcategory", F.lit("")).alias("subcategory"), F.array_join("tags", ",").alias("tags"),
+        F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int").alias("risk_score"), F.array_join(F.concat(*explains), ";").alias("explains"),
     )
-    out = rows.select(key).join(g, key, "left")
-    join = lambda c: F.coalesce(F.array_join(F.col(c).cast("array<string>"), ","), F.lit("")).alias(c)
-    return out.select(key, F.coalesce("category", F.lit("unclassified")).alias("category"), join("tags"), join("rules"), F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce("sum", F.lit(0)))).cast("bigint").alias("risk_score"))
+
+
+def all_labels(rows: DataFrame, rules: DataFrame, key: str, text: str, urls: str | None = None, domains: DataFrame | None = None) -> DataFrame:
+    """every label whose patterns fit, those of the urls' domains too, sorted; and what the row is
+    (the entity type of the first label that has one). rules: label, entity_type, pattern."""
+    own = read(rules, "label", "pattern")
+    t = rows.withColumn("_t", F.lower(F.coalesce(text, F.lit(""))))
+    groups = grouped(own, "label", "entity_type")
+    labels = found([(F.col("_t").rlike(either(ps)), F.lit(g[0])) for g, ps in groups])
+    kind = first_of([(F.col("_t").rlike(either(ps)), g[1]) for g, ps in groups if g[1]], "none")
+    if urls and domains is not None:
+        d = F.create_map(*(F.lit(x) for r in domains.limit(MOST_RULES).collect() for x in (r["domain"], r["label"])))
+        labels = F.concat(labels, F.array_compact(F.transform(F.coalesce(urls, F.array().cast("array<string>")), lambda u: d[url_domain(u)])))
+    return t.select(key, F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("labels"), kind.alias("entity_type"))
+
+
+def merchant_of(rows: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
+    """The first rule whose pattern fits, by priority (lenders before all others), the longer
+    name on ties. rules: priority, name, category, pattern."""
+    m = sorted(read(rules, "priority", "name"), key=lambda r: (r["priority"], -len(r["name"]), r["name"]))
+    t = rows.withColumn("_t", F.coalesce(text, F.lit("")))
+    cases = [(F.col("_t").rlike(r["pattern"]), r) for r in m]
+    return t.select(key, first_of([(c, r["name"]) for c, r in cases]).alias("merchant"), first_of([(c, r["category"]) for c, r in cases], "none").alias("category"))
+
+
+def city_of(text: Column, cities: list[str]) -> Column:
+    """The city that a text names as a word, the longest name first."""
+    return first_of([(F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}]){c}(?![\p{{L}}\p{{N}}])"), c) for c in sorted(cities, key=lambda c: (-len(c), c))])

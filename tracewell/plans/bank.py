@@ -26,12 +26,19 @@ CR, DB = "CASE WHEN direction = 'CREDIT' THEN amount ELSE 0 END", "CASE WHEN dir
 D = "CAST({} AS DOUBLE)".format
 MONTH = "strftime(booking_date, '%Y-%m')"
 
-query("a30_monthly_baseline", f"""{WITH_B}
-SELECT account_id, {MONTH} AS month, count(*) AS tx_count, {D(f"sum({CR})")} AS total_credit, {D(f"sum({DB})")} AS total_debit,
+_LISTED = lambda c, v, name: f"{name} AS (SELECT account_id, month, string_agg(concat(k, '=', CAST(v AS VARCHAR)), ';' ORDER BY k) AS {name} FROM (SELECT account_id, {MONTH} AS month, {c} AS k, {v} AS v FROM b GROUP BY 1, 2, 3) GROUP BY 1, 2)"
+
+
+@query("a30_monthly_baseline", f"""{WITH_B}, {_LISTED("channel", "count(*)", "channels")}, {_LISTED("category", "CAST(floor(sum(amount)) AS BIGINT)", "categories")},
+g AS (SELECT account_id, {MONTH} AS month, count(*) AS tx_count, {D(f"sum({CR})")} AS total_credit, {D(f"sum({DB})")} AS total_debit,
   count(DISTINCT lower(counterparty)) AS counterparties, CAST(sum(amount) AS DOUBLE) / count(*) AS mean_amount,
   round(coalesce(stddev_samp(CAST(amount AS DOUBLE)), 0), 4) AS std_amount, round(median(CAST(amount AS DOUBLE)), 4) AS median_amount,
-  list_sort(list(CAST(amount AS DOUBLE)))[least(CAST(floor(count(*) * 0.95) AS BIGINT), count(*) - 1) + 1] AS p95_amount
-FROM b GROUP BY 1, 2""")(lambda t: B.monthly_baseline(t.bank))
+  list_sort(list(CAST(amount AS DOUBLE)))[least(CAST(floor(count(*) * 0.95) AS BIGINT), count(*) - 1) + 1] AS p95_amount FROM b GROUP BY 1, 2)
+SELECT * FROM g JOIN channels USING (account_id, month) JOIN categories USING (account_id, month)""")
+def a30(t):
+    text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), F.floor(e["value"]).cast("string"))), ";")
+    return B.monthly_baseline(t.bank).withColumns({"channels": text("channels"), "categories": text("categories")})
+
 
 query("a31_large_outliers", f"""{WITH_B}, s AS (SELECT account_id, avg(CAST(amount AS DOUBLE)) AS m, stddev_samp(CAST(amount AS DOUBLE)) AS s FROM b GROUP BY 1)
 SELECT account_id, tx_id, {D("amount")} AS amount, round((amount - m) / s, 4) AS zscore, CASE WHEN (amount - m) / s > 4 THEN 'high' ELSE 'medium' END AS severity
@@ -106,13 +113,6 @@ a AS (SELECT account_id, count(*) AS n, {D(f"sum({CR})")} AS deposited, {D(f"sum
 SELECT *, CASE WHEN mean_gap IS NULL THEN 'single' WHEN mean_gap <= 7 THEN 'weekly' WHEN mean_gap <= 14 THEN 'fortnightly' WHEN mean_gap <= 35 THEN 'monthly' ELSE 'rare' END AS frequency FROM a""")(lambda t: B.cash_pattern(t.bank))
 query("a42_p2p_balance", f"""{WITH_B} SELECT account_id, counterparty, count(*) AS n, {D(f"sum({CR})")} AS received, {D(f"sum({DB})")} AS sent, round({D(f"sum({CR})")} - {D(f"sum({DB})")}, 2) AS balance,
   CASE WHEN bool_and(direction = 'DEBIT') THEN 'all_out' WHEN bool_and(direction = 'CREDIT') THEN 'all_in' ELSE 'both' END AS kind FROM b WHERE channel = 'BLIK_P2P' GROUP BY 1, 2""")(lambda t: B.p2p_balance(t.bank))
-query("a43_geographic_share", f"""{WITH_B}, c AS (SELECT account_id, concat('city', CAST(tx_id % 9 AS VARCHAR)) AS city, count(*) AS n, {D("sum(amount)")} AS total FROM b GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY n DESC, city) AS rank, sum(n) OVER (PARTITION BY account_id) AS all_n FROM c)
-SELECT account_id, city, n, total, rank, round(n / all_n, 4) AS share, rank = 1 AS primary_city FROM r""")(
-    lambda t: (
-        lambda g: g.join(g.groupBy("account_id").agg(F.sum("n").alias("all_n")), "account_id").select("account_id", "city", "n", "total", "rank", F.round(F.col("n") / F.col("all_n"), 4).alias("share"), (F.col("rank") == 1).alias("primary_city"))
-    )(B.top_per_key(t.bank.withColumn("city", F.concat(F.lit("city"), (F.col("tx_id") % 9).cast("string"))).groupBy("account_id", "city").agg(F.count("*").alias("n"), B.money("amount").alias("total")), "account_id", [F.desc("n"), F.col("city")], 1000))
-)
 query("a44_calendar_profile", f"""{WITH_B}, d AS (SELECT *, isodow(booking_date) - 1 AS weekday, CASE WHEN day(booking_date) <= 10 THEN '1-10' WHEN day(booking_date) <= 20 THEN '11-20' ELSE '21-31' END AS third FROM b)
 SELECT account_id, weekday, third, count(*) AS n, {D("sum(amount)")} AS total FROM d GROUP BY GROUPING SETS ((account_id, weekday), (account_id, third))""")(lambda t: B.calendar_profile(t.bank).withColumn("weekday", F.col("weekday").cast("long")))
 query("a44_weekend_ratio", f"""{WITH_B}, w AS (SELECT account_id, {D("sum(CASE WHEN isodow(booking_date) >= 6 THEN amount ELSE 0 END)")} AS weekend, {D("sum(CASE WHEN isodow(booking_date) < 6 THEN amount ELSE 0 END)")} AS week FROM b GROUP BY 1)
@@ -131,7 +131,7 @@ query("a45_top_counterparties", _top("counterparty", 20))(lambda t: B.rollup_by(
 query("a69_by_counterparty", _top("counterparty", 50))(lambda t: B.rollup_by(t.bank, "counterparty", 50))
 query("a46_enrichment_rollup", f"""{WITH_B} SELECT account_id, channel, category, count(*) AS n, {D(f"sum({CR})")} AS credit, {D(f"sum({DB})")} AS debit FROM b GROUP BY GROUPING SETS ((account_id, channel), (account_id, category), (account_id))""")(lambda t: B.enrichment_rollup(t.bank))
 query("a47_recurring", f"""{WITH_B} SELECT account_id, concat_ws('|', lower(counterparty), regexp_replace(lower(counterparty), '[^a-z]+', '', 'g')) AS name, count(*) AS n, {D("sum(amount)")} AS total,
-  CAST(sum(amount) AS DOUBLE) / count(*) AS mean, array_to_string(list_sort(list(strftime(booking_date, '%Y-%m-%d'))), ',') AS days FROM b GROUP BY 1, 2 HAVING count(*) >= 2""")(lambda t: B.recurring(t.bank))
+  CAST(sum(amount) AS DOUBLE) / count(*) AS mean, {D("min(amount)")} AS least, {D("max(amount)")} AS most, array_to_string(list_sort(list(DISTINCT strftime(booking_date, '%Y-%m-%d'))), ',') AS days FROM b GROUP BY 1, 2 HAVING count(*) >= 2""")(lambda t: B.recurring(t.bank))
 
 _R = f"""{WITH_B}, r AS (SELECT *, CAST(sum(CASE WHEN direction = 'CREDIT' THEN amount ELSE -amount END) OVER (PARTITION BY account_id ORDER BY booking_date, tx_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS balance,
   booking_date - lag(booking_date) OVER (PARTITION BY account_id ORDER BY booking_date, tx_id) AS gap_days FROM b)"""
@@ -181,7 +181,7 @@ _E = f"""{WITH_B}, e AS (SELECT CASE WHEN direction = 'CREDIT' THEN concat('cp:'
   CASE WHEN direction = 'CREDIT' THEN concat('acc:', CAST(account_id AS VARCHAR)) ELSE concat('cp:', counterparty) END AS dst, channel AS edge_type, count(*) AS n, {D("sum(amount)")} AS total,
   min(booking_date) AS first_day, max(booking_date) AS last_day, array_to_string(list_sort(list(tx_id))[1:20], ',') AS tx_ids FROM b GROUP BY 1, 2, 3),
 v AS (SELECT *, CASE category WHEN 'gambling' THEN 3 WHEN 'crypto' THEN 2 WHEN 'loans' THEN 2 WHEN 'risky' THEN 1 ELSE 0 END AS level, CASE channel WHEN 'BLIK_P2P' THEN 'person' WHEN 'CASH' THEN 'cash' WHEN 'FEE' THEN 'bank' ELSE 'merchant' END AS kind FROM b),
-n AS (SELECT concat('cp:', counterparty) AS node, max(kind) AS kind, max(level) AS risk, count(*) AS n FROM v GROUP BY 1 UNION ALL SELECT concat('acc:', CAST(account_id AS VARCHAR)), 'account', max(level), count(*) FROM v GROUP BY 1)"""
+n AS (SELECT concat('cp:', counterparty) AS node, max(kind) AS kind, max(level) AS risk, count(*) AS n, arg_max(category, (level, category)) AS cluster FROM v GROUP BY 1 UNION ALL SELECT concat('acc:', CAST(account_id AS VARCHAR)), 'account', max(level), count(*), arg_max(category, (level, category)) FROM v GROUP BY 1)"""
 query("a57_flow_edges", f"{_E} SELECT * FROM e")(lambda t: B.flow_edges(t.bank))
 query("a57_flow_nodes", f"{_E} SELECT * FROM n")(lambda t: B.flow_nodes(t.bank))
 query("a59_filter_graph", f"""{_E} SELECT * FROM n WHERE node IN (SELECT unnest([src, dst]) FROM e WHERE src IN (SELECT node FROM n WHERE risk >= 3) OR dst IN (SELECT node FROM n WHERE risk >= 3))""")(lambda t: B.filter_graph(B.flow_nodes(t.bank), B.flow_edges(t.bank), 3))
@@ -196,13 +196,8 @@ def _labels(t):
 
 _L = "l AS (SELECT concat('CP', CAST(c_custkey AS VARCHAR)) AS counterparty, CASE WHEN c_custkey % 2 = 0 THEN 'whitelist' ELSE 'blacklist' END AS label FROM customer WHERE c_custkey < 60)"
 query("a20_labels", f"{WITH_B}, {_L} SELECT tx_id, counterparty, coalesce(label, 'neutral') AS label FROM b LEFT JOIN l USING (counterparty)")(lambda t: B.apply_labels(t.bank, _labels(t)).select("tx_id", "counterparty", "label"))
-query("a21_label_counts", f"{WITH_B}, {_L} SELECT account_id, coalesce(label, 'neutral') AS label, count(*) AS n FROM b LEFT JOIN l USING (counterparty) GROUP BY GROUPING SETS ((account_id, coalesce(label, 'neutral')), (coalesce(label, 'neutral')))")(
-    lambda t: B.apply_labels(t.bank, _labels(t)).groupingSets([[F.col("account_id"), F.col("label")], [F.col("label")]], "account_id", "label").agg(F.count("*").alias("n"))
-)
+query("a21_label_counts", f"{WITH_B}, {_L} SELECT account_id, coalesce(label, 'neutral') AS label, count(*) AS n FROM b LEFT JOIN l USING (counterparty) GROUP BY GROUPING SETS ((account_id, coalesce(label, 'neutral')), (coalesce(label, 'neutral')))")(lambda t: B.label_counts(B.apply_labels(t.bank, _labels(t))))
 query("a63_learning_queue", f"{WITH_B}, {_L} SELECT counterparty, count(*) AS times_seen FROM b WHERE counterparty NOT IN (SELECT counterparty FROM l) GROUP BY 1")(lambda t: B.learning_queue(t.bank, _labels(t)))
-query("a62_counterparty_search", f"{WITH_B} SELECT counterparty, count(*) AS times_seen FROM b WHERE lower(counterparty) LIKE '%p1%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")(
-    lambda t: t.bank.where(F.lower("counterparty").like("%p1%")).groupBy("counterparty").agg(F.count("*").alias("times_seen")).orderBy(F.desc("times_seen"), "counterparty").limit(50)
-)
 query("a64_reconcile", f"""{WITH_B}, a AS (SELECT tx_id, booking_date, floor(amount / 1000) AS amount FROM b),
 l AS (SELECT tx_id AS left_id, booking_date, amount, row_number() OVER (PARTITION BY booking_date, amount ORDER BY tx_id) AS i FROM a WHERE tx_id % 3 <> 0),
 r AS (SELECT tx_id AS right_id, booking_date, amount, row_number() OVER (PARTITION BY booking_date, amount ORDER BY tx_id) AS i FROM a WHERE tx_id % 3 <> 1)
@@ -210,9 +205,7 @@ SELECT booking_date, {D("amount")} AS amount, left_id, right_id, CASE WHEN left_
     lambda t: (lambda a: B.reconcile(a.where("tx_id % 3 <> 0"), a.where("tx_id % 3 <> 1"), ["booking_date", "amount"]).withColumn("amount", F.col("amount").cast("double")))(_near_amounts(t).select("tx_id", "booking_date", "amount"))
 )
 query("a68_latest", f"""{WITH_B} SELECT account_id, tx_id, booking_date FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY booking_date DESC, tx_id DESC) AS r FROM b) WHERE r = 1""")(lambda t: B.latest(t.bank.select("account_id", "tx_id", "booking_date"), "account_id", [F.desc("booking_date"), F.desc("tx_id")]))
-query("a67_history", f"""{_S}, g AS (SELECT account_id, {MONTH} AS month, count(*) AS risky FROM b WHERE category IN ('gambling', 'crypto') GROUP BY 1, 2) SELECT account_id, month, n, coalesce(risky, 0) AS risky FROM s LEFT JOIN g USING (account_id, month)""")(
-    lambda t: B.statements(t.bank).join(t.bank.where("category in ('gambling', 'crypto')").groupBy("account_id", B.month().alias("month")).agg(F.count("*").alias("risky")), ["account_id", "month"], "left").select("account_id", "month", "n", F.coalesce("risky", F.lit(0)).cast("long").alias("risky"))
-)
+query("a67_history", f"""{_S}, g AS (SELECT account_id, {MONTH} AS month, count(*) AS risky FROM b WHERE category IN ('gambling', 'crypto') GROUP BY 1, 2) SELECT account_id, month, n, coalesce(risky, 0) AS risky FROM s LEFT JOIN g USING (account_id, month)""")(lambda t: B.statement_history(B.statements(t.bank), t.bank, ["gambling", "crypto"]))
 query("a4_deduplicate", f"""{WITH_B} SELECT account_id, booking_date, counterparty, min(tx_id) AS tx_id FROM b GROUP BY 1, 2, 3""")(lambda t: B.deduplicate(t.bank.select("account_id", "booking_date", "counterparty", "tx_id"), ["account_id", "booking_date", "counterparty"]))
 query("a3_tx_hash", f"""{WITH_B} SELECT tx_id, substr(sha256(concat_ws('|', strftime(booking_date, '%Y-%m-%d'), CAST(amount AS VARCHAR), counterparty, category)), 1, 16) AS tx_hash FROM b""")(
     lambda t: t.bank.select("tx_id", T.tx_hash(F.col("booking_date"), F.col("amount"), F.col("counterparty"), F.col("category")).alias("tx_hash"))
@@ -234,18 +227,6 @@ PARTS = [("metal", r"\b(steel|copper|brass|tin)\b"), ("round", r"\b(ring|bolt|ge
 query("a9_first_category", f"""SELECT p_partkey, CASE {" ".join(f"WHEN regexp_matches(p_name, '{p}') THEN '{c}'" for c, p in PARTS)} ELSE 'unclassified' END AS category FROM part""")(lambda t: t("part").select("p_partkey", T.first_match(F.col("p_name"), PARTS, "unclassified").alias("category")))
 
 
-@query("a10_rule_engine", """WITH r(rule_id, category, weight, pattern) AS (VALUES (1, 'metal', 25, 'steel|copper'), (2, 'round', 30, 'ring|bolt|gear'), (3, 'small', 10, 'small|tiny'), (4, 'round', 30, 'widget'), (5, 'colour', -10, 'red|blue')),
-h AS (SELECT p_partkey, rule_id, category, weight FROM part JOIN r ON regexp_matches(p_name, pattern)),
-g AS (SELECT p_partkey, arg_min(category, rule_id) AS category, array_to_string(list_sort(list(DISTINCT category)), ',') AS tags, array_to_string(list_sort(list(rule_id)), ',') AS rules FROM h GROUP BY 1),
-s AS (SELECT p_partkey, CAST(greatest(0, least(100, sum(weight))) AS BIGINT) AS risk_score FROM (SELECT DISTINCT p_partkey, category, weight FROM h) GROUP BY 1)
-SELECT p_partkey, coalesce(category, 'unclassified') AS category, coalesce(tags, '') AS tags, coalesce(rules, '') AS rules, coalesce(risk_score, 0) AS risk_score FROM part LEFT JOIN g USING (p_partkey) LEFT JOIN s USING (p_partkey)""")
-def a10(t):
-    from ..operators.rules import classify
-
-    rules = t.spark.createDataFrame([(1, "metal", 25, "steel|copper"), (2, "round", 30, "ring|bolt|gear"), (3, "small", 10, "small|tiny"), (4, "round", 30, "widget"), (5, "colour", -10, "red|blue")], "rule_id int, category string, weight int, pattern string")
-    return classify(t("part").select("p_partkey", "p_name"), rules, "p_partkey", "p_name")
-
-
 def _phones(t):
     return t("customer").select("c_custkey", "c_nationkey", F.concat(F.lit("49015420323751"), (F.col("c_custkey") % 10).cast("string")).alias("imei"), F.concat(F.lit("GB"), F.lpad((F.col("c_custkey") % 97).cast("string"), 2, "0"), F.lit("WEST12345698765432")).alias("iban"))
 
@@ -254,13 +235,20 @@ query("a14_account_quality", """WITH n AS (SELECT c_nationkey, CAST(concat('3214
 SELECT c_nationkey, count(*) AS n, count(*) FILTER (NOT ok) AS invalid, round(count(*) FILTER (NOT ok) / count(*), 4) AS invalid_share FROM n GROUP BY 1""")(
     lambda t: _phones(t).withColumn("ok", T.iban_valid(F.col("iban"))).groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("invalid"), F.round(F.count_if(~F.col("ok")) / F.count("*"), 4).alias("invalid_share"))
 )
-query("a18_masking", "SELECT c_custkey, substr(sha256(c_name), 1, 16) AS account_hash, concat('****', right(c_name, 4)) AS masked FROM customer")(lambda t: t("customer").select("c_custkey", F.substring(F.sha2(F.col("c_name").cast("binary"), 256), 1, 16).alias("account_hash"), F.concat(F.lit("****"), F.right("c_name", F.lit(4))).alias("masked")))
-query("a19_anonymous_label", "SELECT c_custkey, concat(c_mktsegment, '-', CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS VARCHAR)) AS label FROM customer")(
-    lambda t: t("customer").select("c_custkey", F.concat("c_mktsegment", F.lit("-"), F.row_number().over(B.Window.partitionBy("c_mktsegment").orderBy("c_custkey")).cast("string")).alias("label"))
-)
 
 
-@query("a60_resolve_entities")
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array({0}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))"
+
+
+@query("a60_resolve_entities", f"""WITH a AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN concat(p_name, ' ltd') WHEN 1 THEN concat(p_name, '12') WHEN 2 THEN concat('the ', p_name, ' & co of ', p_brand) ELSE p_name END AS name FROM part),
+k AS (SELECT name, min(p_partkey) AS entity_id FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, ' of ', p_brand, ' co the') ELSE concat(p_name, '123') END AS name FROM part) GROUP BY 1 HAVING min(p_partkey) % 2 = 0),
+j AS (SELECT a.name, entity_id, lower(a.name) AS x, lower(k.name) AS y FROM a, k),
+s AS (SELECT *, {_WORDS.format('x')} AS wx, {_WORDS.format('y')} AS wy, least(length(x), length(y)) / greatest(length(x), length(y)) AS part FROM j),
+r AS (SELECT *, len(list_intersect(wx, wy)) / greatest(len(wx), len(wy)) AS ratio FROM s),
+t AS (SELECT *, CASE WHEN x = y THEN 1 WHEN (contains(x, y) OR contains(y, x)) AND part >= 0.7 THEN 2 WHEN ratio >= 0.8 THEN 3 END AS stage FROM r),
+b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY stage, CASE stage WHEN 1 THEN -1.0 WHEN 2 THEN -part ELSE -ratio END, entity_id) AS o FROM t WHERE stage IS NOT NULL)
+SELECT a.name, entity_id, CASE stage WHEN 1 THEN 'exact' WHEN 2 THEN 'part' WHEN 3 THEN 'fuzzy' ELSE 'new' END AS how FROM a LEFT JOIN (SELECT name, entity_id, stage FROM b WHERE o = 1) c USING (name)""")
 def a60(t):
-    known = t("part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id")).where("entity_id % 3 = 0")
-    return B.resolve_entities(t("part").select(F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " ltd").otherwise("")).alias("name")).distinct(), known)
+    known = t("part").select("p_partkey", F.expr("case p_partkey % 3 when 0 then p_name when 1 then concat(p_name, ' of ', p_brand, ' co the') else concat(p_name, '123') end").alias("name")).groupBy("name").agg(F.min("p_partkey").alias("entity_id")).where("entity_id % 2 = 0")
+    names = t("part").select(F.expr("case p_partkey % 4 when 0 then concat(p_name, ' ltd') when 1 then concat(p_name, '12') when 2 then concat('the ', p_name, ' & co of ', p_brand) else p_name end").alias("name")).distinct()
+    return B.resolve_entities(names, known)

@@ -70,9 +70,6 @@ d AS (SELECT *, CASE WHEN n >= 3 AND mean <> 0 AND abs(std / mean) > 0.5 THEN 'v
 SELECT account_id, metric, n, direction, severity, round(change, 2) AS change_pct FROM d WHERE direction <> 'stable' OR severity = 'high'""")(lambda t: H.trends(H.month_snapshots(t.bank)))
 query("f6_trajectory", f"""{_M}, g AS (SELECT account_id, count(*) AS months, count(*) FILTER (net_flow < 0) AS deficit_months, arg_min(gambling_total + crypto_total + loans_total, period) AS a, arg_max(gambling_total + crypto_total + loans_total, period) AS z FROM m GROUP BY 1)
 SELECT account_id, months, deficit_months, round(1 - deficit_months / months, 4) AS discipline, CASE WHEN z > a * 1.1 THEN 'worsening' WHEN z < a * 0.9 THEN 'improving' ELSE 'steady' END AS risk_direction FROM g""")(lambda t: H.trajectory(H.month_snapshots(t.bank)))
-query("f7_spending", f"""{WITH_B}, g AS (SELECT account_id, CASE WHEN channel = 'CARD' THEN 'fuel' WHEN channel LIKE 'BLIK%' THEN channel ELSE 'retail' END AS kind, counterparty, sum(amount) AS total FROM b WHERE direction = 'DEBIT' GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY account_id, kind ORDER BY total DESC, counterparty) AS rank, sum(total) OVER (PARTITION BY account_id, kind) AS all_ FROM g)
-SELECT account_id, kind, counterparty, rank, {D("total")} AS total, round(CAST(total AS DOUBLE) / CAST(all_ AS DOUBLE), 4) AS share FROM r WHERE rank <= 5""")(lambda t: H.spending(t.bank))
 query("f9_reconcile_totals", f"""{_S}, v AS (SELECT account_id, month, CASE WHEN n % 3 = 0 THEN credit END AS table_credit, CASE WHEN n % 2 = 0 THEN credit + 1 END AS header_credit, credit AS computed_credit, CASE WHEN n % 5 = 0 THEN debit END AS table_debit, CASE WHEN n % 2 = 1 THEN debit END AS header_debit, debit AS computed_debit FROM s)
 SELECT account_id, month, coalesce(table_credit, header_credit, computed_credit) AS credit, CASE WHEN table_credit IS NOT NULL THEN 'table' WHEN header_credit IS NOT NULL THEN 'header' ELSE 'computed' END AS credit_from,
   coalesce(table_debit, header_debit, computed_debit) AS debit, CASE WHEN table_debit IS NOT NULL THEN 'table' WHEN header_debit IS NOT NULL THEN 'header' ELSE 'computed' END AS debit_from FROM v""")(
@@ -96,6 +93,3 @@ query("f16_category_flows", f"""{WITH_B}, e AS (SELECT account_id, amount, direc
 SELECT account_id, label, {D(f"sum({CR})")} AS inflow, {D(f"sum({DB})")} AS outflow, count(*) AS n FROM e GROUP BY 1, 2""")(
     lambda t: H.category_flows(t.bank, F.when(F.col("category") == "everyday", F.array().cast("array<string>")).when(F.col("tx_id") % 2 == 0, F.array("category", "channel")).otherwise(F.array("category")))
 )
-query("f12_entity_stats", f"""{WITH_B} SELECT counterparty, count(DISTINCT account_id) AS accounts, count(*) AS n, {D("sum(amount)")} AS total, arg_max(category, (booking_date, tx_id)) AS last_category FROM b GROUP BY 1""")(
-    lambda t: t.bank.groupBy("counterparty").agg(F.countDistinct("account_id").alias("accounts"), F.count("*").alias("n"), B.money("amount").alias("total"), F.max_by("category", F.struct("booking_date", "tx_id")).alias("last_category"))
-)

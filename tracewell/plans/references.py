@@ -29,17 +29,6 @@ query("a8_channel_codes", """WITH v AS (SELECT p_partkey, CASE p_partkey % 5 WHE
 SELECT p_partkey, CASE WHEN code = 'FEE' THEN 'FEE' WHEN code = 'CRD' THEN 'CARD' WHEN swift = 'N02' THEN 'CARD' WHEN swift = 'N11' THEN 'TRANSFER' WHEN regexp_matches(title, '(?i)blik') THEN 'BLIK' WHEN regexp_matches(title, '(?i)card|kart') THEN 'CARD' WHEN regexp_matches(title, '(?i)atm|cash') THEN 'CASH' ELSE 'OTHER' END AS channel FROM v""")(
     lambda t: t("part").selectExpr("p_partkey", "case p_partkey % 5 when 0 then 'FEE' when 1 then 'CRD' else '' end as code", "case p_partkey % 3 when 0 then 'N02' when 1 then 'N11' else '' end as swift", "case p_partkey % 7 when 2 then 'Blik now' when 3 then 'my kart' when 4 then 'ATM 5' else p_name end as title").select("p_partkey", R.channel_by_codes(F.col("code"), F.col("swift"), F.col("title")).alias("channel"))
 )
-_MER = [(1, "steel lender", "lender", "steel"), (2, "bolt", "shop", "bolt"), (2, "ring store", "jewels", "ring"), (3, "red", "colour", "red")]
-
-
-@query("a12_merchants", f"""WITH r(priority, name, category, pattern) AS (VALUES {", ".join(str(m) for m in _MER)}), h AS (SELECT p_partkey, arg_min(name, (priority, -length(name), name)) AS merchant, arg_min(category, (priority, -length(name), name)) AS category FROM part JOIN r ON regexp_matches(p_name, pattern) GROUP BY 1)
-SELECT p_partkey, merchant, coalesce(category, 'none') AS category FROM part LEFT JOIN h USING (p_partkey)""")
-def a12(t):
-    return R.merchant_of(t("part"), t.spark.createDataFrame(_MER, "priority int, name string, category string, pattern string"), "p_partkey", "p_name")
-
-
-_ACC = "concat('to PL61 1090 1014 0000 0712 1981 2874 or 6110901014000007121981287', CAST(c_custkey % 10 AS STRING), ' x')"
-query("a15_accounts_in_text", "SELECT c_custkey, 'PL61109010140000071219812874' AS accounts FROM customer")(lambda t: t("customer").selectExpr("c_custkey", f"{_ACC} as text").select("c_custkey", F.array_join(R.accounts_in(F.col("text")), ",").alias("accounts")))
 
 
 @query("a16_classify_accounts", """WITH a AS (SELECT c_custkey, concat('PL61', lpad(CAST(c_custkey % 40 * 250 AS VARCHAR), 4, '0'), '0000') AS account FROM customer), b(sort, bank) AS (VALUES ('1000', 'one'), ('2500', 'two'))
@@ -56,31 +45,11 @@ SELECT DISTINCT counterparty, CASE d WHEN 2 THEN 'blacklist' WHEN 1 THEN 'whitel
 query("a23_learned_category", f"""{WITH_B}, k AS (SELECT counterparty, max(category) AS learned FROM b WHERE tx_id % 100 = 0 GROUP BY 1) SELECT tx_id, coalesce(CASE WHEN tx_id % 2 = 0 THEN category END, learned, 'unclassified') AS category FROM b LEFT JOIN k USING (counterparty)""")(
     lambda t: R.learned_category(t.bank.selectExpr("tx_id", "counterparty", "if(tx_id % 2 = 0, category, null) as category"), t.bank.where("tx_id % 100 = 0").groupBy("counterparty").agg(F.max("category").alias("learned")))
 )
-query("a24_keyword_kinds", f"SELECT page_id, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(url, {p!r}) THEN {k!r} END' for k, p in (('cash', R.CASH), ('loan', R.LOAN), ('person', R.PERSON)))}], lambda v: v IS NOT NULL), ',') AS kinds FROM pages")(lambda t: t("pages").select("page_id", R.keyword_kinds(F.col("url")).alias("kinds")))
-
-_REF = f"""{WITH_B}, r AS (SELECT concat('ACC', CAST(tx_id % 30 AS VARCHAR)) AS referenced, direction, amount, booking_date, concat(counterparty, '-', CAST(tx_id % 4 AS VARCHAR)) AS counterparty, concat('CP', CAST(account_id AS VARCHAR), '-', CAST(account_id AS VARCHAR)) AS holder FROM b)"""
-query("a55_account_discovery", f"""{_REF}, g AS (SELECT referenced, CAST(sum(CASE WHEN direction = 'CREDIT' THEN amount ELSE 0 END) AS DOUBLE) AS credit, CAST(sum(CASE WHEN direction = 'DEBIT' THEN amount ELSE 0 END) AS DOUBLE) AS debit, count(*) AS n, min(booking_date) AS first_day, max(booking_date) AS last_day,
-  max(CASE WHEN lower(counterparty) = lower(holder) THEN 2 WHEN split_part(counterparty, '-', 2) = split_part(holder, '-', 2) THEN 1 ELSE 0 END) AS rel FROM r GROUP BY 1),
-c AS (SELECT referenced, counterparty, row_number() OVER (PARTITION BY referenced ORDER BY count(*) DESC, counterparty) AS r FROM r GROUP BY 1, 2), k AS (SELECT referenced, string_agg(counterparty, ',' ORDER BY r) AS names FROM c WHERE r <= 5 GROUP BY 1)
-SELECT referenced, credit, debit, n, first_day, last_day, names, CASE WHEN rel = 2 THEN 'own' WHEN rel = 1 THEN 'family' WHEN credit > debit * 5 AND n >= 3 THEN 'employer' ELSE 'third_party' END AS ownership FROM g JOIN k USING (referenced)""")(
-    lambda t: R.account_discovery(t.bank.selectExpr("concat('ACC', cast(tx_id % 30 as string)) as referenced", "direction", "amount", "booking_date", "concat(counterparty, '-', cast(tx_id % 4 as string)) as counterparty", "concat('CP', cast(account_id as string), '-', cast(account_id as string)) as holder"))
-)
-query("a56_card_discovery", f"""{WITH_B}, v AS (SELECT *, CASE WHEN channel = 'CARD' THEN lpad(CAST(tx_id % 8 * 1111 AS VARCHAR), 4, '0') ELSE '' END AS card FROM b),
-g AS (SELECT account_id, card, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total, CAST(max(amount) AS DOUBLE) AS largest, count(DISTINCT counterparty) AS merchants FROM v WHERE card <> '' GROUP BY 1, 2 HAVING count(*) >= 2),
-k AS (SELECT account_id, card, category, row_number() OVER (PARTITION BY account_id, card ORDER BY sum(amount) DESC, category) AS r FROM v WHERE card <> '' GROUP BY 1, 2, 3)
-SELECT g.*, c.categories FROM g JOIN (SELECT account_id, card, string_agg(category, ',' ORDER BY r) AS categories FROM k WHERE r <= 6 GROUP BY 1, 2) c USING (account_id, card)""")(
-    lambda t: R.card_discovery(t.bank.withColumn("card", R.card_of(F.expr("if(channel = 'CARD', concat('pay 4111 **** **** ', lpad(cast(tx_id % 8 * 1111 as string), 4, '0'), ' x'), 'no card 12 3456')"))))
-)
+
 query("a58_edge_labels", f"""{WITH_B}, l AS (SELECT tx_id, CASE WHEN tx_id % 90 = 0 THEN 'blacklist' ELSE 'suspicious' END AS label FROM b WHERE tx_id % 30 = 0)
 SELECT account_id AS src, counterparty AS dst, CASE max(CASE label WHEN 'blacklist' THEN 2 WHEN 'suspicious' THEN 1 ELSE 0 END) WHEN 2 THEN 'blacklist' WHEN 1 THEN 'suspicious' ELSE 'neutral' END AS label, count(*) AS n FROM b LEFT JOIN l USING (tx_id) GROUP BY 1, 2""")(
     lambda t: R.edge_labels(t.bank.selectExpr("account_id as src", "counterparty as dst", "tx_id"), t.bank.where("tx_id % 30 = 0").selectExpr("tx_id", "if(tx_id % 90 = 0, 'blacklist', 'suspicious') as label"))
 )
-_LAB = [("metal", "steel|copper"), ("round", "ring|bolt"), ("small", "small"), ("round", "gear")]
-
-
-@query("f1_all_labels", f"""WITH r(label, pattern) AS (VALUES {", ".join(str(m) for m in _LAB)}), h AS (SELECT p_partkey, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM part JOIN r ON regexp_matches(p_name, pattern) GROUP BY 1) SELECT p_partkey, coalesce(labels, '') AS labels FROM part LEFT JOIN h USING (p_partkey)""")
-def f1(t):
-    return R.all_labels(t("part"), t.spark.createDataFrame(_LAB, "label string, pattern string"), "p_partkey", "p_name")
 
 
 query("f11_entity_lookup", """WITH e AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'project' ELSE 'global' END AS scope, p_name AS name, concat(p_name, ' co') AS alias, p_partkey AS entity FROM part WHERE p_partkey % 3 = 0),
@@ -116,14 +85,6 @@ query("g27_forwarded", "SELECT event_id, user_id AS subscriber FROM events WHERE
 _SAT = [(1, "sat_one", r"^\+4850000000"), (2, "sat_two", r"^\+485000000[12]"), (3, "sat_odd", "[13579]$")]
 
 
-@query("g30_satellite", f"""{WITH_C}, r(confidence, name, pattern) AS (VALUES {", ".join(f"({a}, '{b}', '{p}')" for a, b, p in _SAT)}), h AS (SELECT contact, arg_min(name, confidence) AS name FROM (SELECT DISTINCT contact FROM c) JOIN r ON regexp_matches(contact, pattern) GROUP BY 1)
-SELECT subscriber, name, count(*) AS n FROM c JOIN h USING (contact) GROUP BY 1, 2""")
-def g30(t):
-    rules = t.spark.createDataFrame(_SAT, "priority int, name string, pattern string").withColumn("category", F.lit("satellite"))
-    best = R.merchant_of(t.cdr.select("contact").distinct().withColumn("text", F.col("contact")), rules, "contact", "text").where("merchant is not null")
-    return t.cdr.join(best, "contact").groupBy("subscriber", F.col("merchant").alias("name")).agg(F.count("*").alias("n"))
-
-
 query("g31_messengers", "SELECT m, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM (SELECT conv_id, unnest(list_filter(['the', 'que', 'und', 'zzz'], lambda v: contains(lower(text), v))) AS m FROM conversations) GROUP BY 1")(
     lambda t: t("conversations").select("conv_id", F.explode(F.filter(F.array(*(F.lit(x) for x in ("the", "que", "und", "zzz"))), lambda v: F.contains(F.lower("text"), v))).alias("m")).groupBy("m").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("conversations"))
 )

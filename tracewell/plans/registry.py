@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .tables import Tables
 
-MODULES = ["bank", "references", "household", "ledger", "exchange", "calls", "places", "segments", "streams"]
+MODULES = ["bank", "notes", "references", "household", "ledger", "exchange", "calls", "places", "segments", "streams"]
 
 
 def _modules():

@@ -37,6 +37,16 @@ TRANSFERS = """SELECT o_orderkey AS transfer_id, 1704067200 + (o_orderkey * 4830
     WHEN 3 THEN 'sell' ELSE 'transfer' END AS tx_type
 FROM {orders}"""
 
+#: Bank transactions with what a statement says of them: title, payee, the bank's code, the holder.
+NOTES = """SELECT b.*, CASE tx_id % 20 WHEN 0 THEN 'Orlen stacja 7 Kraków' WHEN 1 THEN 'BLIK przelew na telefon' WHEN 2 THEN 'blik zakup w internecie Biedronka' WHEN 3 THEN 'Biedronka 112 Warszawa'
+    WHEN 4 THEN 'Lidl Gdańsk' WHEN 5 THEN 'spłata raty pożyczki' WHEN 6 THEN 'zakład https://www.bet.example/p?x=1 oraz http://shop.example' WHEN 7 THEN 'Shell Łódź' WHEN 8 THEN 'blik kod 123'
+    WHEN 9 THEN 'karta 4246 xxxx xxxx 9674 Warszawa' WHEN 10 THEN 'płatność kartą *9674' WHEN 11 THEN 'rachunek PL61109010140000071219812874 czynsz' WHEN 12 THEN 'wynagrodzenie 73 1140 2004 0000 3002 0135 5387'
+    WHEN 13 THEN 'karta 5500XXXXXXXX1111' WHEN 14 THEN 'Orlen Warszawa' WHEN 15 THEN 'nr rachunku: 10105000997603123456789123 przelew na telefon' WHEN 16 THEN 'ref 61109010140000071219812874'
+    WHEN 17 THEN 'przelew DE89370400440532013000 własny' WHEN 18 THEN 'płatność kartą bez numeru' ELSE 'przelew zwykły' END AS title,
+  CASE tx_id % 7 WHEN 0 THEN 'Jan Kowalski' WHEN 1 THEN 'Anna Kowalska' WHEN 2 THEN 'Kowalski Jan; ul. Długa 5' WHEN 3 THEN 'Firma Sp. z o.o.' WHEN 4 THEN 'Piotr Nowak' WHEN 5 THEN 'Maria Wiśniewska' ELSE 'Sklep 24' END AS payee,
+  CASE tx_id % 11 WHEN 0 THEN 'P.BLIK' WHEN 1 THEN 'ST.ZLEC' WHEN 2 THEN 'TR.KART' ELSE '' END AS bank_category, 'Jan Kowalski' AS holder
+FROM {bank} b"""
+
 #: An exchange's records. g: the owner's number; owners differ in tokens, kinds of records, pace and amounts.
 EXCHANGE = """SELECT row_id, concat('u', CAST(g AS STRING)) AS owner, 1704067200 + (row_id * 483059) % (86400 * (10 + 70 * (g % 6))) AS ts_s,
   CASE WHEN g % 5 = 0 THEN CASE row_id % 4 WHEN 0 THEN 'BTC' WHEN 1 THEN 'ETH' WHEN 2 THEN 'XMR' ELSE 'PLN' END ELSE concat('T', CAST(row_id % (3 + 9 * (g % 5)) AS STRING)) END AS token,
@@ -61,6 +71,7 @@ FROM {conversations}"""
 WITH_B = f"WITH b AS ({BANK_TX.format(orders='orders')})"
 WITH_C = f"WITH c AS ({CDR.format(events='events')})"
 WITH_X = f"WITH x AS ({TRANSFERS.format(orders='orders')})"
+WITH_N = f"WITH n AS ({NOTES.format(bank=f"({BANK_TX.format(orders='orders')})")})"
 WITH_E = f"WITH e AS ({EXCHANGE.format(orders='orders')})"
 WITH_T = f"WITH t AS ({TURNS.format(conversations='conversations')})"
 
@@ -86,6 +97,10 @@ class Tables:
     def transfers(self) -> DataFrame:
         return self.spark.sql(TRANSFERS, orders=self("orders"))
 
+    @cached_property
+    def notes(self) -> DataFrame:
+        return self.spark.sql(NOTES, bank=self.bank)
+
     @cached_property
     def exchange(self) -> DataFrame:
         return self.spark.sql(EXCHANGE, orders=self("orders"))
