@@ -37,11 +37,19 @@ def billing_summary(r: DataFrame) -> DataFrame:
 
 
 def contact_profiles(r: DataFrame, top: int = 10) -> DataFrame:
-    """Each contact's calls, messages, seconds and active days; the busiest of each subscriber."""
-    g = r.where("record_type <> 'DATA'").groupBy(KEY, "contact").agg(
-        F.count("*").alias("n"), F.count_if(F.col("record_type") == "CALL_IN").alias("calls_in"), F.count_if(F.col("record_type") == "CALL_OUT").alias("calls_out"),
-        F.count_if(F.col("record_type").startswith("SMS")).alias("sms"), F.coalesce(F.sum(F.when(is_call(), F.col("duration_seconds"))), F.lit(0)).alias("call_seconds"),
-        F.countDistinct(F.to_date("ts")).alias("active_days"), F.countDistinct("place").alias("places"),
+    """Each contact's calls, messages, seconds and active days; the busiest of each subscriber.
+
+    Where records say so: special (a special number: left out) and forwarded (a forwarded call).
+    """
+    have = set(r.columns)
+    r = r if "special" in have else r.withColumn("special", F.lit(None).cast("string"))
+    fwd = F.coalesce(F.col("forwarded"), F.lit(False)) if "forwarded" in have else F.lit(False)
+    fwd = fwd | (F.col("record_type") == "CALL_FORWARDED")
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    g = r.where("record_type <> 'DATA' and special is null and contact <> ''").groupBy(KEY, "contact").agg(
+        F.count("*").alias("n"), n(~fwd & (F.col("record_type") == "CALL_IN")).alias("calls_in"), n(~fwd & (F.col("record_type") == "CALL_OUT")).alias("calls_out"), n(fwd).alias("calls_fwd"),
+        n(~fwd & F.col("record_type").startswith("SMS")).alias("sms"), F.coalesce(F.sum(F.when(is_call(), F.col("duration_seconds"))), F.lit(0)).alias("call_seconds"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct(F.to_date("ts")).alias("active_days"), F.countDistinct("place").alias("places"),
     )
     w = Window.partitionBy(KEY).orderBy(F.desc("n"), "contact")
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
@@ -162,7 +170,7 @@ def foreign_contacts(r: DataFrame, prefixes: DataFrame) -> DataFrame:
     n = F.regexp_replace("contact", r"^\+", "")
     c = r.select("contact").distinct().withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("prefix", F.substr(n, F.lit(1), F.col("size")))
     best = c.join(prefixes, "prefix").groupBy("contact").agg(F.max_by("country", "size").alias("country"))
-    return r.join(best, "contact", "left").groupBy(KEY, F.coalesce("country", F.lit("unknown")).alias("country")).agg(F.count("*").alias("n"), F.countDistinct("contact").alias("contacts"))
+    return r.select(KEY, "contact").join(best, "contact", "left").groupBy(KEY, F.coalesce("country", F.lit("unknown")).alias("country")).agg(F.count("*").alias("n"), F.countDistinct("contact").alias("contacts"))
 
 
 def one_time_contacts(r: DataFrame, newest: int = 30) -> DataFrame:
@@ -171,13 +179,158 @@ def one_time_contacts(r: DataFrame, newest: int = 30) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("ts"), "contact"))).where(F.col("rank") <= newest).drop("n")
 
 
-def anomaly_report(r: DataFrame) -> DataFrame:
-    """All detectors' findings with severity, counted."""
-    parts = [long_and_late(r).select(KEY, F.col("kind").alias("type"), F.lit("medium").alias("severity")), inactivity_gaps(r).select(KEY, F.lit("inactivity").alias("type"), F.lit("low").alias("severity")), night_movement(r).select(KEY, F.lit("night_movement").alias("type"), F.lit("high").alias("severity"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(KEY, "type", "severity").agg(F.count("*").alias("n"))
+def directed(r: DataFrame) -> DataFrame:
+    """A direction for records that have none: out where the caller is the subscriber's own number, in
+    where the callee is; else, where a cost is known, out. Adds record_type anew."""
+    t = F.col("record_type")
+    bare = t.isin("CALL", "SMS", "MMS")
+    caller, callee = F.col("caller").eqNullSafe(F.col("own")), F.col("callee").eqNullSafe(F.col("own"))
+    side = F.when(caller & ~callee, "_OUT").when(callee & ~caller, "_IN").when(F.col("cost").isNotNull(), "_OUT").otherwise("")
+    return r.withColumn("record_type", F.when(bare, F.concat(t, side)).otherwise(t))
+
+
+#: Names of devices by the first digits of their numbers, as far as a broadcast may go.
+MOST_DEVICES = 500_000
+
+
+def device_lookup(r: DataFrame, devices: DataFrame, imei: str = "imei") -> DataFrame:
+    """The device by type code (8 digits), else by its first 6, else by the reporting body (2).
+    devices: code, name. Adds device, null where nothing fits."""
+    small = devices.limit(MOST_DEVICES + 1).count() <= MOST_DEVICES
+    out, names = r, []
+    for n in (8, 6, 2):
+        d = devices.where(F.length("code") == n).groupBy(F.col("code").alias(f"_c{n}")).agg(F.min("name").alias(f"_n{n}"))
+        out = out.withColumn(f"_c{n}", F.substring(F.regexp_replace(imei, r"\D", ""), 1, n)).join(F.broadcast(d) if small else d, f"_c{n}", "left").drop(f"_c{n}")
+        names.append(f"_n{n}")
+    return out.withColumn("device", F.coalesce(*names)).drop(*names)
+
+
+def devices_used(r: DataFrame, devices: DataFrame, imei: str = "imei") -> DataFrame:
+    """Each device number of a subscriber with its name, records and span."""
+    g = r.where(F.col(imei) != "").groupBy(KEY, imei).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct(F.to_date("ts")).alias("days"))
+    return device_lookup(g, devices, imei)
+
+
+def contact_counts(r: DataFrame) -> DataFrame:
+    """Records of every number at either end that is not the subscriber's own."""
+    ends = F.explode(F.array("caller", "callee")).alias("number")
+    e = r.select(KEY, "own", ends).where("number <> '' and number <> own")
+    return e.groupBy("number").agg(F.count("*").alias("n"), F.countDistinct(KEY).alias("subscribers"))
+
+
+def standard_phone(c: Column) -> Column:
+    """An ordinary number: digits of the home country, or 7 to 15 with a plus, 00 or bare from ten on."""
+    d = F.regexp_replace(c, r"[^0-9+]", "")
+    return ~c.rlike("[A-Za-z]") & d.rlike(r"^(\+?48[0-9]{9}|[0-9]{9}|\+[0-9]{7,15}|00[0-9]{8,15}|[0-9]{10,15})$")
+
+
+def special_kind(c: Column, exact: dict[str, str], senders: dict[str, str], patterns: list[tuple[str, str]]) -> Column:
+    """The kind of a special number, null for ordinary ones: exact (with or without +48), a known
+    sender's name (whole; of four characters on, contained either way), the first pattern that its
+    beginning fits, else alphanumeric or short_code for what is no telephone number.
+
+    The tables are small dimensions of the caller's.
+    """
+    bare = lambda x: x[3:] if x.startswith("+48") else x
+    number = F.regexp_replace(c, r"^\+48", "")
+    low = F.lower(F.trim(c))
+    out = F.when(c.rlike("[A-Za-z]"), "alphanumeric").otherwise("short_code")
+    out = F.when(~standard_phone(c), out)
+    for p, kind in reversed(patterns):
+        out = F.when(c.rlike(f"^(?:{p})"), kind).otherwise(out)
+    for name, kind in reversed(senders.items()):
+        near = low.contains(name) if len(name) >= 4 else F.lit(False)
+        out = F.when(near | ((F.length(low) >= 4) & F.contains(F.lit(name), low)), kind).otherwise(out)
+    for name, kind in senders.items():
+        out = F.when(low == name, kind).otherwise(out)
+    for n, kind in reversed(exact.items()):
+        out = F.when((c == n) | (number == bare(n)), kind).otherwise(out)
+    return F.when(F.coalesce(c, F.lit("")) != "", out)
+
+
+def special_numbers(r: DataFrame, exact: dict[str, str], senders: dict[str, str], patterns: list[tuple[str, str]]) -> DataFrame:
+    """Special numbers of each subscriber with their records, seconds and days."""
+    g = r.withColumn("kind", special_kind(F.col("contact"), exact, senders, patterns)).where("kind is not null")
+    return g.groupBy(KEY, "contact", "kind").agg(F.count("*").alias("n"), F.sum("duration_seconds").alias("seconds"), F.min(F.to_date("ts")).alias("first_day"), F.max(F.to_date("ts")).alias("last_day"))
+
+
+def forwarded_to(*fields: str) -> Column:
+    """The first of the fields that names a number other than the subscriber's own."""
+    return F.coalesce(*(F.when((F.col(f) != "") & (F.col(f) != F.col("own")), F.col(f)) for f in fields))
+
+
+def forwarded_calls(r: DataFrame, *fields: str) -> DataFrame:
+    """Forwarded calls, by type or by a field that names where to."""
+    to = forwarded_to(*fields)
+    f = r.where((F.col("record_type") == "CALL_FORWARDED") | to.isNotNull())
+    return f.select(KEY, "event_id", "ts", F.coalesce("contact", F.lit("")).alias("contact"), F.coalesce(to, F.lit("")).alias("forwarded_to"), "duration_seconds")
+
+
+def satellite_numbers(r: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Contacts whose number fits a satellite network's prefix, by the first rule (operator, pattern
+    with a plus, pattern of digits), in order of confidence. Numbers are looked at once each."""
+    n = F.regexp_replace(F.regexp_replace("contact", r"[^0-9+]", ""), "^00", "+")
+    digits = F.regexp_replace(n, r"\+", "")
+    out = F.lit(None).cast("string")
+    for name, plus, bare in reversed(rules):
+        out = F.when(n.rlike(f"^(?:{plus})") | digits.rlike(f"^(?:{bare})"), name).otherwise(out)
+    g = r.where("contact <> ''").groupBy(KEY, "contact").agg(F.count("*").alias("n"), F.countDistinct(F.to_date("ts")).alias("days"))
+    return g.withColumn("operator", F.when(F.length(n) >= 6, out)).where("operator is not null")
+
+
+def platforms(r: DataFrame, rules: list[tuple[str, str, str]], fields: list[str]) -> DataFrame:
+    """Names of messengers and networks in a record's texts; all that fit count. rules: platform,
+    category, pattern."""
+    text = F.lower(F.concat_ws(" ", *fields))
+    hit = F.array_compact(F.array(*(F.when(F.col("_t").rlike(f"(?i){p}"), F.struct(F.lit(n).alias("platform"), F.lit(c).alias("category"))) for n, c, p in rules)))
+    e = r.withColumn("_t", text).select(KEY, "ts", "record_type", "contact", "own", F.explode(hit).alias("h"))
+    other = F.when(F.col("contact") != F.col("own"), F.col("contact"))
+    return e.groupBy(KEY, "h.platform", "h.category").agg(F.count("*").alias("n"), F.countDistinct(F.to_date("ts")).alias("days"), F.array_join(F.array_sort(F.collect_set("record_type")), ",").alias("types"), F.countDistinct(other).alias("contacts"))
+
+
+def roaming(r: DataFrame) -> DataFrame:
+    """Records in each foreign country and network, with their span."""
+    return r.where("country <> ''").groupBy(KEY, "country", "network").agg(F.count("*").alias("n"), F.count_if(is_call()).alias("calls"), F.count_if(F.col("record_type") == "DATA").alias("data"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct(F.to_date("ts")).alias("days"))
+
+
+def areas(r: DataFrame, top: int = 10) -> DataFrame:
+    """Places rolled up to the city that their label begins with, the most used of each subscriber."""
+    city = F.trim(F.regexp_extract("place", "^([^,]*)", 1))
+    g = r.where("place <> ''").groupBy(KEY, city.alias("area")).agg(F.count("*").alias("n"), F.countDistinct("place").alias("places"))
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("n"), "area"))).where(F.col("rank") <= top)
+
+
+#: Premium numbers of the home country, and how severe each group of findings is.
+PREMIUM = r"^\+?48[78]0\d"
+SEVERITY = {
+    "long_call": "info", "late_night_calls": "warning", "night_activity": "warning", "night_movement": "warning", "burst_activity": "warning", "premium_number": "info", "roaming": "info",
+    "foreign_contacts": "info", "forwarded_calls": "warning", "one_time_contacts": "info", "satellite_numbers": "warning", "social_media": "info", "inactivity_gap": "info",
+}
+
+
+def anomaly_report(r: DataFrame, prefixes: DataFrame, satellites: list[tuple[str, str, str]], messengers: list[tuple[str, str, str]], home: str = "PL", critical: list[str] = (), forwarding: list[str] = ("related",)) -> DataFrame:
+    """How many findings each subscriber has of each group, with the group's severity; contacts in a
+    critical country make foreign contacts critical. Groups without findings have no row."""
+    calls = long_and_late(r)
+    foreign = foreign_contacts(r, prefixes).where(~F.col("country").isin(home, "unknown"))
+    found = {
+        "long_call": calls.where("kind = 'long'"), "late_night_calls": r.where(is_call() & (F.hour("ts") < 5) & (F.col("duration_seconds") >= 10)), "night_activity": night_ratio(r).where("flag"),
+        "night_movement": night_movement(r), "burst_activity": bursts(r.where(is_call() | F.col("record_type").startswith("SMS"))), "premium_number": r.where(F.col("contact").rlike(PREMIUM)).select(KEY, "contact").distinct(),
+        "roaming": roaming(r), "foreign_contacts": foreign, "forwarded_calls": forwarded_calls(r, *forwarding), "one_time_contacts": one_time_contacts(r.where("contact <> ''")),
+        "satellite_numbers": satellite_numbers(r, satellites), "social_media": platforms(r, messengers, ["caller", "callee", "network", "service"]), "inactivity_gap": inactivity_gaps(r),
+    }
+    out = None
+    for kind, df in found.items():
+        worse = F.max(F.when(F.col("country").isin(*critical), 1).otherwise(0)) if kind == "foreign_contacts" and critical else F.lit(0)
+        part = df.groupBy(KEY).agg(F.count("*").alias("n"), worse.alias("_w")).select(KEY, F.lit(kind).alias("type"), F.when(F.col("_w") == 1, "critical").otherwise(SEVERITY[kind]).alias("severity"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def severest(report: DataFrame, n: int = 3) -> DataFrame:
+    """The most severe groups of each subscriber."""
+    order = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    return report.withColumn("rank", F.row_number().over(Window.partitionBy(KEY).orderBy(order, F.desc("n"), "type"))).where(F.col("rank") <= n)
 
 
 def hour_frame(r: DataFrame) -> DataFrame:

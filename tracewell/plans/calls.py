@@ -28,10 +28,6 @@ NIGHT = "(hour({0}) >= 22 OR hour({0}) < 6)"
 query("g3_deduplicate", f"{WITH_C} SELECT subscriber, contact, record_type, duration_seconds, count(*) AS n FROM (SELECT subscriber, ts, contact, record_type, duration_seconds FROM c GROUP BY ALL) GROUP BY 1, 2, 3, 4")(lambda t: C.deduplicate(t.cdr).groupBy("subscriber", "contact", "record_type", "duration_seconds").agg(F.count("*").alias("n")))
 query("g7_billing_summary", f"""{WITH_C} SELECT subscriber, count(*) AS n, {", ".join(f"count(*) FILTER (record_type = '{x}') AS {x.lower()}" for x in ("CALL_OUT", "CALL_IN", "SMS_OUT", "SMS_IN", "DATA"))},
   CAST(sum(CASE WHEN {CALL} THEN duration_seconds END) AS BIGINT) AS call_seconds, count(DISTINCT contact) AS contacts, min(ts) AS first_ts, max(ts) AS last_ts FROM c GROUP BY 1""")(lambda t: C.billing_summary(t.cdr))
-query("g8_contact_counts", f"{WITH_C} SELECT contact, count(*) AS n, count(DISTINCT subscriber) AS subscribers FROM c GROUP BY 1")(lambda t: t.cdr.groupBy("contact").agg(F.count("*").alias("n"), F.countDistinct("subscriber").alias("subscribers")))
-query("g9_contact_profiles", f"""{WITH_C}, g AS (SELECT subscriber, contact, count(*) AS n, count(*) FILTER (record_type = 'CALL_IN') AS calls_in, count(*) FILTER (record_type = 'CALL_OUT') AS calls_out, count(*) FILTER (record_type LIKE 'SMS%') AS sms,
-  CAST(coalesce(sum(CASE WHEN {CALL} THEN duration_seconds END), 0) AS BIGINT) AS call_seconds, count(DISTINCT CAST(ts AS DATE)) AS active_days, count(DISTINCT place) AS places FROM c WHERE record_type <> 'DATA' GROUP BY 1, 2)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subscriber ORDER BY n DESC, contact) AS rank FROM g) WHERE rank <= 10""")(lambda t: C.contact_profiles(t.cdr))
 query("g10_temporal", f"""{WITH_C}, d AS (SELECT subscriber, hour(ts) AS hour, isodow(ts) - 1 AS weekday, strftime(ts, '%Y-%m') AS month FROM c) SELECT *, count(*) AS n FROM d GROUP BY GROUPING SETS ((subscriber, hour), (subscriber, weekday), (subscriber, month))""")(
     lambda t: C.temporal(t.cdr).withColumn("hour", F.col("hour").cast("long")).withColumn("weekday", F.col("weekday").cast("long"))
 )
@@ -51,7 +47,6 @@ def _devices(t):
     return t.cdr.withColumn("device", F.concat(F.lit("dev"), (F.col("k") % 3).cast("string")))
 
 
-query("g14_devices", f"{_DEV} SELECT subscriber, device, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM d GROUP BY 1, 2")(lambda t: _devices(t).groupBy("subscriber", "device").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
 query("g15_device_changes", f"{_DEV}, l AS (SELECT *, lag(device) OVER (PARTITION BY subscriber, domain ORDER BY ts, event_id) AS b FROM d) SELECT subscriber, domain, event_id, ts, b AS from_device, device AS to_device FROM l WHERE b <> device")(lambda t: C.device_changes(_devices(t)))
 query("g16_dual_devices", f"""{_DEV}, e AS (SELECT subscriber, domain, CASE WHEN domain = 'data' AND k % 10 < 9 THEN concat('x', CAST(subscriber % 3 AS VARCHAR)) WHEN domain = 'voice' AND k % 10 < 9 THEN 'y' ELSE device END AS device FROM d),
 g AS (SELECT subscriber, domain, device, count(*) AS n FROM e GROUP BY 1, 2, 3), t AS (SELECT subscriber, domain, arg_min(device, (-n, device)) AS dev, max(n) / sum(n) AS share FROM g GROUP BY 1, 2)
@@ -83,17 +78,11 @@ def g26(t):
 
 
 query("g29_one_time_contacts", f"""{WITH_C}, g AS (SELECT subscriber, contact, max(ts) AS ts FROM c GROUP BY 1, 2 HAVING count(*) = 1) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subscriber ORDER BY ts DESC, contact) AS rank FROM g) WHERE rank <= 30""")(lambda t: C.one_time_contacts(t.cdr))
-query("g32_anomaly_report", f"""{WITH_C}, {_MOVE}, {_GAP}, k AS (SELECT *, CASE WHEN duration_seconds > 3600 THEN 'long' WHEN hour(ts) < 5 AND duration_seconds >= 10 THEN 'late' END AS kind FROM c WHERE {CALL}),
-u AS (SELECT subscriber, kind AS type, 'medium' AS severity FROM k WHERE kind IS NOT NULL UNION ALL SELECT subscriber, 'inactivity', 'low' FROM e WHERE gap_s >= 43200 UNION ALL SELECT subscriber, 'night_movement', 'high' FROM m) SELECT *, count(*) AS n FROM u GROUP BY ALL""")(lambda t: C.anomaly_report(t.cdr))
 query("g33_hour_frame", f"""{WITH_C} SELECT subscriber, hour, count(event_id) AS n FROM (SELECT DISTINCT subscriber, unnest(range(24)) AS hour FROM c) f LEFT JOIN (SELECT subscriber, hour(ts) AS hour, event_id FROM c) d USING (subscriber, hour) GROUP BY 1, 2""")(lambda t: C.hour_frame(t.cdr).withColumn("hour", F.col("hour").cast("long")))
 query("g33_duration_histogram", f"""{WITH_C} SELECT subscriber, CASE {" ".join(f"WHEN duration_seconds < {x} THEN {i}" for i, x in enumerate(C.BINS))} ELSE {len(C.BINS)} END AS bin, count(*) AS n FROM c WHERE {CALL} GROUP BY 1, 2""")(lambda t: C.duration_histogram(t.cdr))
 query("g33_daily_by_type", f"{WITH_C} SELECT CAST(ts AS DATE) AS day, {', '.join(f'count(*) FILTER (record_type = {x!r}) AS {x.lower()}' for x in ('CALL_IN', 'CALL_OUT', 'DATA', 'SMS_IN', 'SMS_OUT'))} FROM c GROUP BY 1")(
     lambda t: t.cdr.groupBy(F.to_date("ts").alias("day")).pivot("record_type", ["CALL_IN", "CALL_OUT", "DATA", "SMS_IN", "SMS_OUT"]).count().na.fill(0).withColumnsRenamed({x: x.lower() for x in ("CALL_IN", "CALL_OUT", "DATA", "SMS_IN", "SMS_OUT")})
 )
-query("g25_roaming", f"{WITH_C} SELECT subscriber, k % 4 AS country, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM c WHERE k >= 90 GROUP BY 1, 2")(lambda t: t.cdr.where("k >= 90").groupBy("subscriber", (F.col("k") % 4).alias("country")).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
-query("g34_areas", f"{WITH_C}, g AS (SELECT subscriber, regexp_extract(place, '^([A-Z]+)', 1) AS area, count(*) AS n FROM c GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY subscriber ORDER BY n DESC, area) AS rank FROM g")(
-    lambda t: t.cdr.groupBy("subscriber", F.regexp_extract("place", "^([A-Z]+)", 1).alias("area")).agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(C.Window.partitionBy("subscriber").orderBy(F.desc("n"), "area")))
-)
 query("g1_phone", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN concat('+48', CAST(500000000 + c_custkey AS VARCHAR)) WHEN 1 THEN concat('+49', CAST(30000000 + c_custkey AS VARCHAR)) ELSE concat('+48', CAST(600000000 + c_custkey AS VARCHAR)) END AS phone FROM customer")(
     lambda t: t("customer").select("c_custkey", T.phone(F.expr("case c_custkey % 3 when 0 then concat('48 ', cast(500000000 + c_custkey as string)) when 1 then concat('0049-', cast(30000000 + c_custkey as string)) else cast(600000000 + c_custkey as string) end")).alias("phone"))
 )

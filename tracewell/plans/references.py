@@ -60,34 +60,6 @@ SELECT name, entity, coalesce(scope, 'none') AS scope FROM n LEFT JOIN b ON key
     lambda t: R.entity_lookup(t("part").selectExpr("if(p_partkey % 2 = 0, upper(p_name), concat(p_name, ' Co')) as name").distinct(), t("part").where("p_partkey % 3 = 0").selectExpr("if(p_partkey % 4 = 0, 'project', 'global') as scope", "p_name as name", "concat(p_name, ' co') as alias", "p_partkey as entity"))
 )
 
-query("g2_direction", f"{WITH_C}, o AS (SELECT DISTINCT contact FROM c WHERE event_id % 97 = 0) SELECT event_id, CASE WHEN o.contact IS NOT NULL THEN 'own' WHEN record_type LIKE '%OUT' THEN 'out' WHEN record_type LIKE '%IN' THEN 'in' ELSE 'data' END AS direction FROM c LEFT JOIN o USING (contact)")(
-    lambda t: t.cdr.join(t.cdr.where("event_id % 97 = 0").select("contact", F.lit(True).alias("own")).distinct(), "contact", "left").select("event_id", F.when(F.col("own"), "own").when(F.col("record_type").endswith("OUT"), "out").when(F.col("record_type").endswith("IN"), "in").otherwise("data").alias("direction"))
-)
-_TAC = [("49015420", "phone A"), ("49015421", "phone B"), ("490154", "maker X"), ("49", "body Y")]
-
-
-@query("g6_device_lookup", f"""{WITH_C}, v AS (SELECT event_id, concat('490154', CAST(20 + k % 3 AS VARCHAR), '323751') AS imei FROM c), t(code, name) AS (VALUES {", ".join(str(m) for m in _TAC)})
-SELECT event_id, coalesce(a.name, b.name, d.name) AS device FROM v LEFT JOIN t a ON a.code = substr(imei, 1, 8) LEFT JOIN t b ON b.code = substr(imei, 1, 6) LEFT JOIN t d ON d.code = substr(imei, 1, 2)""")
-def g6(t):
-    v = t.cdr.select("event_id", F.concat(F.lit("490154"), (F.col("k") % 3 + 20).cast("string"), F.lit("323751")).alias("imei"))
-    tac = t.spark.createDataFrame(_TAC, "code string, name string")
-    for i, n in enumerate((8, 6, 2)):
-        v = v.join(tac.toDF(f"c{i}", f"n{i}"), F.substring("imei", 1, n) == F.col(f"c{i}"), "left")
-    return v.select("event_id", F.coalesce("n0", "n1", "n2").alias("device"))
-
-
-query("g17_special_numbers", f"{WITH_C} SELECT contact, CASE WHEN contact = '+48500000007' THEN 'emergency' WHEN regexp_matches(contact, '^\\+4850000000[0-3]') THEN 'service' WHEN regexp_matches(contact, '[02468]$') THEN 'premium' ELSE 'ordinary' END AS kind, count(*) AS n FROM c GROUP BY 1, 2")(
-    lambda t: t.cdr.groupBy("contact", F.when(F.col("contact") == "+48500000007", "emergency").when(F.col("contact").rlike(r"^\+4850000000[0-3]"), "service").when(F.col("contact").rlike("[02468]$"), "premium").otherwise("ordinary").alias("kind")).agg(F.count("*").alias("n"))
-)
-query("g27_forwarded", "SELECT event_id, user_id AS subscriber FROM events WHERE event_type = 'error' OR CAST(json_extract_string(props, '$.k') AS INT) >= 97")(
-    lambda t: t("events").withColumn("extra", F.from_json("props", "map<string,string>")).where((F.col("event_type") == "error") | (F.col("extra")["k"].cast("int") >= 97)).select("event_id", F.col("user_id").alias("subscriber"))
-)
-_SAT = [(1, "sat_one", r"^\+4850000000"), (2, "sat_two", r"^\+485000000[12]"), (3, "sat_odd", "[13579]$")]
-
-
-query("g31_messengers", "SELECT m, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM (SELECT conv_id, unnest(list_filter(['the', 'que', 'und', 'zzz'], lambda v: contains(lower(text), v))) AS m FROM conversations) GROUP BY 1")(
-    lambda t: t("conversations").select("conv_id", F.explode(F.filter(F.array(*(F.lit(x) for x in ("the", "que", "und", "zzz"))), lambda v: F.contains(F.lower("text"), v))).alias("m")).groupBy("m").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("conversations"))
-)
 
 query("m13_last_day_path", f"""{WITH_C}, p AS (SELECT *, 52 + 0.05 * (k % 12) AS lat, max(ts) OVER (PARTITION BY subscriber) AS last FROM c), g AS (SELECT subscriber, round(CAST(lat AS DOUBLE), 3) AS lat, min(ts) AS first_ts FROM p WHERE ts >= last - INTERVAL 24 HOUR GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY subscriber ORDER BY first_ts) AS step FROM g""")(
     lambda t: (

@@ -27,6 +27,18 @@ CDR = """SELECT event_id, user_id AS subscriber, ts, value,
   concat('BTS-', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 12 AS STRING)) AS place
 FROM {events}"""
 
+#: Billing records with both ends, as an operator delivers them: some without direction, forwarded, to special numbers.
+BILLING = """SELECT event_id, subscriber, ts, own, CASE WHEN event_id % 2 = 0 THEN own ELSE other END AS caller, CASE WHEN event_id % 2 = 0 THEN other ELSE own END AS callee, other AS contact,
+  CASE event_type WHEN 'click' THEN 'CALL' WHEN 'signup' THEN 'CALL_IN' WHEN 'view' THEN 'SMS' WHEN 'purchase' THEN 'SMS_IN' WHEN 'error' THEN 'CALL_FORWARDED' ELSE 'DATA' END AS record_type,
+  CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 0.0 ELSE 1.5 END AS cost, duration_seconds, concat(CASE k % 5 WHEN 0 THEN '35332208' WHEN 1 THEN '35332299' WHEN 2 THEN '86012304' WHEN 3 THEN '99000001' ELSE '01234567' END, '123456') AS imei,
+  CASE k % 9 WHEN 0 THEN 'Vodafone DE' WHEN 1 THEN 'T-Mobile' ELSE 'Orange' END AS network, CASE WHEN k % 11 = 4 THEN CASE WHEN k % 2 = 0 THEN 'DE' ELSE 'CZ' END END AS country,
+  CASE k % 13 WHEN 0 THEN 'WhatsApp call' WHEN 1 THEN 'telegram message to viber' WHEN 2 THEN 'internet' END AS service, CASE WHEN k % 17 = 3 THEN '+48500999888' WHEN k % 17 = 4 THEN own END AS related,
+  concat(CASE k % 4 WHEN 0 THEN 'Warszawa' WHEN 1 THEN 'Łódź' WHEN 2 THEN 'Gdańsk' ELSE 'Radom' END, ', ul. ', CAST(k % 6 AS STRING)) AS place, k
+FROM (SELECT event_id, user_id AS subscriber, ts, event_type, concat('+48', CAST(700000000 + user_id AS STRING)) AS own, CAST(FLOOR(value * 90) AS BIGINT) AS duration_seconds, k,
+    CASE k % 25 WHEN 0 THEN '112' WHEN 1 THEN 'internetipv6' WHEN 2 THEN '+48801123456' WHEN 3 THEN '*100#' WHEN 4 THEN '+881612345678' WHEN 5 THEN '+870773112233' WHEN 6 THEN 'Facebook' WHEN 7 THEN '375295434940' WHEN 8 THEN 'mBank24'
+      WHEN 9 THEN '+48700123456' WHEN 10 THEN '1234567' WHEN 11 THEN '+491701234567' WHEN 12 THEN CAST(NULL AS STRING) ELSE concat('+48', CAST(500000000 + CAST((user_id - user_id % 50) AS BIGINT) * 4 + event_id * 7919 % 30 AS STRING)) END AS other
+  FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {events}) e) b"""
+
 TRANSFERS = """SELECT o_orderkey AS transfer_id, 1704067200 + (o_orderkey * 483059) % 31536000 AS ts_s,
   concat('w', CAST(CAST((o_custkey - o_custkey % 32) / 32 AS BIGINT) AS STRING)) AS from_address,
   concat('w', CAST(CAST((o_orderkey - o_orderkey % 320) / 320 AS BIGINT) + o_orderkey % 3 AS STRING)) AS to_address,
@@ -70,6 +82,7 @@ FROM {conversations}"""
 #: For the oracle: the canonical tables as common table expressions.
 WITH_B = f"WITH b AS ({BANK_TX.format(orders='orders')})"
 WITH_C = f"WITH c AS ({CDR.format(events='events')})"
+WITH_L = f"WITH l AS ({BILLING.format(events='events')})"
 WITH_X = f"WITH x AS ({TRANSFERS.format(orders='orders')})"
 WITH_N = f"WITH n AS ({NOTES.format(bank=f"({BANK_TX.format(orders='orders')})")})"
 WITH_E = f"WITH e AS ({EXCHANGE.format(orders='orders')})"
@@ -93,6 +106,10 @@ class Tables:
     def cdr(self) -> DataFrame:
         return self.spark.sql(CDR, events=self("events")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
+    @cached_property
+    def billing(self) -> DataFrame:
+        return self.spark.sql(BILLING, events=self("events")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
     @cached_property
     def transfers(self) -> DataFrame:
         return self.spark.sql(TRANSFERS, orders=self("orders"))
