@@ -53,6 +53,118 @@ def path(r: DataFrame, least_m: float = 200.0) -> DataFrame:
     return d.withColumn("metres", m).withColumn("seconds", s).where(F.col("metres") > least_m)
 
 
+def car_minutes(km: Column) -> Column:
+    """Minutes by car: 40, 70 or 90 km/h for short, middle and long ways."""
+    return F.when(km < 30, km / 40).when(km < 150, km / 70).otherwise(km / 90) * 60
+
+
+def travel_mode(km: Column, minutes: Column, kmh: Column) -> Column:
+    """M8: bts_hop for what nobody can do in the time, plane for long ways at speed, car for what a car
+    does, else unknown."""
+    car = car_minutes(km)
+    hop = ((minutes < 3) & (km > 5)) | ((minutes < 10) & (kmh > 300)) | ((minutes < 15) & (kmh > 500))
+    plane = ((km > 200) & (kmh > 200)) | ((km > 400) & (minutes < car * 0.4))
+    drive = kmh.between(10, 200) | (minutes / car).between(0.3, 4.0)
+    return F.when(hop, "bts_hop").when(plane, "plane").when(drive, "car").otherwise("unknown")
+
+
+def cluster_trips(r: DataFrame, centres: DataFrame, least_km: float = 5.0) -> DataFrame:
+    """M8: changes of the nearest cluster from one record to the next, between clusters far enough apart,
+    with the time since the record before; hops between masts are left out."""
+    near = nearest_of(r, centres).join(r.select(KEY, "event_id", "ts"), [KEY, "event_id"])
+    w = Window.partitionBy(KEY).orderBy("ts", "event_id")
+    d = near.withColumns({"c0": F.lag("cluster").over(w), "ts0": F.lag("ts").over(w)}).where("c0 <> cluster")
+    at = centres.select(KEY, F.col("cluster").alias("c"), "lat", "lon")
+    d = d.join(at.toDF(KEY, "c0", "lat0", "lon0"), [KEY, "c0"]).join(at.toDF(KEY, "cluster", "lat1", "lon1"), [KEY, "cluster"])
+    km = haversine(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1")) / 1000
+    s = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("ts0").cast("timestamp"))
+    d = d.withColumns({"km": km, "minutes": F.when(s > 0, s / 60).otherwise(0.01)}).where(F.col("km") >= least_km)
+    d = d.withColumn("kmh", F.col("km") / (F.col("minutes") / 60))
+    d = d.withColumn("mode", travel_mode(F.col("km"), F.col("minutes"), F.col("kmh"))).where("mode <> 'bts_hop'")
+    return d.select(KEY, "event_id", F.col("c0").alias("from_cluster"), F.col("cluster").alias("to_cluster"), F.round("km", 1).alias("km"), F.round("minutes", 1).alias("minutes"), F.round("kmh", 0).alias("kmh"), "mode")
+
+
+def border_crossings(r: DataFrame, gap_hours: int = 48) -> DataFrame:
+    """For subscribers that ever roam, runs of roaming records between the last home record and the
+    first one after (null: not back yet); for all others, pauses of ``gap_hours`` and more.
+
+    A run at the beginning has no home record before it; without one after it either it is nothing.
+    """
+    sec = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    w = Window.partitionBy(KEY).orderBy("ts", "event_id")
+    change = F.when(F.col("roaming") != F.coalesce(F.lag("roaming").over(w), ~F.col("roaming")), 1).otherwise(0)
+    d = r.withColumn("change", change).withColumn("island", F.sum("change").over(w))
+    order = F.struct("ts", "event_id")
+    g = d.groupBy(KEY, "island", "roaming").agg(F.min("ts").alias("a"), F.max("ts").alias("z"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("country")), ",").alias("countries"), F.max_by(F.struct("lat", "lon"), order).alias("at"))
+    v = Window.partitionBy(KEY).orderBy("island")
+    g = g.withColumns({"left_ts": F.lag("z").over(v), "back_ts": F.lead("a").over(v), "at": F.lag("at").over(v)}).where("roaming and (left_ts is not null or back_ts is not null)")
+    one = g.select(KEY, "left_ts", "back_ts", F.col("n").alias("records"), "countries", F.lit(True).alias("confirmed"), F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon"), ((sec("z") - sec("left_ts")) / 3600).alias("so_far"))
+    never = r.groupBy(KEY).agg(F.bool_or("roaming").alias("any")).where("not any").select(KEY)
+    h = r.join(never, KEY, "left_semi").withColumns({"left_ts": F.lag("ts").over(w), "lat0": F.lag("lat").over(w), "lon0": F.lag("lon").over(w)}).where(sec("ts") - sec("left_ts") >= gap_hours * 3600)
+    two = h.select(KEY, "left_ts", F.col("ts").alias("back_ts"), F.lit(0).cast("long").alias("records"), F.lit("").alias("countries"), F.lit(False).alias("confirmed"), F.col("lat0").alias("lat"), F.col("lon0").alias("lon"), F.lit(None).cast("double").alias("so_far"))
+    hours = F.coalesce((sec("back_ts") - sec("left_ts")) / 3600, F.when(F.col("back_ts").isNull(), F.col("so_far")), F.lit(0.0))
+    return one.unionByName(two).withColumn("absence_hours", F.round(hours, 1)).drop("so_far")
+
+
+def near_airport(points: DataFrame, airports: DataFrame, metres: float = 15_000.0) -> DataFrame:
+    """The nearest airport (airport, alat, alon) within some metres of each point (id, lat, lon), by an
+    equi-join on bands of latitude. Points without one have no row."""
+    width = metres / 111_000.0
+    band = lambda c: F.floor(F.col(c) / width)
+    a = airports.withColumn("band", F.explode(F.array(*(band("alat") + i for i in (-1, 0, 1)))))
+    near = points.withColumn("band", band("lat")).join(a, "band").withColumn("metres", haversine(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"))).where(F.col("metres") <= metres)
+    return near.groupBy("id").agg(F.min(F.struct("metres", "airport")).alias("b")).select("id", "b.airport", F.round("b.metres", 1).alias("metres"))
+
+
+def crossing_mode(c: DataFrame, airports: DataFrame, neighbours: list[str]) -> DataFrame:
+    """Plane, car or walk for each crossing, from the last point at home, how long and where to."""
+    c = c.withColumn("id", F.xxhash64(KEY, "left_ts", "back_ts"))
+    a = near_airport(c.where("lat is not null").select("id", "lat", "lon").distinct(), airports).select("id", "airport")
+    at = F.filter(F.split("countries", ","), lambda x: x != "")
+    far = F.size(F.filter(at, lambda x: ~x.isin(*neighbours))) > 0
+    some = F.size(at) > 0
+    by_air = F.col("airport").isNotNull() & (far | ((F.col("absence_hours") < 12) & some))
+    mode = F.when(by_air | far, "plane").when(F.col("absence_hours") < 6, "walk").when(some, "car").otherwise("unknown")
+    return c.join(a, "id", "left").withColumn("mode", mode).drop("id")
+
+
+def last_day_path(c: DataFrame, r: DataFrame) -> DataFrame:
+    """The places at home in the 24 hours before each crossing, each 100 m square once, in order; by an
+    equi-join on days."""
+    day = F.to_date("left_ts")
+    a = c.where("left_ts is not null").select(KEY, "left_ts", F.explode(F.array(day, F.date_sub(day, 1))).alias("day")).distinct()
+    home = r.where("not roaming and lat is not null and lon is not null").select(KEY, "ts", "lat", "lon", F.to_date("ts").alias("day"))
+    j = a.join(home, [KEY, "day"]).where("ts <= left_ts and ts >= left_ts - interval 24 hours")
+    g = j.groupBy(KEY, "left_ts", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon")).agg(F.min("ts").alias("first_ts"))
+    return g.withColumn("step", F.row_number().over(Window.partitionBy(KEY, "left_ts").orderBy("first_ts", "lat", "lon")))
+
+
+def bounds(r: DataFrame) -> DataFrame:
+    """Centre and bounds of each subscriber's points."""
+    return r.groupBy(KEY).agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("lon").alias("lon0"), F.max("lon").alias("lon1"), F.count("*").alias("n"))
+
+
+def cells_near(cells_: DataFrame, lat: float, lon: float, box: float, limit: int = 200) -> DataFrame:
+    """Cells within a box about a point, the nearest first by the sum of both differences."""
+    d = F.abs(F.col("lat") - lat) + F.abs(F.col("lon") - lon)
+    own = cells_.where(F.col("lat").between(lat - box, lat + box) & F.col("lon").between(lon - box, lon + box))
+    return own.withColumn("distance", F.round(d, 6)).orderBy("distance", "cell").limit(min(limit, 200))
+
+
+def cell_stats(cells_: DataFrame) -> DataFrame:
+    """Cells by source, by radio and in all, with distinct cities."""
+    return cells_.groupingSets([[F.col("source")], [F.col("radio")], []], "source", "radio").agg(F.count("*").alias("n"), F.countDistinct("city").alias("cities"))
+
+
+def modal_labels(r: DataFrame, by: list[str], labels: list[str]) -> DataFrame:
+    """The most frequent value of each label (ties by name)."""
+    out = None
+    for c in labels:
+        g = r.where(F.col(c) != "").groupBy(*by, c).agg(F.count("*").alias("k")).groupBy(*by).agg(F.min_by(c, F.struct(-F.col("k"), c)).alias(c))
+        out = g if out is None else out.join(g, by, "full_outer")
+    return out
+
+
 def trips(r: DataFrame, least_m: float = 5000.0) -> DataFrame:
     """M8: longer steps by mode: plane beyond 250 km/h and 100 km, implausible hops, else car."""
     p = path(r, least_m)
@@ -135,6 +247,52 @@ def identity_groups(ids: DataFrame, least: int = 2) -> DataFrame:
     return g.where(F.col("numbers") >= least)
 
 
+def file_subscriber(r: DataFrame, columns: list[str]) -> DataFrame:
+    """The number that stands most often in a file's columns (ties by number), and how often."""
+    n = r.select("file", F.explode(F.array(*(last_number(F.col(c)) for c in columns))).alias("number")).where("length(number) = 9")
+    g = n.groupBy("file", "number").agg(F.count("*").alias("k"))
+    return g.groupBy("file").agg(F.min_by("number", F.struct(-F.col("k"), "number")).alias("number"), F.max("k").alias("n"))
+
+
+def file_groups(files: DataFrame) -> DataFrame:
+    """The files of each subscriber (file, operator, number, n) and what confirms them: one operator only,
+    several operators, or a single file."""
+    g = files.groupBy("number").agg(F.count("*").alias("files"), F.countDistinct("operator").alias("operators"), F.sum("n").alias("records"), F.array_join(F.array_sort(F.collect_set("file")).cast("array<string>"), ",").alias("names"))
+    return g.withColumn("reason", F.when(F.col("files") == 1, "single").when(F.col("operators") > 1, "several_operators").otherwise("same_operator"))
+
+
+#: What a record says that names nobody, that another operator serves it, and companies' marks.
+NO_DATA, ELSEWHERE = ["brak danych", "nie przydzielony", "nie znaleziono"], ["obsługiwany przez", "przeniesiony"]
+COMPANIES = ["sp. z o.o", "sp. zo.o", "spółka", "s.a.", "sp.j.", "sp.k.", "fundacja", "stowarzyszenie", "urząd", "szkoła", "zakład", "przedsiębiorstwo", "firma", "gospodarstwo", "bank ", "poczta polska", "centrum "]
+
+
+def result_type(name: Column, person_id: Column, company_id: Column) -> Column:
+    """What an answer is: another operator's number, nobody, a company, a person, or unknown."""
+    low = F.lower(F.trim(name))
+    says = lambda xs: sum((F.when(low.contains(x), 1).otherwise(0) for x in xs), F.lit(0)) > 0
+    words = F.split(F.trim(name), r"\s+")
+    looks = F.size(words).between(2, 4) & F.forall(words, lambda w: w.rlike(r"^\p{Lu}"))
+    out = F.when(says(ELSEWHERE), "other_operator").when(says(NO_DATA), "not_found").when(says(COMPANIES), "company")
+    out = out.when(F.coalesce(person_id.cast("string"), F.lit("")) != "", "person").when(F.coalesce(company_id.cast("string"), F.lit("")) != "", "company").when(looks, "person").otherwise("unknown")
+    return F.when(F.coalesce(name, F.lit("")) == "", "unknown").otherwise(out)
+
+
+def identity_anomalies(ids: DataFrame, main: list[str]) -> DataFrame:
+    """Persons with several numbers (a main subscriber's own, or a contact's), numbers that changed
+    operator, and numbers that one operator knew nothing of and another named.
+
+    ids: record_id, number, operator, person_id, name, kind (as ``result_type``). main: the main numbers.
+    """
+    g = ids.where("person_id is not null").groupBy("person_id").agg(F.countDistinct("number").alias("n"), F.max(F.col("number").isin(*main)).alias("m"), F.array_join(F.array_sort(F.collect_set("number")), ",").alias("detail")).where("n >= 2")
+    several = g.select(F.col("person_id").cast("string").alias("subject"), F.when(F.col("m"), "multi_number_main_owner").otherwise("multi_number_contact").alias("type"), F.when(F.col("m"), "warning").otherwise("info").alias("severity"), "detail")
+    m = ids.groupBy("number").agg(F.countDistinct("operator").alias("n"), F.array_join(F.array_sort(F.collect_set("operator")).cast("array<string>"), ",").alias("detail")).where("n >= 2")
+    moved = m.select(F.col("number").alias("subject"), F.lit("number_migration").alias("type"), F.lit("info").alias("severity"), "detail")
+    none = F.col("kind").isin("not_found", "other_operator")
+    e = ids.groupBy("number").agg(F.count_if(none).alias("without"), F.count_if(~none & F.col("name").isNotNull()).alias("with_"), F.min(F.when(~none, F.col("name"))).alias("detail")).where("without > 0 and with_ > 0")
+    filled = e.select(F.col("number").alias("subject"), F.lit("data_enriched").alias("type"), F.lit("info").alias("severity"), "detail")
+    return several.unionByName(moved).unionByName(filled)
+
+
 def operator_history(ids: DataFrame) -> DataFrame:
     """I8: operators of each person in the order of their records."""
     w = Window.partitionBy("person_id").orderBy("record_id")
@@ -152,8 +310,7 @@ def transit(r: DataFrame, labels: DataFrame) -> DataFrame:
     """
     minute = F.hour("ts") * 60 + F.minute("ts")
     day = r.groupBy(KEY, "place", F.to_date("ts").alias("day")).agg((F.max(minute) - F.min(minute)).alias("dwell"))
-    s = F.array_sort(F.collect_list("dwell"))
-    stay = day.groupBy(KEY, "place").agg(F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1).alias("dwell"), F.count("*").alias("days"))
+    stay = day.groupBy(KEY, "place").agg(F.expr("-percentile_disc(0.5) within group (order by -dwell)").alias("dwell"), F.count("*").alias("days"))
     h = F.hour("ts")
     g = r.groupBy(KEY, "place").agg(F.count("*").alias("n"), F.count_if(h.between(6, 8) | h.between(16, 18)).alias("commute"), F.min("lat").alias("lat"), F.min("lon").alias("lon"))
     g = g.join(stay, [KEY, "place"])

@@ -23,6 +23,11 @@ def weighted_patterns(text: Column, strong: list[str], moderate: list[str]) -> C
     return sum((F.when(text.rlike(p), w).otherwise(0) for w, ps in ((3, strong), (1, moderate)) for p in ps), F.lit(0))
 
 
+def is_document(text: Column, strong: list[str], moderate: list[str], least: int = 3) -> Column:
+    """The decision: three points make it one."""
+    return weighted_patterns(F.lower(F.coalesce(text, F.lit(""))), strong, moderate) >= least
+
+
 def protect(text: Column, terms: list[str]) -> Column:
     """Glossary terms, in order, to marks that translation leaves alone."""
     for i, term in enumerate(terms):
@@ -72,7 +77,21 @@ def header_drift(headers: DataFrame, expected: DataFrame, fuzzy: float = 0.75) -
     level = F.when(F.col("h") == F.col("e"), 0).when(F.col("h").contains(F.col("e")) | F.col("e").contains(F.col("h")), 1).when(ratio >= fuzzy, 2).otherwise(3)
     best = j.groupBy("file", "format", "header").agg(F.min(F.struct(level.alias("level"), (-ratio).alias("r"), "expected")).alias("b"))
     kind = F.element_at(F.array(F.lit("exact"), F.lit("contained"), F.lit("drift"), F.lit("fail")), F.col("b.level") + 1)
-    return best.select("file", "header", F.when(F.col("b.level") < 3, F.col("b.expected")).alias("expected"), kind.alias("match"))
+    return best.select("file", "format", "header", F.when(F.col("b.level") < 3, F.col("b.expected")).alias("expected"), kind.alias("match"))
+
+
+def drift_levels(matches: DataFrame, expected: DataFrame, accept: float = 1.0, drift: float = 0.5) -> DataFrame:
+    """Each file's share of the expected headers found (exactly or not) and what follows: accept where
+    all are found as they are, drift where enough are found in some way, else reject.
+
+    matches: as ``header_drift``, with the file's format; expected: format, expected.
+    """
+    n = expected.groupBy("format").agg(F.countDistinct("expected").alias("wanted"))
+    hit = F.when(F.col("match") != "fail", F.col("expected"))
+    g = matches.groupBy("file", "format").agg(F.countDistinct(hit).alias("found"), F.countDistinct(F.when(F.col("match") == "exact", F.col("expected"))).alias("exact"), F.count_if(F.col("match") == "fail").alias("unknown"))
+    share = F.col("found") / F.col("wanted")
+    level = F.when(F.col("exact") / F.col("wanted") >= accept, "accept").when(share >= drift, "drift").otherwise("reject")
+    return g.join(n, "format").select("file", "format", "found", "exact", "unknown", F.round(share, 4).alias("share"), level.alias("level"))
 
 
 def page_of(log: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:

@@ -61,30 +61,6 @@ SELECT name, entity, coalesce(scope, 'none') AS scope FROM n LEFT JOIN b ON key
 )
 
 
-query("m13_last_day_path", f"""{WITH_C}, p AS (SELECT *, 52 + 0.05 * (k % 12) AS lat, max(ts) OVER (PARTITION BY subscriber) AS last FROM c), g AS (SELECT subscriber, round(CAST(lat AS DOUBLE), 3) AS lat, min(ts) AS first_ts FROM p WHERE ts >= last - INTERVAL 24 HOUR GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY subscriber ORDER BY first_ts) AS step FROM g""")(
-    lambda t: (
-        lambda p: p.join(p.groupBy("subscriber").agg(F.max("ts").alias("last")), "subscriber").where("ts >= last - interval 24 hours").groupBy("subscriber", F.round("lat", 3).alias("lat")).agg(F.min("ts").alias("first_ts")).withColumn("step", F.row_number().over(Window.partitionBy("subscriber").orderBy("first_ts")))
-    )(t.cdr.withColumn("lat", (52 + F.lit(0.05) * (F.col("k") % 12)).cast("double")))
-)
-_AIR = [("A", 52.0, 21.0), ("B", 52.5, 21.3)]
-
-
-@query("m12_airports")
-def m12(t):
-    """Nearest airport within 15 km of each place; airports are some thousands at most."""
-    places = t.cdr.select("place", (52 + F.lit(0.05) * (F.col("k") % 12)).cast("double").alias("lat"), (21 + F.lit(0.03) * (F.col("k") % 12)).cast("double").alias("lon")).distinct()
-    air = t.spark.createDataFrame(_AIR, "airport string, alat double, alon double").withColumn("band", F.explode(F.array(*((F.floor(F.col("alat") * 5) + i) for i in (-1, 0, 1)))))
-    near = places.withColumn("band", F.floor(F.col("lat") * 5)).join(air, "band").withColumn("metres", P.haversine(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"))).where("metres <= 15000")
-    return near.groupBy("place", "lat", "lon").agg(F.min_by("airport", "metres").alias("airport"), F.round(F.min("metres"), 1).alias("metres"))
-
-
-query("i2_file_subscriber", f"""{WITH_C}, v AS (SELECT event_id % 20 AS file, unnest([concat('+48', CAST(600000000 + event_id % 20 AS VARCHAR)), contact]) AS number FROM c), g AS (SELECT file, right(number, 9) AS number, count(*) AS n FROM v GROUP BY 1, 2) SELECT file, arg_min(number, (-n, number)) AS subscriber, max(n) AS n FROM g GROUP BY 1""")(
-    lambda t: t.cdr.select((F.col("event_id") % 20).alias("file"), F.explode(F.array(F.concat(F.lit("+48"), (F.col("event_id") % 20 + 600000000).cast("string")), "contact")).alias("number")).groupBy("file", P.last_number(F.col("number")).alias("number")).agg(F.count("*").alias("n")).groupBy("file").agg(F.min_by("number", F.struct(-F.col("n"), "number")).alias("subscriber"), F.max("n").alias("n"))
-)
-query("i3_group_files", f"""{WITH_C}, g AS (SELECT subscriber, count(DISTINCT event_id % 7) AS files, count(*) AS n FROM c GROUP BY 1) SELECT subscriber, files, n, CASE WHEN files = 1 THEN 'single' WHEN n >= 20 THEN 'confirmed' ELSE 'check' END AS reason FROM g""")(
-    lambda t: t.cdr.groupBy("subscriber").agg(F.countDistinct(F.col("event_id") % 7).alias("files"), F.count("*").alias("n")).withColumn("reason", F.when(F.col("files") == 1, "single").when(F.col("n") >= 20, "confirmed").otherwise("check"))
-)
-
 query("x3_token_classes", f"{WITH_X} SELECT token, token IN ('BTC', 'ETH', 'USDT', 'USDC', 'XMR', 'PLN', 'USD', 'EUR', 'GBP', 'CHF') AS known, count(*) AS n FROM x GROUP BY 1")(lambda t: t.transfers.groupBy("token").agg(F.first(F.col("token").isin(L.KNOWN)).alias("known"), F.count("*").alias("n")))
 query("x29_orders", "SELECT o_orderpriority AS market, o_orderstatus AS state, count(*) AS n, rank FROM orders JOIN (SELECT o_orderpriority, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS rank FROM orders GROUP BY 1) USING (o_orderpriority) WHERE rank <= 15 GROUP BY 1, 2, 4")(
     lambda t: (lambda top: t("orders").join(top, "o_orderpriority").groupBy(F.col("o_orderpriority").alias("market"), F.col("o_orderstatus").alias("state"), "rank").agg(F.count("*").alias("n")))(

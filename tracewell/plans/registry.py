@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .tables import Tables
 
-MODULES = ["bank", "notes", "references", "household", "ledger", "exchange", "calls", "billing", "places", "segments", "streams"]
+MODULES = ["bank", "notes", "references", "household", "ledger", "exchange", "calls", "billing", "places", "segments", "files", "streams"]
 
 
 def _modules():

@@ -28,14 +28,21 @@ SELECT s.conv_id, s.seg, coalesce(speaker, 'UNKNOWN') AS speaker, coalesce(o, 0.
     lambda t: S.best_overlap(t.turns.select("conv_id", F.col("turn").alias("seg"), (F.col("t0") + 3).alias("s0"), (F.col("t1") + 3).alias("s1")), t.turns)
 )
 STRONG, MODERATE = ["license", "password="], ["the", "von", "que"]
-query("t2_document_detector", f"SELECT doc_id, CAST({' + '.join(f'CASE WHEN regexp_matches(text, {p!r}) THEN {w} ELSE 0 END' for w, ps in ((3, STRONG), (1, MODERATE)) for p in ps)} AS INT) AS points FROM documents")(lambda t: t("documents").select("doc_id", S.weighted_patterns(F.col("text"), STRONG, MODERATE).cast("int").alias("points")))
+query("t2_document_detector", f"""WITH p AS (SELECT doc_id, CAST({' + '.join(f'CASE WHEN regexp_matches(lower(text), {p!r}) THEN {w} ELSE 0 END' for w, ps in ((3, STRONG), (1, MODERATE)) for p in ps)} AS INT) AS points FROM documents) SELECT doc_id, points, points >= 3 AS document FROM p""")(
+    lambda t: t("documents").select("doc_id", S.weighted_patterns(F.lower("text"), STRONG, MODERATE).cast("int").alias("points"), S.is_document(F.col("text"), STRONG, MODERATE).alias("document"))
+)
 TERMS = ["the ", "tion", "que"]
 query("t3_glossary", "SELECT doc_id, sha256(replace(replace(replace(text, 'the ', '[[T0]]'), 'tion', '[[T1]]'), 'que', '[[T2]]')) AS protected_sha256, true AS restored FROM documents")(
     lambda t: t("documents").select("doc_id", F.sha2(S.protect(F.col("text"), TERMS).cast("binary"), 256).alias("protected_sha256"), (S.restore(S.protect(F.col("text"), TERMS), TERMS) == F.col("text")).alias("restored"))
 )
 
 
-@query("t4_sentence_chunks")
+#: The same fold, a sentence a step, by recursion over sentences.
+@query("t4_sentence_chunks", r"""WITH RECURSIVE m AS (SELECT doc_id, regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g') AS t FROM documents),
+p AS (SELECT doc_id, list_filter(string_split(t, chr(1)), lambda x: trim(x, chr(32)) <> '') AS parts FROM m),
+s AS (SELECT doc_id, generate_subscripts(parts, 1) AS i, len(regexp_split_to_array(trim(unnest(parts), chr(32)), '\s+')) AS n FROM p),
+r AS (SELECT doc_id, i, n, 0 AS chunk, n AS words FROM s WHERE i = 1 UNION ALL SELECT s.doc_id, s.i, s.n, CASE WHEN r.words > 0 AND r.words + s.n > 400 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.words > 0 AND r.words + s.n > 400 THEN s.n ELSE r.words + s.n END FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1)
+SELECT doc_id, chunk, CAST(sum(n) AS BIGINT) AS words, count(*) AS sentences FROM r GROUP BY 1, 2""")
 def t4(t):
     return S.sentence_chunks(t("documents"))
 
@@ -44,13 +51,24 @@ query("t5_round_robin", r"""WITH l AS (SELECT doc_id, list_filter(string_split(t
 SELECT doc_id, line, concat('Speaker ', CAST(line % 2 + 1 AS VARCHAR)) AS speaker, length(content) AS chars FROM e""")(lambda t: S.round_robin(t("documents")))
 
 
-@query("t6_header_drift")
-def t6(t):
-    headers = t("supplier").select(F.concat(F.lit("file"), (F.col("s_suppkey") % 50).cast("string")).alias("file"), F.lit("bank").alias("format"), F.element_at(F.array(*(F.lit(x) for x in ("Amount", "Booking-Date", "amuont", "Title of transfer", "zzz"))), (F.col("s_suppkey") % 5 + 1).cast("int")).alias("header")).distinct()
-    expected = t.spark.createDataFrame([("bank", x) for x in ("amount", "booking_date", "title", "counterparty")], "format string, expected string")
-    return S.header_drift(headers, expected)
+_HEADERS = ("Amount", "Booking-Date", "amuont", "Title of transfer", "zzz", "counterparty", "Title", "booking_date", "amount")
+_WANTED = ("amount", "booking_date", "title", "counterparty")
+_DRIFT = f"""WITH h AS (SELECT DISTINCT concat('file', CAST(s_suppkey % 50 AS VARCHAR)) AS file, 'bank' AS format, [{", ".join(f"'{x}'" for x in _HEADERS)}][s_suppkey % 9 + 1] AS header FROM supplier),
+e AS (SELECT unnest([{", ".join(f"'{x}'" for x in _WANTED)}]) AS expected), j AS (SELECT *, regexp_replace(lower(header), '[^a-z0-9]+', '', 'g') AS h, regexp_replace(expected, '[^a-z0-9]+', '', 'g') AS x FROM h, e),
+r AS (SELECT *, 1 - levenshtein(h, x) / greatest(length(h), length(x), 1) AS ratio FROM j), l AS (SELECT *, CASE WHEN h = x THEN 0 WHEN contains(h, x) OR contains(x, h) THEN 1 WHEN ratio >= 0.75 THEN 2 ELSE 3 END AS level FROM r),
+b AS (SELECT *, row_number() OVER (PARTITION BY file, header ORDER BY level, ratio DESC, expected) AS k FROM l),
+m AS (SELECT file, format, header, CASE WHEN level < 3 THEN expected END AS expected, ['exact', 'contained', 'drift', 'fail'][level + 1] AS match FROM b WHERE k = 1)"""
+
+
+def _matches(t):
+    headers = t("supplier").select(F.concat(F.lit("file"), (F.col("s_suppkey") % 50).cast("string")).alias("file"), F.lit("bank").alias("format"), F.element_at(F.array(*map(F.lit, _HEADERS)), (F.col("s_suppkey") % 9 + 1).cast("int")).alias("header")).distinct()
+    expected = t.spark.createDataFrame([("bank", x) for x in _WANTED], "format string, expected string")
+    return S.header_drift(headers, expected), expected
 
 
+query("t6_header_drift", f"{_DRIFT} SELECT * FROM m")(lambda t: _matches(t)[0])
+query("t6_drift_levels", f"""{_DRIFT}, g AS (SELECT file, format, count(DISTINCT expected) FILTER (match <> 'fail') AS found, count(DISTINCT expected) FILTER (match = 'exact') AS exact, count(*) FILTER (match = 'fail') AS unknown FROM m GROUP BY 1, 2)
+SELECT *, round(found / 4, 4) AS share, CASE WHEN exact = 4 THEN 'accept' WHEN found / 4 >= 0.5 THEN 'drift' ELSE 'reject' END AS level FROM g""")(lambda t: S.drift_levels(*_matches(t)))
 query("t7_audit_page", "SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('error', 'signup') ORDER BY ts DESC, event_id LIMIT 50 OFFSET 100")(
     lambda t: S.page_of(t("events").where("event_type in ('error', 'signup')"), [F.desc("ts"), F.col("event_id")], 2, 50).select("event_id", "user_id", "event_type")
 )

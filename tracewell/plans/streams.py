@@ -6,8 +6,6 @@ stay open at the end.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +30,7 @@ def query(name: str, sql: str | None = None):
 def _stream(t, name: str) -> DataFrame:
     """The base table as a stream of files. A stream reads folders and globs."""
     schema = t(name).schema
-    return t.spark.readStream.schema(schema).parquet(f"{t.dir}/{name}.parquet*")
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{t.dir}/{name}.parquet*")
 
 
 def _cdr(t) -> DataFrame:
@@ -43,15 +41,8 @@ def _transfers(t) -> DataFrame:
     return t.spark.sql(TRANSFERS, orders=_stream(t, "orders"))
 
 
-def _folder(t) -> str:
-    import tempfile
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tracewell-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def _table(t, stream: DataFrame) -> DataFrame:
-    at = _folder(t)
+    at = t.scratch()
     D.run_to_table(stream, f"{at}/out", f"{at}/state")
     return t.spark.read.schema(stream.schema).parquet(f"{at}/out")
 
@@ -61,22 +52,21 @@ query("st1_deduplicate", f"{WITH_C} SELECT subscriber, contact, count(*) AS n FR
 )
 
 
-@query("st2_daily_activity")
-def st2(t):
-    return _table(t, D.tumbling(_cdr(t), "subscriber"))
-
+def _alerts(t, run) -> DataFrame:
+    at = t.scratch()
+    run(f"{at}/out", f"{at}/state")
+    return t.spark.read.parquet(f"{at}/out").drop("batch")
 
-@query("st3_sliding_bursts")
-def st3(t):
-    return _table(t, D.sliding_bursts(_cdr(t), "subscriber", 2))
 
-
-@query("st4_sessions")
-def st4(t):
-    return _table(t, D.sessions(_cdr(t), "subscriber"))
-
-
-query("st5_inactivity_alerts", f"{WITH_C}, {_GAP} SELECT subscriber, event_id, gap_s FROM e WHERE gap_s >= 43200")(lambda t: _table(t, D.inactivity_alerts(_cdr(t), "subscriber", "event_id")))
+#: Windows and sessions come out once the watermark, a day behind the newest record, has passed their end.
+_END = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM c)"
+_NTZ = lambda df, *cs: df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cs})
+query("st2_daily_activity", f"{WITH_C} SELECT subscriber, date_trunc('day', ts) AS from_ts, count(*) AS n FROM c GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {_END}")(lambda t: _NTZ(_table(t, D.tumbling(_cdr(t), "subscriber")), "from_ts"))
+query("st3_sliding_bursts", f"""{WITH_C}, w AS (SELECT subscriber, time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE * unnest(range(6)) AS from_ts FROM c)
+SELECT subscriber, from_ts, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 2 AND from_ts + INTERVAL 30 MINUTE <= {_END}""")(lambda t: _NTZ(_table(t, D.sliding_bursts(_cdr(t), "subscriber", 2)), "from_ts"))
+query("st4_sessions", f"""{WITH_C}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY subscriber ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM c), s AS (SELECT *, sum(new) OVER (PARTITION BY subscriber ORDER BY ts) AS session FROM g)
+SELECT subscriber, min(ts) AS from_ts, max(ts) + INTERVAL 12 HOUR AS to_ts, count(*) AS n FROM s GROUP BY subscriber, session HAVING max(ts) + INTERVAL 12 HOUR <= {_END}""")(lambda t: _NTZ(_table(t, D.sessions(_cdr(t), "subscriber")), "from_ts", "to_ts"))
+query("st5_inactivity_alerts", f"{WITH_C}, {_GAP} SELECT subscriber, event_id, gap_s FROM e WHERE gap_s >= 43200")(lambda t: _alerts(t, lambda out, state: D.inactivity_alerts(_cdr(t), "subscriber", "event_id", out, state)))
 query("st6_pass_through", f"""{WITH_X} SELECT d.from_address, d.transfer_id AS deposit_id, w.transfer_id AS withdrawal_id FROM x d JOIN x w ON d.from_address = w.from_address AND w.ts_s - d.ts_s BETWEEN 0 AND 86400 WHERE d.tx_type = 'deposit' AND w.tx_type = 'withdrawal'""")(
     lambda t: _table(
         t,
@@ -90,13 +80,17 @@ query("st6_pass_through", f"""{WITH_X} SELECT d.from_address, d.transfer_id AS d
 query("st7_enrich", f"{WITH_X} SELECT transfer_id, n_name AS watched FROM x LEFT JOIN nation ON to_address = concat('w', CAST(n_nationkey AS VARCHAR))")(
     lambda t: _table(t, D.enrich(_transfers(t), t("nation").select(F.concat(F.lit("w"), F.col("n_nationkey").cast("string")).alias("to_address"), F.col("n_name").alias("watched")), "to_address").select("transfer_id", "watched"))
 )
-query("st8_device_changes", f"{_DEV}, l AS (SELECT *, lag(device) OVER (PARTITION BY subscriber ORDER BY ts, event_id) AS b FROM d) SELECT subscriber, event_id, b AS from_device, device AS to_device FROM l WHERE b <> device")(
-    lambda t: _table(t, D.device_change_alerts(_cdr(t).withColumn("device", F.concat(F.lit("dev"), (F.col("k") % 3).cast("string"))), "subscriber", "event_id"))
+def _devices(t) -> DataFrame:
+    return _cdr(t).withColumns({"device": F.when(F.col("k") % 5 != 0, F.concat(F.lit("dev"), (F.col("k") % 3).cast("string"))), "domain": F.when(F.col("record_type") == "DATA", "data").otherwise("voice")})
+
+
+query("st8_device_changes", f"{_DEV}, l AS (SELECT *, lag(device) OVER (PARTITION BY subscriber, domain ORDER BY ts, event_id) AS b FROM d WHERE k % 5 <> 0) SELECT subscriber, domain, event_id, b AS from_device, device AS to_device FROM l WHERE b <> device")(
+    lambda t: _alerts(t, lambda out, state: D.device_change_alerts(_devices(t), "subscriber", "event_id", out, state))
 )
 
 
 @query("st9_rolling_risk", f"{WITH_X} SELECT from_address, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount FROM x GROUP BY 1")
 def st9(t):
-    at = _folder(t)
+    at = t.scratch()
     D.rolling_risk(_transfers(t), "from_address", f"{at}/out", f"{at}/state")
     return t.spark.read.parquet(f"{at}/out").groupBy("from_address").agg(F.sum("n").alias("n"), F.sum("amount").cast("double").alias("amount"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,11 @@ CDR = """SELECT event_id, user_id AS subscriber, ts, value,
   concat('BTS-', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 12 AS STRING)) AS place
 FROM {events}"""
 
+#: Located records: twelve sites some tens of kilometres apart; two of three subscribers roam now and then.
+MOVES = """SELECT event_id, user_id AS subscriber, ts, k, CAST(50 + 0.7 * (k % 4) + 0.004 * (k % 3) AS DOUBLE) AS lat, CAST(19 + 0.9 * (CAST((k - k % 4) / 4 AS INT) % 3) + 0.003 * (k % 2) AS DOUBLE) AS lon,
+  user_id % 3 <> 0 AND k >= 80 AS roaming, CASE WHEN user_id % 3 <> 0 AND k >= 80 THEN CASE k % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'US' ELSE 'CZ' END END AS country
+FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {events}) e"""
+
 #: Billing records with both ends, as an operator delivers them: some without direction, forwarded, to special numbers.
 BILLING = """SELECT event_id, subscriber, ts, own, CASE WHEN event_id % 2 = 0 THEN own ELSE other END AS caller, CASE WHEN event_id % 2 = 0 THEN other ELSE own END AS callee, other AS contact,
   CASE event_type WHEN 'click' THEN 'CALL' WHEN 'signup' THEN 'CALL_IN' WHEN 'view' THEN 'SMS' WHEN 'purchase' THEN 'SMS_IN' WHEN 'error' THEN 'CALL_FORWARDED' ELSE 'DATA' END AS record_type,
@@ -82,6 +89,7 @@ FROM {conversations}"""
 #: For the oracle: the canonical tables as common table expressions.
 WITH_B = f"WITH b AS ({BANK_TX.format(orders='orders')})"
 WITH_C = f"WITH c AS ({CDR.format(events='events')})"
+WITH_M = f"WITH p AS ({MOVES.format(events='events')})"
 WITH_L = f"WITH l AS ({BILLING.format(events='events')})"
 WITH_X = f"WITH x AS ({TRANSFERS.format(orders='orders')})"
 WITH_N = f"WITH n AS ({NOTES.format(bank=f"({BANK_TX.format(orders='orders')})")})"
@@ -98,6 +106,13 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def scratch(self) -> str:
+        """A new folder that driver and executors share; one of this machine only where all runs on it."""
+        base = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
+        if not base and not self.spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        return f"{(base or tempfile.mkdtemp(prefix='tracewell-')).rstrip('/')}/plans/{uuid.uuid4().hex}"
+
     @cached_property
     def bank(self) -> DataFrame:
         return self.spark.sql(BANK_TX, orders=self("orders"))
@@ -110,6 +125,10 @@ class Tables:
     def billing(self) -> DataFrame:
         return self.spark.sql(BILLING, events=self("events")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
+    @cached_property
+    def moves(self) -> DataFrame:
+        return self.spark.sql(MOVES, events=self("events")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
     @cached_property
     def transfers(self) -> DataFrame:
         return self.spark.sql(TRANSFERS, orders=self("orders"))

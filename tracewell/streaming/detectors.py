@@ -1,15 +1,19 @@
 """Ordered-event detectors as streams. Event time must be TIMESTAMP; late rows beyond the watermark
-are dropped by Spark, as documented there. State is kept per key and ends with the watermark.
+are dropped by Spark, as documented there.
+
+Windows, sessions, joins and deduplication keep their state in Spark, which drops it by the watermark.
+Detectors that compare a record with the one before it work on batches: inside a batch the order is
+made by Spark windows, a day at a time, and between batches a small table holds the last record of
+each key. Both it and the results are written a folder a batch, so a batch that is run again replaces
+itself; a key that stays away longer than ``ttl_days`` is forgotten.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def deduplicate(events: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
@@ -35,37 +39,67 @@ def sessions(events: DataFrame, key: str, gap: str = "12 hours", delay: str = "1
     return g.select(key, F.col("w.start").alias("from_ts"), F.col("w.end").alias("to_ts"), "n")
 
 
-def inactivity_alerts(events: DataFrame, key: str, id_column: str, hours: int = 12) -> DataFrame:
-    """ST5: pauses between a key's records, in event order inside each batch."""
+def after_each(rows: DataFrame, key: list[str], id_column: str, carried: list[str]) -> DataFrame:
+    """Each record with ``carried`` columns of the record before it in its key, named ``last_...``.
+
+    Records are compared within a day; a day's first one with the last of the day before it that has
+    any. So no task needs more than a day of a key at once.
+    """
+    own = Window.partitionBy(*key, "_day").orderBy("ts", id_column)
+    r = rows.withColumn("_day", F.to_date("ts"))
+    r = r.withColumns({f"last_{c}": F.lag(c).over(own) for c in carried} | {"_first": F.row_number().over(own) == 1})
+    order = F.struct("ts", id_column)
+    ends = r.groupBy(*key, "_day").agg(*(F.max_by(c, order).alias(f"_{c}") for c in carried))
+    days = Window.partitionBy(*key).orderBy("_day")
+    ends = ends.select(*key, "_day", *(F.lag(f"_{c}").over(days).alias(f"_{c}") for c in carried))
+    out = r.join(ends, [*key, "_day"], "left")
+    return out.withColumns({f"last_{c}": F.when(F.col("_first"), F.col(f"_{c}")).otherwise(F.col(f"last_{c}")) for c in carried}).drop("_day", "_first", *(f"_{c}" for c in carried))
+
+
+def _drop(spark, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(["ts", id_column])
-        ts = rows["ts"].astype("datetime64[us]").astype("int64") // 1_000_000
-        before = ts.shift(1)
-        if last is not None:
-            before.iloc[0] = last
-        hit = (ts - before) >= hours * 3600
-        state.update((int(max(ts.max(), last or 0)),))
-        yield pd.DataFrame({key: k[0], id_column: rows[id_column][hit], "gap_s": (ts - before)[hit].astype("int64")})
 
-    kind = dict(events.dtypes)
-    return events.select(key, id_column, "ts").groupBy(key).applyInPandasWithState(run, f"{key} {kind[key]}, {id_column} {kind[id_column]}, gap_s long", "last long", "append", GroupStateTimeout.NoTimeout)
+def compare_batches(stream: DataFrame, key: list[str], id_column: str, carried: list[str], found: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, ttl_days: int = 365) -> None:
+    """Everything that is there now: ``found`` picks from records with their ``last_...`` columns what is
+    written to ``path``. Records that come later than younger ones of their key are compared in the
+    batch they come in; the younger ones stay the last."""
+
+    def batch(df: DataFrame, i: int) -> None:
+        spark = df.sparkSession
+        rows = df.select(*key, id_column, "ts", *(c for c in carried if c != "ts")).where(F.col("ts").isNotNull())
+        rows = rows.persist()
+        old = spark.read.parquet(f"{checkpoint}/last/batch={i - 1}") if i else spark.createDataFrame([], rows.schema)
+        together = rows.withColumn("_new", F.lit(True)).unionByName(old.withColumn("_new", F.lit(False)))
+        found(after_each(together, key, id_column, carried).where("_new").drop("_new")).write.mode("overwrite").parquet(f"{path}/batch={i}")
+        order = F.struct("ts", id_column)
+        rest = [c for c in rows.columns if c not in key]
+        last = together.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*key, "r.*").select(*rows.columns)
+        newest = last.agg(F.max("ts").alias("newest"))
+        last.join(F.broadcast(newest)).where(F.col("ts") >= F.col("newest") - F.expr(f"interval {ttl_days} days")).drop("newest").write.mode("overwrite").parquet(f"{checkpoint}/last/batch={i}")
+        rows.unpersist()
+        if i > 1:
+            _drop(spark, f"{checkpoint}/last/batch={i - 2}")
+
+    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
 
 
-def device_change_alerts(events: DataFrame, key: str, id_column: str, device: str = "device") -> DataFrame:
-    """ST8: a device that differs from the last one of the key."""
+def inactivity_alerts(stream: DataFrame, key: str, id_column: str, path: str, checkpoint: str, hours: int = 12, ttl_days: int = 365) -> None:
+    """ST5: pauses between a key's records, to ``path``."""
+    gap = F.unix_timestamp("ts") - F.unix_timestamp("last_ts")
+    found = lambda df: df.where(gap >= hours * 3600).select(key, id_column, gap.alias("gap_s"))
+    compare_batches(stream, [key], id_column, ["ts"], found, path, checkpoint, ttl_days)
 
-    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["ts", id_column])
-        before = rows[device].shift(1)
-        before.iloc[0] = state.get[0] if state.exists else None
-        hit = before.notna() & (before != rows[device])
-        state.update((str(rows[device].iloc[-1]),))
-        yield pd.DataFrame({key: k[0], id_column: rows[id_column][hit], "from_device": before[hit], "to_device": rows[device][hit]})
 
-    kind = dict(events.dtypes)
-    return events.select(key, id_column, "ts", device).groupBy(key).applyInPandasWithState(run, f"{key} {kind[key]}, {id_column} {kind[id_column]}, from_device string, to_device string", "device string", "append", GroupStateTimeout.NoTimeout)
+def device_change_alerts(stream: DataFrame, key: str, id_column: str, path: str, checkpoint: str, device: str = "device", domain: str = "domain", ttl_days: int = 365) -> None:
+    """ST8: a device that differs from the last one of the key in its domain (voice or data), to ``path``.
+    Records without a device tell nothing and are left out."""
+    found = lambda df: df.where(F.col(f"last_{device}") != F.col(device)).select(key, domain, id_column, F.col(f"last_{device}").alias("from_device"), F.col(device).alias("to_device"))
+    compare_batches(stream.where(F.col(device).isNotNull()), [key, domain], id_column, [device], found, path, checkpoint, ttl_days)
 
 
 def pass_through(deposits: DataFrame, withdrawals: DataFrame, key: str, hours: int = 24, delay: str = "1 day") -> DataFrame:
