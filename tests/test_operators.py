@@ -2,12 +2,13 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import geo
 from tracewell.functions import text as T
-from tracewell.operators import bank, calls, household, ledger, places, segments
-from tracewell.operators.rules import classify
+from tracewell.operators import bank, calls, exchange, household, ledger, places, references, segments
+from tracewell.operators.rules import city_of, classify, merchant_of
 from tracewell.sources import tables as sources
 
 TX = "tx_id long, account_id long, booking_date date, amount decimal(18,2), direction string, channel string, category string, counterparty string"
@@ -97,10 +98,100 @@ def test_recurrence(spark):
 
 
 def test_rules(spark):
-    rules = spark.createDataFrame([(1, "a", 60, "x"), (2, "b", 70, "y"), (3, "a", 60, "xx"), (4, "c", -200, "z")], "rule_id int, category string, weight int, pattern string")
-    rows = spark.createDataFrame([(1, "xx y"), (2, "z"), (3, "q"), (4, None)], "id long, t string")
-    got = {r["id"]: (r["category"], r["tags"], r["rules"], r["risk_score"]) for r in classify(rows, rules, "id", "t").collect()}
-    assert got == {1: ("a", "a,b", "1,2,3", 100), 2: ("c", "c", "4", 0), 3: ("unclassified", "", "", 0), 4: ("unclassified", "", "", 0)}
+    rules = spark.createDataFrame(
+        [("category", "a", "one", "x", 2), ("category", "a", "one", "xx", 1), ("category", "b", "two", "y|ó", 3), ("category", "a", "three", "x", 4), ("risk", "cash", "", "z", 5), ("risk", "cash", "", "zz", 6)],
+        "kind string, category string, subcategory string, pattern string, priority int",
+    )
+    rows = spark.createDataFrame([(1, "XX y", "neutral"), (2, "z", "blacklist"), (3, "q", "whitelist"), (4, None, None), (5, "o", "neutral"), (6, "shop", "neutral")], "id long, t string, label string")
+    shops = spark.createDataFrame([("shop", "Shop", "retail", "any", 1), ("y", "Y", "never", "any", 2)], "pattern string, name string, category string, subcategory string, priority int")
+    got = {r["id"]: tuple(r)[1:] for r in classify(rows, rules, "id", "t", {"A": 60, "B": 70, "CASH": 5, "BLACKLISTED": 7}, merchants=shops, label="label").collect()}
+    assert got[1] == ("a", "a:one", "a,b", 100, "category:a:one|xx|a;category:b:two|y|ó|b;category:a:three|x|a")
+    assert got[2] == ("unclassified", "", "RISK:cash,BLACKLISTED", 42, "risk:cash|z|cash;memory:blacklist||blacklist")
+    assert got[3] == ("unclassified", "", "", 0, "memory:whitelist||whitelist") and got[4] == ("unclassified", "", "", 0, "")
+    assert got[6] == ("retail", "any", "", 0, "merchant_db:retail|Shop|retail")
+    many = spark.range(6000).selectExpr("'category' as kind", "'a' as category", "'b' as subcategory", "'x' as pattern", "cast(id as int) as priority")
+    with pytest.raises(ValueError, match="more than 5000 rules"):
+        classify(rows, many, "id", "t", {"A": 1})
+
+
+def test_rules_see_texts_without_their_marks(spark):
+    rules = spark.createDataFrame([("category", "loans", "x", "pozyczk", 1)], "kind string, category string, subcategory string, pattern string, priority int")
+    rows = spark.createDataFrame([(1, "Pożyczka"), (2, "poży")], "id long, t string")
+    assert {r["id"]: r["category"] for r in classify(rows, rules, "id", "t", {"LOANS": 1}).collect()} == {1: "loans", 2: "unclassified"}
+
+
+def test_merchants_by_priority_then_length(spark):
+    rules = spark.createDataFrame([(2, "Shop", "s", "(?i)shop"), (2, "Shop One", "s1", "(?i)shop one"), (1, "Lender", "l", "(?i)loan")], "priority int, name string, category string, pattern string")
+    rows = spark.createDataFrame([(1, "SHOP one"), (2, "shop loan"), (3, None)], "id long, t string")
+    assert {r["id"]: (r["merchant"], r["category"]) for r in merchant_of(rows, rules, "id", "t").collect()} == {1: ("Shop One", "s1"), 2: ("Lender", "l"), 3: (None, "none")}
+    cities = spark.createDataFrame([("shop in Nowy Targ",), ("Targówek",), ("targ!",)], "t string").select(city_of(F.col("t"), ["targ", "nowy targ"]).alias("c")).collect()
+    assert [r["c"] for r in cities] == ["nowy targ", None, "targ"]
+
+
+def test_accounts_in_texts(spark):
+    rows = [
+        ("x PL61 1090 1014 0000 0712 1981 2874 y", ["61109010140000071219812874"]), ("PL62109010140000071219812874", []), ("61 1090 1014 0000 0712 1981 2874", ["61109010140000071219812874"]),
+        ("62 1090 1014 0000 0712 1981 2874", []), ("73 1140 2004 0000 3002 0135 5387", ["73114020040000300201355387"]), ("ref 61109010140000071219812874", []), ("IBAN: 61109010140000071219812874", ["61109010140000071219812874"]),
+        ("to DE89370400440532013000 and DE88370400440532013000", ["DE89370400440532013000"]), (None, []),
+    ]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").select("i", references.accounts_in(F.col("t"), ["1140"]).alias("a")).orderBy("i").collect()
+    assert [r["a"] for r in got] == [a for _, a in rows]
+
+
+def test_name_relations(spark):
+    rows = [("Jan Kowalski", "own"), ("KOWALSKI JAN; UL. DŁUGA 5; 00-001", "own"), ("Anna Kowalska", "family"), ("Jan Nowak", "family"), ("Piotr Nowak", None), ("Kowalski", None), ("", None), (None, None)]
+    got = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(rows)], "i int, n string").select("i", references.name_relation(F.col("n"), F.lit("Jan Kowalski")).alias("r")).orderBy("i").collect()
+    assert [r["r"] for r in got] == [r for _, r in rows]
+
+
+def test_cards_take_back_rows_without_a_number(spark):
+    title = ["karta 4246 xxxx xxxx 9674", "płatność kartą *9674", "karta nr 9674", "zapłata kartą", "zapłata kartą", "karta 5500XXXXXXXX1111", "przelew 9674"]
+    rows = [(1, i, dt.date(2024, 1, 1), "DEBIT" if i != 4 else "CREDIT", 10.0 + i, "food", "OTHER", t, "Shop", "") for i, t in enumerate(title)]
+    df = spark.createDataFrame(rows, "account_id long, tx_id long, booking_date date, direction string, amount double, category string, channel string, title string, payee string, city string")
+    got = {r["card"]: (r["n"], r["largest"]) for r in references.card_discovery(df).collect()}
+    assert got == {"4246**9674": (3, 12.0), "****": (2, 14.0), "5500**1111": (1, 15.0)}
+
+
+def test_statement_findings(spark):
+    d = lambda x: dt.date(2024, 1, x)
+    rows = [(1, "s1", "A", "B", "h", d(1), d(5), 0.0, 10.0, d(1), d(5), 3, 3), (1, "s2", "A", "B", "h", d(6), d(9), 10.01, 5.0, d(5), d(10), 3, 4), (1, "s3", "X", "B", "", d(9), d(12), 5.02, 1.0, None, None, 3, None), (2, "t", None, None, None, None, None, None, None, None, None, 0, 0)]
+    cols = "case_id long, statement_id string, account_number string, bank_id string, file_hash string, period_from date, period_to date, opening double, closing double, tx_min date, tx_max date, tx_count int, declared int"
+    got = sorted((r["statement_id"] or "", r["type"], r["detail"]) for r in bank.validate_statements(spark.createDataFrame(rows, cols)).collect())
+    assert got == [("", "account_mismatch", "2"), ("s2", "balance_break", "-0.02"), ("s2", "duplicate", "h"), ("s2", "tx_after_period", "2024-01-10"), ("s2", "tx_before_period", "2024-01-05"), ("s2", "tx_incomplete", "1")]
+
+
+def test_nearest_rank_is_the_sorted_list_s(spark):
+    for n in (1, 2, 19, 20, 21, 40, 60, 99, 100, 101, 200):
+        got = spark.range(n).selectExpr("cast(id as double) as x").agg(bank.nearest_rank("x", 0.95).alias("p")).first()["p"]
+        assert got == min(int(0.95 * n), n - 1), n
+
+
+def test_entities_where_all_names_share_a_word(spark):
+    """A hot word pairs nothing by itself; the result is that of all pairs."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: rng.choice(["alfa", "beta", "gama", "delta", "omega"])
+    known = list(dict.fromkeys(f"firma {word()} {word()} {word()}" for _ in range(60))) + ["biedronka", "x"]
+    names = list(dict.fromkeys(f"{rng.choice(['firma', 'Firma', 'biuro'])} {word()} {word()} {word()}{rng.choice(['', ' z', '1'])}" for _ in range(80))) + ["biedronka123", "iedronk", "x"]
+    import re
+
+    def best(name):
+        x, tries = name.lower(), []
+        for e, alias in enumerate(known):
+            y = alias.lower()
+            a, b = (set(re.findall(r"\w+", v)) for v in (x, y))
+            part, ratio = min(len(x), len(y)) / max(len(x), len(y)), len(a & b) / max(len(a), len(b))
+            if x == y:
+                tries.append((1, -1.0, e))
+            elif (x in y or y in x) and part >= 0.7:
+                tries.append((2, -part, e))
+            elif ratio >= 0.8:
+                tries.append((3, -ratio, e))
+        return (min(tries)[2], {1: "exact", 2: "part", 3: "fuzzy"}[min(tries)[0]]) if tries else (None, "new")
+
+    got = bank.resolve_entities(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(e, a) for e, a in enumerate(known)], "entity_id long, name string")).collect()
+    assert {r["name"]: (r["entity_id"], r["how"]) for r in got} == {n: best(n) for n in names}
 
 
 CDR = "event_id long, subscriber long, ts timestamp, record_type string, contact string, duration_seconds long, place string, k int"
@@ -147,12 +238,13 @@ def test_segments(spark):
 
 
 def test_sources(spark, tmp_path):
-    assert sources.format_of(["UTC_Time", "Account", "Coin", "x"]) == "exchange" and sources.format_of(["a", "b"]) == "generic"
-    df = spark.createDataFrame([("2024-01-01 10:00:00", "acc", "Deposit", "BTC", "-1.5"), (None, "acc", "Buy", "BTC", "x")], "UTC_Time string, Account string, Operation string, Coin string, Change string")
+    assert sources.format_of(["UTC_Time", "Account", "Coin", "x"]) == "binance" and sources.format_of(["a", "b"]) == "generic"
+    assert all(sources.format_of([h.title() for h in hs]) == k for k, hs in sources.SIGNATURES.items())
+    df = spark.createDataFrame([("2024-01-01 10:00:00", "acc", "Deposit", "btc", "-1,5 USD"), (None, "acc", "Buy", "BTC", "x"), ("1704103200", "a", "fee", "BTC", "€2")], "UTC_Time string, Account string, Operation string, Coin string, Change string")
     r = sources.transfers_of(df).collect()
-    assert (float(r[0]["amount"]), r[0]["from_address"], r[0]["to_address"], r[1]["amount"]) == (1.5, "acc", None, None)
-    w = spark.createDataFrame([("2024-01-01", "s", "2", "3", "d", "t")], "date string, `received from` string, `received amount` string, `sent amount` string, `sent to` string, transaction string")
-    assert sorted((r["tx_type"], float(r["amount"])) for r in sources.transfers_of(w).collect()) == [("deposit", 2.0), ("withdrawal", 3.0)]
+    assert [(float(x["amount"]), x["token"], x["tx_type"]) for x in r] == [(1.5, "BTC", "deposit"), (0.0, "BTC", "swap"), (2.0, "BTC", "fee")] and r[0]["ts"] == r[2]["ts"] and r[1]["ts"] is None
+    w = spark.createDataFrame([("2024-01-01 00:00", "s", "2", "0", "", "t"), ("x", "", "", "3", "d", "u"), ("x", "s", "", "", "d", "v")], "date string, `received from` string, `received amount` string, `sent amount` string, `sent to` string, transaction string")
+    assert sorted((x["tx_type"], float(x["amount"]), x["from_address"], x["to_address"]) for x in sources.transfers_of(w, "me").collect()) == [("deposit", 2.0, "s", "me"), ("withdrawal", 3.0, "me", "d")]
     old = spark.createDataFrame([("A", 1), ("b", 1)], "address string, v int")
     assert sorted(map(tuple, sources.merge_watchlist(old, spark.createDataFrame([("a", 2)], "address string, v int")).collect())) == [("a", 2), ("b", 1)]
     up = sources.upsert(spark.createDataFrame([(1, 1, "x")], "id int, at int, v string"), spark.createDataFrame([(1, 2, "y")], "id int, at int, v string"), ["id"], "at")
@@ -178,3 +270,63 @@ def test_transit(spark):
     r = spark.createDataFrame([(1, i, p, dt.datetime(2024, 1, 1 + d, h), *at[p]) for i, (p, d, h) in enumerate(rows)], "subscriber long, event_id long, place string, ts timestamp, lat double, lon double")
     got = {x["place"]: (x["score"], x["transit"]) for x in places.transit(r, spark.createDataFrame([(1, "H", "W")], "subscriber long, home string, work string")).collect()}
     assert got == {"T": (100, True), "F": (0, False)}
+
+
+def test_profiles_on_both_sides_of_their_thresholds(spark):
+    base = dict(
+        owner="o", n=100, span_days=100, swaps=50, deposits=5, withdrawals=5, tokens=3, mean_amount=500.0, max_amount=5000.0, volume=9000.0, large=0, max_fiat=0.0, fiat_volume=0.0, large_fiat=0, active_days=50, mean_held_h=100.0, median_held_h=100.0,
+        leverage=False, rewards=0, card=0, privacy=0, airdrops=0, rapid=0, internal=0, max_per_day=5, same_day=0, per_day=1.0, per_week=25.0, per_active_day=2.0, activity=0.25,
+    )
+    cases = [
+        ("retail_hodler", {}, 10), ("retail_hodler", {"per_day": 0.99}, 20), ("retail_hodler", {"per_day": 0.49, "span_days": 181, "swaps": 49, "median_held_h": 720.1, "large": 10, "activity": 0.09}, 100),
+        ("retail_hodler", {"median_held_h": 720.0}, 20), ("retail_hodler", {"median_held_h": 168.0}, 10), ("retail_hodler", {"large": 11}, 10), ("scalper", {"rapid": 10}, 0), ("scalper", {"rapid": 11}, 15), ("scalper", {"rapid": 51, "max_per_day": 51, "per_day": 10.1, "max_amount": 2499.0}, 85),
+        ("scalper", {"max_per_day": 50}, 10), ("day_trader", {"per_day": 3.0, "same_day": 6, "median_held_h": 23.9, "leverage": True, "activity": 0.31}, 90), ("day_trader", {"same_day": 5}, 10), ("swing_trader", {"median_held_h": 336.0, "per_week": 20.0}, 60),
+        ("swing_trader", {"median_held_h": 47.9, "leverage": True}, 25), ("staker_validator", {"rewards": 5, "swaps": 19, "per_day": 0.9}, 55), ("staker_validator", {"rewards": 6, "swaps": 20}, 35), ("whale", {"max_fiat": 50_000.0, "fiat_volume": 500_001.0, "large_fiat": 6}, 70),
+        ("whale", {"max_amount": 100_001.0, "volume": 1_000_001.0, "large": 6}, 85), ("institutional", {"volume": 500_001.0, "activity": 0.61, "per_day": 5.1, "same_day": 21, "leverage": True, "swaps": 101}, 85), ("institutional", {"volume": 500_001.0, "fiat_volume": 1.0, "activity": 0.51}, 0),
+        ("alpha_hunter", {"tokens": 31, "airdrops": 4, "mean_amount": 99.0}, 75), ("alpha_hunter", {"tokens": 16, "airdrops": 3}, 25), ("meme_trader", {"activity": 0.19, "per_active_day": 5.1, "median_held_h": 11.9, "tokens": 17}, 60), ("bagholder", {"span_days": 91, "swaps": 0, "withdrawals": 0, "per_day": 0.09, "activity": 0.04}, 95),
+        ("bagholder", {"span_days": 181, "swaps": 4}, 20),
+    ]
+    rows = [{**base, **change, "owner": f"o{i}"} for i, (_, change, _) in enumerate(cases)]
+    kinds = {int: "long", float: "double", str: "string", bool: "boolean"}
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{k} {kinds[type(v)]}" for k, v in rows[0].items()))
+    got = {(r["owner"], r["profile"]): r["score"] for r in exchange.profiles(df).collect()}
+    for i, (profile, change, score) in enumerate(cases):
+        assert got.get((f"o{i}", profile), 0) == score, (profile, change)
+
+
+def test_holding_times_and_velocity(spark):
+    rows = [(1, 0, "A", "deposit", ""), (2, 3600, "A", "withdrawal", ""), (3, 3600, "A", "buy", ""), (4, 9000, "A", "swap", "SELL"), (5, 10_000, "B", "deposit", ""), (6, 10_000, "B", "withdrawal", "")]
+    df = spark.createDataFrame([(i, "o", t, k, 1.0, ty, s) for i, t, k, ty, s in rows], "row_id long, owner string, ts_s long, token string, amount double, tx_type string, side string")
+    for c, kind in (("fiat_value", "double"), ("category", "string"), ("sheet", "string"), ("internal", "boolean")):
+        df = df.withColumn(c, F.lit(None).cast(kind))
+    m = exchange.behaviour(df).first()
+    assert m["median_held_h"] == 1.5 and abs(m["mean_held_h"] - 1.25) < 1e-9 and m["span_days"] == 1  # held 1 h and 1.5 h; B is sold in the same second, not later
+    v = {r["token"]: (r["mean_h"], r["hot"]) for r in exchange.velocity(df).collect()}
+    assert v == {"A": (1.0, False)}
+
+
+def test_special_numbers(spark):
+    rows = [("112", "emergency"), ("+48112", "emergency"), ("Facebook", "social"), ("FACEBOOK-otp", "social"), ("roaming", "alphanumeric"), ("ing", "bank"), ("*100#", "ussd"), ("+48801123456", "premium"), ("+48600100200", None), ("600100200", None), ("375295434940", None), ("1234567", "short_code"), ("", None), (None, None)]
+    kind = calls.special_kind(F.col("c"), {"112": "emergency"}, {"facebook": "social", "ing": "bank"}, [(r"\*|#", "ussd"), (r"\+?48[78]0\d", "premium")])
+    got = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(rows)], "i int, c string").select("i", kind.alias("k")).orderBy("i").collect()
+    assert [r["k"] for r in got] == [k for _, k in rows]
+
+
+def test_travel_modes(spark):
+    rows = [(6.0, 2.9, "bts_hop"), (60.0, 9.9, "bts_hop"), (130.0, 14.9, "bts_hop"), (201.0, 59.0, "plane"), (450.0, 110.0, "plane"), (100.0, 60.0, "car"), (10.0, 60.0, "car"), (10.0, 100.0, "unknown")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "i int, km double, m double")
+    got = df.select("i", places.travel_mode(F.col("km"), F.col("m"), F.col("km") / (F.col("m") / 60)).alias("mode")).orderBy("i").collect()
+    assert [r["mode"] for r in got] == [m for _, _, m in rows]
+
+
+def test_border_crossings(spark):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [(1, 0, "x"), (1, 5, "DE"), (1, 8, "CZ"), (1, 9, "x"), (1, 20, "US"), (2, 0, "x"), (2, 47, "x"), (2, 95, "x"), (3, 0, "DE"), (3, 1, "x")]
+    df = spark.createDataFrame([(i, s, at(h), c != "x", None if c == "x" else c, 52.0, 21.0) for i, (s, h, c) in enumerate(rows)], "event_id long, subscriber long, ts timestamp, roaming boolean, country string, lat double, lon double")
+    got = places.border_crossings(df)
+    assert sorted((r["subscriber"], r["absence_hours"], r["records"], r["countries"], r["back_ts"] is None) for r in got.collect()) == [(1, 9.0, 2, "CZ,DE", False), (1, 11.0, 1, "US", True), (2, 48.0, 0, "", False), (3, 0.0, 1, "DE", False)]
+    air = spark.createDataFrame([("A", 52.1, 21.0)], "airport string, alat double, alon double")
+    mode = {(r["subscriber"], r["absence_hours"]): r["mode"] for r in places.crossing_mode(got, air, ["DE", "CZ"]).collect()}
+    assert mode == {(1, 9.0): "plane", (1, 11.0): "plane", (2, 48.0): "unknown", (3, 0.0): "walk"}
+    path = [(r["step"], r["first_ts"]) for r in places.last_day_path(got.where("subscriber = 1"), df.where("subscriber = 1")).collect()]
+    assert sorted(path) == [(1, at(0)), (1, at(0))]
