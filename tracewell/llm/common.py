@@ -6,6 +6,7 @@ included, are never touched.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 2_000_000
 
 _SHIPPED: set[str] = set()
+#: Gives what the C library holds free back to the system, where there is such a function.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def ship(spark: SparkSession) -> None:
@@ -98,3 +101,5 @@ def slices(batches, rows: int = 256, most: int = 4 << 20):
             yield b.slice(i, j - i)
             i = j
     pa.default_memory_pool().release_unused()  # the worker serves later stages too
+    if _TRIM:
+        _TRIM(0)
