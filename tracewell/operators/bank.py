@@ -105,7 +105,7 @@ def centroid_anomaly(feats: DataFrame, key: str = KEY, contamination: float = 0.
     part = [F.when(F.col(f"s_{c}") > 1e-9, F.pow((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"), 2)).otherwise(0.0) for c in names]
     d = d.select(key, "tx_id", F.round(F.sqrt(sum(part[1:], part[0])), 6).alias("distance"))
     at = d.groupBy(key).agg(nearest_rank("distance", 1 - contamination).alias("cut"), F.max("distance").alias("most"))
-    return d.join(at, key).where("distance > cut").select(key, "tx_id", F.round("distance", 4).alias("distance"), F.round(F.col("distance") / F.col("most"), 4).alias("score"))
+    return d.join(at, key).where("distance > cut").select(key, "tx_id", "distance", F.round(F.col("distance") / F.col("most"), 6).alias("score"))
 
 
 def income_table(tx: DataFrame, key: str = KEY) -> DataFrame:

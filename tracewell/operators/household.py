@@ -141,7 +141,7 @@ def standing_orders(tx: DataFrame, key: str = KEY) -> DataFrame:
     """standing orders by who gets them, with their categories."""
     s = tx.where("upper(bank_category) = 'ST.ZLEC' and length(trim(payee)) >= 2")
     g = s.groupBy(key, F.lower(F.trim("payee")).alias("recipient")).agg(F.count("*").alias("n"), money(F.abs("amount")).alias("total"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
-    return g.withColumn("mean", F.round(F.col("total") / F.col("n"), 2)).withColumn("classified", F.col("categories") != "")
+    return g.withColumn("mean", F.round(F.col("total") / F.col("n"), 6)).withColumn("classified", F.col("categories") != "")
 
 
 def reconcile_totals(st: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ query("a37_centroid_anomaly", f"""{_F}, s AS (SELECT account_id, count(*) AS n,
 d AS (SELECT account_id, tx_id, n, round(sqrt({" + ".join(f"CASE WHEN s_{c} > 1e-9 THEN pow(({c} - m_{c}) / s_{c}, 2) ELSE 0 END" for c in _NAMES)}), 6) AS distance FROM f JOIN s USING (account_id) WHERE n >= 10),
 r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY distance, tx_id) - 1 AS place, max(distance) OVER (PARTITION BY account_id) AS most FROM d),
 k AS (SELECT account_id, distance AS cut FROM r WHERE place = least(CAST(floor(n * (1 - 0.05)) AS BIGINT), n - 1))
-SELECT account_id, tx_id, round(distance, 4) AS distance, round(distance / most, 4) AS score FROM r JOIN k USING (account_id) WHERE distance > cut""")(lambda t: B.centroid_anomaly(B.features(t.bank)))
+SELECT account_id, tx_id, distance, round(distance / most, 6) AS score FROM r JOIN k USING (account_id) WHERE distance > cut""")(lambda t: B.centroid_anomaly(B.features(t.bank)))
 
 
 def _tags(t):

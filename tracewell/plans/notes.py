@@ -151,7 +151,7 @@ query("f7_fuel_visits", f"""{_SPEND}, h AS (SELECT account_id, arg_min(city, (-k
 g AS (SELECT account_id, station, coalesce(city, '') AS city, count(*) AS n, {D('sum(amount)')} AS total FROM q WHERE kind = 'fuel' GROUP BY 1, 2, 3)
 SELECT g.*, coalesce(city = home, false) AS at_home, city <> '' AND NOT coalesce(city = home, false) AS travel FROM g LEFT JOIN h USING (account_id)""")(lambda t: H.fuel_visits(_spent(t)))
 query("f7_people_paid", f"""{_SPEND} SELECT account_id, lower(trim(payee)) AS person, count(*) AS n, {D('sum(amount)')} AS total, max(booking_date) AS last_day FROM q WHERE kind = 'phone_transfer' GROUP BY 1, 2""")(lambda t: H.people_paid(_spent(t)))
-query("f7_standing_orders", f"""{WITH_N} SELECT account_id, lower(trim(payee)) AS recipient, count(*) AS n, {D('sum(amount)')} AS total, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories, round({D('sum(amount)')} / count(*), 2) AS mean, true AS classified FROM n WHERE bank_category = 'ST.ZLEC' GROUP BY 1, 2""")(lambda t: H.standing_orders(t.notes))
+query("f7_standing_orders", f"""{WITH_N} SELECT account_id, lower(trim(payee)) AS recipient, count(*) AS n, {D('sum(amount)')} AS total, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories, round({D('sum(amount)')} / count(*), 6) AS mean, true AS classified FROM n WHERE bank_category = 'ST.ZLEC' GROUP BY 1, 2""")(lambda t: H.standing_orders(t.notes))
 query("a43_geographic_share", f"""{WITH_N}, r AS (SELECT account_id, tx_id, amount, {_CITY.format('title')} AS city FROM n), c AS (SELECT account_id, city, count(*) AS n, {D('sum(amount)')} AS total, array_to_string(list_sort(list(tx_id))[1:3], ',') AS ids FROM r WHERE city IS NOT NULL GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY n DESC, city) AS rank, sum(n) OVER (PARTITION BY account_id) AS all_n FROM c)
 SELECT account_id, city, n, total, rank, round(n / all_n, 4) AS share, rank = 1 AS primary_city, CASE WHEN rank = 1 THEN '' ELSE ids END AS away_ids FROM k""")(lambda t: R.geographic_share(t.notes.withColumn("city", U.city_of(F.col("title"), _CITIES))))
