@@ -166,6 +166,12 @@ def summary(tx: DataFrame, key: str = KEY) -> DataFrame:
     return tx.groupBy(key).agg(F.count("*").alias("n"), when_sum(CREDIT).alias("credit"), when_sum(DEBIT).alias("debit"), F.count_if(F.expr(CREDIT)).alias("credits"), F.min("booking_date").alias("first_day"), F.max("booking_date").alias("last_day"), F.countDistinct("counterparty").alias("counterparties"), F.max("amount").cast("double").alias("largest"))
 
 
+def flagged(tx: DataFrame, risky: list[str], n: int = 20, key: str = KEY) -> DataFrame:
+    """Each account's largest transactions of the risky categories."""
+    f = tx.where(F.col("category").isin(risky)).select(key, "tx_id", "booking_date", "category", "counterparty", F.abs("amount").cast("double").alias("amount"))
+    return top_per_key(f, key, [F.desc("amount"), F.col("tx_id")], n)
+
+
 def rollup_by(tx: DataFrame, column: str, n: int, key: str = KEY) -> DataFrame:
     """The n largest groups of a column."""
     g = tx.groupBy(key, column).agg(F.count("*").alias("n"), money(F.abs("amount")).alias("total"))

@@ -310,3 +310,21 @@ def chain_balance(tx: DataFrame) -> DataFrame:
     d = tx.select("token", day().alias("day"), ends.alias("e")).groupBy("e.address", "token", "day").agg(F.sum("e.delta").alias("delta"))
     w = Window.partitionBy("address", "token").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return d.select("address", "token", "day", F.sum("delta").over(w).cast("double").alias("balance"))
+
+
+def month_flows(tx: DataFrame) -> DataFrame:
+    """Each owner's months: fiat in and out, the fiat value of buys, sales and withdrawals, what was
+    received and sent, and records."""
+    fiat = F.col("token").isin(FIAT)
+    s = lambda c, v="amount": F.coalesce(F.sum(F.when(c, F.abs(v))), F.lit(0)).cast("double")
+    t = F.col("tx_type")
+    return tx.groupBy(OWNER, F.date_format(day(), "yyyy-MM").alias("month")).agg(
+        s(fiat & t.isin("deposit", "fiat_deposit")).alias("fiat_in"), s(fiat & ~t.isin("deposit", "fiat_deposit")).alias("fiat_out"),
+        s(t == "buy", "fiat_value").alias("bought"), s(t == "sell", "fiat_value").alias("sold"), s(t == "withdrawal", "fiat_value").alias("moved_out"),
+        s(t == "deposit").alias("received"), s(t == "withdrawal").alias("sent"), F.count("*").alias("n"),
+    )
+
+
+def daily_types(tx: DataFrame) -> DataFrame:
+    """Records of each day and type, and (type null) in all."""
+    return tx.withColumn("day", day()).groupingSets([[F.col(OWNER), F.col("day"), F.col("tx_type")], [F.col(OWNER), F.col("day")]], OWNER, "day", "tx_type").agg(F.count("*").alias("n"))

@@ -123,20 +123,36 @@ def privacy_usage(tx: DataFrame) -> DataFrame:
     return tx.where(F.col("token").isin(PRIVACY)).groupBy(F.col(OWNER).alias("owner")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("token")), ",").alias("tokens"), total().alias("volume"))
 
 
-#: Points of each pattern in the overall risk.
-PATTERNS = {"peel": 15, "smurfing": 20, "round_trip": 20, "privacy": 10, "meme": 5}
-
-
-def overall_risk(tx: DataFrame) -> DataFrame:
-    """0.3 of the mean transfer risk plus the points of the owner's patterns; at most 100."""
-    mean = tx.join(exchange_rules(tx), "transfer_id").groupBy(F.col(OWNER).alias("owner")).agg((F.sum("risk_score") / F.count("*")).alias("mean"))
-    found = {"peel": peel_chains(tx).select(F.col("address").alias("owner")), "smurfing": smurfing(tx).select(F.col("address").alias("owner")), "round_trip": round_trips(tx).select(F.col("address").alias("owner")), "privacy": privacy_usage(tx).select("owner"), "meme": meme_share(tx).select("owner")}
-    points = None
-    for k, df in found.items():
-        p = df.select("owner", F.lit(PATTERNS[k]).alias("points"))
-        points = p if points is None else points.unionByName(p)
-    points = points.groupBy("owner").agg(F.sum("points").alias("points"))
-    return mean.join(points, "owner", "left").select("owner", F.round(F.least(F.lit(100.0), F.col("mean") * 0.3 + F.coalesce("points", F.lit(0))), 4).alias("risk"), F.coalesce("points", F.lit(0)).cast("long").alias("points"))
+#: Points of each pattern and flag in the overall risk, by kind of source.
+PATTERNS = {"blockchain": {"peel_chain": 30, "dust_attack": 15, "round_trip": 35, "smurfing": 40}, "exchange": {"rapid_conversion": 35, "structuring_deposits": 25, "meme_coin_concentration": 5, "privacy_coin_usage": 20}}
+FLAGS = {"blockchain": {"sanctioned": 50, "mixer": 40, "privacy_coin": 20}, "exchange": {"high_value_fiat": 10, "privacy_coin": 15}}
+
+
+def overall_risk(tx: DataFrame, source: str = "exchange", watch: DataFrame | None = None, contracts: DataFrame | None = None, large_fiat: float = 15_000) -> DataFrame:
+    """0.3 of the mean transfer risk, the points of the owner's (sender's) patterns, and those of its
+    flags; at most 100; with the reasons, sorted. A blockchain's transfers are scored by the lists
+    (watch, contracts), an exchange's by its rules."""
+    owner = F.col(OWNER).alias("owner")
+    named = lambda df, c, k: df.select(F.col(c).alias("owner"), F.lit(k).alias("reason")).distinct()
+    flag = lambda df, c, k: named(df.where(c), OWNER, k)
+    private = F.col("token").isin(PRIVACY)
+    if source == "blockchain":
+        scored = watch_matches(tx, watch, contracts)
+        found = [named(peel_chains(tx), "address", "peel_chain"), named(dust(tx), "address", "dust_attack"), named(round_trips(tx), "address", "round_trip"), named(smurfing(tx), "address", "smurfing")]
+        kinds = tx.join(scored.select("transfer_id", F.split("tags", ",").alias("tags")), "transfer_id", "left")
+        found += [flag(kinds, F.array_contains("tags", k), k) for k in ("sanctioned", "mixer")] + [flag(tx, private, "privacy_coin")]
+    else:
+        scored = exchange_rules(tx)
+        found = [named(rapid_conversion(tx), "owner", "rapid_conversion"), named(structured_deposits(tx), "owner", "structuring_deposits"), named(meme_share(tx), "owner", "meme_coin_concentration"), named(privacy_usage(tx), "owner", "privacy_coin_usage")]
+        found += [flag(tx, F.col("token").isin(FIAT) & (F.col("amount") > large_fiat), "high_value_fiat"), flag(tx, private, "privacy_coin")]
+    mean = tx.select("transfer_id", owner).join(scored.select("transfer_id", "risk_score"), "transfer_id", "left").groupBy("owner").agg((F.sum(F.coalesce("risk_score", F.lit(0))) / F.count("*")).alias("mean"))
+    reasons = found[0]
+    for f in found[1:]:
+        reasons = reasons.unionByName(f)
+    worth = F.create_map(*(F.lit(x) for k, v in (PATTERNS[source] | FLAGS[source]).items() for x in (k, v)))
+    points = reasons.groupBy("owner").agg(F.sum(worth[F.col("reason")]).alias("points"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+    out = mean.join(points, "owner", "left")
+    return out.select("owner", F.round(F.least(F.lit(100.0), F.col("mean") * 0.3 + F.coalesce("points", F.lit(0))), 4).alias("risk"), F.coalesce("points", F.lit(0)).cast("long").alias("points"), F.coalesce("reasons", F.lit("")).alias("reasons"))
 
 
 def address_edges(tx: DataFrame, nodes: int = 200, edges: int = 500) -> DataFrame:
@@ -148,10 +164,27 @@ def address_edges(tx: DataFrame, nodes: int = 200, edges: int = 500) -> DataFram
     return e.orderBy(F.desc("total"), "from_address", "to_address").limit(edges)
 
 
+def address_nodes(tx: DataFrame, tags: DataFrame, nodes: int = 200) -> DataFrame:
+    """The busiest addresses with what came in and went out, the tags of their transfers (transfer_id,
+    tags joined by commas), the level these give and what the address is."""
+    t = tx.where("from_address <> to_address").join(tags.select("transfer_id", "tags"), "transfer_id", "left")
+    end = lambda c, way: t.select(F.col(c).alias("node"), "amount", F.lit(way).alias("way"), F.split(F.coalesce("tags", F.lit("")), ",").alias("tags"))
+    e = end("from_address", "out").unionByName(end("to_address", "in"))
+    g = e.groupBy("node").agg(F.count("*").alias("n"), sum_if("way = 'in'").alias("total_in"), sum_if("way = 'out'").alias("total_out"))
+    k = e.select("node", F.explode("tags").alias("tag")).where("tag <> ''").groupBy("node").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    g = g.join(k, "node", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    has = lambda *xs: F.arrays_overlap("tags", F.array(*map(F.lit, xs)))
+    level = F.when(has("sanctioned"), "critical").when(has("mixer", "coinjoin"), "high").when(has("high_value", "privacy_coin"), "medium").otherwise("low")
+    low = F.lower("node")
+    kind = F.when(low.contains("coinjoin") | has("mixer"), "mixer").when(low.rlike("binance|coinbase|kraken|bitfinex"), "exchange").otherwise("wallet")
+    out = g.withColumns({"level": level, "kind": kind, "tags": F.array_join("tags", ",")})
+    return out.orderBy(F.desc("n"), "node").limit(nodes)
+
+
 def exchange_flow(tx: DataFrame) -> DataFrame:
     """Flows between fiat, tokens and outside."""
     token = F.when(F.col("token").isin(FIAT), F.concat(F.lit("fiat:"), "token")).otherwise(F.concat(F.lit("token:"), "token"))
-    src = F.when(F.col("tx_type") == "deposit", "external").when(F.col("tx_type") == "sell", token).otherwise(token)
+    src = F.when(F.col("tx_type") == "deposit", "external").otherwise(token)
     dst = F.when(F.col("tx_type") == "withdrawal", "external").when(F.col("tx_type") == "sell", "fiat:PLN").when(F.col("tx_type") == "transfer", "internal").otherwise(token)
     return tx.select(src.alias("src"), dst.alias("dst"), "amount").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"), total().alias("total"))
 

@@ -126,6 +126,7 @@ def _top(column: str, n: int) -> str:
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY total DESC, {column}) AS rank FROM g) WHERE rank <= {n}"""
 
 
+query("a45_flagged", f"""{WITH_B} SELECT * FROM (SELECT account_id, tx_id, booking_date, category, counterparty, {D("amount")} AS amount, row_number() OVER (PARTITION BY account_id ORDER BY amount DESC, tx_id) AS rank FROM b WHERE category IN ('gambling', 'crypto', 'loans')) WHERE rank <= 20""")(lambda t: B.flagged(t.bank, ["gambling", "crypto", "loans"]))
 query("a45_top_categories", _top("category", 12))(lambda t: B.rollup_by(t.bank, "category", 12))
 query("a45_top_counterparties", _top("counterparty", 20))(lambda t: B.rollup_by(t.bank, "counterparty", 20))
 query("a69_by_counterparty", _top("counterparty", 50))(lambda t: B.rollup_by(t.bank, "counterparty", 50))

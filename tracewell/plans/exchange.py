@@ -110,3 +110,7 @@ def x21(t):
 
 query("x19_chain_balance", f"""{WITH_X}, d AS (SELECT from_address AS address, token, {DAY} AS day, -amount AS delta FROM x UNION ALL SELECT to_address, token, {DAY}, amount FROM x), g AS (SELECT address, token, day, sum(delta) AS delta FROM d GROUP BY 1, 2, 3)
 SELECT address, token, day, CAST(sum(delta) OVER (PARTITION BY address, token ORDER BY day ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS balance FROM g""")(lambda t: E.chain_balance(t.transfers))
+
+query("x20_month_flows", f"""{WITH_E} SELECT owner, strftime({DAY}, '%Y-%m') AS month, {_if(f"token IN {_in(L.FIAT)} AND tx_type IN ('deposit', 'fiat_deposit')")} AS fiat_in, {_if(f"token IN {_in(L.FIAT)} AND tx_type NOT IN ('deposit', 'fiat_deposit')")} AS fiat_out,
+  {", ".join(f"CAST(coalesce(sum(fiat_value) FILTER (tx_type = '{k}'), 0) AS DOUBLE) AS {c}" for k, c in (("buy", "bought"), ("sell", "sold"), ("withdrawal", "moved_out")))}, {_if("tx_type = 'deposit'")} AS received, {_if("tx_type = 'withdrawal'")} AS sent, count(*) AS n FROM e GROUP BY 1, 2""")(lambda t: E.month_flows(t.exchange))
+query("x20_daily_types", f"{WITH_E}, d AS (SELECT owner, {DAY} AS day, tx_type FROM e) SELECT owner, day, tx_type, count(*) AS n FROM d GROUP BY GROUPING SETS ((owner, day, tx_type), (owner, day))")(lambda t: E.daily_types(t.exchange))

@@ -71,10 +71,42 @@ _MEME = f"meme AS (SELECT from_address AS owner, count(*) AS n, count(*) FILTER
 query("x10_meme_share", f"{WITH_X}, {_MEME.format(0.15)} SELECT * FROM meme")(lambda t: L.meme_share(t.transfers, share=0.15))
 _PRIV = f"priv AS (SELECT from_address AS owner, count(*) AS n, array_to_string(list_sort(list(DISTINCT token)), ',') AS tokens, {S('amount')} AS volume FROM x WHERE token IN {_in(L.PRIVACY)} GROUP BY 1)"
 query("x11_privacy_usage", f"{WITH_X}, {_PRIV} SELECT * FROM priv")(lambda t: L.privacy_usage(t.transfers))
-query("x12_overall_risk", f"""{WITH_X}, {_RULES}, {_PEEL.format(0.7)}, {_TRIP.format('amount')}, {_SMURF}, {_MEME.format(0.2)}, {_PRIV},
-p AS (SELECT owner, CAST(sum(points) AS BIGINT) AS points FROM (SELECT address AS owner, 15 AS points FROM peel UNION ALL SELECT address, 20 FROM smurf UNION ALL SELECT address, 20 FROM trip UNION ALL SELECT owner, 10 FROM priv UNION ALL SELECT owner, 5 FROM meme) GROUP BY 1),
-m AS (SELECT from_address AS owner, sum(risk_score) / count(*) AS mean FROM r GROUP BY 1)
-SELECT owner, round(least(100.0, mean * 0.3 + coalesce(points, 0)), 4) AS risk, coalesce(points, 0) AS points FROM m LEFT JOIN p USING (owner)""")(lambda t: L.overall_risk(t.transfers))
+_RAPID = """rapid AS (SELECT d.from_address AS owner FROM x d JOIN x w ON d.from_address = w.from_address AND w.ts_s - d.ts_s > 0 AND w.ts_s - d.ts_s <= 1800 AND d.token <> w.token WHERE d.tx_type = 'deposit' AND w.tx_type = 'withdrawal' GROUP BY 1 HAVING count(*) >= 2)"""
+_STRUCT = f"""sd AS (SELECT * FROM x WHERE tx_type = 'deposit' AND token IN {_in(L.FIAT)}), sm AS (SELECT from_address, CAST(sum(amount) AS DOUBLE) / count(*) AS mean FROM sd GROUP BY 1 HAVING count(*) >= 3),
+struct AS (SELECT from_address AS owner FROM sd JOIN sm USING (from_address) GROUP BY 1 HAVING count(*) FILTER (abs(CAST(amount AS DOUBLE) - mean) / greatest(mean, 0.01) < 0.15) >= 3)"""
+
+
+def _overall(score: str, reasons: list[tuple[str, str, int]]) -> str:
+    """score: transfer_id and risk_score; reasons: select of owners, name, points."""
+    union = " UNION ".join(f"SELECT DISTINCT owner, '{k}' AS reason, {p} AS points FROM ({q}) q{i}" for i, (q, k, p) in enumerate(reasons))
+    return f"""u AS ({union}), p AS (SELECT owner, CAST(sum(points) AS BIGINT) AS points, string_agg(reason, ',' ORDER BY reason) AS reasons FROM u GROUP BY 1),
+m AS (SELECT from_address AS owner, sum(coalesce(risk_score, 0)) / count(*) AS mean FROM x LEFT JOIN {score} USING (transfer_id) GROUP BY 1)
+SELECT owner, round(least(100.0, mean * 0.3 + coalesce(points, 0)), 4) AS risk, coalesce(points, 0) AS points, coalesce(reasons, '') AS reasons FROM m LEFT JOIN p USING (owner)"""
+
+
+_PRIVATE = f"SELECT from_address AS owner FROM x WHERE token IN {_in(L.PRIVACY)}"
+query("x12_overall_risk", f"""{WITH_X}, {_RULES}, {_MEME.format(0.2)}, {_RAPID}, {_STRUCT}, {_overall("(SELECT transfer_id, risk_score FROM r) r", [
+    ("SELECT owner FROM rapid", "rapid_conversion", 35), ("SELECT owner FROM struct", "structuring_deposits", 25), ("SELECT owner FROM meme", "meme_coin_concentration", 5), (_PRIVATE, "privacy_coin_usage", 20),
+    (f"SELECT from_address AS owner FROM x WHERE token IN {_in(L.FIAT)} AND amount > 15000", "high_value_fiat", 10), (_PRIVATE, "privacy_coin", 15),
+])}""")(lambda t: L.overall_risk(t.transfers))
+_LISTS = """w(address, kind) AS (VALUES ('w3', 'sanctioned'), ('w7', 'mixer'), ('w1', 'mixer'), ('w3', 'watched')), k(address, contract, score) AS (VALUES ('w5', 'bridge', 15), ('w7', 'dex', 5)), wu AS (SELECT address, min(kind) AS kind FROM w GROUP BY 1),
+wj AS (SELECT transfer_id, a.kind AS k1, b.kind AS k2, contract, coalesce(score, 0) AS score FROM x LEFT JOIN wu a ON a.address = from_address LEFT JOIN wu b ON b.address = to_address LEFT JOIN k ON k.address = to_address),
+wt AS (SELECT transfer_id, k1, k2, array_to_string(list_sort(list_distinct(list_filter([k1, k2, contract], lambda v: v IS NOT NULL))), ',') AS tags, least(100, CASE k1 WHEN 'sanctioned' THEN 100 WHEN 'mixer' THEN 60 ELSE 0 END + CASE k2 WHEN 'sanctioned' THEN 100 WHEN 'mixer' THEN 60 ELSE 0 END + score) AS risk_score FROM wj)"""
+
+
+def _lists(t):
+    return t.spark.createDataFrame([("w3", "sanctioned"), ("w7", "mixer"), ("w1", "mixer"), ("w3", "watched")], "address string, kind string"), t.spark.createDataFrame([("w5", "bridge", 15), ("w7", "dex", 5)], "address string, contract string, score int")
+
+
+query("x12_chain_risk", f"""{WITH_X}, {_LISTS}, {_PEEL.format(0.7)}, {_TRIP.format('amount')}, {_SMURF}, {_overall("(SELECT transfer_id, risk_score FROM wt WHERE tags <> '') r", [
+    ("SELECT address AS owner FROM peel", "peel_chain", 30), ("SELECT address AS owner FROM trip", "round_trip", 35), ("SELECT address AS owner FROM smurf", "smurfing", 40), ("SELECT to_address AS owner FROM x WHERE amount > 0 AND amount < 0.0001 GROUP BY 1 HAVING count(*) >= 10", "dust_attack", 15),
+    ("SELECT from_address AS owner FROM x JOIN wt USING (transfer_id) WHERE k1 = 'sanctioned' OR k2 = 'sanctioned'", "sanctioned", 50), ("SELECT from_address AS owner FROM x JOIN wt USING (transfer_id) WHERE k1 = 'mixer' OR k2 = 'mixer'", "mixer", 40), (_PRIVATE, "privacy_coin", 20),
+])}""")(lambda t: L.overall_risk(t.transfers, "blockchain", *_lists(t)))
+query("x15_address_nodes", f"""{WITH_X}, {_LISTS}, e AS (SELECT from_address AS node, 'out' AS way, amount, tags FROM x LEFT JOIN wt USING (transfer_id) WHERE from_address <> to_address UNION ALL SELECT to_address, 'in', amount, tags FROM x LEFT JOIN wt USING (transfer_id) WHERE from_address <> to_address),
+g AS (SELECT node, count(*) AS n, {_if("way = 'in'")} AS total_in, {_if("way = 'out'")} AS total_out FROM e GROUP BY 1), k2 AS (SELECT node, array_to_string(list_sort(list(DISTINCT tag)), ',') AS tags FROM (SELECT node, unnest(string_split(coalesce(tags, ''), ',')) AS tag FROM e) WHERE tag <> '' GROUP BY 1)
+SELECT node, n, total_in, total_out, coalesce(tags, '') AS tags, CASE WHEN contains(tags, 'sanctioned') THEN 'critical' WHEN contains(tags, 'mixer') THEN 'high' ELSE 'low' END AS level, CASE WHEN contains(tags, 'mixer') THEN 'mixer' ELSE 'wallet' END AS kind FROM g LEFT JOIN k2 USING (node) ORDER BY n DESC, node LIMIT 200""")(
+    lambda t: L.address_nodes(t.transfers, L.watch_matches(t.transfers, *_lists(t)))
+)
 query("x15_address_edges", f"""{WITH_X}, e AS (SELECT from_address, to_address, count(*) AS n, {S('amount')} AS total FROM x WHERE from_address <> to_address GROUP BY 1, 2),
 t AS (SELECT node FROM (SELECT from_address AS node, n FROM e UNION ALL SELECT to_address, n FROM e) GROUP BY 1 ORDER BY sum(n) DESC, node LIMIT 200)
 SELECT * FROM e WHERE from_address IN (SELECT node FROM t) AND to_address IN (SELECT node FROM t) ORDER BY total DESC, from_address, to_address LIMIT 500""")(lambda t: L.address_edges(t.transfers))
