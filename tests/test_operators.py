@@ -65,6 +65,16 @@ def test_baseline_edges(spark):
     assert bank.monthly_baseline(tx(spark, []).limit(0)).count() == 0
 
 
+def test_null_names_and_channels_keep_their_groups(spark):
+    df = tx(spark, [(1, 0, 5, "DEBIT", None, None), (1, 1, 6, "DEBIT", None, None), (None, 2, 7, "CREDIT", "CARD", "a")])
+    edges = bank.flow_edges(df).collect()
+    assert sorted((r["edge_type"] or "", r["n"], r["tx_ids"]) for r in edges) == [("", 2, "0,1"), ("CARD", 1, "2")]
+    base = {r["account_id"]: (r["channels"], r["categories"]) for r in bank.monthly_baseline(df).collect()}
+    assert base == {1: ({"unclassified": 2}, {"everyday": 11.0}), None: ({"CARD": 1}, {"everyday": 7.0})}
+    many = spark.range(100).selectExpr("1 as account_id", "if(id % 2 = 0, 'x', null) as tag", "id as tx_id", "1.0D as amount")
+    assert sorted((r["tag"] or "", r["n"], len(r["tx_ids"].split(","))) for r in bank.evidence(many, n=10).collect()) == [("", 50, 10), ("x", 50, 10)]
+
+
 def test_new_counterparty_and_spending(spark):
     df = tx(spark, [(1, 0, 100, "DEBIT", "CARD", "old"), (1, 40, 100, "DEBIT", "CARD", "old"), (1, 41, 31, "DEBIT", "CARD", "new"), (1, 42, 30, "DEBIT", "CARD", "newer")])
     got = bank.new_counterparty_large(df, F.lit("2024-02-01").cast("date"))

@@ -34,10 +34,21 @@ def nearest_rank(c: str, q: float) -> Column:
     return F.expr(f"-percentile_disc({round(1 - q, 12)}) within group (order by -{c})")
 
 
-def first_ids(rows: DataFrame, by: list[str], n: int, name: str = "tx_ids", column: str = "tx_id") -> DataFrame:
-    """The first n ids of each group, joined by commas; they are ranked first, so no group is gathered."""
-    r = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(column))).where(F.col("_r") <= n)
-    return r.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(column)).cast("array<string>"), ",").alias(name))
+def ranked(rows: DataFrame, by: list[str], column: str = "tx_id") -> DataFrame:
+    """Rows with their place in their group, for ``first_ids``."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(column)))
+
+
+def first_ids(n: int, name: str = "tx_ids", column: str = "tx_id") -> Column:
+    """Over ``ranked`` rows: the first n ids of a group, joined by commas. No more than n are gathered."""
+    return F.array_join(F.array_sort(F.collect_list(F.when(F.col("_r") <= n, F.col(column)))).cast("array<string>"), ",").alias(name)
+
+
+def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join in which null keys are equal."""
+    r = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
+    return left.join(r, on, how).drop(*(f"_same_{k}" for k in keys))
 
 
 def monthly_baseline(tx: DataFrame, key: str = KEY) -> DataFrame:
@@ -50,8 +61,9 @@ def monthly_baseline(tx: DataFrame, key: str = KEY) -> DataFrame:
         F.round(F.coalesce(F.stddev_samp("amt"), F.lit(0.0)), 4).alias("std_amount"), F.round(F.median("amt"), 4).alias("median_amount"),
         nearest_rank("amt", 0.95).alias("p95_amount"),
     )
-    mapped = lambda c, value, name: d.groupBy(key, "month", F.coalesce(c, F.lit("unclassified")).alias("k")).agg(value.alias("v")).groupBy(key, "month").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(name))
-    return out.join(mapped("channel", F.count("*"), "channels"), [key, "month"]).join(mapped("category", money(F.abs("amount")), "categories"), [key, "month"])
+    named = lambda c: F.coalesce(c, F.lit("unclassified")).alias("k")
+    mapped = lambda c, value, name: d.groupBy(key, "month", named(c)).agg(value.alias("v")).groupBy(key, "month").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(name))
+    return same(same(out, mapped("channel", F.count("*"), "channels"), [key, "month"]), mapped("category", money(F.abs("amount")), "categories"), [key, "month"])
 
 
 def large_outliers(tx: DataFrame, key: str = KEY, z: float = 2.5, high: float = 4.0) -> DataFrame:
@@ -322,8 +334,8 @@ def flow_edges(tx: DataFrame, key: str = KEY, ids: int = 20) -> DataFrame:
     dst = F.when(F.expr(CREDIT), F.concat(F.lit("acc:"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("cp:"), "counterparty"))
     e = tx.select(src.alias("src"), dst.alias("dst"), F.col("channel").alias("edge_type"), "amount", "booking_date", "tx_id")
     by = ["src", "dst", "edge_type"]
-    g = e.groupBy(*by).agg(F.count("*").alias("n"), money(F.abs("amount")).alias("total"), F.min("booking_date").alias("first_day"), F.max("booking_date").alias("last_day"))
-    return g.join(first_ids(e, by, ids), by)
+    g = ranked(e, by).groupBy(*by)
+    return g.agg(F.count("*").alias("n"), money(F.abs("amount")).alias("total"), F.min("booking_date").alias("first_day"), F.max("booking_date").alias("last_day"), first_ids(ids))
 
 
 #: Priority of risk categories at a node.
@@ -382,15 +394,14 @@ def latest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 def risk_reasons(tags: DataFrame, weights: DataFrame, totals: DataFrame, key: str = KEY, ids: int = 10) -> DataFrame:
     """Tags (key, tag, amount, tx_id) weighed by their share of the key's total: under a tenth only in
     part; with the first ids as evidence, ranked by what they add."""
-    t0 = tags.withColumn("tag", F.upper("tag"))
-    t = t0.groupBy(key, "tag").agg(F.count("*").alias("n"), money(F.abs("amount")).alias("amount"))
+    t = ranked(tags.withColumn("tag", F.upper("tag")), [key, "tag"])
+    t = t.groupBy(key, "tag").agg(F.count("*").alias("n"), money(F.abs("amount")).alias("amount"), first_ids(ids))
     w = weights.select(F.col("tag").alias("wtag"), "weight").where("weight > 0")
     t = t.join(w.toDF("tag", "own"), "tag", "left").join(w.toDF("bare", "other"), F.regexp_replace("tag", "RISK[:_]", "") == F.col("bare"), "left")
     t = t.withColumn("weight", F.coalesce("own", "other")).where("weight is not null").drop("own", "other", "bare")
     t = t.join(totals.select(key, F.col("total").alias("all_")), key)
     pct = F.when(F.col("all_") > 0, F.col("amount") / F.col("all_") * 100).otherwise(0.0)
     t = t.withColumn("pct", pct).withColumn("delta", F.when(F.col("pct") < 10, F.least(F.col("weight"), F.col("weight") * F.col("pct") / 10)).otherwise(F.col("weight")))
-    t = t.join(first_ids(t0, [key, "tag"], ids), [key, "tag"])
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("delta"), "tag"))
     return t.select(key, "tag", "n", "amount", "pct", "delta", "tx_ids", rank.alias("rank"))
 
@@ -402,8 +413,7 @@ def risk_score(tags: DataFrame, weights: DataFrame, totals: DataFrame, key: str
 
 def evidence(tags: DataFrame, key: str = KEY, n: int = 10) -> DataFrame:
     """The first ids of each tag."""
-    g = tags.groupBy(key, "tag").agg(F.count("*").alias("n"))
-    return g.join(first_ids(tags, [key, "tag"], n), [key, "tag"])
+    return ranked(tags, [key, "tag"]).groupBy(key, "tag").agg(F.count("*").alias("n"), first_ids(n))
 
 
 def deduplicate(tx: DataFrame, keys: list[str], order: str = "tx_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import iban_valid
-from .bank import CREDIT, DEBIT, KEY, money, when_sum
+from .bank import CREDIT, DEBIT, KEY, first_ids, money, ranked, when_sum
 
 
 def channel_by_codes(code: Column, swift: Column, title: Column) -> Column:
@@ -224,9 +224,7 @@ def geographic_share(rows: DataFrame, samples: int = 3) -> DataFrame:
     """Each city's share of an account's rows that name one, the main city, and ids of the first rows
     elsewhere. rows: account_id, tx_id, amount, city ('' or null: none)."""
     r = rows.where("city <> ''")
-    g = r.groupBy(KEY, "city").agg(F.count("*").alias("n"), money(F.abs("amount")).alias("total"))
+    g = ranked(r, [KEY, "city"]).groupBy(KEY, "city").agg(F.count("*").alias("n"), money(F.abs("amount")).alias("total"), first_ids(samples, "ids"))
     w = Window.partitionBy(KEY)
     g = g.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "city"))).withColumn("share", F.round(F.col("n") / F.sum("n").over(w), 4)).withColumn("primary_city", F.col("rank") == 1)
-    k = r.select(KEY, "city", "tx_id").withColumn("r", F.row_number().over(Window.partitionBy(KEY, "city").orderBy("tx_id"))).where(F.col("r") <= samples)
-    k = k.groupBy(KEY, "city").agg(F.array_join(F.array_sort(F.collect_list("tx_id")).cast("array<string>"), ",").alias("ids"))
-    return g.join(k, [KEY, "city"]).withColumn("away_ids", F.when(F.col("primary_city"), "").otherwise(F.col("ids"))).drop("ids")
+    return g.withColumn("away_ids", F.when(F.col("primary_city"), "").otherwise(F.col("ids"))).drop("ids")
