@@ -118,8 +118,8 @@ def near_airport(points: DataFrame, airports: DataFrame, metres: float = 15_000.
 
 def crossing_mode(c: DataFrame, airports: DataFrame, neighbours: list[str]) -> DataFrame:
     """Plane, car or walk for each crossing, from the last point at home, how long and where to."""
-    c = c.withColumn("id", F.xxhash64(KEY, "left_ts", "back_ts"))
-    a = near_airport(c.where("lat is not null").select("id", "lat", "lon").distinct(), airports).select("id", "airport")
+    c = c.withColumn("id", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon")))
+    a = near_airport(c.where("id is not null").select("id", "lat", "lon").distinct(), airports).select("id", "airport")
     at = F.filter(F.split("countries", ","), lambda x: x != "")
     far = F.size(F.filter(at, lambda x: ~x.isin(*neighbours))) > 0
     some = F.size(at) > 0

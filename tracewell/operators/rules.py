@@ -73,7 +73,7 @@ def classify(rows: DataFrame, rules: DataFrame, key: str, text: str, weights: di
     no = F.array().cast("array<string>")
     if urls and domains is not None:
         d = {r["domain"]: (r["category"], r["subcategory"]) for r in domains.limit(MOST_RULES).collect()}
-        table = lambda i: F.create_map(*(F.lit(x) for k, v in sorted(d.items()) for x in (k, v[i])))
+        table = lambda i: F.create_map(*(F.lit(x) for k, v in sorted((d or {"": ("", "")}).items()) for x in (k, v[i])))
         host = F.transform(F.coalesce(urls, no), url_domain)
         known = F.filter(host, lambda x: table(0)[x].isNotNull())
         of_urls = F.transform(known, lambda x: table(0)[x])
@@ -98,7 +98,7 @@ def classify(rows: DataFrame, rules: DataFrame, key: str, text: str, weights: di
         t = t.withColumn("tags", F.when(black, F.concat("tags", F.array(F.lit("BLACKLISTED")))).otherwise(F.col("tags")))
         points = F.when(white, weights.get("WHITELIST_MATCH", -10)).when(black, weights.get("BLACKLIST_MATCH", 30)).otherwise(0)
         explains.append(F.when(white, F.array(F.lit("memory:whitelist||whitelist"))).when(black, F.array(F.lit("memory:blacklist||blacklist"))).otherwise(no))
-    of = F.create_map(*(F.lit(x) for k, v in sorted(weights.items()) for x in (k, v)))
+    of = F.create_map(*(F.lit(x) for k, v in sorted(({"": 0} | weights).items()) for x in (k, v)))
     worth = lambda x: F.coalesce(of[F.replace(F.upper(x), F.lit(":"), F.lit("_"))], of[F.replace(F.replace(F.upper(x), F.lit(":"), F.lit("_")), F.lit("RISK_"), F.lit(""))], F.lit(0))
     score = points + F.aggregate("tags", F.lit(0), lambda a, x: a + worth(x))
     return t.select(
