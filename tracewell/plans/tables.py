@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_folder
+
 BANK_TX = """SELECT o_orderkey AS tx_id, CAST((o_custkey - o_custkey % 64) / 64 AS BIGINT) AS account_id,
   DATE '2024-01-01' + CAST((o_orderkey * 7919) % 365 AS INT) AS booking_date,
   CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
@@ -107,11 +107,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def scratch(self) -> str:
-        """A new folder that driver and executors share; one of this machine only where all runs on it."""
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
-        if not base and not self.spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        return f"{(base or tempfile.mkdtemp(prefix='tracewell-')).rstrip('/')}/plans/{uuid.uuid4().hex}"
+        """A new folder that driver and executors share."""
+        return new_folder(self.spark, "plans")
 
     @cached_property
     def bank(self) -> DataFrame:
