@@ -55,10 +55,13 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tracewell/{name}-{uuid.uuid4().hex}"
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tracewell/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

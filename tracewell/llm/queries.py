@@ -14,9 +14,12 @@ from .ann import nearest
 from .language_id import identify
 from .language_model import language_scores
 from .near_dups import near_duplicates
+from .negatives import hard_negatives
 from .piece_counts import piece_counts
+from .prefix_trie import prefix_trie, respliced, turns_of
 from .pseudonyms import pseudonymise
 from .shards import store_by_arrivals
+from .top_k import top_k
 from .toxicity import toxicity, trained
 
 #: The pseudonyms' key in the registered queries. Users pass a secret of their own.
@@ -76,6 +79,22 @@ def op10_shards(spark, sf_dir):
     return store.placed().select("doc_id", size.alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "shard_id", "shard_rows", "shard_bytes", "tier", "version")
 
 
+def op11_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op13_prefix_trie(spark, sf_dir):
+    turns = turns_of(table(spark, sf_dir, "conversations"))
+    return prefix_trie(*respliced(turns, remainder("conv_id", 6), 100))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_model": op2_language_model,
@@ -87,5 +106,14 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_piece_counts": op9_piece_counts,
     "op10_shards": op10_shards,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_top_k": op12_top_k,
+    "op13_prefix_trie": op13_prefix_trie,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_near_dups": sql.near_dups(2, 80),
+    "op6_decontamination": sql.decontamination(10),
+    "op11_hard_negatives": sql.HARD_NEGATIVES,
+    "op12_top_k": sql.TOP_K,
+    "op13_prefix_trie": sql.PREFIX_TRIE,
 }
-ORACLE_SQL: dict[str, str] = {"op4_near_dups": sql.near_dups(2, 80), "op6_decontamination": sql.decontamination(10)}

@@ -44,3 +44,61 @@ t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT ite
 SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+WHOLE = """v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+PRODUCT = "CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT)"
+
+TOP_K = f"""
+WITH {WHOLE},
+p AS (SELECT a.vec_id AS query_id, b.vec_id, {PRODUCT} AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY rank <= 5"""
+
+HARD_NEGATIVES = f"""
+WITH {WHOLE},
+l AS (SELECT vec_id, q, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM v WHERE label IS NOT NULL),
+p AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, {PRODUCT} AS score
+  FROM l a JOIN l b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (SELECT * FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT pos.anchor_id, pos.vec_id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY pos.anchor_id, pos.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, pos.score AS positive_score, n.score AS negative_score
+FROM pos JOIN p n ON n.anchor_id = pos.anchor_id AND NOT n.same AND 80 * pos.score <= 100 * n.score AND n.score <= pos.score
+QUALIFY rank <= 5"""
+
+#: CRC-32 of a decimal id, bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+    lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295)"""
+
+PREFIX_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS own, t.place, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.place <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.place, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.place > c.h),
+d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, place) AS depth, role, text FROM r),
+p AS (
+  SELECT conv_id, depth, list({{'role': role, 'text': text}}) OVER (PARTITION BY conv_id ORDER BY depth) AS prefix FROM d
+  UNION ALL SELECT conv_id, 0, [] FROM c),
+full_length AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY 1),
+n AS (SELECT depth, prefix, min(conv_id) AS node, count(*) AS n_convs FROM p GROUP BY 1, 2),
+m AS (SELECT p.conv_id, p.depth, n.node, n.n_convs FROM p JOIN n USING (depth, prefix)),
+own AS (
+  SELECT n.node, n.depth, n.n_convs, up.node AS parent, (n.n_convs - 1) * coalesce(length(n.prefix[-1].text), 0) AS saved
+  FROM n LEFT JOIN m up ON up.conv_id = n.node AND up.depth = n.depth - 1),
+kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM own WHERE depth > 0 GROUP BY 1, 2),
+under AS (
+  SELECT a.node, a.depth, count(*) FILTER (WHERE k.n_children IS NULL) AS n_leaves, sum(o.saved) AS saved_tokens
+  FROM own o JOIN m a ON a.conv_id = o.node AND a.depth <= o.depth LEFT JOIN kids k ON k.node = o.node AND k.depth = o.depth GROUP BY 1, 2),
+e AS (SELECT m.node, m.depth, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM full_length JOIN m USING (conv_id, depth) GROUP BY 1, 2)
+SELECT own.node AS conv_id, own.depth, own.parent AS parent_conv_id, own.n_convs, coalesce(kids.n_children, 0) AS n_children,
+  under.n_leaves, CAST(under.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM own JOIN under USING (node, depth) LEFT JOIN kids USING (node, depth) LEFT JOIN e USING (node, depth)"""
