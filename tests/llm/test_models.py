@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import ann, byte_pairs, language_id, language_model, toxicity
+from tracewell.llm import ann, byte_pairs, language_id, language_model, queries, toxicity
 from tracewell.llm.common import remainder
 from tracewell.llm.near_dups import words_of
 from tracewell.llm.shards import Conflict, ShardStore, store_by_arrivals
@@ -254,8 +254,25 @@ def test_tiers_like_a_plain_reading(spark, tmp_path):
 def test_placed(spark, tmp_path):
     df = spark.createDataFrame([(i, "t") for i in range(100)], "doc_id long, text string").repartition(5)
     got = store_by_arrivals(df, str(tmp_path / "p"), [(0, 8)], 8, 1 << 20).placed()
-    assert got.groupBy("doc_id").count().where("count <> 1").count() == 0 and got.count() == 100
-    assert {r["shard_rows"] for r in got.select("shard_rows").distinct().collect()} == {100}
+    assert got.groupBy("row.doc_id").count().where("count <> 1").count() == 0 and got.count() == 100
+    assert {r["shard_rows"] for r in got.select("shard.shard_rows").distinct().collect()} == {100}
+
+
+def test_shards_of_clashing_names(spark, tmp_path):
+    """Stored columns named as the store's own come back as they were; so do a null id and a long text."""
+    names = ["shard_id", "shard_rows", "shard_bytes", "tier", "version", "file", "row", "shard", "name", "n_rows", "n_bytes", "_metadata", "a.b"]
+    rows = [(i, "t") for i in range(40)] + [(None, "no id"), (7, "long " * 200_000), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    df = df.select("*", *(F.lit(f"own {c}").alias(c) for c in names))
+    d = str(tmp_path / "tables")
+    df.write.parquet(f"{d}/documents.parquet")
+    store = store_by_arrivals(df, str(tmp_path / "c"), [(0, 4), (4, 8)], 8, 1 << 20)
+    got = store.placed().select("row.*", F.col("shard.shard_id").alias("in_shard")).toPandas()
+    assert sorted(got["doc_id"].fillna(-1)) == sorted(-1 if i is None else i for i, _ in rows)
+    assert all((got[c] == f"own {c}").all() for c in names) and got["in_shard"].notna().all()
+    out = queries.op10_shards(spark, d)
+    assert out.columns == ["doc_id", "n_bytes", "text_sha256", "shard_id", "shard_rows", "shard_bytes", "tier", "version"]
+    assert out.count() == len(rows) and out.agg(F.max("n_bytes")).first()[0] == 1_000_000
 
 
 def test_words_of_training_texts_are_counted_and_all_texts_spelled(spark):

@@ -75,8 +75,9 @@ def op10_shards(spark, sf_dir):
     """Three eighths of the documents arrive first, then an eighth five times; each row with its shard."""
     root = f"{shared_dir(spark).rstrip('/')}/tracewell/shards-{uuid.uuid4().hex}"
     store = store_by_arrivals(table(spark, sf_dir, "documents"), root, [(0, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 8)], 8, 64 << 20)
+    rows = store.placed().select("row.doc_id", "row.text", "shard.*")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return store.placed().select("doc_id", size.alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "shard_id", "shard_rows", "shard_bytes", "tier", "version")
+    return rows.select("doc_id", size.alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "shard_id", "shard_rows", "shard_bytes", "tier", "version")
 
 
 def op11_hard_negatives(spark, sf_dir):

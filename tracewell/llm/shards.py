@@ -18,7 +18,8 @@ seconds: what another writer has written but not committed yet is younger, as lo
 that long.
 
 Defined results: an empty arrival adds no shard; an empty store reads as no rows; rows are stored
-as they are, nulls, repeated rows and all columns included; ties in size go by shard id.
+as they are, nulls, repeated rows, very long texts and all columns included, whatever their names;
+ties in size go by shard id.
 """
 
 from __future__ import annotations
@@ -96,8 +97,10 @@ class ShardStore:
     def _write(self, rows: DataFrame) -> list[dict]:
         """Writes a new folder; its files, without ids and version yet. Empty files are no shards."""
         folder = uuid.uuid4().hex
-        rows.select(*(F.col(f.name) for f in self.schema)).write.parquet(f"{self.root}/data/{folder}")
-        files = self.spark.read.schema(self.schema).parquet(f"{self.root}/data/{folder}").groupBy(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("n_bytes")).agg(F.count("*").alias("n_rows"))
+        rows.select(*(F.col(f"`{f.name}`") for f in self.schema)).write.parquet(f"{self.root}/data/{folder}")
+        written = self.spark.read.schema(self.schema).parquet(f"{self.root}/data/{folder}")
+        of = written.metadataColumn("_metadata")
+        files = written.groupBy(of["file_name"].alias("name"), of["file_size"].alias("n_bytes")).agg(F.count("*").alias("n_rows"))
         return [{"name": f"{folder}/{r['name']}", "n_rows": r["n_rows"], "n_bytes": r["n_bytes"], "tier": self.tier(r["n_bytes"])} for r in files.orderBy("name").collect()]
 
     def _add(self, files: list[dict], instead: list[dict] = ()) -> int | None:
@@ -164,19 +167,22 @@ class ShardStore:
         return self._read(self._entries(self.version() if version is None else version))
 
     def placed(self, version: int | None = None) -> DataFrame:
-        """All rows with their shard: columns shard_id, shard_rows, shard_bytes, tier, version."""
+        """All rows (column row, a struct of the stored columns) with their shard (column shard: shard_id,
+        shard_rows, shard_bytes, tier, version), so that no stored name clashes with the store's own."""
         v = self.version() if version is None else version
-        shards = self.manifest(v).select(F.regexp_extract("name", "[^/]+$", 0).alias("file"), "shard_id", F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"), "tier", "version")
+        own = ("shard_id", F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"), "tier", "version")
+        shards = self.manifest(v).select(F.regexp_extract("name", "[^/]+$", 0).alias("file"), F.struct(*own).alias("shard"))
         entries = self._entries(v)
+        row = F.struct(*(F.col(f"`{f.name}`") for f in self.schema)).alias("row")
         if not entries:
-            return self._read([]).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in shards.drop("file").schema))
-        own = self._read(entries).withColumn("file", F.col("_metadata.file_name"))
-        return own.join(shards, "file").drop("file")
+            return self._read([]).select(row, F.lit(None).cast(shards.schema["shard"].dataType).alias("shard"))
+        own_rows = self._read(entries)
+        return own_rows.select(row, own_rows.metadataColumn("_metadata")["file_name"].alias("file")).join(shards, "file").select("row", "shard")
 
 
 def store_by_arrivals(docs: DataFrame, root: str, arrivals: list[tuple[int, int]], parts: int, target_bytes: int) -> ShardStore:
-    """Appends ``docs`` as arrivals, each the rows whose hash modulo ``parts`` is in its range, and
-    compacts after each."""
+    """Appends ``docs`` as arrivals, each the rows whose hash of doc_id modulo ``parts`` is in its range
+    (a null doc_id has the hash of no value, 42), and compacts after each."""
     store = ShardStore(docs.sparkSession, root, docs.schema, target_bytes)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
     for a, z in arrivals:
