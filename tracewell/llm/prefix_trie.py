@@ -46,7 +46,7 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 
 def respliced(turns: DataFrame, head: Column, every: int) -> tuple[DataFrame, DataFrame]:
     """Conversations rebuilt: the first ``head`` turns (a bounded number, of conv_id) of the conversation
-    whose id is the next lower multiple of ``every``, then the own ones after the first ``head``. Returns
+    whose id is the next multiple of ``every`` towards zero, then the own ones after the first ``head``. Returns
     turns with column ``last``, and (conv_id, length) of all conversations, turnless ones too."""
     counts = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
     base = F.col("conv_id") - F.col("conv_id") % every

@@ -35,7 +35,7 @@ class Ranges:
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, norm: float):
         bound = max((float(np.sqrt((r * r).sum())) for r in q), default=0.0) * norm
-        self.ids, self.q, self.bits = ids, q, 64
+        self.ids, self.q, self.bits, self.step = ids, q, 64, BITS
         while self.bits > 1 and 2.0 ** (self.bits - 2) > bound:
             self.bits -= 1
         self.low = np.full(len(ids), -(2 ** (self.bits - 1)), np.int64)
@@ -44,7 +44,7 @@ class Ranges:
 
     def narrow(self, rows: list) -> None:
         """rows: (query's place, bin of its kth score, scores above that bin)."""
-        shift = max(0, self.bits - BITS)
+        shift = max(0, self.bits - self.step)
         self.found[:] = False
         for r in rows:
             self.low[r["at"]] = (int(self.low[r["at"]]) + (r["bin"] << shift) + 2**63) % 2**64 - 2**63
@@ -56,7 +56,7 @@ class Ranges:
 
 def histogram(ids: np.ndarray, x: np.ndarray, r: Ranges, counts: np.ndarray) -> None:
     """Adds the scores of rows to ``counts``, a line of bins for each query."""
-    shift = np.uint64(max(0, r.bits - BITS))
+    shift = np.uint64(max(0, r.bits - r.step))
     rows, cols = own_rows(ids, r.ids)
     for a in range(0, len(r.ids), COLUMNS):
         z = min(len(r.ids), a + COLUMNS)
@@ -150,7 +150,7 @@ def _narrow(rows: DataFrame, r: Ranges, dim: int) -> None:
 
     def count(arrow_batches):
         r = share.value
-        counts = np.zeros((len(r.ids), 1 << min(BITS, r.bits)), np.int32)
+        counts = np.zeros((len(r.ids), 1 << min(r.step, r.bits)), np.int32)
         for ids, x, _ in chunks(arrow_batches, dim):
             histogram(ids, x, r, counts)
         yield upper(counts, r.need)
