@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+from .running import running
+
 KEY = "account_id"
 CHANNELS = ["CARD", "TRANSFER", "BLIK_P2P", "BLIK_MERCHANT", "CASH", "FEE", "REFUND"]
 
@@ -28,12 +31,6 @@ def month(c: str = "booking_date") -> Column:
     return F.coalesce(F.date_format(c, "yyyy-MM"), F.lit("unknown"))
 
 
-def nearest_rank(c: str, q: float) -> Column:
-    """The value at place min(int(q n), n - 1) of the sorted ones, counted from above so that no list of
-    a group's values is made."""
-    return F.expr(f"-percentile_disc({round(1 - q, 12)}) within group (order by -{c})")
-
-
 def ranked(rows: DataFrame, by: list[str], column: str = "tx_id") -> DataFrame:
     """Rows with their place in their group, for ``first_ids``."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(column)))
@@ -58,9 +55,11 @@ def monthly_baseline(tx: DataFrame, key: str = KEY) -> DataFrame:
     out = d.groupBy(key, "month").agg(
         F.count("*").alias("tx_count"), when_sum(CREDIT).alias("total_credit"), when_sum(DEBIT).alias("total_debit"),
         F.countDistinct(F.substring(F.lower("counterparty"), 1, 50)).alias("counterparties"), (money(F.abs("amount")) / F.count("*")).alias("mean_amount"),
-        F.round(F.coalesce(F.stddev_samp("amt"), F.lit(0.0)), 4).alias("std_amount"), F.round(F.median("amt"), 4).alias("median_amount"),
-        nearest_rank("amt", 0.95).alias("p95_amount"),
+        F.round(F.coalesce(F.stddev_samp("amt"), F.lit(0.0)), 4).alias("std_amount"),
     )
+    places = {"p95_amount": (0.95, ranks.nearest(0.95)), "_low": (0.5, ranks.LOWER_MIDDLE), "_high": (0.5, ranks.UPPER_MIDDLE)}
+    middle = F.round((F.col("_low") + F.col("_high")) / 2, 4).alias("median_amount")
+    out = same(out, ranks.values_at(d, [key, "month"], "amt", places).select(key, "month", "p95_amount", middle), [key, "month"], "left")
     named = lambda c: F.coalesce(c, F.lit("unclassified")).alias("k")
     mapped = lambda c, value, name: d.groupBy(key, "month", named(c)).agg(value.alias("v")).groupBy(key, "month").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(name))
     return same(same(out, mapped("channel", F.count("*"), "channels"), [key, "month"]), mapped("category", money(F.abs("amount")), "categories"), [key, "month"])
@@ -116,8 +115,9 @@ def centroid_anomaly(feats: DataFrame, key: str = KEY, contamination: float = 0.
     d = feats.join(stats, key).where(F.col("n") >= least)
     part = [F.when(F.col(f"s_{c}") > 1e-9, F.pow((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"), 2)).otherwise(0.0) for c in names]
     d = d.select(key, "tx_id", F.round(F.sqrt(sum(part[1:], part[0])), 6).alias("distance"))
-    at = d.groupBy(key).agg(nearest_rank("distance", 1 - contamination).alias("cut"), F.max("distance").alias("most"))
-    return d.join(at, key).where("distance > cut").select(key, "tx_id", "distance", F.round(F.col("distance") / F.col("most"), 6).alias("score"))
+    at = d.groupBy(key).agg(F.max("distance").alias("most"))
+    cut = ranks.values_at(d, [key], "distance", {"cut": (1 - contamination, ranks.nearest(1 - contamination))})
+    return d.join(at, key).join(cut, key).where("distance > cut").select(key, "tx_id", "distance", F.round(F.col("distance") / F.col("most"), 6).alias("score"))
 
 
 def income_table(tx: DataFrame, key: str = KEY) -> DataFrame:
@@ -206,11 +206,11 @@ def recurring(tx: DataFrame, key: str = KEY, least: int = 2) -> DataFrame:
 
 
 def running_balance(tx: DataFrame, key: str = KEY, opening: float = 0.0) -> DataFrame:
-    """Balance after each transaction and the days since the one before."""
-    w = Window.partitionBy(key).orderBy("booking_date", "tx_id")
+    """Balance after each transaction and the days since the one before, day by day of an account."""
     signed = F.when(F.expr(CREDIT), F.col("amount")).otherwise(-F.col("amount"))
-    gap = F.datediff("booking_date", F.lag("booking_date").over(w))
-    return tx.select(key, "tx_id", "booking_date", (F.sum(signed).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.lit(opening)).cast("double").alias("balance"), gap.alias("gap_days"), F.coalesce(gap > 5, F.lit(False)).alias("gap"))
+    r = running(tx, [key], F.col("booking_date"), ["booking_date", "tx_id"], {"_total": signed}, previous="_day")
+    gap = F.datediff("booking_date", "_day")
+    return r.select(key, "tx_id", "booking_date", (F.col("_total") + F.lit(opening)).cast("double").alias("balance"), gap.alias("gap_days"), F.coalesce(gap > 5, F.lit(False)).alias("gap"))
 
 
 def top_and_other(tx: DataFrame, column: str = "counterparty", n: int = 10, key: str = KEY) -> DataFrame:
@@ -378,14 +378,6 @@ def apply_labels(tx: DataFrame, labels: DataFrame) -> DataFrame:
     return tx.join(labels.select(F.lower("counterparty").alias("k"), "label"), F.lower("counterparty") == F.col("k"), "left").withColumn("label", F.coalesce("label", F.lit("neutral"))).drop("k")
 
 
-def reconcile(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of two sources matched one to one; equal rows are numbered first."""
-    number = lambda df: df.withColumn("i", F.row_number().over(Window.partitionBy(*on).orderBy("tx_id")))
-    a, b = number(left).withColumnRenamed("tx_id", "left_id"), number(right).withColumnRenamed("tx_id", "right_id")
-    out = a.join(b, [*on, "i"], "full_outer")
-    return out.select(*on, "left_id", "right_id", F.when(F.col("left_id").isNull(), "right_only").when(F.col("right_id").isNull(), "left_only").otherwise("match").alias("status"))
-
-
 def latest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The newest row of each key."""
     return top_per_key(df, key, order, 1, "rn").drop("rn")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 KEY = "subscriber"
 
 
@@ -91,7 +93,10 @@ def overnight_stays(r: DataFrame) -> DataFrame:
 
 def call_lengths(r: DataFrame) -> DataFrame:
     """Mean, median and longest call, and the busiest day."""
-    c = r.where(is_call()).groupBy(KEY).agg((F.sum("duration_seconds") / F.count("*")).alias("mean_s"), F.median("duration_seconds").alias("median_s"), F.max("duration_seconds").alias("longest_s"))
+    own = r.where(is_call())
+    c = own.groupBy(KEY).agg((F.sum("duration_seconds") / F.count("*")).alias("mean_s"), F.max("duration_seconds").alias("longest_s"))
+    mid = ranks.values_at(own, [KEY], "duration_seconds", {"low": (0.5, ranks.LOWER_MIDDLE), "high": (0.5, ranks.UPPER_MIDDLE)})
+    c = c.join(mid.select(KEY, ((F.col("low") + F.col("high")) / 2).alias("median_s")), KEY, "left").select(KEY, "mean_s", "median_s", "longest_s")
     d = r.groupBy(KEY, F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).groupBy(KEY).agg(F.min_by("day", F.struct(-F.col("n"), "day")).alias("busiest_day"), F.max("n").alias("busiest_n"))
     return c.join(d, KEY)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 from .ledger import FIAT, PRIVACY, day, sum_if, total
 
 OWNER = "owner"
@@ -49,7 +50,7 @@ def behaviour(tx: DataFrame) -> DataFrame:
         F.countDistinct("token").alias("tokens"), F.coalesce(F.avg("positive"), F.lit(0.0)).alias("mean_amount"), F.coalesce(F.max("positive"), F.lit(0.0)).alias("max_amount"),
         F.coalesce(F.sum("positive"), F.lit(0.0)).alias("volume"), _n("positive > 10 * mean_p").alias("large"), F.coalesce(F.max("value"), F.lit(0.0)).alias("max_fiat"),
         F.coalesce(F.sum("value"), F.lit(0.0)).alias("fiat_volume"), _n("value > 10 * mean_v").alias("large_fiat"), F.countDistinct("day").alias("active_days"),
-        F.avg("held").alias("mean_held_h"), F.expr("-percentile_disc(0.5) within group (order by -held)").alias("median_held_h"),
+        F.avg("held").alias("mean_held_h"),
         F.coalesce(F.bool_or(F.expr("sheet = 'Margin Order'")), F.lit(False)).alias("leverage"),
         _n(f"category in {tuple(REWARDS)} or tx_type in {tuple(REWARD_TYPES)}").alias("rewards"), _n("sheet = 'Card Transaction'").alias("card"), _n(f"token in {tuple(PRIVACY[:7])}").alias("privacy"),
         _n("lower(category) like '%airdrop%'").alias("airdrops"), _n("gap < 300").alias("rapid"), _n("internal").alias("internal"),
@@ -57,7 +58,8 @@ def behaviour(tx: DataFrame) -> DataFrame:
     per_day = tx.groupBy(OWNER, day().alias("day")).agg(F.count("*").alias("k")).groupBy(OWNER).agg(F.max("k").alias("max_per_day"))
     both = tx.where("tx_type = 'swap' and token is not null").groupBy(OWNER, "token", day().alias("day")).agg(F.bool_or(F.expr("side = 'BUY'")).alias("b"), F.bool_or(F.expr("side = 'SELL'")).alias("s"))
     both = both.where("b and s").groupBy(OWNER).agg(F.count("*").alias("same_day"))
-    g = g.join(per_day, OWNER).join(both, OWNER, "left").withColumn("same_day", F.coalesce("same_day", F.lit(0)).cast("long"))
+    held = ranks.values_at(s, [OWNER], "held", {"median_held_h": (0.5, ranks.UPPER_MIDDLE)})
+    g = g.join(held, OWNER, "left").join(per_day, OWNER).join(both, OWNER, "left").withColumn("same_day", F.coalesce("same_day", F.lit(0)).cast("long"))
     whole = (F.col("span_days") * 24).cast("double")
     g = g.withColumns({"mean_held_h": F.coalesce("mean_held_h", whole), "median_held_h": F.coalesce("median_held_h", whole)})
     per = F.col("n") / F.col("span_days")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .rules import city_of, first_of
 from .bank import CREDIT, DEBIT, KEY, money, month, when_sum
+from .running import running
 
 
 def monthly_recurrence(tx: DataFrame, key: str = KEY, bucket: int = 10, low: int = 20, high: int = 40) -> DataFrame:
@@ -151,16 +152,16 @@ def reconcile_totals(st: DataFrame) -> DataFrame:
     return st.select("*", pick("credit").alias("credit"), note("credit").alias("credit_from"), pick("debit").alias("debit"), note("debit").alias("debit_from"))
 
 
-def balance_chain(rows: DataFrame, key: str = KEY, tolerance: float = 0.02) -> DataFrame:
+def balance_chain(rows: DataFrame, key: str = KEY, tolerance: float = 0.02, block: int = 4096) -> DataFrame:
     """each known balance against the known one before it and what was booked since.
 
-    rows: key, seq, amount (signed), balance (null where unknown).
+    rows: key, seq (whole number), amount (signed), balance (null where unknown). A key's rows are dealt to
+    blocks of ``block`` numbers.
     """
-    w = Window.partitionBy(key).orderBy("seq")
-    total = F.sum("amount").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    r = rows.withColumn("total", total).withColumn("off", F.when(F.col("balance").isNotNull(), F.col("balance") - F.col("total")))
-    before = F.last("off", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    r = r.withColumn("before", before).where("balance is not null and before is not null")
+    part = F.floor(F.col("seq") / block)
+    r = running(rows, [key], part, ["seq"], {"total": F.col("amount")})
+    r = r.withColumn("off", F.when(F.col("balance").isNotNull(), F.col("balance") - F.col("total")))
+    r = running(r, [key], part, ["seq"], {}, {"before": F.col("off")}).where("balance is not null and before is not null")
     return r.select(key, "seq", F.round(F.col("off") - F.col("before"), 2).alias("difference"), (F.abs(F.col("off") - F.col("before")) <= tolerance).alias("holds"))
 
 

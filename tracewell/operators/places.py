@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import grid, haversine
+from . import ranks
 
 KEY = "subscriber"
 
@@ -310,7 +311,7 @@ def transit(r: DataFrame, labels: DataFrame) -> DataFrame:
     """
     minute = F.hour("ts") * 60 + F.minute("ts")
     day = r.groupBy(KEY, "place", F.to_date("ts").alias("day")).agg((F.max(minute) - F.min(minute)).alias("dwell"))
-    stay = day.groupBy(KEY, "place").agg(F.expr("-percentile_disc(0.5) within group (order by -dwell)").alias("dwell"), F.count("*").alias("days"))
+    stay = ranks.values_at(day, [KEY, "place"], "dwell", {"dwell": (0.5, ranks.UPPER_MIDDLE)}).join(day.groupBy(KEY, "place").agg(F.count("*").alias("days")), [KEY, "place"])
     h = F.hour("ts")
     g = r.groupBy(KEY, "place").agg(F.count("*").alias("n"), F.count_if(h.between(6, 8) | h.between(16, 18)).alias("commute"), F.min("lat").alias("lat"), F.min("lon").alias("lon"))
     g = g.join(stay, [KEY, "place"])

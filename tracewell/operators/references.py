@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import iban_valid
 from .bank import CREDIT, DEBIT, KEY, first_ids, money, ranked, when_sum
+from .running import numbered
 
 
 def channel_by_codes(code: Column, swift: Column, title: Column) -> Column:
@@ -205,19 +206,11 @@ def holder_label(name: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lit("."))), " ")
 
 
-def sequence_labels(accounts: DataFrame, kind: str, order: list[str]) -> DataFrame:
-    """The kind and a running number within it. A kind's accounts are counted in blocks first, so
-    that no task has to hold a whole kind."""
-    a = accounts.withColumn("_first", F.col(order[0]))
-    edges = a.groupBy(kind).agg(F.expr("percentile_approx(_first, array(0.25, 0.5, 0.75))").alias("_cuts")) if dict(accounts.dtypes)[order[0]] in ("int", "bigint", "double") else None
-    if edges is None:
-        w = Window.partitionBy(kind).orderBy(*order)
-        return accounts.withColumn("label", F.concat(kind, F.lit("-"), F.row_number().over(w).cast("string")))
-    a = a.join(edges, kind).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("_first")))).drop("_cuts")
-    before = a.groupBy(kind, "_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(kind).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy(kind, "_b").orderBy(*order)
-    out = a.join(before.drop("_n"), [kind, "_b"]).withColumn("label", F.concat(kind, F.lit("-"), (F.col("_before") + F.row_number().over(w)).cast("string")))
-    return out.drop("_first", "_b", "_before")
+def sequence_labels(accounts: DataFrame, kind: str, order: list[str | Column]) -> DataFrame:
+    """The kind and a running number within it, by any columns in order (ties included, nulls first).
+    A kind's accounts are numbered part by part, so that no task has to hold a whole kind."""
+    out = numbered(accounts, [kind], order, "__number")
+    return out.withColumn("label", F.concat(kind, F.lit("-"), F.col("__number").cast("string"))).drop("__number")
 
 
 def geographic_share(rows: DataFrame, samples: int = 3) -> DataFrame:

@@ -25,29 +25,40 @@ def numbered(rows: DataFrame, group: list[str], order: list[str | Column], name:
     in all of ``order`` are numbered in any order and stay in one part. ``keep``: the columns to go on with.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in [*group, *order]]
-    cut = rows.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id())
-    cut = stash(cut.select(*(keep or rows.columns), "_at"), "numbered").withColumn("_part", F.shiftright("_at", 33))
-    sizes = cut.groupBy(*group, "_part").agg(F.count("*").alias("_rows"))
-    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.withColumn("_before", F.sum("_rows").over(earlier)).where("_before > 0").drop("_rows")
-    within = F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_at"))
-    out = _join(cut.withColumn("_n", within), F.broadcast(before), [*group, "_part"])
-    return out.withColumn(name, F.col("_n") + F.coalesce("_before", F.lit(0))).drop("_n", "_before", "_part", "_at")
-
-
-def running(rows: DataFrame, group: list[str], block: Column, order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Rows with running sums of their group (the row itself included), nulls counting as nothing.
-
-    ``block`` must not fall along ``order`` (a day, a number divided by a constant): sums of blocks come
-    first, their prefix is added to the sums within a block, so that a task holds a block of a group and
-    not a group.
+    cut = rows.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("__at", F.monotonically_increasing_id())
+    cut = stash(cut.select(*(keep or rows.columns), "__at"), "numbered").withColumn("__part", F.shiftright("__at", 33))
+    sizes = cut.groupBy(*group, "__part").agg(F.count("*").alias("__rows"))
+    earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("__before", F.sum("__rows").over(earlier)).where("__before > 0").drop("__rows")
+    within = F.row_number().over(Window.partitionBy(*group, "__part").orderBy("__at"))
+    out = _join(cut.withColumn("__n", within), F.broadcast(before), [*group, "__part"])
+    return out.withColumn(name, F.col("__n") + F.coalesce("__before", F.lit(0))).drop("__n", "__before", "__part", "__at")
+
+
+def running(rows: DataFrame, group: list[str], block: Column, order: list[str], sums: dict[str, Column], lasts: dict[str, Column] | None = None, previous: str | None = None) -> DataFrame:
+    """Rows with running sums of their group (the row itself included), nulls counting as nothing; with
+    the last value that is not null of earlier rows (``lasts``), and with the block of the row before
+    (column ``previous``).
+
+    ``block`` must not fall along ``order`` (a day, a number divided by a constant): what a block adds
+    comes first, a block at a time, then rows within their block, so that a task holds a block of a group
+    and not a group.
     """
-    cut = rows.withColumn("_block", block)
-    parts = cut.groupBy(*group, "_block").agg(*(F.sum(c).alias(f"_sum_{k}") for k, c in sums.items()))
-    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = parts.select(*group, "_block", *(F.sum(f"_sum_{k}").over(earlier).alias(f"_before_{k}") for k in sums))
-    own = Window.partitionBy(*group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = _join(cut.withColumns({f"_own_{k}": F.sum(c).over(own) for k, c in sums.items()}), before, [*group, "_block"])
-    zero = F.lit(0)
-    out = out.withColumns({k: F.coalesce(f"_own_{k}", zero) + F.coalesce(f"_before_{k}", zero) for k in sums})
-    return out.drop("_block", *(f"_own_{k}" for k in sums), *(f"_before_{k}" for k in sums))
+    lasts = lasts or {}
+    cut = rows.withColumn("__block", block)
+    place = F.struct(*order)
+    parts = cut.groupBy(*group, "__block").agg(
+        F.count("*").alias("__n"), *(F.sum(c).alias(f"__sum_{k}") for k, c in sums.items()), *(F.max_by(c, F.when(c.isNotNull(), place)).alias(f"__last_{k}") for k, c in lasts.items()))
+    blocks = Window.partitionBy(*group).orderBy("__block")
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.sum(f"__sum_{k}").over(earlier).alias(f"__before_{k}") for k in sums] + [F.last(f"__last_{k}", ignorenulls=True).over(earlier).alias(f"__before_{k}") for k in lasts]
+    before = parts.select(*group, "__block", F.lag("__block").over(blocks).alias("__from"), *before)
+    within = Window.partitionBy(*group, "__block").orderBy(*order)
+    own = {f"__own_{k}": F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, 0)) for k, c in sums.items()}
+    own |= {f"__own_{k}": F.last(c, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1)) for k, c in lasts.items()}
+    out = _join(cut.withColumns(own | {"__first": F.row_number().over(within) == 1}), before, [*group, "__block"])
+    both = {k: F.coalesce(f"__own_{k}", F.lit(0)) + F.coalesce(f"__before_{k}", F.lit(0)) for k in sums} | {k: F.coalesce(f"__own_{k}", f"__before_{k}") for k in lasts}
+    if previous:
+        both[previous] = F.when(F.col("__first"), F.col("__from")).otherwise(F.col("__block"))
+    names = [*sums, *lasts]
+    return out.withColumns(both).drop("__block", "__first", "__from", *(f"__own_{k}" for k in names), *(f"__before_{k}" for k in names))

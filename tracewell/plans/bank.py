@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bank as B
+from ..operators import reconcile as R
 from .tables import WITH_B
 
 QUERIES: dict = {}
@@ -199,12 +200,63 @@ _L = "l AS (SELECT concat('CP', CAST(c_custkey AS VARCHAR)) AS counterparty, CAS
 query("a20_labels", f"{WITH_B}, {_L} SELECT tx_id, counterparty, coalesce(label, 'neutral') AS label FROM b LEFT JOIN l USING (counterparty)")(lambda t: B.apply_labels(t.bank, _labels(t)).select("tx_id", "counterparty", "label"))
 query("a21_label_counts", f"{WITH_B}, {_L} SELECT account_id, coalesce(label, 'neutral') AS label, count(*) AS n FROM b LEFT JOIN l USING (counterparty) GROUP BY GROUPING SETS ((account_id, coalesce(label, 'neutral')), (coalesce(label, 'neutral')))")(lambda t: B.label_counts(B.apply_labels(t.bank, _labels(t))))
 query("a63_learning_queue", f"{WITH_B}, {_L} SELECT counterparty, count(*) AS times_seen FROM b WHERE counterparty NOT IN (SELECT counterparty FROM l) GROUP BY 1")(lambda t: B.learning_queue(t.bank, _labels(t)))
-query("a64_reconcile", f"""{WITH_B}, a AS (SELECT tx_id, booking_date, floor(amount / 1000) AS amount FROM b),
-l AS (SELECT tx_id AS left_id, booking_date, amount, row_number() OVER (PARTITION BY booking_date, amount ORDER BY tx_id) AS i FROM a WHERE tx_id % 3 <> 0),
-r AS (SELECT tx_id AS right_id, booking_date, amount, row_number() OVER (PARTITION BY booking_date, amount ORDER BY tx_id) AS i FROM a WHERE tx_id % 3 <> 1)
-SELECT booking_date, {D("amount")} AS amount, left_id, right_id, CASE WHEN left_id IS NULL THEN 'right_only' WHEN right_id IS NULL THEN 'left_only' ELSE 'match' END AS status FROM l FULL JOIN r USING (booking_date, amount, i)""")(
-    lambda t: (lambda a: B.reconcile(a.where("tx_id % 3 <> 0"), a.where("tx_id % 3 <> 1"), ["booking_date", "amount"]).withColumn("amount", F.col("amount").cast("double")))(_near_amounts(t).select("tx_id", "booking_date", "amount"))
-)
+#: Two sources of the same rows: amounts in whole thousands, so that equal ones occur, each source a little
+#: off; each lacks a third of the rows.
+_TWO = f"""{WITH_B}, s AS (
+  SELECT 'left' AS side, tx_id AS id, booking_date, CAST(floor(amount / 1000) + (tx_id % 2) * 0.006 AS DECIMAL(20, 6)) AS amount FROM b WHERE tx_id % 3 <> 0
+  UNION ALL SELECT 'right', tx_id, booking_date, CAST(floor(amount / 1000) + (tx_id % 5) * 0.004 AS DECIMAL(20, 6)) FROM b WHERE tx_id % 3 <> 1)"""
+_SIDE = "max(CASE WHEN side = '{0}' THEN id END) AS {0}_id, max(CASE WHEN side = '{0}' THEN amount END) AS {0}_amount".format
+_BOTH = f"{_SIDE('left')}, {_SIDE('right')}"
+_NEAR = "coalesce(abs(left_amount - right_amount) < 0.01, false)"
+
+
+def _neighbours(source: str, name: str, shift: int) -> str:
+    """What ``source`` leaves, by pairs of neighbouring cells of a hundredth."""
+    return f"""{name}_r AS (SELECT booking_date, 'left' AS side, left_id AS id, left_amount AS amount FROM {source} WHERE NOT {_NEAR} AND left_id IS NOT NULL
+  UNION ALL SELECT booking_date, 'right', right_id, right_amount FROM {source} WHERE NOT {_NEAR} AND right_id IS NOT NULL),
+{name}_c AS (SELECT *, CAST(floor(amount * 100) AS BIGINT) + {shift} AS cell FROM {name}_r),
+{name}_n AS (SELECT *, cell // 2 AS two, (cell % 2 = 0) = (side = 'left') AS crossing, row_number() OVER (PARTITION BY booking_date, cell // 2, cell % 2, side
+  ORDER BY abs(amount - (CASE WHEN cell % 2 = 0 THEN cell + 1 ELSE cell END - {shift}) * 0.01), id) AS n FROM {name}_c),
+{name} AS (SELECT booking_date, {_BOTH} FROM {name}_n GROUP BY booking_date, two, crossing, n)"""
+
+
+_MATCHED = f"""{_TWO}, s_n AS (SELECT *, floor(amount * 100) AS cell, row_number() OVER (PARTITION BY booking_date, floor(amount * 100), side ORDER BY amount, id) AS n FROM s),
+one AS (SELECT booking_date, {_BOTH} FROM s_n GROUP BY booking_date, cell, n), {_neighbours("one", "even", 0)}, {_neighbours("even", "odd", 1)},
+z AS (SELECT * FROM one WHERE {_NEAR} UNION ALL SELECT * FROM even WHERE {_NEAR} UNION ALL SELECT * FROM odd WHERE {_NEAR}
+  UNION ALL SELECT booking_date, left_id, left_amount, NULL, NULL FROM odd WHERE NOT {_NEAR} AND left_id IS NOT NULL
+  UNION ALL SELECT booking_date, NULL, NULL, right_id, right_amount FROM odd WHERE NOT {_NEAR} AND right_id IS NOT NULL),
+matched AS (SELECT booking_date, left_id, {D("left_amount")} AS left_amount, right_id, {D("right_amount")} AS right_amount,
+  CASE WHEN right_id IS NULL THEN 'left_only' WHEN left_id IS NULL THEN 'right_only' ELSE 'match' END AS status FROM z)"""
+
+
+def _two(t):
+    off = lambda m, by: (F.floor(F.col("amount") / 1000) + F.col("tx_id") % m * F.lit(by).cast("decimal(4,3)")).cast("decimal(20,6)")
+    cut = lambda m, by, rest: t.bank.where(f"tx_id % 3 <> {rest}").select("tx_id", "account_id", "booking_date", "direction", off(m, by).alias("amount"))
+    return cut(2, "0.006", 0), cut(5, "0.004", 1)
+
+
+def _matched(t):
+    return R.reconcile(*(x.select("tx_id", "booking_date", "amount") for x in _two(t)), ["booking_date"])
+
+
+query("a64_reconcile", f"{_MATCHED} SELECT * FROM matched")(lambda t: _matched(t).withColumns({c: F.col(c).cast("double") for c in ("left_amount", "right_amount")}))
+query("a64_match_report", f"""{_MATCHED} SELECT booking_date, count(*) FILTER (WHERE status = 'match') AS matches, count(*) FILTER (WHERE status = 'left_only') AS left_only,
+  count(*) FILTER (WHERE status = 'right_only') AS right_only, round(count(*) FILTER (WHERE status = 'match') / greatest(count(left_id), 1) * 100, 4) AS match_rate FROM matched GROUP BY 1""")(lambda t: R.match_report(_matched(t), ["booking_date"]))
+
+
+@query("a64_declared_checks", f"""{WITH_B}, s AS (SELECT account_id, sum({CR}) AS total_credits, sum({DB}) AS total_debits, count(*) FILTER (WHERE direction = 'CREDIT') AS credit_count, count(*) FILTER (WHERE direction = 'DEBIT') AS debit_count FROM b GROUP BY 1),
+d AS (SELECT account_id, CAST(CASE account_id % 4 WHEN 0 THEN 0.004 WHEN 1 THEN 0.01 WHEN 2 THEN 1 ELSE 0 END AS DECIMAL(10, 6)) AS off, * EXCLUDE account_id FROM s),
+u AS (UNPIVOT (SELECT account_id, off, total_credits::DOUBLE AS total_credits, total_debits::DOUBLE AS total_debits, credit_count::DOUBLE AS credit_count, debit_count::DOUBLE AS debit_count FROM d) ON total_credits, total_debits, credit_count, debit_count INTO NAME field VALUE computed)
+SELECT account_id, field, computed, computed + off AS declared, off < 0.01 AS match FROM u WHERE NOT (field = 'debit_count' AND account_id % 5 = 0)""")
+def a64_checks(t):
+    """Declared totals are a little, a hundredth or a whole off, or (a fifth of the debit counts) not there."""
+    own = R.totals_of(t.bank, ["account_id"], F.when(F.expr(B.CREDIT), F.col("amount")).otherwise(-F.col("amount")))
+    fields = ["total_credits", "total_debits", "credit_count", "debit_count"]
+    off = F.element_at(F.array(*(F.lit(x).cast("decimal(10,6)") for x in ("0.004", "0.01", "1", "0"))), (F.col("account_id") % 4 + 1).cast("int"))
+    declared = own.select("account_id", *(F.when(~((F.lit(f) == "debit_count") & (F.col("account_id") % 5 == 0)), F.col(f) + off).alias(f) for f in fields))
+    return R.declared_checks(own, declared, ["account_id"], fields).withColumns({c: F.col(c).cast("double") for c in ("computed", "declared")})
+
+
 query("a68_latest", f"""{WITH_B} SELECT account_id, tx_id, booking_date FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY booking_date DESC, tx_id DESC) AS r FROM b) WHERE r = 1""")(lambda t: B.latest(t.bank.select("account_id", "tx_id", "booking_date"), "account_id", [F.desc("booking_date"), F.desc("tx_id")]))
 query("a67_history", f"""{_S}, g AS (SELECT account_id, {MONTH} AS month, count(*) AS risky FROM b WHERE category IN ('gambling', 'crypto') GROUP BY 1, 2) SELECT account_id, month, n, coalesce(risky, 0) AS risky FROM s LEFT JOIN g USING (account_id, month)""")(lambda t: B.statement_history(B.statements(t.bank), t.bank, ["gambling", "crypto"]))
 query("a4_deduplicate", f"""{WITH_B} SELECT account_id, booking_date, counterparty, min(tx_id) AS tx_id FROM b GROUP BY 1, 2, 3""")(lambda t: B.deduplicate(t.bank.select("account_id", "booking_date", "counterparty", "tx_id"), ["account_id", "booking_date", "counterparty"]))
