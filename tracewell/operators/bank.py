@@ -388,6 +388,11 @@ def risk_reasons(tags: DataFrame, weights: DataFrame, totals: DataFrame, key: st
     part; with the first ids as evidence, ranked by what they add."""
     t = ranked(tags.withColumn("tag", F.upper("tag")), [key, "tag"])
     t = t.groupBy(key, "tag").agg(F.count("*").alias("n"), money(F.abs("amount")).alias("amount"), first_ids(ids))
+    return weighed(t, weights, totals, key)
+
+
+def weighed(t: DataFrame, weights: DataFrame, totals: DataFrame, key: str = KEY) -> DataFrame:
+    """A17 from sums: key, tag (in capitals), n, amount, tx_ids."""
     w = weights.select(F.col("tag").alias("wtag"), "weight").where("weight > 0")
     t = t.join(w.toDF("tag", "own"), "tag", "left").join(w.toDF("bare", "other"), F.regexp_replace("tag", "RISK[:_]", "") == F.col("bare"), "left")
     t = t.withColumn("weight", F.coalesce("own", "other")).where("weight is not null").drop("own", "other", "bare")
@@ -400,7 +405,11 @@ def risk_reasons(tags: DataFrame, weights: DataFrame, totals: DataFrame, key: st
 
 def risk_score(tags: DataFrame, weights: DataFrame, totals: DataFrame, key: str = KEY) -> DataFrame:
     """The reasons' sum, at most 100."""
-    return risk_reasons(tags, weights, totals, key).groupBy(key).agg(F.round(F.least(F.sum("delta"), F.lit(100.0)), 4).alias("score"), F.count("*").alias("reasons"))
+    return risk_score_of(risk_reasons(tags, weights, totals, key), key)
+
+
+def risk_score_of(reasons: DataFrame, key: str = KEY) -> DataFrame:
+    return reasons.groupBy(key).agg(F.round(F.least(F.sum("delta"), F.lit(100.0)), 4).alias("score"), F.count("*").alias("reasons"))
 
 
 def evidence(tags: DataFrame, key: str = KEY, n: int = 10) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import ranks
 from .ledger import FIAT, PRIVACY, day, sum_if, total
+from .running import numbered
 
 OWNER = "owner"
 #: Categories and types of rewards, and networks that are often used to launder.
@@ -330,3 +331,72 @@ def month_flows(tx: DataFrame) -> DataFrame:
 def daily_types(tx: DataFrame) -> DataFrame:
     """Records of each day and type, and (type null) in all."""
     return tx.withColumn("day", day()).groupingSets([[F.col(OWNER), F.col("day"), F.col("tx_type")], [F.col(OWNER), F.col("day")]], OWNER, "day", "tx_type").agg(F.count("*").alias("n"))
+
+
+def exchange_flow(tx: DataFrame, currency: Column | None = None) -> DataFrame:
+    """Each owner's flows by fiat value: currencies to tokens (buys), tokens to currencies (sales), tokens
+    to the outside (withdrawals), staking to tokens (rewards). Other types are no flows. currency: that of
+    a record's value, PLN unless given or where null. A record without a value counts with 0."""
+    kind, token = F.lower("tx_type"), F.concat(F.lit("TOKEN:"), F.coalesce(F.nullif("token", F.lit("")), F.lit("UNKNOWN")))
+    fiat = F.concat(F.lit("FIAT:"), F.coalesce(currency if currency is not None else F.lit("PLN"), F.lit("PLN")))
+    ends = F.when(kind == "buy", F.struct(fiat.alias("src"), token.alias("dst"))).when(kind == "sell", F.struct(token.alias("src"), fiat.alias("dst")))
+    ends = ends.when(kind == "withdrawal", F.struct(token.alias("src"), F.lit("EXTERNAL").alias("dst"))).when(kind.isin(REWARD_TYPES), F.struct(F.lit("STAKING").alias("src"), token.alias("dst")))
+    e = tx.select(OWNER, ends.alias("e"), F.coalesce(F.abs("fiat_value"), F.lit(0)).alias("v")).where("e is not null")
+    return e.groupBy(OWNER, "e.src", "e.dst").agg(F.count("*").alias("n"), F.sum("v").cast("double").alias("total"))
+
+
+def exchange_flow_nodes(edges: DataFrame) -> DataFrame:
+    """The nodes of ``exchange_flow``: what they are, what came in and went out, records."""
+    end = lambda c, way: edges.select(OWNER, F.col(c).alias("node"), "n", *(F.when(F.lit(w == way), F.col("total")).otherwise(0.0).alias(f"total_{w}") for w in ("in", "out")))
+    g = end("src", "out").unionByName(end("dst", "in")).groupBy(OWNER, "node")
+    return g.agg(F.sum("n").alias("n"), F.sum("total_in").alias("total_in"), F.sum("total_out").alias("total_out")).withColumn("kind", F.lower(F.substring_index("node", ":", 1)))
+
+
+#: Fixed value: a trade is compared with so many trades of its owner after it.
+AHEAD = 19
+
+
+def wash_trades(tx: DataFrame, seconds: int = 300, ahead: int = AHEAD, block: int = 4096) -> DataFrame:
+    """Of an owner's trades in order, each with those of the next ``ahead`` that lie within the window,
+    on the same market and the other side (a missing side is a side of its own).
+
+    Trades are numbered by ranges, and dealt to blocks of numbers; a block also gets the first few of the
+    next, so a window of ``ahead`` rows finds all pairs, and an owner or a market with most of the trades
+    is many tasks' work.
+    """
+    t = tx.where("tx_type = 'swap' and market <> '' and ts_s is not null").select(OWNER, "row_id", "ts_s", "market", F.coalesce("side", F.lit("")).alias("side"))
+    r = numbered(t, [OWNER], ["ts_s", "row_id"], "at").withColumn("own", F.floor((F.col("at") - 1) / block))
+    first = ((F.col("at") - 1) % block) < ahead
+    r = r.withColumn("block", F.explode(F.when(first & (F.col("own") > 0), F.array("own", F.col("own") - 1)).otherwise(F.array("own"))))
+    w = Window.partitionBy(OWNER, "block").orderBy("at").rowsBetween(1, ahead)
+    r = r.withColumn("next", F.collect_list(F.struct("row_id", "ts_s", "market", "side")).over(w)).where("own = block")
+    hit = F.filter("next", lambda n: (n["market"] == F.col("market")) & (n["side"] != F.col("side")) & (n["ts_s"] - F.col("ts_s") <= seconds))
+    r = r.withColumn("n", F.explode(hit))
+    return r.select(OWNER, "market", F.col("row_id").alias("first_id"), F.col("n.row_id").alias("second_id"), (F.col("n.ts_s") - F.col("ts_s")).alias("seconds"))
+
+
+def wash_markets(tx: DataFrame, below: float = 0.1) -> DataFrame:
+    """An owner's markets whose net is small against the gross."""
+    s = tx.where("tx_type = 'swap'").groupBy(OWNER, F.coalesce("market", F.lit("")).alias("market")).agg(sum_if("side = 'BUY'").alias("bought"), sum_if("side = 'SELL'").alias("sold"))
+    ratio = F.abs(F.col("bought") - F.col("sold")) / (F.col("bought") + F.col("sold"))
+    return s.where("bought > 0 and sold > 0").where(ratio < below).withColumn("ratio", F.round(ratio, 6))
+
+
+def fiat_currencies(tx: DataFrame) -> DataFrame:
+    """Fiat in and out of each owner and currency."""
+    f = tx.where("tx_type in ('fiat_deposit', 'fiat_withdrawal')")
+    return f.groupBy(OWNER, "token").agg(sum_if("tx_type = 'fiat_deposit'").alias("fiat_in"), sum_if("tx_type = 'fiat_withdrawal'").alias("fiat_out"))
+
+
+def fiat_ramp(tx: DataFrame) -> DataFrame:
+    """Fiat in, out and net of all currencies, their records, the hours from the first fiat deposit
+    to the first withdrawal that is not internal (below 0 if that came first; null without both), and
+    records of person-to-person trades."""
+    when = lambda c, v: F.when(F.expr(c), F.col(v))
+    outside = "tx_type = 'withdrawal' and not coalesce(internal, false)"
+    g = tx.groupBy(OWNER).agg(
+        F.round(sum_if("tx_type = 'fiat_deposit'"), 2).alias("fiat_in"), F.round(sum_if("tx_type = 'fiat_withdrawal'"), 2).alias("fiat_out"), _n("tx_type = 'fiat_deposit'").alias("deposits"),
+        _n("tx_type = 'fiat_withdrawal'").alias("withdrawals"), F.min(when("tx_type = 'fiat_deposit'", "ts_s")).alias("first_deposit_s"), F.min(when(outside, "ts_s")).alias("first_withdrawal_s"), _n("sheet = 'P2P'").alias("p2p"),
+    )
+    hours = F.when(F.col("first_deposit_s").isNotNull(), (F.col("first_withdrawal_s") - F.col("first_deposit_s")) / 3600)
+    return g.withColumns({"net": F.round(F.col("fiat_in") - F.col("fiat_out"), 2), "hours": hours})

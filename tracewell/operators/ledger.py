@@ -34,15 +34,48 @@ def day() -> Column:
     return F.to_date(F.timestamp_seconds("ts_s"))
 
 
-def watch_matches(tx: DataFrame, watch: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Tags and score of transfers with a listed address at either end."""
-    w = watch.select("address", "kind").groupBy("address").agg(F.min("kind").alias("kind"))
-    out = tx.join(w.toDF("from_address", "k1"), "from_address", "left").join(w.toDF("to_address", "k2"), "to_address", "left")
-    out = out.join(contracts.toDF("to_address", "contract", "contract_score"), "to_address", "left")
-    tags = F.array_sort(F.array_distinct(F.array_compact(F.array("k1", "k2", "contract"))))
-    part = lambda k: F.when(F.col(k) == "sanctioned", 100).when(F.col(k) == "mixer", 60).otherwise(0)
-    score = F.least(F.lit(100), part("k1") + part("k2") + F.coalesce("contract_score", F.lit(0)))
-    return out.select("transfer_id", F.array_join(tags, ",").alias("tags"), score.cast("int").alias("risk_score")).where("tags <> ''")
+#: Points for each end that is listed, and is a mixer; and for a contract's category.
+LISTED, MIXER = 100, 80
+CONTRACT_POINTS = {"mixer": 80, "bridge": 20, "defi": 5}
+
+
+def plain_address(c: Column | str) -> Column:
+    return F.lower(F.trim(c))
+
+
+def watch_matches(tx: DataFrame, watch: DataFrame, contracts: DataFrame, contract: str | None = None) -> DataFrame:
+    """(transfer_id, tags, risk_score, counterparty) of transfers that meet a list.
+
+    watch: address, kind (why it is listed; several rows an address may be). Every listed address is
+    sanctioned, and a mixer too if one of its kinds says so; each end of a transfer counts for itself.
+    contracts: address, name, category; met by the receiver and by the transfer's own contract
+    (column ``contract``), whose name goes before. Addresses are compared without case and outer blanks.
+    Points end at 100; a contract of another category gives its name alone.
+    """
+    w = watch.where("address is not null").groupBy(plain_address("address").alias("address"))
+    w = w.agg(F.coalesce(F.bool_or(F.lower("kind").contains("mixer")), F.lit(False)).alias("mixer"))
+    k = contracts.where("address is not null").groupBy(plain_address("address").alias("address")).agg(F.min(F.struct("name", "category")).alias("c"))
+    k = k.select("address", F.col("c.name").alias("name"), F.col("c.category").alias("category"))
+    out = tx.select("transfer_id", plain_address("from_address").alias("a1"), plain_address("to_address").alias("a2"), plain_address(contract if contract else F.lit(None).cast("string")).alias("a3"))
+    for a in ("1", "2"):
+        out = out.join(w.toDF(f"a{a}", f"mixer{a}"), f"a{a}", "left")
+    for a in ("2", "3") if contract else ("2",):
+        out = out.join(k.toDF(f"a{a}", f"name{a}", f"category{a}"), f"a{a}", "left")
+    if not contract:
+        out = out.withColumns({c: F.lit(None).cast("string") for c in ("name3", "category3")})
+    yes = lambda c, n: F.when(c, n).otherwise(0)
+    known = list(CONTRACT_POINTS)
+    score, tags = F.lit(0), []
+    for a in ("1", "2"):
+        score += yes(F.col(f"mixer{a}").isNotNull(), LISTED) + yes(F.col(f"mixer{a}"), MIXER)
+        tags += [F.when(F.col(f"mixer{a}").isNotNull(), "sanctioned"), F.when(F.col(f"mixer{a}"), "mixer")]
+    for a in ("2", "3"):
+        c = F.col(f"category{a}")
+        score += F.coalesce(F.create_map(*(F.lit(x) for kv in CONTRACT_POINTS.items() for x in kv))[c], F.lit(0))
+        tags.append(F.when(c.isin(known), c))
+    tags = F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*tags)))), ",")
+    out = out.select("transfer_id", tags.alias("tags"), F.least(F.lit(100), score).cast("int").alias("risk_score"), F.coalesce("name3", "name2").alias("counterparty"))
+    return out.where("tags <> '' or counterparty is not null")
 
 
 def exchange_rules(tx: DataFrame) -> DataFrame:
@@ -128,7 +161,7 @@ PATTERNS = {"blockchain": {"peel_chain": 30, "dust_attack": 15, "round_trip": 35
 FLAGS = {"blockchain": {"sanctioned": 50, "mixer": 40, "privacy_coin": 20}, "exchange": {"high_value_fiat": 10, "privacy_coin": 15}}
 
 
-def overall_risk(tx: DataFrame, source: str = "exchange", watch: DataFrame | None = None, contracts: DataFrame | None = None, large_fiat: float = 15_000) -> DataFrame:
+def overall_risk(tx: DataFrame, source: str = "exchange", watch: DataFrame | None = None, contracts: DataFrame | None = None, contract: str | None = None, large_fiat: float = 15_000) -> DataFrame:
     """0.3 of the mean transfer risk, the points of the owner's (sender's) patterns, and those of its
     flags; at most 100; with the reasons, sorted. A blockchain's transfers are scored by the lists
     (watch, contracts), an exchange's by its rules."""
@@ -137,7 +170,7 @@ def overall_risk(tx: DataFrame, source: str = "exchange", watch: DataFrame | Non
     flag = lambda df, c, k: named(df.where(c), OWNER, k)
     private = F.col("token").isin(PRIVACY)
     if source == "blockchain":
-        scored = watch_matches(tx, watch, contracts)
+        scored = watch_matches(tx, watch, contracts, contract)
         found = [named(peel_chains(tx), "address", "peel_chain"), named(dust(tx), "address", "dust_attack"), named(round_trips(tx), "address", "round_trip"), named(smurfing(tx), "address", "smurfing")]
         kinds = tx.join(scored.select("transfer_id", F.split("tags", ",").alias("tags")), "transfer_id", "left")
         found += [flag(kinds, F.array_contains("tags", k), k) for k in ("sanctioned", "mixer")] + [flag(tx, private, "privacy_coin")]
@@ -181,14 +214,6 @@ def address_nodes(tx: DataFrame, tags: DataFrame, nodes: int = 200) -> DataFrame
     return out.orderBy(F.desc("n"), "node").limit(nodes)
 
 
-def exchange_flow(tx: DataFrame) -> DataFrame:
-    """Flows between fiat, tokens and outside."""
-    token = F.when(F.col("token").isin(FIAT), F.concat(F.lit("fiat:"), "token")).otherwise(F.concat(F.lit("token:"), "token"))
-    src = F.when(F.col("tx_type") == "deposit", "external").otherwise(token)
-    dst = F.when(F.col("tx_type") == "withdrawal", "external").when(F.col("tx_type") == "sell", "fiat:PLN").when(F.col("tx_type") == "transfer", "internal").otherwise(token)
-    return tx.select(src.alias("src"), dst.alias("dst"), "amount").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"), total().alias("total"))
-
-
 def wallets(tx: DataFrame) -> DataFrame:
     """Both ends of each transfer by lower-case address."""
     ends = F.explode(F.array(F.struct(F.lower("from_address").alias("address"), F.lit(0).alias("in_")), F.struct(F.lower("to_address").alias("address"), F.lit(1).alias("in_"))))
@@ -206,29 +231,6 @@ def token_balances(tx: DataFrame) -> DataFrame:
     return frame.join(d, ["token", "day"], "left").select("token", "day", F.sum(F.coalesce("delta", F.lit(0))).over(w).cast("double").alias("balance"))
 
 
-def wash_trades(tx: DataFrame, seconds: int = 300) -> DataFrame:
-    """Buys and sells of one market within the window, either first; all pairs of it count."""
-    side = lambda k, t, i: tx.where(F.col("tx_type") == k).select("token", F.col("ts_s").alias(t), F.col("transfer_id").alias(i))
-    one = followed_by(side("buy", "t1", "first_id"), side("sell", "t2", "second_id"), ["token"], seconds, strict=False)
-    two = followed_by(side("sell", "t1", "first_id"), side("buy", "t2", "second_id"), ["token"], seconds)
-    return one.unionByName(two).select("token", "first_id", "second_id", (F.col("t2") - F.col("t1")).alias("seconds"))
-
-
-def wash_ratio(tx: DataFrame, below: float = 0.1) -> DataFrame:
-    """Owners and tokens whose net is small against the gross."""
-    g = tx.groupBy(F.col(OWNER).alias("owner"), "token").agg(sum_if("tx_type = 'buy'").alias("bought"), sum_if("tx_type = 'sell'").alias("sold"))
-    ratio = F.abs(F.col("bought") - F.col("sold")) / (F.col("bought") + F.col("sold"))
-    return g.where("bought > 0 and sold > 0").where(ratio < below).withColumn("ratio", F.round(ratio, 6))
-
-
-def fiat_ramp(tx: DataFrame) -> DataFrame:
-    """Fiat in and out, and the time from the first deposit to the first withdrawal after it."""
-    first = F.min(F.when(F.col("tx_type") == "deposit", F.col("ts_s")))
-    g = tx.groupBy(F.col(OWNER).alias("owner")).agg(sum_if("tx_type = 'deposit' and token = 'PLN'").alias("fiat_in"), sum_if("tx_type = 'withdrawal' and token = 'PLN'").alias("fiat_out"), first.alias("first_in"))
-    w = tx.where("tx_type = 'withdrawal'").select(F.col(OWNER).alias("owner"), "ts_s").join(g.select("owner", "first_in"), "owner").where("ts_s >= first_in").groupBy("owner").agg(F.min("ts_s").alias("first_out"))
-    return g.join(w, "owner", "left").select("owner", "fiat_in", "fiat_out", (F.col("first_out") - F.col("first_in")).alias("seconds"))
-
-
 def activity(tx: DataFrame) -> DataFrame:
     """Hours, weekdays and night share, by grouping sets."""
     ts = F.timestamp_seconds("ts_s")

@@ -114,3 +114,28 @@ SELECT address, token, day, CAST(sum(delta) OVER (PARTITION BY address, token OR
 query("x20_month_flows", f"""{WITH_E} SELECT owner, strftime({DAY}, '%Y-%m') AS month, {_if(f"token IN {_in(L.FIAT)} AND tx_type IN ('deposit', 'fiat_deposit')")} AS fiat_in, {_if(f"token IN {_in(L.FIAT)} AND tx_type NOT IN ('deposit', 'fiat_deposit')")} AS fiat_out,
   {", ".join(f"CAST(coalesce(sum(fiat_value) FILTER (tx_type = '{k}'), 0) AS DOUBLE) AS {c}" for k, c in (("buy", "bought"), ("sell", "sold"), ("withdrawal", "moved_out")))}, {_if("tx_type = 'deposit'")} AS received, {_if("tx_type = 'withdrawal'")} AS sent, count(*) AS n FROM e GROUP BY 1, 2""")(lambda t: E.month_flows(t.exchange))
 query("x20_daily_types", f"{WITH_E}, d AS (SELECT owner, {DAY} AS day, tx_type FROM e) SELECT owner, day, tx_type, count(*) AS n FROM d GROUP BY GROUPING SETS ((owner, day, tx_type), (owner, day))")(lambda t: E.daily_types(t.exchange))
+
+
+_EIF = "CAST(sum(CASE WHEN {} THEN amount ELSE 0 END) AS DOUBLE)".format
+_CURRENCY = "CASE quote_token WHEN 'Q1' THEN 'EUR' WHEN 'Q2' THEN 'USD' ELSE 'PLN' END"
+_FLOW = f"""{WITH_E}, v AS (SELECT owner, lower(tx_type) AS kind, concat('TOKEN:', coalesce(nullif(token, ''), 'UNKNOWN')) AS tok, concat('FIAT:', {_CURRENCY}) AS fiat, coalesce(abs(fiat_value), 0) AS v FROM e),
+f AS (SELECT owner, fiat AS src, tok AS dst, v FROM v WHERE kind = 'buy' UNION ALL SELECT owner, tok, fiat, v FROM v WHERE kind = 'sell' UNION ALL SELECT owner, tok, 'EXTERNAL', v FROM v WHERE kind = 'withdrawal'
+  UNION ALL SELECT owner, 'STAKING', tok, v FROM v WHERE kind IN ('staking_reward', 'learn_reward')),
+flow AS (SELECT owner, src, dst, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM f GROUP BY 1, 2, 3)"""
+
+
+def _flow(t):
+    return E.exchange_flow(t.exchange, F.when(F.col("quote_token") == "Q1", "EUR").when(F.col("quote_token") == "Q2", "USD"))
+
+
+query("x16_exchange_flow", f"{_FLOW} SELECT * FROM flow")(_flow)
+query("x16_exchange_nodes", f"""{_FLOW} SELECT owner, node, CAST(sum(n) AS BIGINT) AS n, sum(i) AS total_in, sum(o) AS total_out, lower(split_part(node, ':', 1)) AS kind
+FROM (SELECT owner, src AS node, n, 0.0 AS i, total AS o FROM flow UNION ALL SELECT owner, dst, n, total, 0.0 FROM flow) GROUP BY 1, 2""")(lambda t: E.exchange_flow_nodes(_flow(t)))
+query("x33_wash_trades", f"""{WITH_E}, s AS (SELECT *, coalesce(side, '') AS way, row_number() OVER (PARTITION BY owner ORDER BY ts_s, row_id) AS i FROM e WHERE tx_type = 'swap' AND market <> '')
+SELECT a.owner, a.market, a.row_id AS first_id, b.row_id AS second_id, b.ts_s - a.ts_s AS seconds FROM s a JOIN s b ON a.owner = b.owner AND a.market = b.market AND a.way <> b.way AND b.i - a.i BETWEEN 1 AND 19 AND b.ts_s - a.ts_s <= 21600""")(lambda t: E.wash_trades(t.exchange, 21_600))
+query("x33_wash_ratio", f"""{WITH_E}, g AS (SELECT owner, coalesce(market, '') AS market, {_EIF("side = 'BUY'")} AS bought, {_EIF("side = 'SELL'")} AS sold FROM e WHERE tx_type = 'swap' GROUP BY 1, 2)
+SELECT *, round(abs(bought - sold) / (bought + sold), 6) AS ratio FROM g WHERE bought > 0 AND sold > 0 AND abs(bought - sold) / (bought + sold) < 0.1""")(lambda t: E.wash_markets(t.exchange))
+query("x34_fiat_currencies", f"""{WITH_E} SELECT owner, token, {_EIF("tx_type = 'fiat_deposit'")} AS fiat_in, {_EIF("tx_type = 'fiat_withdrawal'")} AS fiat_out FROM e WHERE tx_type IN ('fiat_deposit', 'fiat_withdrawal') GROUP BY 1, 2""")(lambda t: E.fiat_currencies(t.exchange))
+query("x34_fiat_ramp", f"""{WITH_E}, g AS (SELECT owner, round({_EIF("tx_type = 'fiat_deposit'")}, 2) AS fiat_in, round({_EIF("tx_type = 'fiat_withdrawal'")}, 2) AS fiat_out, count(*) FILTER (tx_type = 'fiat_deposit') AS deposits, count(*) FILTER (tx_type = 'fiat_withdrawal') AS withdrawals,
+  min(ts_s) FILTER (tx_type = 'fiat_deposit') AS first_deposit_s, min(ts_s) FILTER (tx_type = 'withdrawal' AND NOT internal) AS first_withdrawal_s, count(*) FILTER (sheet = 'P2P') AS p2p FROM e GROUP BY 1)
+SELECT *, round(fiat_in - fiat_out, 2) AS net, (first_withdrawal_s - first_deposit_s) / 3600 AS hours FROM g""")(lambda t: E.fiat_ramp(t.exchange))

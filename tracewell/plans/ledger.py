@@ -34,16 +34,34 @@ def _if(c: str) -> str:
     return f"CAST(sum(CASE WHEN {c} THEN amount ELSE 0 END) AS DOUBLE)"
 
 
-@query("x1_watch_matches", f"""{WITH_X}, w(address, kind) AS (VALUES ('w3', 'sanctioned'), ('w7', 'mixer'), ('w11', 'mixer'), ('w3', 'watched')), k(address, contract, score) AS (VALUES ('w5', 'bridge', 15), ('w7', 'dex', 5)),
-u AS (SELECT address, min(kind) AS kind FROM w GROUP BY 1),
-j AS (SELECT transfer_id, a.kind AS k1, b.kind AS k2, contract, coalesce(score, 0) AS score FROM x LEFT JOIN u a ON a.address = from_address LEFT JOIN u b ON b.address = to_address LEFT JOIN k ON k.address = to_address)
-SELECT transfer_id, array_to_string(list_sort(list_distinct(list_filter([k1, k2, contract], lambda v: v IS NOT NULL))), ',') AS tags,
-  CAST(least(100, CASE k1 WHEN 'sanctioned' THEN 100 WHEN 'mixer' THEN 60 ELSE 0 END + CASE k2 WHEN 'sanctioned' THEN 100 WHEN 'mixer' THEN 60 ELSE 0 END + score) AS INT) AS risk_score
-FROM j WHERE k1 IS NOT NULL OR k2 IS NOT NULL OR contract IS NOT NULL""")
-def x1(t):
-    watch = t.spark.createDataFrame([("w3", "sanctioned"), ("w7", "mixer"), ("w11", "mixer"), ("w3", "watched")], "address string, kind string")
-    contracts = t.spark.createDataFrame([("w5", "bridge", 15), ("w7", "dex", 5)], "address string, contract string, score int")
-    return L.watch_matches(t.transfers, watch, contracts)
+#: The lists of these queries, as a caller may have them: in any case, with several reasons.
+WATCH = [("W3 ", "court order"), ("w7", "Mixer of coins"), ("W1", "mixer"), ("w3", "watched")]
+CONTRACTS = [("W5", "Bridge A", "bridge"), ("w7", "Swap B", "defi"), ("W9", "Blend C", "mixer"), ("w11", "Game D", "game")]
+_rows = lambda rows: ", ".join(str(r) for r in rows)
+_LISTS = f"""w(address, kind) AS (VALUES {_rows(WATCH)}), k(address, name, category) AS (VALUES {_rows(CONTRACTS)}),
+wx AS (SELECT transfer_id, from_address, to_address, CASE WHEN transfer_id % 7 = 0 THEN 'W9 ' WHEN transfer_id % 7 = 1 THEN 'w11' END AS contract FROM x),
+wh AS (
+  SELECT transfer_id, 'sanctioned' AS tag, 100 AS p FROM wx, (SELECT unnest([1, 2]) AS i) WHERE lower(trim(CASE i WHEN 1 THEN from_address ELSE to_address END)) IN (SELECT lower(trim(address)) FROM w)
+  UNION ALL SELECT transfer_id, 'mixer', 80 FROM wx, (SELECT unnest([1, 2]) AS i) WHERE lower(trim(CASE i WHEN 1 THEN from_address ELSE to_address END)) IN (SELECT lower(trim(address)) FROM w WHERE lower(kind) LIKE '%mixer%')
+  UNION ALL SELECT transfer_id, category, CASE category WHEN 'mixer' THEN 80 WHEN 'bridge' THEN 20 ELSE 5 END FROM wx, (SELECT unnest([1, 2]) AS i), k
+    WHERE lower(trim(CASE i WHEN 1 THEN to_address ELSE contract END)) = lower(trim(address)) AND category IN ('mixer', 'bridge', 'defi')),
+wt AS (SELECT transfer_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags, CAST(least(100, sum(p)) AS INT) AS risk_score FROM wh GROUP BY 1)"""
+
+
+def _lists(t):
+    return t.spark.createDataFrame(WATCH, "address string, kind string"), t.spark.createDataFrame(CONTRACTS, "address string, name string, category string"), "contract"
+
+
+def with_contract(tx):
+    return tx.withColumn("contract", F.when(F.col("transfer_id") % 7 == 0, "W9 ").when(F.col("transfer_id") % 7 == 1, "w11"))
+
+
+def _with_contract(t):
+    return with_contract(t.transfers)
+
+
+query("x1_watch_matches", f"""{WITH_X}, {_LISTS} SELECT wx.transfer_id, coalesce(tags, '') AS tags, coalesce(risk_score, 0) AS risk_score, coalesce(c3.name, c2.name) AS counterparty FROM wx LEFT JOIN wt USING (transfer_id)
+LEFT JOIN k c2 ON lower(trim(c2.address)) = to_address LEFT JOIN k c3 ON lower(trim(c3.address)) = lower(trim(wx.contract)) WHERE tags IS NOT NULL OR c2.name IS NOT NULL OR c3.name IS NOT NULL""")(lambda t: L.watch_matches(_with_contract(t), *_lists(t)))
 
 
 _RULES = f"""r AS (SELECT transfer_id, from_address, CASE WHEN token IN {_in(L.KNOWN)} THEN 'known' ELSE 'unknown' END AS token_class,
@@ -89,30 +107,18 @@ query("x12_overall_risk", f"""{WITH_X}, {_RULES}, {_MEME.format(0.2)}, {_RAPID},
     ("SELECT owner FROM rapid", "rapid_conversion", 35), ("SELECT owner FROM struct", "structuring_deposits", 25), ("SELECT owner FROM meme", "meme_coin_concentration", 5), (_PRIVATE, "privacy_coin_usage", 20),
     (f"SELECT from_address AS owner FROM x WHERE token IN {_in(L.FIAT)} AND amount > 15000", "high_value_fiat", 10), (_PRIVATE, "privacy_coin", 15),
 ])}""")(lambda t: L.overall_risk(t.transfers))
-_LISTS = """w(address, kind) AS (VALUES ('w3', 'sanctioned'), ('w7', 'mixer'), ('w1', 'mixer'), ('w3', 'watched')), k(address, contract, score) AS (VALUES ('w5', 'bridge', 15), ('w7', 'dex', 5)), wu AS (SELECT address, min(kind) AS kind FROM w GROUP BY 1),
-wj AS (SELECT transfer_id, a.kind AS k1, b.kind AS k2, contract, coalesce(score, 0) AS score FROM x LEFT JOIN wu a ON a.address = from_address LEFT JOIN wu b ON b.address = to_address LEFT JOIN k ON k.address = to_address),
-wt AS (SELECT transfer_id, k1, k2, array_to_string(list_sort(list_distinct(list_filter([k1, k2, contract], lambda v: v IS NOT NULL))), ',') AS tags, least(100, CASE k1 WHEN 'sanctioned' THEN 100 WHEN 'mixer' THEN 60 ELSE 0 END + CASE k2 WHEN 'sanctioned' THEN 100 WHEN 'mixer' THEN 60 ELSE 0 END + score) AS risk_score FROM wj)"""
-
-
-def _lists(t):
-    return t.spark.createDataFrame([("w3", "sanctioned"), ("w7", "mixer"), ("w1", "mixer"), ("w3", "watched")], "address string, kind string"), t.spark.createDataFrame([("w5", "bridge", 15), ("w7", "dex", 5)], "address string, contract string, score int")
-
-
 query("x12_chain_risk", f"""{WITH_X}, {_LISTS}, {_PEEL.format(0.7)}, {_TRIP.format('amount')}, {_SMURF}, {_overall("(SELECT transfer_id, risk_score FROM wt WHERE tags <> '') r", [
     ("SELECT address AS owner FROM peel", "peel_chain", 30), ("SELECT address AS owner FROM trip", "round_trip", 35), ("SELECT address AS owner FROM smurf", "smurfing", 40), ("SELECT to_address AS owner FROM x WHERE amount > 0 AND amount < 0.0001 GROUP BY 1 HAVING count(*) >= 10", "dust_attack", 15),
-    ("SELECT from_address AS owner FROM x JOIN wt USING (transfer_id) WHERE k1 = 'sanctioned' OR k2 = 'sanctioned'", "sanctioned", 50), ("SELECT from_address AS owner FROM x JOIN wt USING (transfer_id) WHERE k1 = 'mixer' OR k2 = 'mixer'", "mixer", 40), (_PRIVATE, "privacy_coin", 20),
-])}""")(lambda t: L.overall_risk(t.transfers, "blockchain", *_lists(t)))
+    ("SELECT from_address AS owner FROM x JOIN wt USING (transfer_id) WHERE contains(tags, 'sanctioned')", "sanctioned", 50), ("SELECT from_address AS owner FROM x JOIN wt USING (transfer_id) WHERE contains(tags, 'mixer')", "mixer", 40), (_PRIVATE, "privacy_coin", 20),
+])}""")(lambda t: L.overall_risk(_with_contract(t), "blockchain", *_lists(t)))
 query("x15_address_nodes", f"""{WITH_X}, {_LISTS}, e AS (SELECT from_address AS node, 'out' AS way, amount, tags FROM x LEFT JOIN wt USING (transfer_id) WHERE from_address <> to_address UNION ALL SELECT to_address, 'in', amount, tags FROM x LEFT JOIN wt USING (transfer_id) WHERE from_address <> to_address),
 g AS (SELECT node, count(*) AS n, {_if("way = 'in'")} AS total_in, {_if("way = 'out'")} AS total_out FROM e GROUP BY 1), k2 AS (SELECT node, array_to_string(list_sort(list(DISTINCT tag)), ',') AS tags FROM (SELECT node, unnest(string_split(coalesce(tags, ''), ',')) AS tag FROM e) WHERE tag <> '' GROUP BY 1)
 SELECT node, n, total_in, total_out, coalesce(tags, '') AS tags, CASE WHEN contains(tags, 'sanctioned') THEN 'critical' WHEN contains(tags, 'mixer') THEN 'high' ELSE 'low' END AS level, CASE WHEN contains(tags, 'mixer') THEN 'mixer' ELSE 'wallet' END AS kind FROM g LEFT JOIN k2 USING (node) ORDER BY n DESC, node LIMIT 200""")(
-    lambda t: L.address_nodes(t.transfers, L.watch_matches(t.transfers, *_lists(t)))
+    lambda t: L.address_nodes(t.transfers, L.watch_matches(_with_contract(t), *_lists(t)))
 )
 query("x15_address_edges", f"""{WITH_X}, e AS (SELECT from_address, to_address, count(*) AS n, {S('amount')} AS total FROM x WHERE from_address <> to_address GROUP BY 1, 2),
 t AS (SELECT node FROM (SELECT from_address AS node, n FROM e UNION ALL SELECT to_address, n FROM e) GROUP BY 1 ORDER BY sum(n) DESC, node LIMIT 200)
 SELECT * FROM e WHERE from_address IN (SELECT node FROM t) AND to_address IN (SELECT node FROM t) ORDER BY total DESC, from_address, to_address LIMIT 500""")(lambda t: L.address_edges(t.transfers))
-_TOK = f"CASE WHEN token IN {_in(L.FIAT)} THEN concat('fiat:', token) ELSE concat('token:', token) END"
-query("x16_exchange_flow", f"""{WITH_X}, f AS (SELECT CASE WHEN tx_type = 'deposit' THEN 'external' ELSE {_TOK} END AS src, CASE tx_type WHEN 'withdrawal' THEN 'external' WHEN 'sell' THEN 'fiat:PLN' WHEN 'transfer' THEN 'internal' ELSE {_TOK} END AS dst, amount FROM x)
-SELECT src, dst, count(*) AS n, {S('amount')} AS total FROM f WHERE src <> dst GROUP BY 1, 2""")(lambda t: L.exchange_flow(t.transfers))
 query("x17_wallets", f"""{WITH_X}, e AS (SELECT lower(from_address) AS address, 0 AS in_, amount, ts_s, token FROM x UNION ALL SELECT lower(to_address), 1, amount, ts_s, token FROM x)
 SELECT address, count(*) AS n, {_if('in_ = 1')} AS received, {_if('in_ = 0')} AS sent, min(ts_s) AS first_s, max(ts_s) AS last_s, count(DISTINCT token) AS tokens FROM e GROUP BY 1""")(lambda t: L.wallets(t.transfers))
 query("x18_token_balances", f"""{WITH_X}, d AS (SELECT token, {DAY} AS day, sum(CASE WHEN tx_type IN ('deposit', 'buy') THEN amount ELSE -amount END) AS delta FROM x GROUP BY 1, 2),
@@ -125,7 +131,3 @@ query("x30_activity", f"{WITH_X}, d AS (SELECT *, hour({TS}) AS hour, isodow({TS
     lambda t: L.activity(t.transfers).withColumn("hour", F.col("hour").cast("long")).withColumn("weekday", F.col("weekday").cast("long"))
 )
 query("x30_dormancy", f"{WITH_X}, d AS (SELECT *, lag(ts_s) OVER (PARTITION BY from_address ORDER BY ts_s, transfer_id) AS before FROM x) SELECT from_address AS owner, transfer_id, ts_s - before AS seconds FROM d WHERE ts_s - before > 259200")(lambda t: L.dormancy(t.transfers, 3))
-query("x33_wash_trades", f"""{WITH_X} SELECT a.token, a.transfer_id AS first_id, b.transfer_id AS second_id, b.ts_s - a.ts_s AS seconds FROM x a JOIN x b ON a.token = b.token AND b.ts_s - a.ts_s <= 21600 AND ((a.tx_type = 'buy' AND b.tx_type = 'sell' AND b.ts_s >= a.ts_s) OR (a.tx_type = 'sell' AND b.tx_type = 'buy' AND b.ts_s > a.ts_s))""")(lambda t: L.wash_trades(t.transfers, 21600))
-query("x33_wash_ratio", f"""{WITH_X}, g AS (SELECT from_address AS owner, token, {_if("tx_type = 'buy'")} AS bought, {_if("tx_type = 'sell'")} AS sold FROM x GROUP BY 1, 2) SELECT *, round(abs(bought - sold) / (bought + sold), 6) AS ratio FROM g WHERE bought > 0 AND sold > 0 AND abs(bought - sold) / (bought + sold) < 0.1""")(lambda t: L.wash_ratio(t.transfers))
-query("x34_fiat_ramp", f"""{WITH_X}, g AS (SELECT from_address AS owner, {_if("tx_type = 'deposit' AND token = 'PLN'")} AS fiat_in, {_if("tx_type = 'withdrawal' AND token = 'PLN'")} AS fiat_out, min(CASE WHEN tx_type = 'deposit' THEN ts_s END) AS first_in FROM x GROUP BY 1),
-w AS (SELECT owner, min(ts_s) AS first_out FROM x JOIN g ON owner = from_address WHERE tx_type = 'withdrawal' AND ts_s >= first_in GROUP BY 1) SELECT owner, fiat_in, fiat_out, first_out - first_in AS seconds FROM g LEFT JOIN w USING (owner)""")(lambda t: L.fiat_ramp(t.transfers))

@@ -61,9 +61,24 @@ SELECT t.tx_id, coalesce(c.category, w.category, m.category, 'unclassified') AS
   concat_ws(';', c.ex, k.ex, w.ex, CASE WHEN c.category IS NULL AND w.category IS NULL AND m.category IS NOT NULL THEN concat('merchant_db:', m.category, '|', m.name, '|', m.category) END, CASE label WHEN 'whitelist' THEN 'memory:whitelist||whitelist' WHEN 'blacklist' THEN 'memory:blacklist||blacklist' END) AS explains
 FROM t LEFT JOIN c USING (tx_id) LEFT JOIN k USING (tx_id) LEFT JOIN w USING (tx_id) LEFT JOIN m USING (tx_id) LEFT JOIN tc USING (tx_id)""")
 def a10(t):
-    make = lambda rows, schema: t.spark.createDataFrame(rows, schema)
-    rows = t.notes.select("tx_id", "title", F.expr(_LABEL).alias("label"), T.urls(F.col("title")).alias("urls"))
-    return U.classify(rows, make(RULES, "kind string, category string, subcategory string, pattern string, priority int"), "tx_id", "title", WEIGHTS, "urls", make(DOMAINS, "domain string, category string, subcategory string"), make(MERCHANTS, "pattern string, name string, category string, subcategory string, priority int"), "label")
+    return classified(rule_rows(t.notes), rule_tables(t.spark))
+
+
+def rule_rows(rows):
+    return rows.select("tx_id", "title", F.expr(_LABEL).alias("label"), T.urls(F.col("title")).alias("urls"))
+
+
+def rule_tables(spark) -> dict:
+    make = lambda rows, names: spark.createDataFrame(rows, names)
+    return {
+        "rules": make(RULES, "kind string, category string, subcategory string, pattern string, priority int"),
+        "domains": make(DOMAINS, "domain string, category string, subcategory string"),
+        "merchants": make(MERCHANTS, "pattern string, name string, category string, subcategory string, priority int"),
+    }
+
+
+def classified(rows, now: dict):
+    return U.classify(rows, now["rules"], "tx_id", "title", WEIGHTS, "urls", now["domains"], now["merchants"], "label")
 
 
 _LAB = [("fuel", "company", "orlen|shell"), ("shop", "company", "biedronka"), ("shop", "company", "lidl"), ("phone", None, "na telefon"), ("loan", "bank", "raty"), ("any", None, "blik|karta")]

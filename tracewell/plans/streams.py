@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ledger import watch_matches
 from ..streaming import detectors as D
+from . import ledger, notes
 from .calls import _DEV, _GAP
-from .tables import CDR, TRANSFERS, WITH_C, WITH_X
+from .tables import BANK_TX, CDR, NOTES, TRANSFERS, WITH_C, WITH_X
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -89,8 +91,44 @@ query("st8_device_changes", f"{_DEV}, l AS (SELECT *, lag(device) OVER (PARTITIO
 )
 
 
-@query("st9_rolling_risk", f"{WITH_X} SELECT from_address, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount FROM x GROUP BY 1")
+#: Fixed lists of this query: points by tag.
+RISK_WEIGHTS = [("PRIVACY", 30.0), ("OUT", 12.5), ("LARGE", 25.0), ("UNUSED", 50.0)]
+
+
+def _tagged(rows: DataFrame) -> DataFrame:
+    tag = lambda c, name: F.when(F.expr(c), name)
+    tags = F.array_compact(F.array(tag("token = 'XMR'", "privacy"), tag("tx_type = 'withdrawal'", "out"), tag("tx_type = 'withdrawal'", "OUT"), tag("amount > 300000", "Large"), tag("token = 'ETH'", "no weight")))
+    return rows.select("from_address", "amount", F.col("transfer_id").alias("tx_id"), tags.alias("tags"))
+
+
+@query("st9_rolling_risk", f"""{WITH_X}, w(tag, weight) AS (VALUES {", ".join(map(str, RISK_WEIGHTS))}), a AS (SELECT from_address, CAST(sum(amount) AS DOUBLE) AS total FROM x GROUP BY 1),
+t AS (SELECT from_address, 'PRIVACY' AS tag, amount FROM x WHERE token = 'XMR' UNION ALL SELECT from_address, 'OUT', amount FROM x WHERE tx_type = 'withdrawal' UNION ALL SELECT from_address, 'LARGE', amount FROM x WHERE amount > 300000),
+g AS (SELECT from_address, tag, CAST(sum(amount) AS DOUBLE) / max(total) * 100 AS pct FROM t JOIN a USING (from_address) GROUP BY 1, 2),
+r AS (SELECT from_address, round(least(sum(CASE WHEN pct < 10 THEN least(weight, weight * pct / 10) ELSE weight END), 100), 4) AS score, count(*) AS reasons FROM g JOIN w USING (tag) GROUP BY 1)
+SELECT from_address, coalesce(score, 0) AS score, coalesce(reasons, 0) AS reasons FROM a LEFT JOIN r USING (from_address)""")
 def st9(t):
     at = t.scratch()
-    D.rolling_risk(_transfers(t), "from_address", f"{at}/out", f"{at}/state")
-    return t.spark.read.parquet(f"{at}/out").groupBy("from_address").agg(F.sum("n").alias("n"), F.sum("amount").cast("double").alias("amount"))
+    weights = t.spark.createDataFrame(RISK_WEIGHTS, "tag string, weight double")
+    D.rolling_risk(_tagged(_transfers(t)), "from_address", weights, f"{at}/out", f"{at}/state")
+    return D.latest_risk(t.spark, f"{at}/out", "from_address").drop("version")
+
+
+def _by_rules(t, stream: DataFrame, tables: dict[str, DataFrame], found) -> DataFrame:
+    """The stream against the first version of each table."""
+    at = t.scratch()
+    for name, df in tables.items():
+        D.put_version(df, f"{at}/{name}")
+    D.by_rules(stream, f"{at}/out", f"{at}/state", {name: f"{at}/{name}" for name in tables}, found)
+    return t.spark.read.parquet(f"{at}/out").drop("batch", *(f"{name}_version" for name in tables))
+
+
+@query("st7_rules", notes.SQL["a10_rule_engine"])
+def st7_rules(t):
+    rows = t.spark.sql(NOTES, bank=t.spark.sql(BANK_TX, orders=_stream(t, "orders")))
+    return _by_rules(t, notes.rule_rows(rows), notes.rule_tables(t.spark), lambda df, now: notes.classified(df, now))
+
+
+@query("st7_watch", ledger.SQL["x1_watch_matches"])
+def st7_watch(t):
+    watch, contracts, column = ledger._lists(t)
+    return _by_rules(t, ledger.with_contract(_transfers(t)), {"watch": watch, "contracts": contracts}, lambda df, now: watch_matches(df, now["watch"], now["contracts"], column))
