@@ -10,30 +10,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import grid, haversine
+from ..sources.scratch import stash
 from . import ranks
 
 KEY = "subscriber"
 
 
 def cells(r: DataFrame, metres: float = 500.0) -> DataFrame:
-    """Counts and centres of grid cells."""
+    """Counts, sums and first record of grid cells."""
     g = r.where("lat is not null and lon is not null").withColumn("cy", grid(F.col("lat"), metres)).withColumn("cx", grid(F.col("lon"), metres))
-    return g.groupBy(KEY, "cy", "cx").agg(F.count("*").alias("n"), F.sum("lat").alias("sum_lat"), F.sum("lon").alias("sum_lon"))
+    return g.groupBy(KEY, "cy", "cx").agg(F.count("*").alias("n"), F.sum("lat").alias("sum_lat"), F.sum("lon").alias("sum_lon"), F.min(F.struct("ts", "event_id")).alias("first"))
 
 
-def clusters(r: DataFrame, least: int = 3, top: int = 30, metres: float = 500.0) -> DataFrame:
-    """M4: cells that no neighbour outweighs (ties by place) are seeds; each cell joins its heaviest
-    neighbouring seed. Greedy visiting order is not followed: each cell decides by itself."""
-    c = cells(r, metres)
-    order = F.struct("n", "cy", "cx")
-    around = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))).alias("d")
-    reach = lambda df: df.select(KEY, order.alias("who"), around).select(KEY, (F.col("who.cy") + F.col("d.dy")).alias("cy"), (F.col("who.cx") + F.col("d.dx")).alias("cx"), "who")
-    strongest = reach(c).groupBy(KEY, "cy", "cx").agg(F.max("who").alias("best"))
-    seeds = c.join(strongest, [KEY, "cy", "cx"]).where((F.col("best.cy") == F.col("cy")) & (F.col("best.cx") == F.col("cx"))).select(KEY, "n", "cy", "cx")
-    joined = c.join(reach(seeds).groupBy(KEY, "cy", "cx").agg(F.max("who").alias("seed")), [KEY, "cy", "cx"])
-    g = joined.groupBy(KEY, F.col("seed.cy").alias("seed_y"), F.col("seed.cx").alias("seed_x")).agg(F.sum("n").alias("n"), (F.sum("sum_lat") / F.sum("n")).alias("lat"), (F.sum("sum_lon") / F.sum("n")).alias("lon"), F.count("*").alias("cells"))
-    w = Window.partitionBy(KEY).orderBy(F.desc("n"), "seed_y", "seed_x")
-    return g.where(F.col("n") >= least).withColumn("cluster", F.row_number().over(w)).where(F.col("cluster") <= top)
+def _visit() -> Column:
+    """A cell's place in the greedy order: more records first, of equal ones the one seen first."""
+    return F.struct((-F.col("n")).alias("n"), "first", "cy", "cx")
+
+
+def _about(df: DataFrame, *more: str) -> DataFrame:
+    """Each cell's place in the order, and further columns, at the nine cells about it."""
+    d = F.explode(F.array(*(F.struct(F.lit(dy).alias("y"), F.lit(dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))).alias("d")
+    return df.select(KEY, _visit().alias("who"), d, *more).select(KEY, (F.col("who.cy") + F.col("d.y")).alias("cy"), (F.col("who.cx") + F.col("d.x")).alias("cx"), "who", *more)
+
+
+def seeds(c: DataFrame, least: int, log: list[int] | None = None) -> DataFrame:
+    """The cells at which greedy visiting (most records first) begins a cluster.
+
+    A cell with enough records begins one if none of its neighbours before it in the order does. Rounds
+    find them all at once: a cell before all its undecided neighbours begins one, which decides those
+    neighbours; what is left goes on to the next round. log: gets the number of undecided cells of each
+    round.
+    """
+    left = stash(c.where(F.col("n") >= least).select(KEY, "n", "first", "cy", "cx"), "cells")
+    found, n = [], left.count()
+    while n:
+        if log is not None:
+            log.append(n)
+        first = _about(left).groupBy(KEY, "cy", "cx").agg(F.min("who").alias("best"))
+        at = left.join(first, [KEY, "cy", "cx"])
+        new = stash(at.where((F.col("best.cy") == F.col("cy")) & (F.col("best.cx") == F.col("cx"))).drop("best"), "seeds")
+        found.append(new)
+        left = stash(left.join(_about(new).select(KEY, "cy", "cx").distinct(), [KEY, "cy", "cx"], "left_anti"), "cells")
+        n = left.count()
+    out = found[0] if found else left
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def clusters(r: DataFrame, least: int = 3, top: int = 30, metres: float = 500.0, log: list[int] | None = None) -> DataFrame:
+    """M4: greedy clusters: cells in the order of their records (of equal ones the one seen first) begin a
+    cluster, if they have enough, and take their neighbours that none has taken; each key's largest."""
+    c = stash(cells(r, metres), "cells")
+    takes = _about(seeds(c, least, log)).groupBy(KEY, "cy", "cx").agg(F.min("who").alias("seed"))
+    joined = c.join(takes, [KEY, "cy", "cx"])
+    g = joined.groupBy(KEY, "seed").agg(F.sum("n").alias("n"), (F.sum("sum_lat") / F.sum("n")).alias("lat"), (F.sum("sum_lon") / F.sum("n")).alias("lon"), F.count("*").alias("cells"))
+    g = g.select(KEY, F.col("seed.cy").alias("seed_y"), F.col("seed.cx").alias("seed_x"), "n", "lat", "lon", "cells", "seed")
+    w = Window.partitionBy(KEY).orderBy(F.desc("n"), "seed")
+    return g.withColumn("cluster", F.row_number().over(w)).where(F.col("cluster") <= top).drop("seed")
 
 
 def home_and_work(r: DataFrame, days: int = 3) -> DataFrame:
@@ -72,7 +106,7 @@ def travel_mode(km: Column, minutes: Column, kmh: Column) -> Column:
 def cluster_trips(r: DataFrame, centres: DataFrame, least_km: float = 5.0) -> DataFrame:
     """M8: changes of the nearest cluster from one record to the next, between clusters far enough apart,
     with the time since the record before; hops between masts are left out."""
-    near = nearest_of(r, centres).join(r.select(KEY, "event_id", "ts"), [KEY, "event_id"])
+    near = nearest_of(r.select(KEY, "event_id", "ts", "lat", "lon"), centres).drop("lat", "lon")
     w = Window.partitionBy(KEY).orderBy("ts", "event_id")
     d = near.withColumns({"c0": F.lag("cluster").over(w), "ts0": F.lag("ts").over(w)}).where("c0 <> cluster")
     at = centres.select(KEY, F.col("cluster").alias("c"), "lat", "lon")
@@ -202,10 +236,13 @@ def resolve_points(r: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def nearest_of(points: DataFrame, centres: DataFrame, key: str = KEY) -> DataFrame:
-    """M7: each point's nearest centre of its key (a key has some tens at most)."""
-    j = points.join(centres.select(key, "cluster", F.col("lat").alias("clat"), F.col("lon").alias("clon")), key)
+    """M7: each point's nearest centre of its key (a key has some tens at most), and how far it is. Places
+    are measured once, not once for each of their records; all columns of the points stay."""
+    at = points.select(key, "lat", "lon").where("lat is not null and lon is not null").distinct()
+    j = at.join(centres.select(key, "cluster", F.col("lat").alias("clat"), F.col("lon").alias("clon")), key)
     m = haversine(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
-    return j.groupBy(key, "event_id").agg(F.min(F.struct(F.round(m, 1).alias("metres"), "cluster")).alias("b")).select(key, "event_id", "b.cluster", "b.metres")
+    best = j.groupBy(key, "lat", "lon").agg(F.min(F.struct(F.round(m, 1).alias("metres"), "cluster")).alias("b"))
+    return points.join(best, [key, "lat", "lon"]).select(*points.columns, "b.cluster", "b.metres")
 
 
 def in_area(r: DataFrame, lat: float, lon: float, metres: float) -> DataFrame:
@@ -233,12 +270,16 @@ def best_records(ids: DataFrame) -> DataFrame:
 
 
 def cross_enrich(ids: DataFrame) -> DataFrame:
-    """Missing fields from the best record of the number, then of the person."""
-    out = record_quality(ids)
+    """Missing fields from the best record of the number, then of the person. The best known value of
+    each field is found by group before records are joined with it, so records without a number or a
+    person, however many, are no group."""
+    fields = ["person_id", "name", "segment", "operator"]
+    out = record_quality(ids).select("record_id", "number", "quality", *fields)
+    order = F.struct((-F.col("quality")).alias("q"), "record_id")
     for by in ("number", "person_id"):
-        w = Window.partitionBy(by).orderBy(F.desc("quality"), "record_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        known = F.col(by).isNotNull()
-        out = out.select("record_id", "number", "quality", *(F.coalesce(F.col(c), F.when(known, F.first(c, ignorenulls=True).over(w))).alias(c) for c in ("person_id", "name", "segment", "operator")))
+        known = out.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("_by"))
+        best = known.agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_{c}") for c in fields))
+        out = out.join(best, F.col(by) == F.col("_by"), "left").select("record_id", "number", "quality", *(F.coalesce(c, f"_{c}").alias(c) for c in fields))
     return out
 
 

@@ -41,23 +41,31 @@ def restore(text: Column, terms: list[str]) -> Column:
     return text
 
 
-def sentence_chunks(docs: DataFrame, words: int = 400) -> DataFrame:
+def sentence_chunks(docs: DataFrame, words: int = 400, page: int = 256) -> DataFrame:
     """T4: whole sentences gathered greedily up to a number of words (a longer one stands alone).
 
-    A fold over a text's sentences carries the chunk number and its words so far.
+    A fold over a text's sentences keeps where chunks begin, in pages of ``page`` numbers, so that what it
+    copies at a new chunk does not grow with the text; sizes are then summed between beginnings.
     """
     parts = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda x: F.trim(x) != "")
-    size = lambda x: F.size(F.split(F.trim(x), r"\s+"))
-
-    def step(a, x):
-        full = (a["n"] > 0) & (a["n"] + size(x) > words)
-        chunk = a["chunk"] + F.when(full, 1).otherwise(0)
-        return F.struct(chunk.alias("chunk"), F.when(full, size(x)).otherwise(a["n"] + size(x)).alias("n"), F.concat(a["out"], F.array(chunk)).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-    folded = docs.select("doc_id", parts.alias("parts")).withColumn("of", F.aggregate("parts", zero, step, lambda a: a["out"]))
-    rows = folded.select("doc_id", F.explode(F.arrays_zip("parts", "of")).alias("p")).select("doc_id", F.col("p.of").alias("chunk"), size(F.col("p.parts")).alias("n"))
-    return rows.groupBy("doc_id", "chunk").agg(F.sum("n").alias("words"), F.count("*").alias("sentences"))
+    sizes = F.transform(parts, lambda x: F.size(F.split(F.trim(x), r"\s+")))
+    none = F.array().cast("array<int>")
+
+    def step(a, n):
+        full = (a["n"] > 0) & (a["n"] + n > words)
+        turned = F.size(a["now"]) >= page
+        pages = F.when(full & turned, F.concat(a["pages"], F.array(a["now"]))).otherwise(a["pages"])
+        now = F.when(full, F.when(turned, F.array(a["i"])).otherwise(F.concat(a["now"], F.array(a["i"])))).otherwise(a["now"])
+        return F.struct((a["i"] + 1).alias("i"), F.when(full, n).otherwise(a["n"] + n).alias("n"), now.alias("now"), pages.alias("pages"))
+
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), none.alias("now"), F.array().cast("array<array<int>>").alias("pages"))
+    first = F.aggregate("sizes", zero, step, lambda a: F.concat(F.array(F.lit(0)), F.flatten(a["pages"]), a["now"]))
+    d = docs.select("doc_id", sizes.alias("sizes")).where(F.size("sizes") > 0)
+    d = d.select("doc_id", "sizes", first.alias("first"))
+    ends = F.concat(F.slice("first", F.lit(2), F.size("first")), F.array(F.size("sizes")))
+    d = d.select("doc_id", F.posexplode(F.zip_with("first", ends, lambda a, z: F.struct(a.alias("a"), (z - a).alias("k"), F.slice("sizes", a + 1, z - a).alias("sizes")))).alias("chunk", "c"))
+    total = F.aggregate("c.sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    return d.select("doc_id", "chunk", total.alias("words"), F.col("c.k").cast("long").alias("sentences"))
 
 
 def round_robin(lines: DataFrame, speakers: int = 2) -> DataFrame:

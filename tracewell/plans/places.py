@@ -79,12 +79,14 @@ query("m15_cell_stats", f"{_CELLS} SELECT source, radio, count(*) AS n, count(DI
 query("m14_cells_near", f"{_CELLS} SELECT *, round(abs(lat - 50.7) + abs(lon - 19.9), 6) AS distance FROM s WHERE lat BETWEEN 49.9 AND 51.5 AND lon BETWEEN 19.1 AND 20.7 ORDER BY distance, cell LIMIT 200")(lambda t: P.cells_near(_cells(t), 50.7, 19.9, 0.8))
 
 
-_CLUSTERS = """g AS (SELECT subscriber, CAST(trunc({y} / (500.0 / 111000)) AS BIGINT) AS cy, CAST(trunc({x} / (500.0 / 111000)) AS BIGINT) AS cx, count(*) AS n, sum({y}) AS sy, sum({x}) AS sx FROM {src} GROUP BY 1, 2, 3),
-nb AS (SELECT a.subscriber, a.cy, a.cx, max((b.n, b.cy, b.cx)) AS best FROM g a JOIN g b ON b.subscriber = a.subscriber AND abs(a.cy - b.cy) <= 1 AND abs(a.cx - b.cx) <= 1 GROUP BY 1, 2, 3),
-sd AS (SELECT g.* FROM g JOIN nb USING (subscriber, cy, cx) WHERE best = (n, cy, cx)),
-js AS (SELECT a.subscriber, a.cy, a.cx, a.n, a.sy, a.sx, max((b.n, b.cy, b.cx)) AS seed FROM g a JOIN sd b ON b.subscriber = a.subscriber AND abs(a.cy - b.cy) <= 1 AND abs(a.cx - b.cx) <= 1 GROUP BY ALL),
-cl AS (SELECT subscriber, seed, CAST(sum(n) AS BIGINT) AS n, sum(sy) / sum(n) AS lat, sum(sx) / sum(n) AS lon, count(*) AS cells FROM js GROUP BY 1, 2 HAVING sum(n) >= 3),
-kc AS (SELECT * EXCLUDE (seed), row_number() OVER (PARTITION BY subscriber ORDER BY n DESC, seed[2], seed[3]) AS cluster FROM cl), cs AS (SELECT * FROM kc WHERE cluster <= 30)"""
+#: Cells in greedy order, folded: a cell that no seed so far touches is a seed.
+_CLUSTERS = """g AS (SELECT subscriber, CAST(trunc({y} / (500.0 / 111000)) AS BIGINT) AS cy, CAST(trunc({x} / (500.0 / 111000)) AS BIGINT) AS cx, count(*) AS n, sum({y}) AS sy, sum({x}) AS sx, min((ts, event_id)) AS seen FROM {src} GROUP BY 1, 2, 3),
+go AS (SELECT *, row_number() OVER (PARTITION BY subscriber ORDER BY n DESC, seen) AS turn FROM g),
+gl AS (SELECT subscriber, list([{{'cy': cy, 'cx': cx, 'turn': turn}}] ORDER BY turn) AS todo FROM go WHERE n >= 3 GROUP BY 1),
+sd AS (SELECT subscriber, unnest(list_reduce(todo, lambda a, b: CASE WHEN len(list_filter(a, lambda s: abs(s.cy - b[1].cy) <= 1 AND abs(s.cx - b[1].cx) <= 1)) > 0 THEN a ELSE list_concat(a, b) END)) AS s FROM gl),
+js AS (SELECT a.subscriber, a.cy, a.cx, a.n, a.sy, a.sx, min(s.turn) AS seed FROM go a JOIN sd ON sd.subscriber = a.subscriber AND abs(a.cy - s.cy) <= 1 AND abs(a.cx - s.cx) <= 1 GROUP BY ALL),
+cl AS (SELECT subscriber, seed, CAST(sum(n) AS BIGINT) AS n, sum(sy) / sum(n) AS lat, sum(sx) / sum(n) AS lon, count(*) AS cells FROM js GROUP BY 1, 2),
+kc AS (SELECT * EXCLUDE (seed), row_number() OVER (PARTITION BY subscriber ORDER BY n DESC, seed) AS cluster FROM cl), cs AS (SELECT * FROM kc WHERE cluster <= 30)"""
 _NEAR = f"{WITH_C}, q AS (SELECT *, CAST(k * 0.004 + 50 AS DOUBLE) AS y, CAST((k % 10) * 0.003 + 20 AS DOUBLE) AS x FROM c), {_CLUSTERS.format(y='y', x='x', src='q')}"
 
 
@@ -100,7 +102,7 @@ def m4(t):
 
 @query("m7_nearest_cluster", f"{_NEAR}, m AS (SELECT q.subscriber, event_id, cluster, round({_hav('q.y', 'q.x', 'lat', 'lon')}, 1) AS metres FROM q JOIN cs USING (subscriber)) SELECT subscriber, event_id, arg_min(cluster, (metres, cluster)) AS cluster, min(metres) AS metres FROM m GROUP BY 1, 2")
 def m7(t):
-    return P.nearest_of(_near(t), P.clusters(_near(t)))
+    return P.nearest_of(_near(t).select("subscriber", "event_id", "lat", "lon"), P.clusters(_near(t))).drop("lat", "lon")
 
 
 _TRIPS = f"""{WITH_M}, {_CLUSTERS.format(y='lat', x='lon', src='p')}, m AS (SELECT p.subscriber, event_id, ts, cluster, round({_hav('p.lat', 'p.lon', 'cs.lat', 'cs.lon')}, 1) AS metres FROM p JOIN cs USING (subscriber)),
