@@ -1,13 +1,15 @@
 """Small tables on both sides of each threshold, nulls and ties included."""
 
 import datetime as dt
+import random
+import re
+import time
 
-import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import geo
 from tracewell.functions import text as T
-from tracewell.operators import bank, calls, exchange, household, ledger, places, references, segments
+from tracewell.operators import bank, calls, exchange, household, ledger, places, reconcile, references, segments
 from tracewell.operators.rules import city_of, classify, merchant_of
 from tracewell.sources import tables as sources
 
@@ -92,7 +94,7 @@ def test_internal_transfers(spark):
 def test_reconcile_numbers_duplicates(spark):
     a = tx(spark, [(1, 0, 5, "DEBIT", "CARD", "a")] * 2).select("tx_id", "booking_date", "amount")
     b = tx(spark, [(1, 0, 5, "DEBIT", "CARD", "a")] * 3).select("tx_id", "booking_date", "amount")
-    got = sorted(r["status"] for r in bank.reconcile(a, b, ["booking_date", "amount"]).collect())
+    got = sorted(r["status"] for r in reconcile.reconcile(a, b, ["booking_date"]).collect())
     assert got == ["match", "match", "right_only"]
 
 
@@ -120,8 +122,7 @@ def test_rules(spark):
     assert got[3] == ("unclassified", "", "", 0, "memory:whitelist||whitelist") and got[4] == ("unclassified", "", "", 0, "")
     assert got[6] == ("retail", "any", "", 0, "merchant_db:retail|Shop|retail")
     many = spark.range(6000).selectExpr("'category' as kind", "'a' as category", "'b' as subcategory", "'x' as pattern", "cast(id as int) as priority")
-    with pytest.raises(ValueError, match="more than 5000 rules"):
-        classify(rows, many, "id", "t", {"A": 1})
+    assert {r["id"]: r["category"] for r in classify(rows, many, "id", "t", {"A": 1}).collect()} == {i: "a" if i == 1 else "unclassified" for i in range(1, 7)}
 
 
 def test_rules_see_texts_without_their_marks(spark):
@@ -170,12 +171,6 @@ def test_statement_findings(spark):
     assert got == [("", "account_mismatch", "2"), ("s2", "balance_break", "-0.02"), ("s2", "duplicate", "h"), ("s2", "tx_after_period", "2024-01-10"), ("s2", "tx_before_period", "2024-01-05"), ("s2", "tx_incomplete", "1")]
 
 
-def test_nearest_rank_is_the_sorted_list_s(spark):
-    for n in (1, 2, 19, 20, 21, 40, 60, 99, 100, 101, 200):
-        got = spark.range(n).selectExpr("cast(id as double) as x").agg(bank.nearest_rank("x", 0.95).alias("p")).first()["p"]
-        assert got == min(int(0.95 * n), n - 1), n
-
-
 def test_entities_where_all_names_share_a_word(spark):
     """A hot word pairs nothing by itself; the result is that of all pairs."""
     import random
@@ -339,3 +334,113 @@ def test_border_crossings(spark):
     assert mode == {(1, 9.0): "plane", (1, 11.0): "plane", (2, 48.0): "unknown", (3, 0.0): "walk"}
     path = [(r["step"], r["first_ts"]) for r in places.last_day_path(got.where("subscriber = 1"), df.where("subscriber = 1")).collect()]
     assert sorted(path) == [(1, at(0)), (1, at(0))]
+
+
+def test_greedy_clusters_like_a_loop(spark):
+    """Random grids with ties: seeds, members, sums and order are those of visiting cell by cell."""
+    rng = random.Random(8)
+    step, rows = 500 / 111_000, []
+    for who in range(12):
+        for _ in range(60):
+            cy, cx = rng.randrange(1, 9), rng.randrange(1, 9)
+            rows += [(who, cy, cx)] * rng.choice([1, 1, 2, 3, 5])
+    rows = [(i, who, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), (cy + 0.5) * step, (cx + 0.5) * step) for i, (who, cy, cx) in enumerate(rows)]
+    r = spark.createDataFrame(rows, "event_id long, subscriber long, ts timestamp, lat double, lon double").repartition(5)
+    rounds = []
+    got = {(x["subscriber"], x["cluster"]): (x["n"], x["cells"], x["seed_y"], x["seed_x"]) for x in places.clusters(r, log=rounds).collect()}
+    want = {}
+    for who in range(12):
+        cells = {}
+        for i, w, _, lat, lon in rows:
+            if w == who:
+                cells.setdefault((int(lat / step), int(lon / step)), []).append(i)
+        visited, found = set(), []
+        for key, ids in sorted(cells.items(), key=lambda x: (-len(x[1]), x[1][0])):
+            if key in visited or len(ids) < 3:
+                continue
+            mine = [k for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (k := (key[0] + dy, key[1] + dx)) in cells and k not in visited]
+            visited |= set(mine)
+            found.append((sum(len(cells[k]) for k in mine), len(mine), *key))
+        found.sort(key=lambda x: -x[0])
+        want |= {(who, n + 1): f for n, f in enumerate(found[:30])}
+    assert got == want and rounds == sorted(rounds, reverse=True) and len(rounds) > 1
+
+
+def test_chunks_of_a_very_long_text(spark):
+    rng = random.Random(4)
+    texts = ["", " ", "One. Two! Three?", " ".join(f"{'w ' * rng.randint(1, 90)}e." for _ in range(3000)), "word. " * 100_000, f"{'long ' * 500}end. short. short.", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = {(r["doc_id"], r["chunk"]): (r["words"], r["sentences"]) for r in segments.sentence_chunks(df, page=8).collect()}
+    assert time.time() - began < 60
+    want = {}
+    for d, text in enumerate(texts):
+        chunk, n, k = 0, 0, 0
+        for s in [s for s in re.split(r"(?<=[.!?])\s+", text or "") if s.strip(" ")]:
+            size = len(re.split(r"\s+", s.strip(" ")))
+            if n and n + size > 400:
+                chunk, n, k = chunk + 1, 0, 0
+            n, k = n + size, k + 1
+            want[d, chunk] = (n, k)
+    assert got == want
+
+
+EXCHANGE = "row_id long, owner string, ts_s long, token string, amount double, tx_type string, side string, market string, fiat_value double, sheet string, internal boolean"
+
+
+def records(spark, rows):
+    names = EXCHANGE.replace(",", "").split()[::2]
+    return spark.createDataFrame([tuple({"row_id": i, "owner": "u", "ts_s": 0, "token": "BTC", "amount": 1.0, "tx_type": "swap"}.get(c) if c not in r else r[c] for c in names) for i, r in enumerate(rows)], EXCHANGE)
+
+
+def test_wash_trades_are_of_one_owner_and_market(spark):
+    s = lambda ts, side, market="M", owner="u": {"ts_s": ts, "side": side, "market": market, "owner": owner}
+    rows = [s(0, "BUY"), s(300, "SELL"), s(301, "SELL"), s(10, "SELL", "N"), s(10, "SELL", owner="v"), s(5, None), s(6, "SELL", None), s(7, "BUY", owner="v")]
+    rows += [{**s(20, "SELL"), "tx_type": "sell"}]
+    got = {(r["owner"], r["first_id"], r["second_id"], r["seconds"]) for r in exchange.wash_trades(records(spark, rows)).collect()}
+    assert got == {("u", 0, 5, 5), ("u", 0, 1, 300), ("u", 5, 1, 295), ("u", 5, 2, 296), ("v", 7, 4, 3)}
+    far = records(spark, [s(0, "BUY")] + [s(1, "BUY", "N") for _ in range(18)] + [s(2, "SELL"), s(2, "SELL")])
+    assert {(r["first_id"], r["second_id"]) for r in exchange.wash_trades(far, block=4).collect()} == {(0, 19)}  # the 20th after it is not looked at
+    m = records(spark, [{**s(0, "BUY"), "amount": 100.0}, {**s(1, "SELL"), "amount": 95.0}, {**s(2, "BUY", "N"), "amount": 1.0}, {**s(0, "SELL", owner="v"), "amount": 99.0}])
+    assert [(r["owner"], r["market"], r["ratio"]) for r in exchange.wash_markets(m).collect()] == [("u", "M", round(5 / 195, 6))]
+
+
+def test_one_busy_owner_like_a_loop(spark):
+    rng = random.Random(5)
+    rows = [{"ts_s": rng.randrange(4000), "side": rng.choice(["BUY", "SELL", None]), "market": rng.choice("MN")} for _ in range(700)]
+    order = sorted(range(700), key=lambda i: (rows[i]["ts_s"], i))
+    want = set()
+    for a, i in enumerate(order):
+        for j in order[a + 1 : a + 20]:
+            x, y = rows[i], rows[j]
+            if y["ts_s"] - x["ts_s"] <= 300 and x["market"] == y["market"] and (x["side"] or "") != (y["side"] or ""):
+                want.add((i, j))
+    assert {(r["first_id"], r["second_id"]) for r in exchange.wash_trades(records(spark, rows), block=64).collect()} == want
+
+
+def test_fiat_ramp_of_every_currency(spark):
+    rows = [
+        {"tx_type": "fiat_deposit", "token": "EUR", "amount": 10.0, "ts_s": 7200}, {"tx_type": "fiat_deposit", "token": "PLN", "amount": 5.5, "ts_s": 9000}, {"tx_type": "fiat_withdrawal", "token": "USD", "amount": 4.0, "ts_s": 0},
+        {"tx_type": "withdrawal", "ts_s": 3600, "internal": True}, {"tx_type": "withdrawal", "ts_s": 10800}, {"tx_type": "deposit", "token": "PLN", "amount": 99.0}, {"sheet": "P2P", "owner": "v"},
+    ]
+    got = {r["owner"]: r for r in exchange.fiat_ramp(records(spark, rows)).collect()}
+    u = got["u"]
+    assert (u["fiat_in"], u["fiat_out"], u["net"], u["deposits"], u["withdrawals"], u["hours"], u["p2p"]) == (15.5, 4.0, 11.5, 2, 1, 1.0, 0)
+    assert (got["v"]["fiat_in"], got["v"]["hours"], got["v"]["p2p"]) == (0.0, None, 1)
+    assert {(r["token"], r["fiat_in"], r["fiat_out"]) for r in exchange.fiat_currencies(records(spark, rows)).collect()} == {("EUR", 10.0, 0.0), ("PLN", 5.5, 0.0), ("USD", 0.0, 4.0)}
+
+
+def test_exchange_flow_by_owner(spark):
+    rows = [{"tx_type": "buy", "fiat_value": -5.0}, {"tx_type": "SELL", "fiat_value": 2.0}, {"tx_type": "withdrawal"}, {"tx_type": "staking_reward", "fiat_value": 1.0, "token": None}, {"tx_type": "deposit", "fiat_value": 9.0}, {"tx_type": "buy", "owner": "v", "fiat_value": 3.0}]
+    got = {(r["owner"], r["src"], r["dst"]): (r["n"], r["total"]) for r in exchange.exchange_flow(records(spark, rows)).collect()}
+    assert got == {("u", "FIAT:PLN", "TOKEN:BTC"): (1, 5.0), ("u", "TOKEN:BTC", "FIAT:PLN"): (1, 2.0), ("u", "TOKEN:BTC", "EXTERNAL"): (1, 0.0), ("u", "STAKING", "TOKEN:UNKNOWN"): (1, 1.0), ("v", "FIAT:PLN", "TOKEN:BTC"): (1, 3.0)}
+    nodes = {(r["owner"], r["node"]): (r["n"], r["total_in"], r["total_out"], r["kind"]) for r in exchange.exchange_flow_nodes(exchange.exchange_flow(records(spark, rows))).collect()}
+    assert nodes["u", "TOKEN:BTC"] == (3, 5.0, 2.0, "token") and nodes["u", "EXTERNAL"] == (1, 0.0, 0.0, "external")
+
+
+def test_watch_lists(spark):
+    tx = spark.createDataFrame([(1, "0xA", "x", None), (2, "0xb ", "0xa", None), (3, "p", "q", "0XC"), (4, "p", "0xc", None), (5, "p", "0xd", None), (6, "p", None, None)], "transfer_id long, from_address string, to_address string, via string")
+    watch = spark.createDataFrame([("0xa", "court"), ("0xa", "a Mixer"), ("0XB", "court"), (None, "mixer")], "address string, kind string")
+    known = spark.createDataFrame([("0xc", "Blend", "mixer"), ("0xd", "Game", "game"), ("x", "Bridge", "bridge")], "address string, name string, category string")
+    got = {r["transfer_id"]: (r["tags"], r["risk_score"], r["counterparty"]) for r in ledger.watch_matches(tx, watch, known, "via").collect()}
+    assert got == {1: ("bridge,mixer,sanctioned", 100, "Bridge"), 2: ("mixer,sanctioned", 100, None), 3: ("mixer", 80, "Blend"), 4: ("mixer", 80, "Blend"), 5: ("", 0, "Game")}

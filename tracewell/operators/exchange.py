@@ -364,6 +364,7 @@ def wash_trades(tx: DataFrame, seconds: int = 300, ahead: int = AHEAD, block: in
     next, so a window of ``ahead`` rows finds all pairs, and an owner or a market with most of the trades
     is many tasks' work.
     """
+    block = max(block, ahead)  # what follows a row is in its block or at the next one's beginning
     t = tx.where("tx_type = 'swap' and market <> '' and ts_s is not null").select(OWNER, "row_id", "ts_s", "market", F.coalesce("side", F.lit("")).alias("side"))
     r = numbered(t, [OWNER], ["ts_s", "row_id"], "at").withColumn("own", F.floor((F.col("at") - 1) / block))
     first = ((F.col("at") - 1) % block) < ahead
