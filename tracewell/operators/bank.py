@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stash
 from . import ranks
 from .running import running
 
@@ -48,21 +49,34 @@ def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner")
     return left.join(r, on, how).drop(*(f"_same_{k}" for k in keys))
 
 
+def _totals(of: str, value: str) -> Column:
+    """A map of the list ``all``: each key of a column with the sum of a value, keys in order."""
+    keys = F.array_sort(F.array_distinct(F.transform("all", lambda x: x[of])))
+    add = lambda k: F.aggregate(F.filter("all", lambda x: x[of] == k), F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x[value]).cast("decimal(38,2)"))
+    return F.map_from_arrays(keys, F.transform(keys, add))
+
+
 def monthly_baseline(tx: DataFrame, key: str = KEY) -> DataFrame:
-    """Counts, sums, spread and nearest-rank 95 % of each month, its rows by channel and its sums by
-    category (null is unclassified)."""
+    """Counts, sums, spread, median and nearest-rank 95 % of each month, its rows by channel and its sums
+    by category (null is unclassified). Where no month of a key is large, one shuffle gives all but the
+    two maps; else ranks come from ``ranks``, by counting."""
     d = tx.withColumns({"amt": F.abs("amount").cast("double"), "month": month()})
-    out = d.groupBy(key, "month").agg(
+    places = {"p95_amount": (0.95, ranks.nearest(0.95)), "_low": (0.5, ranks.LOWER_MIDDLE), "_high": (0.5, ranks.UPPER_MIDDLE)}
+    large = ranks.has_large(d, [key, "month"], "amt")
+    at = [] if large else ranks.chosen("amt", places)
+    out = (d if large else ranks.placed(d, [key, "month"], "amt")).groupBy(key, "month").agg(
         F.count("*").alias("tx_count"), when_sum(CREDIT).alias("total_credit"), when_sum(DEBIT).alias("total_debit"),
         F.countDistinct(F.substring(F.lower("counterparty"), 1, 50)).alias("counterparties"), (money(F.abs("amount")) / F.count("*")).alias("mean_amount"),
-        F.round(F.coalesce(F.stddev_samp("amt"), F.lit(0.0)), 4).alias("std_amount"),
+        F.round(F.coalesce(F.stddev_samp("amt"), F.lit(0.0)), 4).alias("std_amount"), *at,
     )
-    places = {"p95_amount": (0.95, ranks.nearest(0.95)), "_low": (0.5, ranks.LOWER_MIDDLE), "_high": (0.5, ranks.UPPER_MIDDLE)}
-    middle = F.round((F.col("_low") + F.col("_high")) / 2, 4).alias("median_amount")
-    out = same(out, ranks.values_at(d, [key, "month"], "amt", places).select(key, "month", "p95_amount", middle), [key, "month"], "left")
-    named = lambda c: F.coalesce(c, F.lit("unclassified")).alias("k")
-    mapped = lambda c, value, name: d.groupBy(key, "month", named(c)).agg(value.alias("v")).groupBy(key, "month").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(name))
-    return same(same(out, mapped("channel", F.count("*"), "channels"), [key, "month"]), mapped("category", money(F.abs("amount")), "categories"), [key, "month"])
+    if large:
+        out = same(out, ranks.values_at(d, [key, "month"], "amt", places), [key, "month"], "left")
+    out = out.withColumn("median_amount", F.round((F.col("_low") + F.col("_high")) / 2, 4)).drop("_low", "_high")
+    named = lambda c: F.coalesce(c, F.lit("unclassified")).alias(c)
+    cells = d.groupBy(key, "month", named("channel"), named("category")).agg(F.count("*").cast("decimal(38,2)").alias("n"), F.sum(F.abs("amount")).cast("decimal(38,2)").alias("v"))
+    lists = cells.groupBy(key, "month").agg(F.collect_list(F.struct("channel", "category", "n", "v")).alias("all"))
+    maps = lists.select(key, "month", _totals("channel", "n").cast("map<string,bigint>").alias("channels"), _totals("category", "v").cast("map<string,double>").alias("categories"))
+    return same(out, maps, [key, "month"])
 
 
 def large_outliers(tx: DataFrame, key: str = KEY, z: float = 2.5, high: float = 4.0) -> DataFrame:
@@ -114,7 +128,7 @@ def centroid_anomaly(feats: DataFrame, key: str = KEY, contamination: float = 0.
     stats = feats.groupBy(key).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in names), *(F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"s_{c}") for c in names))
     d = feats.join(stats, key).where(F.col("n") >= least)
     part = [F.when(F.col(f"s_{c}") > 1e-9, F.pow((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"), 2)).otherwise(0.0) for c in names]
-    d = d.select(key, "tx_id", F.round(F.sqrt(sum(part[1:], part[0])), 6).alias("distance"))
+    d = stash(d.select(key, "tx_id", F.round(F.sqrt(sum(part[1:], part[0])), 6).alias("distance")), "distances")
     at = d.groupBy(key).agg(F.max("distance").alias("most"))
     cut = ranks.values_at(d, [key], "distance", {"cut": (1 - contamination, ranks.nearest(1 - contamination))})
     return d.join(at, key).join(cut, key).where("distance > cut").select(key, "tx_id", "distance", F.round(F.col("distance") / F.col("most"), 6).alias("score"))

@@ -59,7 +59,7 @@ def behaviour(tx: DataFrame) -> DataFrame:
     per_day = tx.groupBy(OWNER, day().alias("day")).agg(F.count("*").alias("k")).groupBy(OWNER).agg(F.max("k").alias("max_per_day"))
     both = tx.where("tx_type = 'swap' and token is not null").groupBy(OWNER, "token", day().alias("day")).agg(F.bool_or(F.expr("side = 'BUY'")).alias("b"), F.bool_or(F.expr("side = 'SELL'")).alias("s"))
     both = both.where("b and s").groupBy(OWNER).agg(F.count("*").alias("same_day"))
-    held = ranks.values_at(s, [OWNER], "held", {"median_held_h": (0.5, ranks.UPPER_MIDDLE)})
+    held = ranks.values_at(s.select(OWNER, "held"), [OWNER], "held", {"median_held_h": (0.5, ranks.UPPER_MIDDLE)})
     g = g.join(held, OWNER, "left").join(per_day, OWNER).join(both, OWNER, "left").withColumn("same_day", F.coalesce("same_day", F.lit(0)).cast("long"))
     whole = (F.col("span_days") * 24).cast("double")
     g = g.withColumns({"mean_held_h": F.coalesce("mean_held_h", whole), "median_held_h": F.coalesce("median_held_h", whole)})

@@ -38,20 +38,38 @@ def _with(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner"
     return rows.join(F.broadcast(small.withColumnsRenamed(names)), on, how).drop(*names.values())
 
 
+def has_large(rows: DataFrame, group: list[str], value: str) -> bool:
+    """Whether any group has more than LARGE values: one pass that counts."""
+    sizes = rows.groupBy(*group).agg(F.count(value).alias("_n"))
+    return sizes.where(F.col("_n") > LARGE).limit(1).count() > 0
+
+
+def placed(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """For small groups: rows with their place (``_at``, from 0, nulls last) and their group's values (``_n``)."""
+    w = Window.partitionBy(*group)
+    return rows.withColumns({"_at": F.row_number().over(w.orderBy(F.asc_nulls_last(value))) - 1, "_n": F.count(value).over(w)})
+
+
+def chosen(value: str, places: dict[str, Place]) -> list[Column]:
+    """Over ``placed`` rows: the values at the places, as aggregates."""
+    return [F.max(F.when(F.col("_at") == place(F.col("_n")), F.col(value))).alias(name) for name, (_, place) in places.items()]
+
+
 def values_at(rows: DataFrame, group: list[str], value: str, places: dict[str, Place]) -> DataFrame:
     """(group, name...): for each name the value at its place (from 0) of the group's values in order.
 
     places: name -> (share of the values below the place, the place as a function of their number). Null
-    values count as none; groups without a value have no row.
+    values count as none; groups without a value have no row. ``rows`` is read twice, and some times more
+    where a group is large: cut its lineage before, if it is dear.
     """
     given, group = group, [f"_g{i}" for i in range(len(group))]  # no column of the caller's clashes with ours
     v = rows.select(*(F.col(g).alias(k) for g, k in zip(given, group)), F.col(value).alias("_v")).where("_v is not null")
+    named = dict(zip(group, given))
+    if not has_large(v, group, "_v"):
+        return placed(v, group, "_v").groupBy(*group).agg(*chosen("_v", places)).withColumnsRenamed(named)
     sizes = v.groupBy(*group).agg(F.count("*").alias("_n"))
-    large = sizes.where(F.col("_n") > LARGE)
-    marked = _with(v, large, group, "left")
-    w = Window.partitionBy(*group)
-    own = marked.where("_n is null").drop("_n").withColumns({"_at": F.row_number().over(w.orderBy("_v")) - 1, "_n": F.count("*").over(w)})
-    small = own.groupBy(*group).agg(*(F.max(F.when(F.col("_at") == place(F.col("_n")), F.col("_v"))).alias(name) for name, (_, place) in places.items()))
+    marked = _with(v, sizes.where(F.col("_n") > LARGE), group, "left")
+    small = placed(marked.where("_n is null").drop("_n"), group, "_v").groupBy(*group).agg(*chosen("_v", places))
     heavy = marked.where("_n is not null").drop("_n")
     shares = sorted({s for q, _ in places.values() for s in (max(0.0, q - WIDTH), min(1.0, q + WIDTH))})
     sketch = heavy.groupBy(*group).agg(F.count("*").alias("_n"), F.percentile_approx("_v", shares, ACCURACY).alias("_s"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
@@ -62,7 +80,7 @@ def values_at(rows: DataFrame, group: list[str], value: str, places: dict[str, P
     order = Window.partitionBy(*group, "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = inside.withColumn("_c", F.sum("_k").over(order) + F.col("below")).where(F.col("_c") > F.col("place"))
     one = found.groupBy(*group, "name").agg(F.min("_v").alias("_v")).groupBy(*group).agg(*(F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in places))
-    return small.unionByName(one).withColumnsRenamed(dict(zip(group, given)))
+    return small.unionByName(one).withColumnsRenamed(named)
 
 
 def _inside(heavy: DataFrame, want: DataFrame, group: list[str]) -> DataFrame:
