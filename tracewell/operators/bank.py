@@ -313,15 +313,23 @@ def label_counts(labelled: DataFrame, key: str = KEY) -> DataFrame:
     return labelled.groupingSets([[F.col(key), F.col("label")], [F.col("label")]], key, "label").agg(F.count("*").alias("n"))
 
 
-def internal_by_amount(tx: DataFrame, key: str = KEY, days: int = 1) -> DataFrame:
-    """A debit and a credit of another account, same amount, a day apart at most. One a debit."""
+#: Fixed value: titles that say that a transfer is between own accounts.
+OWN_TRANSFER = r"(?i)przelew\s+w[łl]asny|przelew\s+wewn|mi[ęe]dzy\s+rach|rachunek\s+w[łl]asny"
+
+
+def internal_by_amount(tx: DataFrame, key: str = KEY, days: int = 1, title: str | None = None) -> DataFrame:
+    """A debit and a credit of another account, same amount, a day apart at most. One a debit, the
+    nearest; a credit may answer several. A debit whose title (column ``title``) says that it is an own
+    transfer is the surer."""
     near = F.explode(F.array(*(F.date_add("booking_date", i) for i in range(-days, days + 1))))
+    hint = F.coalesce(F.col(title).rlike(OWN_TRANSFER), F.lit(False)) if title else F.lit(False)
     credit = tx.where(CREDIT).select(F.col(key).alias("to_account"), F.col("tx_id").alias("credit_id"), F.col("booking_date").alias("credit_day"), "amount", near.alias("day"))
-    debit = tx.where(DEBIT).select(F.col(key).alias("from_account"), F.col("tx_id").alias("debit_id"), F.col("booking_date").alias("day"), "amount")
+    debit = tx.where(DEBIT).select(F.col(key).alias("from_account"), F.col("tx_id").alias("debit_id"), F.col("booking_date").alias("day"), "amount", hint.alias("hint"))
     pairs = debit.join(credit, ["amount", "day"]).where("from_account <> to_account")
     far = F.abs(F.datediff("credit_day", "day"))
-    best = pairs.groupBy("debit_id").agg(F.min(F.struct(far.alias("far"), "credit_id", "from_account", "to_account", "amount")).alias("b"))
-    return best.select("debit_id", "b.credit_id", "b.from_account", "b.to_account", F.col("b.amount").cast("double").alias("amount"), F.round(F.lit(0.6) + F.when(F.col("b.far") == 0, 0.1).otherwise(0.0), 2).alias("confidence"))
+    best = pairs.groupBy("debit_id").agg(F.min(F.struct(far.alias("far"), "credit_id", "from_account", "to_account", "amount", "hint")).alias("b"))
+    sure = F.when(F.col("b.hint"), 0.85).otherwise(0.6) + F.when(F.col("b.far") == 0, 0.1).otherwise(0.0)
+    return best.select("debit_id", "b.credit_id", "b.from_account", "b.to_account", F.col("b.amount").cast("double").alias("amount"), F.round(sure, 2).alias("confidence"), F.when(F.col("b.hint"), "title_match").otherwise("amount_date").alias("method"))
 
 
 def internal_by_account(debits: DataFrame, credits: DataFrame, days: int = 3, tolerance: float = 0.02) -> DataFrame:
@@ -392,6 +400,25 @@ def apply_labels(tx: DataFrame, labels: DataFrame) -> DataFrame:
     return tx.join(labels.select(F.lower("counterparty").alias("k"), "label"), F.lower("counterparty") == F.col("k"), "left").withColumn("label", F.coalesce("label", F.lit("neutral"))).drop("k")
 
 
+#: Labels that an analyst may give.
+LABELS = ["neutral", "legitimate", "suspicious", "monitoring"]
+
+
+def set_labels(current: DataFrame, batch: DataFrame, allowed: list[str] = LABELS) -> tuple[DataFrame, DataFrame]:
+    """Labels after a batch (tx_id, label, note, seq), and what of it was refused, with the reason.
+
+    A missing label is neutral, a missing note empty; a label that is not allowed is refused and changes
+    nothing; of several for a transaction the last (by seq) counts. current: tx_id, label, note.
+    """
+    b = batch.withColumns({"label": F.coalesce("label", F.lit("neutral")), "note": F.coalesce("note", F.lit(""))})
+    good = b.where(F.col("label").isin(allowed) & F.col("tx_id").isNotNull())
+    reason = F.when(F.col("tx_id").isNull(), "no transaction").otherwise(F.concat(F.lit("invalid label "), "label"))
+    refused = b.where(~F.col("label").isin(allowed) | F.col("tx_id").isNull()).select("tx_id", "label", "seq", reason.alias("reason"))
+    new = good.groupBy("tx_id").agg(F.max_by(F.struct("label", "note"), F.struct("seq", "label", "note")).alias("n"))
+    both = current.select("tx_id", F.struct("label", "note").alias("o")).join(new, "tx_id", "full_outer")
+    return both.select("tx_id", F.coalesce("n", "o").alias("l")).select("tx_id", "l.*"), refused
+
+
 def latest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The newest row of each key."""
     return top_per_key(df, key, order, 1, "rn").drop("rn")
@@ -440,33 +467,28 @@ def resolve_entities(names: DataFrame, known: DataFrame, part: float = 0.7, fuzz
     """Exact name, else containment with the shorter at least ``part`` of the longer, else shared words
     at ``fuzzy`` of the longer, else a new entity. Of several the best: stage, score, entity.
 
-    No stage pairs all names that share a common word or piece: what contains a name contains its rarest
-    piece of three characters, and names that share enough words share one of the rarest few of each
-    (prefix filter), within a bound on their sizes.
+    Names meet known names alone, never each other: what contains a name contains its rarest piece, and
+    names that share enough words share one of the rarest few of each (prefix filter), within a bound on
+    their sizes.
     """
+    from .references import containing
+
     low = lambda c: F.lower(F.trim(c))
     words = lambda c: F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda x: x != ""))
-    pieces = lambda c: F.when(F.length(c) < 3, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3)))))
     a = names.select("name", low("name").alias("x")).where("name is not null").distinct()
     b = known.select(low("name").alias("y"), "entity_id").where("y is not null").distinct()
-    both = a.select(F.col("x").alias("v")).union(b.select("y")).distinct()
-
-    def ranked(values: Column) -> tuple[DataFrame, DataFrame]:
-        """All pieces of each text with how many texts hold them; the texts' pieces, rarest first."""
-        e = both.select("v", F.explode(values).alias("w"))
-        f = e.join(e.groupBy("w").agg(F.count("*").alias("f")), "w")
-        return e, f.groupBy("v").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda s: s["w"]).alias("ws"))
-
-    e3, r3 = ranked(pieces(F.col("v")))
-    first = r3.select("v", F.element_at("ws", 1).alias("w"))
-    bound = lambda p, q: (F.length(p) >= F.length(q) * part) & q.contains(p) & (p != q)
-    inside = first.join(e3.toDF("big", "w"), "w").where(bound(F.col("v"), F.col("big"))).select(F.col("v").alias("small"), "big").distinct()
-    share = F.length("small") / F.length("big")
-    two = inside.select(F.col("small").alias("x"), F.col("big").alias("y"), share.alias("s")).union(inside.select(F.col("big"), F.col("small"), share)).withColumn("stage", F.lit(2))
-    _, rw = ranked(words(F.col("v")))
+    xs, ys = a.select("x").where("x <> ''").distinct(), b.select("y").where("y <> ''").distinct()
+    share = F.least(F.length("x"), F.length("y")) / F.greatest(F.length("x"), F.length("y"))
+    enough = F.least(F.length("x"), F.length("y")) >= F.greatest(F.length("x"), F.length("y")) * part
+    two = containing(xs, ys).where(enough).select("x", "y", share.alias("s"), F.lit(2).alias("stage"))
+    own = xs.select(F.col("x").alias("v"), F.lit("x").alias("side")).unionByName(ys.select(F.col("y").alias("v"), F.lit("y").alias("side")))
+    e = own.select("v", "side", F.explode(words(F.col("v"))).alias("w"))
+    f = e.join(e.groupBy("w").agg(F.count("*").alias("f")), "w")
+    rare = f.groupBy("v", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda s: s["w"]).alias("ws"))
     n = F.size("ws")
-    head = rw.select("v", "ws", F.explode(F.slice("ws", 1, (n - F.ceil(n * F.lit(fuzzy)) + 1).cast("int"))).alias("w"))
-    pairs = head.toDF("x", "wx", "w").join(head.toDF("y", "wy", "w"), "w").where((F.col("x") != F.col("y")) & (F.least(F.size("wx"), F.size("wy")) >= F.greatest(F.size("wx"), F.size("wy")) * fuzzy))
+    head = rare.select("v", "side", "ws", F.explode(F.slice("ws", 1, (n - F.ceil(n * F.lit(fuzzy)) + 1).cast("int"))).alias("w"))
+    of = lambda s: head.where(F.col("side") == s).select(F.col("v").alias(s), F.col("ws").alias(f"w{s}"), "w")
+    pairs = of("x").join(of("y"), "w").where((F.col("x") != F.col("y")) & (F.least(F.size("wx"), F.size("wy")) >= F.greatest(F.size("wx"), F.size("wy")) * fuzzy))
     ratio = F.size(F.array_intersect("wx", "wy")) / F.greatest(F.size("wx"), F.size("wy"))
     three = pairs.select("x", "y", ratio.alias("s")).distinct().where(F.col("s") >= fuzzy).withColumn("stage", F.lit(3))
     one = b.select(F.col("y").alias("x"), "y", F.lit(1.0).alias("s"), F.lit(1).alias("stage"))

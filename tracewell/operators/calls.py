@@ -64,6 +64,14 @@ def temporal(r: DataFrame) -> DataFrame:
     return d.groupingSets(sets, KEY, "hour", "weekday", "month").agg(F.count("*").alias("n"))
 
 
+def peaks(r: DataFrame) -> DataFrame:
+    """Each subscriber's hour, weekday and month of most records (of equal ones the first)."""
+    t = temporal(r)
+    most = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("n", (-F.col("p")).alias("p")))).alias(f"peak_{c}")
+    p = F.coalesce(F.col("hour"), F.col("weekday"), F.regexp_replace("month", "-", "").cast("int"))
+    return t.withColumn("p", p).groupBy(KEY).agg(*map(most, ("hour", "weekday", "month")))
+
+
 def night_ratio(r: DataFrame, first: int = 23, last: int = 5) -> DataFrame:
     """Share of records at night and the flag above 0.3."""
     night = (F.hour("ts") >= first) | (F.hour("ts") < last)
@@ -346,6 +354,42 @@ def hour_frame(r: DataFrame) -> DataFrame:
     return frame.join(g, [KEY, "hour"], "left").select(KEY, "hour", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def place_hours(r: DataFrame, top: int = 10) -> DataFrame:
+    """Records by hour of each subscriber's busiest places."""
+    w = Window.partitionBy(KEY).orderBy(F.desc("n"), "place")
+    places = r.where("place <> ''").groupBy(KEY, "place").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    g = r.groupBy(KEY, "place", F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
+    return g.join(places.select(KEY, "place", "rank"), [KEY, "place"]).select(KEY, "rank", "place", "hour", "n")
+
+
+def type_frame(r: DataFrame) -> DataFrame:
+    """Records of each type and their share."""
+    g = r.groupBy(KEY, "record_type").agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(KEY)), 4))
+
+
+def top_contacts(r: DataFrame, top: int = 15) -> DataFrame:
+    """The contacts of most records, with calls and messages apart."""
+    g = r.where("contact <> ''").groupBy(KEY, "contact").agg(F.count("*").alias("n"), F.count_if(is_call()).alias("calls"), F.count_if(F.col("record_type").startswith("SMS")).alias("messages"))
+    w = Window.partitionBy(KEY).orderBy(F.desc("n"), "contact")
+    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def network_frame(r: DataFrame, top: int = 12) -> DataFrame:
+    """Records by network, the rest as one."""
+    g = r.where("network <> ''").groupBy(KEY, "network").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(KEY).orderBy(F.desc("n"), "network")
+    g = g.withColumn("network", F.when(F.row_number().over(w) <= top, F.col("network")).otherwise("other"))
+    return g.groupBy(KEY, "network").agg(F.sum("n").alias("n"))
+
+
+def daily_cost(r: DataFrame, cost: str = "cost") -> DataFrame:
+    """The cost of each day, and in all up to it."""
+    g = r.where(F.col(cost).isNotNull()).groupBy(KEY, F.to_date("ts").alias("day")).agg(F.sum(cost).alias("c"))
+    w = Window.partitionBy(KEY).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    return g.select(KEY, "day", F.col("c").cast("double").alias("cost"), F.sum("c").over(w).cast("double").alias("total"))
+
+
 #: Upper limits of the duration bins in seconds.
 BINS = [10, 30, 60, 120, 300, 600, 1800]
 

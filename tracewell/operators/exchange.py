@@ -287,6 +287,12 @@ def access_log(log: DataFrame, ips: int = 3) -> DataFrame:
     return g.join(days, OWNER)
 
 
+def login_hours(log: DataFrame) -> DataFrame:
+    """Logins by hour of day, and what share of the owner's they are."""
+    g = log.where("ts_s is not null").groupBy(OWNER, F.hour(F.timestamp_seconds("ts_s")).cast("long").alias("hour")).agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(OWNER)), 4))
+
+
 def many_countries(log: DataFrame, least: int = 3) -> DataFrame:
     """Days on which an owner logged in from several countries."""
     g = log.where("place is not null").groupBy(OWNER, day().alias("day"))

@@ -227,12 +227,23 @@ def merge_crossings(c: DataFrame, days: int = 1) -> DataFrame:
     return d.groupBy(KEY, "trip").agg(F.min("from_ts").alias("from_ts"), F.max("to_ts").alias("to_ts"), F.sum("n").alias("n"), F.count("*").alias("parts"))
 
 
-def resolve_points(r: DataFrame, stations: DataFrame) -> DataFrame:
-    """M2: the record's own point, else that of its cell from the best source."""
+def plain_place(c: Column) -> Column:
+    """An address as the cache knows it: small letters, single blanks."""
+    return F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
+
+
+def resolve_points(r: DataFrame, stations: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+    """M2: the record's own point, else that of its cell from the best source, else that of its address
+    (column address) in the cache (address, lat, lon; of several rows of one the smallest point)."""
     rank = F.when(F.col("source") == "uke", 0).when(F.col("source") == "billing", 1).when(F.col("source") == "opencellid", 2).otherwise(3)
     best = stations.groupBy("cell").agg(F.min_by(F.struct("lat", "lon", "source"), F.struct(rank, "lat", "lon")).alias("s"))
-    out = r.join(best, "cell", "left")
-    return out.select("event_id", F.coalesce("own_lat", "s.lat").alias("lat"), F.coalesce("own_lon", "s.lon").alias("lon"), F.when(F.col("own_lat").isNotNull(), "direct").otherwise(F.coalesce("s.source", F.lit("none"))).alias("source"))
+    out = r.join(best, "cell", "left").withColumn("c", F.lit(None).cast("struct<lat:double,lon:double>"))
+    if addresses is not None:
+        known = addresses.where("lat is not null and lon is not null").groupBy(plain_place("address").alias("_a")).agg(F.min(F.struct("lat", "lon")).alias("c"))
+        out = out.drop("c").withColumn("_p", plain_place("address")).join(known, F.col("_p") == F.col("_a"), "left")
+    own, cell, cached = F.col("own_lat").isNotNull(), F.col("s").isNotNull(), F.col("c").isNotNull()
+    pick = lambda x: F.when(own, F.col(f"own_{x}")).when(cell, F.col(f"s.{x}")).otherwise(F.col(f"c.{x}")).alias(x)
+    return out.select("event_id", pick("lat"), pick("lon"), F.when(own, "direct").when(cell, F.col("s.source")).when(cached, "address").otherwise("none").alias("source"))
 
 
 def nearest_of(points: DataFrame, centres: DataFrame, key: str = KEY) -> DataFrame:
@@ -252,6 +263,13 @@ def in_area(r: DataFrame, lat: float, lon: float, metres: float) -> DataFrame:
     return box.where(haversine(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon)) <= metres)
 
 
+def in_rectangle(r: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
+    """Records inside a rectangle, borders included; one whose west is beyond its east crosses the
+    180th meridian."""
+    lon = F.col("lon").between(west, east) if west <= east else (F.col("lon") >= west) | (F.col("lon") <= east)
+    return r.where(F.col("lat").between(south, north) & lon)
+
+
 def last_number(c: Column, n: int = 9) -> Column:
     """The last digits of a number."""
     return F.right(F.regexp_replace(c, r"\D", ""), F.lit(n))

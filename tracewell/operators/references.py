@@ -7,13 +7,29 @@ from pyspark.sql import functions as F
 
 from ..functions.text import iban_valid
 from .bank import CREDIT, DEBIT, KEY, first_ids, money, ranked, when_sum
+from .rules import first_of
 from .running import numbered
 
 
-def channel_by_codes(code: Column, swift: Column, title: Column) -> Column:
-    """Raw bank code, then message code, then title."""
-    by_title = F.when(title.rlike("(?i)blik"), "BLIK").when(title.rlike("(?i)card|kart"), "CARD").when(title.rlike("(?i)atm|cash"), "CASH").otherwise("OTHER")
-    return F.when(code == "FEE", "FEE").when(code == "CRD", "CARD").when(swift == "N02", "CARD").when(swift == "N11", "TRANSFER").otherwise(by_title)
+#: Codes inside a statement's raw field, in the order in which they are looked for.
+RAW_CODES = {
+    "VE02": "KARTA", "VE03": "GOTOWKA_ATM", "VE09": "PROWIZJA", "IK01": "BLIK", "IKZ1": "BLIK_ZWROT", "IBCG": "PRZELEW", "IBCB": "PRZELEW_WLASNY", "ZKCG": "ZLECENIE_STALE",
+    "EXGC": "PRZELEW_PRZYCHODZACY", "DECC": "WPLATOMAT", "WDW5": "PRZELEW_TELEFON",
+}
+#: Message codes.
+MESSAGE_CODES = {"073": "KARTA", "041": "BLIK", "020": "PRZELEW", "034": "PRZELEW_PRZYCHODZACY", "074": "ZLECENIE_STALE", "042": "GOTOWKA_ATM", "036": "PROWIZJA", "076": "PRZELEW_TELEFON"}
+#: Patterns of titles and names, in order.
+TITLE_CHANNELS = [
+    (r"p[lł]atno[sś][cć]\s*kart[aą]|nr\s*karty", "KARTA"), (r"blik|nr\s*transakcji", "BLIK"), (r"przelew\s*na\s*telefon", "PRZELEW_TELEFON"), (r"wyp[lł]at.*got[oó]wk", "GOTOWKA_ATM"),
+    (r"wp[lł]atomat", "WPLATOMAT"), (r"zleceni|umowa\s*na\s*kredyt", "ZLECENIE_STALE"), (r"prowizj", "PROWIZJA"),
+]
+
+
+def channel_by_codes(raw: Column, message: Column, title: Column, name: Column) -> Column:
+    """By the first code that the raw field holds, else the message code, else the title and name."""
+    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(name, F.lit(""))))
+    cases = [(raw.contains(k), v) for k, v in RAW_CODES.items()] + [(message == k, v) for k, v in MESSAGE_CODES.items()] + [(text.rlike(p), v) for p, v in TITLE_CHANNELS]
+    return first_of(cases, "INNE")
 
 
 def accounts_in(text: Column, sorts: list[str] | None = None) -> Column:
@@ -166,15 +182,54 @@ def edge_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return j.groupBy("src", "dst").agg(F.max(F.struct(order.alias("o"), "label")).alias("m"), F.count("*").alias("n")).select("src", "dst", F.col("m.label").alias("label"), "n")
 
 
+def grams(c: Column, n: Column) -> Column:
+    """The different pieces of n characters of a text that has as many."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda i: F.substr(c, i, n)))
+
+
+def containing(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(x, y): names and known names of which one contains the other, equal ones aside. names: x; known: y;
+    different texts, not empty.
+
+    What a text is contained in holds all its pieces. So each text asks for its rarest piece of three
+    characters on the other side (a shorter one for itself), and what that finds is compared: a piece
+    that all names share pairs nothing, and no name meets names of its own side.
+    """
+
+    def pairs(small: DataFrame, big: DataFrame) -> DataFrame:
+        held = big.select("big", F.explode(F.concat(*(grams(F.col("big"), F.lit(n)) for n in (1, 2, 3)))).alias("w")).where(F.length("big") >= F.length("w")).distinct()
+        asked = small.select("small", F.explode(grams(F.col("small"), F.least(F.length("small"), F.lit(3)))).alias("w"))
+        often = asked.join(held.groupBy("w").agg(F.count("*").alias("f")), "w")  # a piece that the other side lacks ends the search
+        whole = asked.groupBy("small").agg(F.count("*").alias("n"))
+        rare = often.groupBy("small").agg(F.min_by("w", F.struct("f", "w")).alias("w"), F.count("*").alias("found")).join(whole, "small").where("n = found")
+        return rare.select("small", "w").join(held, "w").where(F.col("big").contains(F.col("small")) & (F.col("big") != F.col("small"))).select("small", "big").distinct()
+
+    one = pairs(names.toDF("small"), known.toDF("big")).select(F.col("small").alias("x"), F.col("big").alias("y"))
+    two = pairs(known.toDF("small"), names.toDF("big")).select(F.col("big").alias("x"), F.col("small").alias("y"))
+    return one.unionByName(two)
+
+
 def entity_lookup(names: DataFrame, entities: DataFrame) -> DataFrame:
-    """the entity of a name, the project's before the global one, by name or alias.
+    """the entity of a name: by its own name, else by an alias, else by a name that contains it or that
+    it contains; each stage in the project before the global ones, of several the smallest entity.
 
-    entities: scope (project or global), name, alias, entity.
+    entities: scope (project or global), name, alias, entity. Names are compared without case and outer
+    blanks; an empty name has no entity.
     """
-    by = F.explode(F.array(F.struct(F.lit(0).alias("how"), F.lower("name").alias("key")), F.struct(F.lit(1).alias("how"), F.lower("alias").alias("key"))))
-    e = entities.select("scope", "entity", by.alias("b")).select("entity", F.col("b.key").alias("key"), F.struct(F.when(F.col("scope") == "project", 0).otherwise(1).alias("s"), F.col("b.how").alias("how"), "entity").alias("rank"))
-    best = e.groupBy("key").agg(F.min("rank").alias("r"))
-    return names.join(best, F.lower("name") == F.col("key"), "left").select("name", F.col("r.entity").alias("entity"), F.when(F.col("r.s") == 0, "project").when(F.col("r.s") == 1, "global").otherwise("none").alias("scope"))
+    plain = lambda c: F.lower(F.trim(c))
+    n = names.select("name", plain("name").alias("x"))
+    asked = n.select("x").where("x <> ''").distinct()
+    scope = F.when(F.col("scope") == "project", 0).otherwise(1)
+    e = entities.select(scope.alias("s"), "entity", plain("name").alias("name"), plain("alias").alias("alias"))
+    direct = [e.where(f"{c} <> ''").select(F.col(c).alias("x"), F.struct(F.lit(how).alias("how"), "s", "entity").alias("r")) for how, c in enumerate(("name", "alias"))]
+    exact = direct[0].unionByName(direct[1]).join(asked, "x", "left_semi").groupBy("x").agg(F.min("r").alias("r"))
+    rest = asked.join(exact, "x", "left_anti")
+    near = containing(rest, e.where("name <> ''").select("name").distinct()).join(e.select(F.col("name").alias("y"), "s", "entity"), "y")
+    near = near.groupBy("x").agg(F.min(F.struct(F.lit(2).alias("how"), "s", "entity")).alias("r"))
+    out = n.join(exact.unionByName(near), "x", "left")
+    how = F.element_at(F.array(F.lit("name"), F.lit("alias"), F.lit("part")), F.col("r.how") + 1)
+    return out.select("name", F.col("r.entity").alias("entity"), F.when(F.col("r.s") == 0, "project").when(F.col("r.s") == 1, "global").otherwise("none").alias("scope"), how.alias("how"))
 
 
 def entity_stats(tx: DataFrame) -> DataFrame:

@@ -159,11 +159,12 @@ def _near_amounts(t):
     return t.bank.withColumn("amount", F.floor(F.col("amount") / 1000).cast("decimal(18,2)"))
 
 
-query("a53_internal_by_amount", f"""{WITH_B}, a AS (SELECT account_id, tx_id, booking_date, direction, floor(amount / 1000) AS amount FROM b),
-p AS (SELECT d.tx_id AS debit_id, c.tx_id AS credit_id, d.account_id AS from_account, c.account_id AS to_account, d.amount, abs(c.booking_date - d.booking_date) AS far
+_TITLE = "CASE tx_id % 6 WHEN 0 THEN 'Przelew  własny' WHEN 1 THEN 'przelew wewnętrzny' WHEN 2 THEN 'między rachunkami' WHEN 3 THEN 'własny' END"
+query("a53_internal_by_amount", f"""{WITH_B}, a AS (SELECT account_id, tx_id, booking_date, direction, floor(amount / 1000) AS amount, tx_id % 6 <= 2 AS hint FROM b),
+p AS (SELECT d.tx_id AS debit_id, c.tx_id AS credit_id, d.account_id AS from_account, c.account_id AS to_account, d.amount, d.hint, abs(c.booking_date - d.booking_date) AS far
   FROM a d JOIN a c ON d.amount = c.amount AND d.account_id <> c.account_id AND abs(c.booking_date - d.booking_date) <= 1 WHERE d.direction = 'DEBIT' AND c.direction = 'CREDIT')
-SELECT debit_id, credit_id, from_account, to_account, {D("amount")} AS amount, round(0.6 + CASE WHEN far = 0 THEN 0.1 ELSE 0.0 END, 2) AS confidence
-FROM (SELECT *, row_number() OVER (PARTITION BY debit_id ORDER BY far, credit_id) AS r FROM p) WHERE r = 1""")(lambda t: B.internal_by_amount(_near_amounts(t)).withColumn("confidence", F.col("confidence").cast("double")))
+SELECT debit_id, credit_id, from_account, to_account, {D("amount")} AS amount, CAST(round(CASE WHEN hint THEN 0.85 ELSE 0.6 END + CASE WHEN far = 0 THEN 0.1 ELSE 0.0 END, 2) AS DOUBLE) AS confidence, CASE WHEN hint THEN 'title_match' ELSE 'amount_date' END AS method
+FROM (SELECT *, row_number() OVER (PARTITION BY debit_id ORDER BY far, credit_id) AS r FROM p) WHERE r = 1""")(lambda t: B.internal_by_amount(_near_amounts(t).withColumn("title", F.expr(_TITLE)), title="title").withColumn("confidence", F.col("confidence").cast("double")))
 
 
 @query("a52_internal_by_account", f"""{WITH_B}, a AS (SELECT account_id, tx_id, booking_date, direction, floor(amount / 1000) AS amount, account_id + tx_id % 3 - 1 AS named FROM b)
@@ -198,6 +199,18 @@ def _labels(t):
 
 _L = "l AS (SELECT concat('CP', CAST(c_custkey AS VARCHAR)) AS counterparty, CASE WHEN c_custkey % 2 = 0 THEN 'whitelist' ELSE 'blacklist' END AS label FROM customer WHERE c_custkey < 60)"
 query("a20_labels", f"{WITH_B}, {_L} SELECT tx_id, counterparty, coalesce(label, 'neutral') AS label FROM b LEFT JOIN l USING (counterparty)")(lambda t: B.apply_labels(t.bank, _labels(t)).select("tx_id", "counterparty", "label"))
+_BATCH = "SELECT CASE WHEN tx_id % 50 <> 3 THEN tx_id - tx_id % 2 END AS tx_id, CASE tx_id % 7 WHEN 0 THEN 'suspicious' WHEN 1 THEN 'legitimate' WHEN 2 THEN 'blocked' WHEN 3 THEN 'monitoring' END AS label, CASE WHEN tx_id % 3 = 0 THEN 'seen' END AS note, tx_id AS seq FROM {} WHERE tx_id % 4 < 3"
+_CURRENT = "SELECT tx_id, 'neutral' AS label, 'old' AS note FROM {} WHERE tx_id % 3 = 0"
+
+
+def _set(t):
+    return B.set_labels(t.spark.sql(_CURRENT.format("{b}"), b=t.bank), t.spark.sql(_BATCH.format("{b}"), b=t.bank))
+
+
+_BATCHED = f"""{WITH_B}, c AS ({_CURRENT.format("b")}), i AS (SELECT tx_id, coalesce(label, 'neutral') AS label, coalesce(note, '') AS note, seq FROM ({_BATCH.format("b")})), g AS (SELECT * FROM i WHERE label <> 'blocked' AND tx_id IS NOT NULL)"""
+query("a20_set_labels", f"""{_BATCHED}, n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tx_id ORDER BY seq DESC) AS r FROM g) WHERE r = 1)
+SELECT tx_id, CASE WHEN n.label IS NOT NULL THEN n.label ELSE c.label END AS label, CASE WHEN n.label IS NOT NULL THEN n.note ELSE c.note END AS note FROM c FULL JOIN n USING (tx_id)""")(lambda t: _set(t)[0])
+query("a20_refused_labels", f"""{_BATCHED} SELECT tx_id, label, seq, CASE WHEN tx_id IS NULL THEN 'no transaction' ELSE concat('invalid label ', label) END AS reason FROM i WHERE label = 'blocked' OR tx_id IS NULL""")(lambda t: _set(t)[1])
 query("a21_label_counts", f"{WITH_B}, {_L} SELECT account_id, coalesce(label, 'neutral') AS label, count(*) AS n FROM b LEFT JOIN l USING (counterparty) GROUP BY GROUPING SETS ((account_id, coalesce(label, 'neutral')), (coalesce(label, 'neutral')))")(lambda t: B.label_counts(B.apply_labels(t.bank, _labels(t))))
 query("a63_learning_queue", f"{WITH_B}, {_L} SELECT counterparty, count(*) AS times_seen FROM b WHERE counterparty NOT IN (SELECT counterparty FROM l) GROUP BY 1")(lambda t: B.learning_queue(t.bank, _labels(t)))
 #: Two sources of the same rows: amounts in whole thousands, so that equal ones occur, each source a little

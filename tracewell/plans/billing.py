@@ -95,3 +95,5 @@ def _report(t):
 
 query("g32_anomaly_report", f"{_REPORT} SELECT * FROM z")(_report)
 query("g34_severest", f"{_REPORT} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subscriber ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, n DESC, type) AS rank FROM z) WHERE rank <= 3")(lambda t: C.severest(_report(t)))
+query("g33_networks", f"""{WITH_L}, g AS (SELECT subscriber, network, count(*) AS n, row_number() OVER (PARTITION BY subscriber ORDER BY count(*) DESC, network) AS r FROM l WHERE network <> '' GROUP BY 1, 2)
+SELECT subscriber, CASE WHEN r <= 2 THEN network ELSE 'other' END AS network, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY 1, 2""")(lambda t: C.network_frame(t.billing, 2))

@@ -31,6 +31,9 @@ query("g7_billing_summary", f"""{WITH_C} SELECT subscriber, count(*) AS n, {", "
 query("g10_temporal", f"""{WITH_C}, d AS (SELECT subscriber, hour(ts) AS hour, isodow(ts) - 1 AS weekday, strftime(ts, '%Y-%m') AS month FROM c) SELECT *, count(*) AS n FROM d GROUP BY GROUPING SETS ((subscriber, hour), (subscriber, weekday), (subscriber, month))""")(
     lambda t: C.temporal(t.cdr).withColumn("hour", F.col("hour").cast("long")).withColumn("weekday", F.col("weekday").cast("long"))
 )
+query("g10_peaks", f"""{WITH_C}, h AS (SELECT subscriber, 'hour' AS k, hour(ts) AS p, NULL AS m, count(*) AS n FROM c GROUP BY 1, 3 UNION ALL SELECT subscriber, 'weekday', isodow(ts) - 1, NULL, count(*) FROM c GROUP BY 1, 3 UNION ALL SELECT subscriber, 'month', year(ts) * 100 + month(ts), strftime(ts, '%Y-%m'), count(*) FROM c GROUP BY 1, 3, 4),
+b AS (SELECT *, row_number() OVER (PARTITION BY subscriber, k ORDER BY n DESC, p) AS r FROM h)
+SELECT subscriber, max(p) FILTER (k = 'hour') AS peak_hour, max(p) FILTER (k = 'weekday') AS peak_weekday, max(m) FILTER (k = 'month') AS peak_month FROM b WHERE r = 1 GROUP BY 1""")(lambda t: C.peaks(t.cdr).withColumns({c: F.col(c).cast("long") for c in ("peak_hour", "peak_weekday")}))
 query("g22_night_ratio", f"""{WITH_C}, g AS (SELECT subscriber, count(*) AS n, count(*) FILTER (hour(ts) >= 23 OR hour(ts) < 5) AS night FROM c GROUP BY 1) SELECT *, round(night / n, 6) AS ratio, night / n > 0.3 AS flag FROM g""")(lambda t: C.night_ratio(t.cdr))
 query("g11_locations", f"""{WITH_C}, g AS (SELECT subscriber, place, count(*) AS n, count(DISTINCT CAST(ts AS DATE)) AS days, min(ts) AS first_ts, max(ts) AS last_ts FROM c GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY subscriber ORDER BY n DESC, place) AS rank FROM g""")(lambda t: C.locations(t.cdr))
 query("g12_overnight_stays", f"""{WITH_C}, h AS (SELECT subscriber, arg_min(place, (-n, place)) AS home FROM (SELECT subscriber, place, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY 1),
@@ -80,6 +83,13 @@ def g26(t):
 query("g29_one_time_contacts", f"""{WITH_C}, g AS (SELECT subscriber, contact, max(ts) AS ts FROM c GROUP BY 1, 2 HAVING count(*) = 1) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subscriber ORDER BY ts DESC, contact) AS rank FROM g) WHERE rank <= 30""")(lambda t: C.one_time_contacts(t.cdr))
 query("g33_hour_frame", f"""{WITH_C} SELECT subscriber, hour, count(event_id) AS n FROM (SELECT DISTINCT subscriber, unnest(range(24)) AS hour FROM c) f LEFT JOIN (SELECT subscriber, hour(ts) AS hour, event_id FROM c) d USING (subscriber, hour) GROUP BY 1, 2""")(lambda t: C.hour_frame(t.cdr).withColumn("hour", F.col("hour").cast("long")))
 query("g33_duration_histogram", f"""{WITH_C} SELECT subscriber, CASE {" ".join(f"WHEN duration_seconds < {x} THEN {i}" for i, x in enumerate(C.BINS))} ELSE {len(C.BINS)} END AS bin, count(*) AS n FROM c WHERE {CALL} GROUP BY 1, 2""")(lambda t: C.duration_histogram(t.cdr))
+query("g33_place_hours", f"""{WITH_C}, t AS (SELECT *, row_number() OVER (PARTITION BY subscriber ORDER BY n DESC, place) AS rank FROM (SELECT subscriber, place, count(*) AS n FROM c GROUP BY 1, 2))
+SELECT subscriber, rank, place, hour(ts) AS hour, count(*) AS n FROM c JOIN t USING (subscriber, place) WHERE rank <= 10 GROUP BY ALL""")(lambda t: C.place_hours(t.cdr).withColumn("hour", F.col("hour").cast("long")))
+query("g33_types", f"{WITH_C}, g AS (SELECT subscriber, record_type, count(*) AS n FROM c GROUP BY 1, 2) SELECT *, round(n / sum(n) OVER (PARTITION BY subscriber), 4) AS share FROM g")(lambda t: C.type_frame(t.cdr))
+query("g33_top_contacts", f"""{WITH_C}, g AS (SELECT subscriber, contact, count(*) AS n, count(*) FILTER ({CALL}) AS calls, count(*) FILTER (record_type LIKE 'SMS%') AS messages FROM c GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subscriber ORDER BY n DESC, contact) AS rank FROM g) WHERE rank <= 15""")(lambda t: C.top_contacts(t.cdr))
+query("g33_daily_cost", f"""{WITH_C}, g AS (SELECT subscriber, CAST(ts AS DATE) AS day, sum(CAST(floor(value * 100) AS BIGINT)) AS c FROM c GROUP BY 1, 2)
+SELECT subscriber, day, CAST(c AS DOUBLE) AS cost, CAST(sum(c) OVER (PARTITION BY subscriber ORDER BY day) AS DOUBLE) AS total FROM g""")(lambda t: C.daily_cost(t.cdr.withColumn("cost", F.floor(F.col("value") * 100))))
 query("g33_daily_by_type", f"{WITH_C} SELECT CAST(ts AS DATE) AS day, {', '.join(f'count(*) FILTER (record_type = {x!r}) AS {x.lower()}' for x in ('CALL_IN', 'CALL_OUT', 'DATA', 'SMS_IN', 'SMS_OUT'))} FROM c GROUP BY 1")(
     lambda t: t.cdr.groupBy(F.to_date("ts").alias("day")).pivot("record_type", ["CALL_IN", "CALL_OUT", "DATA", "SMS_IN", "SMS_OUT"]).count().na.fill(0).withColumnsRenamed({x: x.lower() for x in ("CALL_IN", "CALL_OUT", "DATA", "SMS_IN", "SMS_OUT")})
 )

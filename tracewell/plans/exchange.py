@@ -95,6 +95,7 @@ query("x24_access_log", f"""{_LOG}, p AS (SELECT owner, place, count(*) AS k FRO
 d AS (SELECT owner, count(*) FILTER (ips > 3) AS multi_ip_days FROM (SELECT owner, {DAY} AS day, count(DISTINCT ip) AS ips FROM l GROUP BY 1, 2) GROUP BY 1)
 SELECT owner, count(*) AS logins, count(DISTINCT ip) AS ips, count(DISTINCT place) AS places, count(DISTINCT client) AS clients, min(ts_s) AS first_s, max(ts_s) AS last_s, max(country) AS country, count(*) FILTER (country IS NOT NULL AND NOT starts_with(coalesce(place, ''), country)) AS foreign_logins, max(multi_ip_days) AS multi_ip_days
 FROM l LEFT JOIN m USING (owner) JOIN d USING (owner) GROUP BY 1""")(lambda t: E.access_log(_log(t)))
+query("x24_login_hours", f"{_LOG}, g AS (SELECT owner, hour({TS}) AS hour, count(*) AS n FROM l GROUP BY 1, 2) SELECT *, round(n / sum(n) OVER (PARTITION BY owner), 4) AS share FROM g")(lambda t: E.login_hours(_log(t)))
 query("x38_many_countries", f"""{_LOG} SELECT owner, {DAY} AS day, count(DISTINCT split_part(place, ' ', 1)) AS countries, count(*) AS logins, array_to_string(list_sort(list(DISTINCT split_part(place, ' ', 1))), ',') AS names FROM l WHERE place IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT split_part(place, ' ', 1)) >= 3""")(lambda t: E.many_countries(_log(t)))
 _PREFIXES = [("1", "US"), ("48", "PL"), ("44", "GB"), ("49", "DE"), ("33", "FR"), ("34", "ES")]
 

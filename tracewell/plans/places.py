@@ -62,6 +62,7 @@ query("m3_haversine", f"SELECT event_id, round({_hav('52.0', '21.0', '(52 + valu
 )
 query("m16_bounds", f"{WITH_M} SELECT subscriber, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, min(lat) AS lat0, max(lat) AS lat1, min(lon) AS lon0, max(lon) AS lon1, count(*) AS n FROM p GROUP BY 1")(lambda t: P.bounds(t.moves))
 query("m18_in_area", f"{_L} SELECT event_id FROM p WHERE {_hav('CAST(lat AS DOUBLE)', 'CAST(lon AS DOUBLE)', '52.2', '21.1')} <= 15000")(lambda t: P.in_area(located(t), 52.2, 21.1, 15000).select("event_id"))
+query("m18_in_rectangle", f"{_L} SELECT event_id FROM p WHERE CAST(lat AS DOUBLE) BETWEEN 52.1 AND 52.3 AND CAST(lon AS DOUBLE) BETWEEN 21.05 AND 21.2")(lambda t: P.in_rectangle(located(t), 52.1, 21.05, 52.3, 21.2).select("event_id"))
 query("m17_modal_place", f"""{WITH_C}, v AS (SELECT k % 12 AS cluster, CASE WHEN k % 7 <> 0 THEN place END AS city, concat('st', CAST(event_id % 5 AS VARCHAR)) AS street FROM c), a AS (SELECT cluster, arg_min(city, (-n, city)) AS city FROM (SELECT cluster, city, count(*) AS n FROM v WHERE city <> '' GROUP BY 1, 2) GROUP BY 1),
 b AS (SELECT cluster, arg_min(street, (-n, street)) AS street FROM (SELECT cluster, street, count(*) AS n FROM v GROUP BY 1, 2) GROUP BY 1) SELECT cluster, city, street FROM a FULL JOIN b USING (cluster)""")(
     lambda t: P.modal_labels(t.cdr.selectExpr("k % 12 as cluster", "if(k % 7 <> 0, place, null) as city", "concat('st', cast(event_id % 5 as string)) as street"), ["cluster"], ["city", "street"])
@@ -138,12 +139,16 @@ e AS (SELECT subscriber, left_ts, lat, lon, min(ts) AS first_ts FROM o GROUP BY
 
 
 @query("m2_resolve_points", f"""{WITH_C}, s(cell, source, lat, lon) AS (VALUES ('BTS-1', 'manual', 1.0, 1.0), ('BTS-1', 'uke', 52.1, 21.1), ('BTS-2', 'opencellid', 52.2, 21.2), ('BTS-3', 'billing', 52.3, 21.3), ('BTS-3', 'opencellid', 9.0, 9.0)),
-r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY CASE source WHEN 'uke' THEN 0 WHEN 'billing' THEN 1 WHEN 'opencellid' THEN 2 ELSE 3 END) AS n FROM s)
-SELECT event_id, CASE WHEN c.k % 5 = 0 THEN 50.0 ELSE r.lat END AS lat, CASE WHEN c.k % 5 = 0 THEN 20.0 ELSE r.lon END AS lon, CASE WHEN c.k % 5 = 0 THEN 'direct' ELSE coalesce(r.source, 'none') END AS source FROM c LEFT JOIN r ON r.cell = c.place AND r.n = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY CASE source WHEN 'uke' THEN 0 WHEN 'billing' THEN 1 WHEN 'opencellid' THEN 2 ELSE 3 END) AS n FROM s),
+a AS (SELECT concat('mast street ', CAST(n_nationkey AS VARCHAR)) AS address, 40.0 + n_nationkey AS lat, 10.0 + n_nationkey AS lon FROM nation)
+SELECT event_id, CASE WHEN c.k % 5 = 0 THEN 50.0 ELSE coalesce(r.lat, a.lat) END AS lat, CASE WHEN c.k % 5 = 0 THEN 20.0 ELSE coalesce(r.lon, a.lon) END AS lon,
+  CASE WHEN c.k % 5 = 0 THEN 'direct' WHEN r.source IS NOT NULL THEN r.source WHEN a.address IS NOT NULL THEN 'address' ELSE 'none' END AS source
+FROM c LEFT JOIN r ON r.cell = c.place AND r.n = 1 LEFT JOIN a ON c.k % 7 > 1 AND a.address = concat('mast street ', CAST(c.k AS VARCHAR))""")
 def m2(t):
     stations = t.spark.createDataFrame([("BTS-1", "manual", 1.0, 1.0), ("BTS-1", "uke", 52.1, 21.1), ("BTS-2", "opencellid", 52.2, 21.2), ("BTS-3", "billing", 52.3, 21.3), ("BTS-3", "opencellid", 9.0, 9.0)], "cell string, source string, lat double, lon double")
-    own = t.cdr.select("event_id", F.col("place").alias("cell"), F.expr("if(k % 5 = 0, 50.0D, null)").alias("own_lat"), F.expr("if(k % 5 = 0, 20.0D, null)").alias("own_lon"))
-    return P.resolve_points(own, stations)
+    own = t.cdr.select("event_id", F.col("place").alias("cell"), F.expr("if(k % 5 = 0, 50.0D, null)").alias("own_lat"), F.expr("if(k % 5 = 0, 20.0D, null)").alias("own_lon"), F.expr("case when k % 7 > 1 then concat('  Mast  STREET ', k, ' ') end").alias("address"))
+    cache = t("nation").selectExpr("concat('Mast street ', n_nationkey) as address", "40.0D + n_nationkey as lat", "10.0D + n_nationkey as lon")
+    return P.resolve_points(own, stations, cache)
 
 
 _ID = "WITH i AS (SELECT c_custkey AS record_id, CAST(500000000 + c_custkey % 900 AS VARCHAR) AS number, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 700 END AS person_id, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment, c_nationkey % 4 AS operator FROM customer), q AS (SELECT *, CASE WHEN person_id IS NOT NULL THEN 40 ELSE 0 END + CASE WHEN name IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN segment IS NOT NULL THEN 20 ELSE 0 END + 10 AS quality FROM i)"

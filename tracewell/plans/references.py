@@ -9,7 +9,7 @@ from ..operators import ledger as L
 from ..operators import places as P
 from ..operators import references as R
 from .ledger import DAY, S
-from .tables import WITH_B, WITH_C, WITH_X
+from .tables import WITH_B, WITH_C, WITH_N, WITH_X
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,9 +25,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-query("a8_channel_codes", """WITH v AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'FEE' WHEN 1 THEN 'CRD' ELSE '' END AS code, CASE p_partkey % 3 WHEN 0 THEN 'N02' WHEN 1 THEN 'N11' ELSE '' END AS swift, CASE p_partkey % 7 WHEN 2 THEN 'Blik now' WHEN 3 THEN 'my kart' WHEN 4 THEN 'ATM 5' ELSE p_name END AS title FROM part)
-SELECT p_partkey, CASE WHEN code = 'FEE' THEN 'FEE' WHEN code = 'CRD' THEN 'CARD' WHEN swift = 'N02' THEN 'CARD' WHEN swift = 'N11' THEN 'TRANSFER' WHEN regexp_matches(title, '(?i)blik') THEN 'BLIK' WHEN regexp_matches(title, '(?i)card|kart') THEN 'CARD' WHEN regexp_matches(title, '(?i)atm|cash') THEN 'CASH' ELSE 'OTHER' END AS channel FROM v""")(
-    lambda t: t("part").selectExpr("p_partkey", "case p_partkey % 5 when 0 then 'FEE' when 1 then 'CRD' else '' end as code", "case p_partkey % 3 when 0 then 'N02' when 1 then 'N11' else '' end as swift", "case p_partkey % 7 when 2 then 'Blik now' when 3 then 'my kart' when 4 then 'ATM 5' else p_name end as title").select("p_partkey", R.channel_by_codes(F.col("code"), F.col("swift"), F.col("title")).alias("channel"))
+_RAW = "CASE tx_id % 13 WHEN 0 THEN '00VE02' WHEN 1 THEN '00IKZ1 x IK01' WHEN 2 THEN '00IBCB' WHEN 3 THEN '00none' WHEN 4 THEN '00DECC' ELSE '' END"
+_MSG = "CASE tx_id % 17 WHEN 0 THEN '073' WHEN 1 THEN '034' WHEN 2 THEN '076' WHEN 3 THEN '999' ELSE '' END"
+_case = lambda pairs: " ".join(f"WHEN {c} THEN '{v}'" for c, v in pairs)
+query("a8_channel_codes", rf"""{WITH_N}, v AS (SELECT tx_id, {_RAW} AS raw, {_MSG} AS msg, lower(concat(title, ' ', payee)) AS t FROM n)
+SELECT tx_id, CASE {_case((f"contains(raw, '{k}')", c) for k, c in R.RAW_CODES.items())} {_case((f"msg = '{k}'", c) for k, c in R.MESSAGE_CODES.items())} {_case((f"regexp_matches(t, '{p}')", c) for p, c in R.TITLE_CHANNELS)} ELSE 'INNE' END AS channel FROM v""")(
+    lambda t: t.notes.select("tx_id", R.channel_by_codes(F.expr(_RAW), F.expr(_MSG), F.col("title"), F.col("payee")).alias("channel"))
 )
 
 
@@ -52,12 +55,13 @@ SELECT account_id AS src, counterparty AS dst, CASE max(CASE label WHEN 'blackli
 )
 
 
-query("f11_entity_lookup", """WITH e AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'project' ELSE 'global' END AS scope, p_name AS name, concat(p_name, ' co') AS alias, p_partkey AS entity FROM part WHERE p_partkey % 3 = 0),
-n AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE concat(p_name, ' Co') END AS name FROM part),
-k AS (SELECT key, scope, entity, how FROM (SELECT lower(name) AS key, 0 AS how, scope, entity FROM e UNION ALL SELECT lower(alias), 1, scope, entity FROM e)),
-b AS (SELECT key, arg_min(entity, (CASE scope WHEN 'project' THEN 0 ELSE 1 END, how, entity)) AS entity, arg_min(scope, (CASE scope WHEN 'project' THEN 0 ELSE 1 END, how, entity)) AS scope FROM k GROUP BY 1)
-SELECT name, entity, coalesce(scope, 'none') AS scope FROM n LEFT JOIN b ON key = lower(name)""")(
-    lambda t: R.entity_lookup(t("part").selectExpr("if(p_partkey % 2 = 0, upper(p_name), concat(p_name, ' Co')) as name").distinct(), t("part").where("p_partkey % 3 = 0").selectExpr("if(p_partkey % 4 = 0, 'project', 'global') as scope", "p_name as name", "concat(p_name, ' co') as alias", "p_partkey as entity"))
+query("f11_entity_lookup", """WITH e AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'project' ELSE 'global' END AS scope, lower(p_name) AS name, lower(concat(p_name, ' co')) AS alias, p_partkey AS entity FROM part WHERE p_partkey % 3 = 0),
+n AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(p_name, ' Co') WHEN 2 THEN concat('the ', p_name, ' shop') ELSE substring(p_name, 3) END AS name FROM part),
+k AS (SELECT n.name, 0 AS how, scope, entity FROM n JOIN e ON lower(trim(n.name)) = e.name UNION ALL SELECT n.name, 1, scope, entity FROM n JOIN e ON lower(trim(n.name)) = alias
+  UNION ALL SELECT n.name, 2, scope, entity FROM n JOIN e ON contains(lower(trim(n.name)), e.name) OR contains(e.name, lower(trim(n.name)))),
+b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY how, CASE scope WHEN 'project' THEN 0 ELSE 1 END, entity) AS r FROM k)
+SELECT n.name, entity, coalesce(scope, 'none') AS scope, ['name', 'alias', 'part'][how + 1] AS how FROM n LEFT JOIN (SELECT * FROM b WHERE r = 1) b USING (name)""")(
+    lambda t: R.entity_lookup(t("part").selectExpr("case p_partkey % 4 when 0 then upper(p_name) when 1 then concat(p_name, ' Co') when 2 then concat('the ', p_name, ' shop') else substring(p_name, 3) end as name").distinct(), t("part").where("p_partkey % 3 = 0").selectExpr("if(p_partkey % 4 = 0, 'project', 'global') as scope", "p_name as name", "concat(p_name, ' co') as alias", "p_partkey as entity"))
 )
 
 
