@@ -444,3 +444,71 @@ def test_watch_lists(spark):
     known = spark.createDataFrame([("0xc", "Blend", "mixer"), ("0xd", "Game", "game"), ("x", "Bridge", "bridge")], "address string, name string, category string")
     got = {r["transfer_id"]: (r["tags"], r["risk_score"], r["counterparty"]) for r in ledger.watch_matches(tx, watch, known, "via").collect()}
     assert got == {1: ("bridge,mixer,sanctioned", 100, "Bridge"), 2: ("mixer,sanctioned", 100, None), 3: ("mixer", 80, "Blend"), 4: ("mixer", 80, "Blend"), 5: ("", 0, "Game")}
+
+
+def test_headers_in_three_stages(spark):
+    expected = spark.createDataFrame(
+        [("f", 1, "amount", ["amount", "sum"], ["^amt"], True), ("f", 2, "day", ["booking date"], ["date"], True), ("f", 3, "title", ["title"], [], True), ("f", 4, "rest", ["remark"], [], False)],
+        "format string, ord int, name_of string, names array<string>, patterns array<string>, required boolean",
+    )
+    files = {
+        "exact": ["SUM", " Amount", "value date", "Title"], "drift": ["amt", "Booking_Date", "titles"], "partial": ["amuont", "date 1", "date 2", ""], "failed": ["xyz", "qqq"],
+        "greedy": ["date amt", "amt date"],
+    }
+    rows = [(f, "f", i, h) for f, hs in files.items() for i, h in enumerate(hs)] + [("none", "g", 0, "amount")]
+    headers = spark.createDataFrame(rows, "file string, format string, position int, header string")
+    m = segments.header_matches(headers, expected)
+    got = {(r["file"], r["name_of"]): (r["header"], r["how"], r["confidence"]) for r in m.collect()}
+    assert got["exact", "amount"] == (" Amount", "exact", 1.0) and got["exact", "day"] == ("value date", "pattern", 1.0)  # the first name goes before the first header
+    assert got["drift", "amount"] == ("amt", "pattern", 1.0) and got["drift", "title"] == ("titles", "fuzzy", round(10 / 11, 4))
+    assert got["drift", "day"] == ("Booking_Date", "pattern", 1.0)
+    assert got["partial", "amount"] == ("amuont", "fuzzy", round(10 / 12, 4)) and got["partial", "day"] == ("date 1", "pattern", 1.0)
+    assert got["greedy", "amount"] == ("amt date", "pattern", 1.0) and got["greedy", "day"] == ("date amt", "pattern", 1.0)
+    levels = {r["file"]: (r["level"], r["missing"], r["extra"]) for r in segments.drift_levels(m, headers, expected).collect()}
+    assert levels == {"exact": ("exact", 0, 1), "drift": ("drift", 0, 0), "partial": ("partial", 2, 2), "failed": ("failed", 3, 2), "greedy": ("partial", 1, 0), "none": ("failed", 0, 1)}
+
+
+def test_block_ratio_is_what_a_hand_computes(spark):
+    """abcd, bcde: bcd. ab, ba: one of them. abxcd, abycd: ab and cd. Czas trwania: plain forms are equal."""
+    rows = [("abcd", "bcde", 0.75), ("ab", "ba", 0.5), ("abxcd", "abycd", 0.8), ("", "", 1.0), ("abc", "xyz", 0.0)]
+    got = spark.createDataFrame(rows, "a string, b string, want double").withColumn("r", segments.block_ratio(F.col("a"), F.col("b"))).collect()
+    assert all(r["r"] == r["want"] for r in got)
+    pairs = spark.createDataFrame([("czas_trwania", "Czas trwania"), ("początek", "poczatek"), ("data i godz", "data i godzina polaczenia")], "name string, header string")
+    sure = {r["name"]: r["confidence"] for r in segments.header_confidence(pairs).collect()}
+    assert sure["czas_trwania"] == sure["początek"] == 1.0 and abs(sure["data i godz"] - (0.5 + 0.4 * 11 / 25)) < 1e-9
+
+
+def test_entities_by_name_alias_and_part(spark):
+    e = spark.createDataFrame([("project", "Alfa", "north", 1), ("global", "North", "alfa", 2), ("global", "Biedronka", None, 3), ("project", "ab", None, 4), ("global", "Beta", "beta", 6), ("project", "zzz", "gamma", 5)], "scope string, name string, alias string, entity long")
+    names = ["north", "ALFA ", "biedronka 12", "xabx", "beta", "Gamma", "ied", "", None, "qqq", "a"]
+    got = {r["name"]: (r["entity"], r["scope"], r["how"]) for r in references.entity_lookup(spark.createDataFrame([(n,) for n in names], "name string"), e).collect()}
+    assert got["north"] == (2, "global", "name")  # a global name goes before a project's alias
+    assert got["ALFA "] == (1, "project", "name") and got["biedronka 12"] == (3, "global", "part") and got["xabx"] == (4, "project", "part") and got["beta"] == (6, "global", "name")
+    assert got["Gamma"] == (5, "project", "alias") and got["ied"] == (3, "global", "part") and got["a"] == (1, "project", "part")
+    assert got[""] == got[None] == got["qqq"] == (None, "none", None)
+
+
+def test_own_transfers_are_surer(spark):
+    rows = [(1, 0, 5, "DEBIT", "TRANSFER", "a"), (2, 0, 5, "CREDIT", "TRANSFER", "b"), (1, 3, 7, "DEBIT", "TRANSFER", "a"), (2, 4, 7, "CREDIT", "TRANSFER", "b"), (1, 9, 8, "DEBIT", "TRANSFER", "a"), (2, 11, 8, "CREDIT", "TRANSFER", "b")]
+    t = tx(spark, rows).withColumn("title", F.element_at(F.array(F.lit("Przelew wlasny"), F.lit(None), F.lit("między rachunkami")), (F.col("tx_id") / 2 + 1).cast("int")))
+    assert {(r["debit_id"], r["credit_id"]): (r["confidence"], r["method"]) for r in bank.internal_by_amount(t, title="title").collect()} == {(0, 1): (0.95, "title_match"), (2, 3): (0.6, "amount_date")}
+
+
+def test_channels_by_codes(spark):
+    rows = [("xIK01 VE02", "041", "", "", "KARTA"), ("", "041", "prowizja", "", "BLIK"), ("00", "1", "Płatność kartą", "", "KARTA"), (None, None, None, "Przelew na telefon", "PRZELEW_TELEFON"), ("", "", "wypłata gotówki", "", "GOTOWKA_ATM"), ("", "", "x", None, "INNE")]
+    df = spark.createDataFrame(rows, "r string, m string, t string, n string, want string")
+    assert all(x["c"] == x["want"] for x in df.withColumn("c", references.channel_by_codes(*map(F.col, "rmtn"))).collect())
+
+
+def test_a_batch_of_labels_is_checked(spark):
+    now = spark.createDataFrame([(1, "neutral", "old"), (2, "suspicious", "old")], "tx_id long, label string, note string")
+    batch = spark.createDataFrame([(1, "monitoring", "a", 1), (1, "legitimate", None, 2), (2, "bad", "x", 3), (3, None, "new", 4), (None, "neutral", "", 5)], "tx_id long, label string, note string, seq long")
+    after, refused = bank.set_labels(now, batch)
+    assert {tuple(r) for r in after.collect()} == {(1, "legitimate", ""), (2, "suspicious", "old"), (3, "neutral", "new")}
+    assert {(r["seq"], r["reason"]) for r in refused.collect()} == {(3, "invalid label bad"), (5, "no transaction")}
+
+
+def test_places_in_a_rectangle(spark):
+    r = spark.createDataFrame([(1, 1.0, 179.5), (2, 1.0, -179.5), (3, 1.0, 0.0), (4, 9.0, 179.9)], "event_id long, lat double, lon double")
+    ids = lambda *box: sorted(x["event_id"] for x in places.in_rectangle(r, *box).collect())
+    assert ids(0, 179, 2, -179) == [1, 2] and ids(0, -1, 1, 1) == [3] and ids(0, 0, 9, 180) == [1, 3, 4]

@@ -261,10 +261,23 @@ def special_kind(c: Column, exact: dict[str, str], senders: dict[str, str], patt
     return F.when(F.coalesce(c, F.lit("")) != "", out)
 
 
+def special_contacts(r: DataFrame, exact: dict[str, str], senders: dict[str, str], patterns: list[tuple[str, str]]) -> DataFrame:
+    """(contact, kind) of the special ones, each contact looked at once: exact numbers by an
+    equi-join, the others as in ``special_kind``."""
+    bare = F.regexp_replace("contact", r"^\+48", "")
+    c = r.select("contact").where("contact <> ''").distinct().withColumn("_bare", bare)
+    rows = {}
+    for n, kind in exact.items():
+        rows.setdefault(n.removeprefix("+48"), kind)
+    table = r.sparkSession.createDataFrame(list(rows.items()), "_bare string, _exact string")
+    c = c.join(F.broadcast(table), "_bare", "left")
+    return c.select("contact", F.coalesce("_exact", special_kind(F.col("contact"), {}, senders, patterns)).alias("kind")).where("kind is not null")
+
+
 def special_numbers(r: DataFrame, exact: dict[str, str], senders: dict[str, str], patterns: list[tuple[str, str]]) -> DataFrame:
     """Special numbers of each subscriber with their records, seconds and days."""
-    g = r.withColumn("kind", special_kind(F.col("contact"), exact, senders, patterns)).where("kind is not null")
-    return g.groupBy(KEY, "contact", "kind").agg(F.count("*").alias("n"), F.sum("duration_seconds").alias("seconds"), F.min(F.to_date("ts")).alias("first_day"), F.max(F.to_date("ts")).alias("last_day"))
+    g = r.groupBy(KEY, "contact").agg(F.count("*").alias("n"), F.sum("duration_seconds").alias("seconds"), F.min(F.to_date("ts")).alias("first_day"), F.max(F.to_date("ts")).alias("last_day"))
+    return g.join(special_contacts(g, exact, senders, patterns), "contact").select(KEY, "contact", "kind", "n", "seconds", "first_day", "last_day")
 
 
 def forwarded_to(*fields: str) -> Column:

@@ -228,7 +228,7 @@ def entity_lookup(names: DataFrame, entities: DataFrame) -> DataFrame:
     near = containing(rest, e.where("name <> ''").select("name").distinct()).join(e.select(F.col("name").alias("y"), "s", "entity"), "y")
     near = near.groupBy("x").agg(F.min(F.struct(F.lit(2).alias("how"), "s", "entity")).alias("r"))
     out = n.join(exact.unionByName(near), "x", "left")
-    how = F.element_at(F.array(F.lit("name"), F.lit("alias"), F.lit("part")), F.col("r.how") + 1)
+    how = F.when(F.col("r.how") == 0, "name").when(F.col("r.how") == 1, "alias").when(F.col("r.how") == 2, "part")
     return out.select("name", F.col("r.entity").alias("entity"), F.when(F.col("r.s") == 0, "project").when(F.col("r.s") == 1, "global").otherwise("none").alias("scope"), how.alias("how"))
 
 

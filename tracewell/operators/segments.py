@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_diacritics
+
 
 def best_overlap(segments: DataFrame, turns: DataFrame, width: float = 60.0) -> DataFrame:
     """Each segment (conv_id, seg, s0, s1) gets the turn's speaker with the most overlap, the
@@ -74,32 +79,103 @@ def round_robin(lines: DataFrame, speakers: int = 2) -> DataFrame:
     return lines.select("doc_id", F.posexplode(own).alias("line", "content")).select("doc_id", "line", F.concat(F.lit("Speaker "), (F.col("line") % speakers + 1).cast("string")).alias("speaker"), F.length("content").alias("chars"))
 
 
-def header_drift(headers: DataFrame, expected: DataFrame, fuzzy: float = 0.75) -> DataFrame:
-    """Each header's best expected name: equal, then containing, then by edit distance.
+#: From which confidence a likely header is named, and from which it is taken.
+CONSIDER, ACCEPT = 0.55, 0.85
+
+
+def plain_header(c: Column) -> Column:
+    """Small letters without diacritics; marks that join words are blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(strip_diacritics(F.lower(F.trim(c)), fold_l=True), r"[_.\-/]+", " "), r"\s+", " "))
+
+
+def block_ratio(a: Column, b: Column) -> Column:
+    """Twice the characters in matching blocks over both lengths: the longest common block, then in the
+    same way what is left of it and what is right of it. For distinct pairs of headers, which are few."""
+
+    def ratios(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right)])
+
+    return F.pandas_udf(ratios, "double")(a, b)
 
-    Expected names are a format's columns, some tens; the join is by file format.
+
+def header_confidence(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (name, header) with their confidence: 1 if equal in plain form; if one contains the
+    other, half and two fifths of their lengths' share; or the ratio of matching blocks, if that is more."""
+    p = pairs.select("name", "header").distinct().withColumns({"a": plain_header("name"), "b": plain_header("header")}).where("a <> '' and b <> ''")
+    share = F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b"))
+    inside = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")), 0.5 + share * 0.4).otherwise(0.0)
+    return p.select("name", "header", F.greatest(inside, block_ratio("a", "b")).alias("confidence"))
+
+
+def _assign(options: DataFrame) -> DataFrame:
+    """Columns in order take the first of their options that none before has taken.
+
+    options: file, ord, name_of, position, header, confidence; best first means the higher confidence, then
+    the smaller position. A file's headers and a format's columns are some tens.
     """
-    norm = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
-    j = headers.join(expected, "format").withColumn("h", norm("header")).withColumn("e", norm("expected"))
-    ratio = 1 - F.levenshtein("h", "e") / F.greatest(F.length("h"), F.length("e"), F.lit(1))
-    level = F.when(F.col("h") == F.col("e"), 0).when(F.col("h").contains(F.col("e")) | F.col("e").contains(F.col("h")), 1).when(ratio >= fuzzy, 2).otherwise(3)
-    best = j.groupBy("file", "format", "header").agg(F.min(F.struct(level.alias("level"), (-ratio).alias("r"), "expected")).alias("b"))
-    kind = F.element_at(F.array(F.lit("exact"), F.lit("contained"), F.lit("drift"), F.lit("fail")), F.col("b.level") + 1)
-    return best.select("file", "format", "header", F.when(F.col("b.level") < 3, F.col("b.expected")).alias("expected"), kind.alias("match"))
+    own = options.groupBy("file", "ord", "name_of").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "position", "header"))).alias("o"))
+    todo = own.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("ord", "name_of", "o"))).alias("todo"))
+    kind = "array<struct<name_of:string,position:int,header:string,confidence:double>>"
 
+    def step(a, x):
+        free = F.try_element_at(F.filter(x["o"], lambda o: ~F.array_contains(F.transform(a, lambda t: t["position"]), o["position"])), F.lit(1))
+        taken = F.array(F.struct(x["name_of"].alias("name_of"), free["position"].alias("position"), free["header"].alias("header"), (-free["c"]).alias("confidence")))
+        return F.when(free.isNull(), a).otherwise(F.concat(a, taken.cast(kind)))
 
-def drift_levels(matches: DataFrame, expected: DataFrame, accept: float = 1.0, drift: float = 0.5) -> DataFrame:
-    """Each file's share of the expected headers found (exactly or not) and what follows: accept where
-    all are found as they are, drift where enough are found in some way, else reject.
+    done = todo.select("file", F.explode(F.aggregate("todo", F.array().cast(kind), step)).alias("t"))
+    return done.select("file", "t.*")
 
-    matches: as ``header_drift``, with the file's format; expected: format, expected.
+
+def header_matches(headers: DataFrame, expected: DataFrame, consider: float = CONSIDER) -> DataFrame:
+    """(file, format, name_of, header, position, how, confidence): which header each expected column is.
+
+    headers: file, format, position, header. expected: format, ord, name_of, names (array), patterns
+    (array), required. Three stages, each for what the one before has left: a header equal to one of the
+    names (case aside; the first name that is there); the first free header that fits one of the
+    patterns; the free header of most confidence, from ``consider`` on (how = fuzzy).
+    """
+    text = F.lower(F.trim("header"))
+    h = headers.select("file", "format", F.col("position").cast("int").alias("position"), "header", text.alias("text"))
+    e = expected.select("format", "ord", "name_of", "names", "patterns")
+    files = h.select("file", "format").distinct()
+    names = e.select("format", "name_of", F.posexplode("names").alias("at", "n")).select("format", "name_of", "at", F.lower("n").alias("text"))
+    equal = h.join(names, ["format", "text"]).groupBy("file", "name_of").agg(F.min(F.struct("at", "position", "header")).alias("b"))
+    found = equal.select("file", "name_of", "b.position", "b.header", F.lit(1.0).alias("confidence"), F.lit("exact").alias("how"))
+    for stage in ("pattern", "fuzzy"):
+        open_ = files.join(e, "format").join(found.select("file", "name_of"), ["file", "name_of"], "left_anti")
+        free = h.where("text <> ''").join(found.select("file", "position"), ["file", "position"], "left_anti").drop("format")
+        pairs = open_.join(free, "file")
+        if stage == "pattern":
+            fits = F.exists("patterns", lambda p: F.rlike("text", F.concat(F.lit("(?i)"), p)))
+            options = pairs.where(fits).select("file", "ord", "name_of", "position", "header", F.lit(1.0).alias("confidence"))
+        else:
+            by_name = pairs.select("file", "ord", "name_of", "position", "header", F.explode("names").alias("name"))
+            sure = by_name.join(header_confidence(by_name), ["name", "header"]).groupBy("file", "ord", "name_of", "position", "header").agg(F.max("confidence").alias("confidence"))
+            options = sure.where(F.col("confidence") >= consider)
+        found = found.unionByName(_assign(options).withColumn("how", F.lit(stage)))
+    return files.join(found, "file").select("file", "format", "name_of", "header", "position", "how", F.round("confidence", 4).alias("confidence"))
+
+
+def drift_levels(matches: DataFrame, headers: DataFrame, expected: DataFrame, accept: float = ACCEPT) -> DataFrame:
+    """Each file's level. exact: all required columns without a likely match; drift: all, some by likely
+    matches taken (from ``accept`` on); partial: some; failed: none, or a format without columns.
+
+    With it the confidence (1, the likely ones' mean, or the share of required columns), missing required
+    columns, and headers that no column has.
     """
-    n = expected.groupBy("format").agg(F.countDistinct("expected").alias("wanted"))
-    hit = F.when(F.col("match") != "fail", F.col("expected"))
-    g = matches.groupBy("file", "format").agg(F.countDistinct(hit).alias("found"), F.countDistinct(F.when(F.col("match") == "exact", F.col("expected"))).alias("exact"), F.count_if(F.col("match") == "fail").alias("unknown"))
-    share = F.col("found") / F.col("wanted")
-    level = F.when(F.col("exact") / F.col("wanted") >= accept, "accept").when(share >= drift, "drift").otherwise("reject")
-    return g.join(n, "format").select("file", "format", "found", "exact", "unknown", F.round(share, 4).alias("share"), level.alias("level"))
+    wanted = expected.groupBy("format").agg(F.count_if("required").alias("wanted"))
+    files = headers.where(F.trim("header") != "").groupBy("file", "format").agg(F.count("*").alias("headers"))
+    taken = (F.col("how") != "fuzzy") | (F.col("confidence") >= accept)
+    m = matches.join(expected.select("format", "name_of", "required"), ["format", "name_of"])
+    g = m.groupBy("file", "format").agg(
+        F.count_if(taken & F.col("required")).alias("found"), F.count_if(F.col("how") == "fuzzy").alias("likely"),
+        F.avg(F.when(F.col("how") == "fuzzy", F.col("confidence"))).alias("mean"), F.countDistinct(F.when(taken, F.col("position"))).alias("used"))
+    z = lambda c: F.coalesce(c, F.lit(0))
+    out = files.join(wanted, "format", "left").join(g, ["file", "format"], "left")
+    missing = z("wanted") - z("found")
+    level = F.when(F.col("wanted").isNull(), "failed").when((missing == 0) & (z("likely") == 0), "exact").when(missing == 0, "drift").when(z("found") > 0, "partial").otherwise("failed")
+    sure = F.when(level == "exact", 1.0).when(level == "drift", F.col("mean")).when(level == "partial", F.col("found") / F.col("wanted")).otherwise(0.0)
+    return out.select("file", "format", level.alias("level"), F.round(sure, 4).alias("confidence"), missing.alias("missing"), (F.col("headers") - z("used")).alias("extra"))
 
 
 def page_of(log: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:

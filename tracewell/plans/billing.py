@@ -53,7 +53,8 @@ _TO = "CASE WHEN related <> '' AND related <> own THEN related END"
 
 def _marked(t):
     r = C.directed(t.billing)
-    return r.withColumns({"special": C.special_kind(F.col("contact"), EXACT, SENDERS, PATTERNS), "forwarded": C.forwarded_to("related").isNotNull()})
+    special = C.special_contacts(r, EXACT, SENDERS, PATTERNS).withColumnRenamed("kind", "special")
+    return r.join(special, "contact", "left").withColumn("forwarded", C.forwarded_to("related").isNotNull())
 
 
 query("g9_contact_profiles", f"""{_D}, k AS (SELECT *, {_KIND} AS special, record_type = 'CALL_FORWARDED' OR {_TO} IS NOT NULL AS fwd FROM d), g AS (SELECT subscriber, contact, count(*) AS n, count(*) FILTER (NOT fwd AND record_type = 'CALL_IN') AS calls_in, count(*) FILTER (NOT fwd AND record_type = 'CALL_OUT') AS calls_out,
