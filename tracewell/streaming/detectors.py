@@ -128,6 +128,11 @@ def pass_through(deposits: DataFrame, withdrawals: DataFrame, key: str, hours: i
     return d.join(w, near).select(F.col(f"d.{key}").alias(key), "deposit_id", "withdrawal_id")
 
 
+def enrich(events: DataFrame, watch: DataFrame, on: str) -> DataFrame:
+    """ST7: a stream against a list that stays as it is."""
+    return events.join(watch, on, "left")
+
+
 def newest_version(files: Files) -> int:
     versions = files.numbers("version")
     if not versions:
