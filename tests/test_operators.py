@@ -512,3 +512,46 @@ def test_places_in_a_rectangle(spark):
     r = spark.createDataFrame([(1, 1.0, 179.5), (2, 1.0, -179.5), (3, 1.0, 0.0), (4, 9.0, 179.9)], "event_id long, lat double, lon double")
     ids = lambda *box: sorted(x["event_id"] for x in places.in_rectangle(r, *box).collect())
     assert ids(0, 179, 2, -179) == [1, 2] and ids(0, -1, 1, 1) == [3] and ids(0, 0, 9, 180) == [1, 3, 4]
+
+
+def test_report_in_two_passes_is_each_group_by_itself(spark):
+    """G32 on random records, nulls and repeated times included, against G18 to G31 one by one."""
+    rng = random.Random(7)
+    numbers = ["48600100200", "+48700123456", "375291112233", "+4915112345", "+881612345678", "", None, "600100201", "whatsapp"]
+    rows = []
+    for i in range(900):
+        at = None if i % 90 == 0 else dt.datetime(2024, 1, 1 + rng.randrange(20), rng.choice([0, 3, 4, 12, 13, 22, 23]), rng.choice([0, 1, 2, 30]))
+        at = dt.datetime(2024, 2, 1, 12, i % 40) if 100 < i < 300 else at
+        kind = rng.choice(["CALL_OUT", "CALL_IN", "SMS_OUT", "DATA", "CALL_FORWARDED", None])
+        own = f"s{i % 3}"
+        abroad = rng.choice([(None, None), ("", ""), ("DE", "netA"), ("DE", None), ("BY", "telegram net")])
+        rows.append((own, i, at, kind, rng.choice(numbers) if i % 3 else f"4860{i}", rng.choice([None, 5, 20, 4000]), rng.choice(["a", "b", None]), own, own, rng.choice(numbers), *abroad, "Viber" if i == 5 else None, rng.choice([None, "", own, "77"])))
+    schema = "subscriber string, event_id long, ts timestamp, record_type string, contact string, duration_seconds int, place string, own string, caller string, callee string, country string, network string, service string, related string"
+    r = spark.createDataFrame(rows, schema).cache()
+    prefixes = spark.createDataFrame([("48", "PL"), ("375", "BY"), ("4", "XX"), ("49", "DE")], "prefix string, country string")
+    satellites = [("Iridium", r"\+8816", "8816")]
+    messengers = [("WhatsApp", "messenger", "whatsapp"), ("Telegram", "messenger", "telegram"), ("Viber", "messenger", "viber")]
+    late = F.col("record_type").startswith("CALL") & (F.hour("ts") < 5) & (F.col("duration_seconds") >= 10)
+    foreign = calls.foreign_contacts(r, prefixes).where("country not in ('PL', 'unknown')")
+    each = {
+        "long_call": calls.long_and_late(r).where("kind = 'long'"), "late_night_calls": r.where(late), "night_activity": calls.night_ratio(r).where("flag"),
+        "night_movement": calls.night_movement(r), "burst_activity": calls.bursts(r.where("record_type like 'CALL%' or record_type like 'SMS%'").where("ts is not null")),
+        "premium_number": r.where(F.col("contact").rlike(calls.PREMIUM)).select("subscriber", "contact").distinct(), "roaming": calls.roaming(r), "foreign_contacts": foreign,
+        "forwarded_calls": calls.forwarded_calls(r, "related"), "one_time_contacts": calls.one_time_contacts(r.where("contact <> ''")),
+        "satellite_numbers": calls.satellite_numbers(r, satellites), "social_media": calls.platforms(r, messengers, ["caller", "callee", "network", "service"]), "inactivity_gap": calls.inactivity_gaps(r),
+    }
+    want = {(x["subscriber"], k): x["count"] for k, df in each.items() for x in df.groupBy("subscriber").count().collect()}
+    got = calls.anomaly_report(r, prefixes, satellites, messengers, critical=["BY"]).collect()
+    assert {(x["subscriber"], x["type"]): x["n"] for x in got} == want and len(got) == len(want)
+    assert {k for _, k in want} >= {"night_movement", "burst_activity", "inactivity_gap", "one_time_contacts", "roaming", "foreign_contacts"}
+    critical = {x["subscriber"] for x in calls.foreign_contacts(r, prefixes).where("country = 'BY'").collect()}
+    for x in got:
+        assert x["severity"] == ("critical" if x["type"] == "foreign_contacts" and x["subscriber"] in critical else calls.SEVERITY[x["type"]])
+    assert calls.anomaly_report(r.limit(0), prefixes, satellites, messengers).count() == 0
+
+
+def test_country_by_the_longest_prefix(spark):
+    """One to five digits, a plus or none; what no prefix fits has none."""
+    p = spark.createDataFrame([("1", "US"), ("1242", "BS"), ("12421", "B5"), ("124211", "no"), ("x", "no")], "prefix string, country string")
+    r = spark.createDataFrame([("+12425",), ("12421999",), ("1300",), ("x5",), ("",), (None,), ("4",)], "contact string")
+    assert {x["contact"]: x["country"] for x in calls.with_country(r, p).collect()} == {"+12425": "BS", "12421999": "B5", "1300": "US", "x5": None, "": None, None: None, "4": None}

@@ -178,12 +178,24 @@ def inactivity_gaps(r: DataFrame, hours: int = 12) -> DataFrame:
     return d.where(gap >= hours * 3600).select(KEY, "event_id", gap.alias("gap_s"))
 
 
+def with_country(r: DataFrame, prefixes: DataFrame, number: str = "contact") -> DataFrame:
+    """Adds country, that of the number's longest known prefix of 1 to 5 digits, else null. There are
+    111,110 such prefixes at most, so the table is broadcast, a length at a time."""
+    digits = F.regexp_replace(number, r"^\+", "")
+    table = prefixes.where(F.col("prefix").rlike("^[0-9]{1,5}$")).groupBy("prefix").agg(F.min("country").alias("country"))
+    out, found = r, []
+    for n in range(5, 0, -1):
+        own = table.where(F.length("prefix") == n).select(F.col("prefix").alias(f"_p{n}"), F.col("country").alias(f"_c{n}"))
+        out = out.withColumn(f"_p{n}", F.substring(digits, 1, n)).join(F.broadcast(own), f"_p{n}", "left").drop(f"_p{n}")
+        found.append(f"_c{n}")
+    return out.withColumn("country", F.coalesce(*found)).drop(*found)
+
+
 def foreign_contacts(r: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Country of each contact by its longest known prefix (1 to 5 digits), by an equi-join."""
-    n = F.regexp_replace("contact", r"^\+", "")
-    c = r.select("contact").distinct().withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("prefix", F.substr(n, F.lit(1), F.col("size")))
-    best = c.join(prefixes, "prefix").groupBy("contact").agg(F.max_by("country", "size").alias("country"))
-    return r.select(KEY, "contact").join(best, "contact", "left").groupBy(KEY, F.coalesce("country", F.lit("unknown")).alias("country")).agg(F.count("*").alias("n"), F.countDistinct("contact").alias("contacts"))
+    """Records and contacts of each country; contacts are looked at once each."""
+    g = r.groupBy(KEY, "contact").agg(F.count("*").alias("n"))
+    g = with_country(g, prefixes).groupBy(KEY, F.coalesce("country", F.lit("unknown")).alias("country"))
+    return g.agg(F.sum("n").alias("n"), F.count("contact").alias("contacts"))
 
 
 def one_time_contacts(r: DataFrame, newest: int = 30) -> DataFrame:
@@ -292,26 +304,39 @@ def forwarded_calls(r: DataFrame, *fields: str) -> DataFrame:
     return f.select(KEY, "event_id", "ts", F.coalesce("contact", F.lit("")).alias("contact"), F.coalesce(to, F.lit("")).alias("forwarded_to"), "duration_seconds")
 
 
-def satellite_numbers(r: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Contacts whose number fits a satellite network's prefix, by the first rule (operator, pattern
-    with a plus, pattern of digits), in order of confidence. Numbers are looked at once each."""
-    n = F.regexp_replace(F.regexp_replace("contact", r"[^0-9+]", ""), "^00", "+")
+def satellite_operator(number: str, rules: list[tuple[str, str, str]]) -> Column:
+    """The satellite network that a number's prefix fits, by the first rule (operator, pattern with a
+    plus, pattern of digits), in order of confidence; null for others."""
+    n = F.regexp_replace(F.regexp_replace(number, r"[^0-9+]", ""), "^00", "+")
     digits = F.regexp_replace(n, r"\+", "")
     out = F.lit(None).cast("string")
     for name, plus, bare in reversed(rules):
         out = F.when(n.rlike(f"^(?:{plus})") | digits.rlike(f"^(?:{bare})"), name).otherwise(out)
+    return F.when(F.length(n) >= 6, out)
+
+
+def satellite_numbers(r: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Contacts whose number is of a satellite network. Numbers are looked at once each."""
     g = r.where("contact <> ''").groupBy(KEY, "contact").agg(F.count("*").alias("n"), F.countDistinct(F.to_date("ts")).alias("days"))
-    return g.withColumn("operator", F.when(F.length(n) >= 6, out)).where("operator is not null")
+    return g.withColumn("operator", satellite_operator("contact", rules)).where("operator is not null")
+
+
+def platform_hits(text: str, rules: list[tuple[str, str, str]]) -> Column:
+    """(platform, category) of every rule that a text in small letters fits."""
+    each = [F.when(F.col(text).rlike(f"(?i){p}"), F.struct(F.lit(n).alias("platform"), F.lit(c).alias("category"))) for n, c, p in rules]
+    return F.array_compact(F.array(*each))
 
 
 def platforms(r: DataFrame, rules: list[tuple[str, str, str]], fields: list[str]) -> DataFrame:
     """Names of messengers and networks in a record's texts; all that fit count. rules: platform,
     category, pattern."""
     text = F.lower(F.concat_ws(" ", *fields))
-    hit = F.array_compact(F.array(*(F.when(F.col("_t").rlike(f"(?i){p}"), F.struct(F.lit(n).alias("platform"), F.lit(c).alias("category"))) for n, c, p in rules)))
-    e = r.withColumn("_t", text).select(KEY, "ts", "record_type", "contact", "own", F.explode(hit).alias("h"))
+    e = r.withColumn("_t", text).select(KEY, "ts", "record_type", "contact", "own", F.explode(platform_hits("_t", rules)).alias("h"))
     other = F.when(F.col("contact") != F.col("own"), F.col("contact"))
-    return e.groupBy(KEY, "h.platform", "h.category").agg(F.count("*").alias("n"), F.countDistinct(F.to_date("ts")).alias("days"), F.array_join(F.array_sort(F.collect_set("record_type")), ",").alias("types"), F.countDistinct(other).alias("contacts"))
+    types = F.array_join(F.array_sort(F.collect_set("record_type")), ",")
+    return e.groupBy(KEY, "h.platform", "h.category").agg(
+        F.count("*").alias("n"), F.countDistinct(F.to_date("ts")).alias("days"), types.alias("types"), F.countDistinct(other).alias("contacts"),
+    )
 
 
 def roaming(r: DataFrame) -> DataFrame:
@@ -334,23 +359,68 @@ SEVERITY = {
 }
 
 
+def _found(counts: dict[str, Column], worse: dict[str, Column] = {}) -> Column:
+    """(type, severity, n) of the groups with findings, out of a subscriber's counts."""
+    severity = lambda t: F.when(worse[t], "critical").otherwise(SEVERITY[t]) if t in worse else F.lit(SEVERITY[t])
+    each = [F.when(n > 0, F.struct(F.lit(t).alias("type"), severity(t).alias("severity"), n.cast("long").alias("n"))) for t, n in counts.items()]
+    return F.inline(F.array_compact(F.array(*each)))
+
+
+def _found_in_cells(r: DataFrame, prefixes: DataFrame, satellites: list, messengers: list, home: str, critical: list[str], forwarding: list[str]) -> DataFrame:
+    """Findings that need no order: records are added up by contact, network abroad and platform in one
+    shuffle, and these sums by subscriber."""
+    cell = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    own = F.array(cell("contact", F.col("contact"), F.lit(None).cast("string")), F.when(F.col("country") != "", cell("roaming", F.col("country"), F.col("network"))))
+    social = F.transform(platform_hits("_t", messengers), lambda h: cell("social", h["platform"], h["category"]))
+    marks = {
+        "long": is_call() & (F.col("duration_seconds") > 3600), "late": is_call() & (F.hour("ts") < 5) & (F.col("duration_seconds") >= 10),
+        "night": (F.hour("ts") >= 23) | (F.hour("ts") < 5), "fwd": (F.col("record_type") == "CALL_FORWARDED") | forwarded_to(*forwarding).isNotNull(),
+    }
+    r = r.withColumn("_t", F.lower(F.concat_ws(" ", "caller", "callee", "network", "service")))
+    e = r.select(KEY, *(m.alias(k) for k, m in marks.items()), F.explode(F.array_compact(F.concat(own, social))).alias("f"))
+    cells = e.groupBy(KEY, "f.kind", "f.a", "f.b").agg(F.count("*").alias("n"), *(F.count_if(k).alias(k) for k in marks))
+    contact = F.col("kind") == "contact"
+    cells = cells.withColumn("contact", F.when(contact & (F.col("a") != ""), F.col("a")))
+    abroad = F.when(~F.col("country").isin(home), F.col("country"))
+    total = lambda c: F.coalesce(F.sum(F.when(contact, F.col(c))), F.lit(0)).alias(c)
+    g = with_country(cells, prefixes).groupBy(KEY).agg(
+        *map(total, ["n", *marks]), F.collect_set(abroad).alias("countries"), F.count_if(F.col("contact").rlike(PREMIUM)).alias("premium"),
+        F.count_if(F.col("contact").isNotNull() & (F.col("n") == 1)).alias("once"), F.count_if(satellite_operator("contact", satellites).isNotNull()).alias("satellite"),
+        F.count_if(F.col("kind") == "roaming").alias("roaming"), F.count_if(F.col("kind") == "social").alias("social"),
+    )
+    counts = {
+        "long_call": F.col("long"), "late_night_calls": F.col("late"), "night_activity": (F.col("night") / F.col("n") > 0.3).cast("int"), "premium_number": F.col("premium"),
+        "roaming": F.col("roaming"), "foreign_contacts": F.size("countries"), "forwarded_calls": F.col("fwd"), "one_time_contacts": F.least("once", F.lit(30)),
+        "satellite_numbers": F.col("satellite"), "social_media": F.col("social"),
+    }
+    return g.select(KEY, _found(counts, {"foreign_contacts": F.arrays_overlap("countries", F.lit(list(critical)))} if critical else {}))
+
+
+def _found_in_order(r: DataFrame, least: int = 20, minutes: int = 30, hours: int = 12) -> DataFrame:
+    """Findings between neighbours: moves and bursts within a day, pauses within and between days, so a
+    window holds a day's records or a subscriber's days."""
+    talk = is_call() | F.col("record_type").startswith("SMS")
+    d = r.select(KEY, "event_id", "ts", "place", F.coalesce(talk, F.lit(False)).alias("talk"), F.to_date("ts").alias("day"), F.floor(seconds() / 60).alias("minute"))
+    w, near = in_order("day"), Window.partitionBy(KEY, "day").orderBy("minute").rangeBetween(0, minutes)
+    d = d.withColumn("p0", F.lag("place").over(w)).withColumn("t0", F.lag("ts").over(w)).withColumn("k", F.count_if("talk").over(near))
+    night = lambda c: (F.hour(c) >= 22) | (F.hour(c) < 6)
+    move = F.when((F.col("p0") != F.col("place")) & night("ts") & night("t0"), F.struct("p0", "place"))
+    pause = lambda a, b: F.count_if(seconds(b) - seconds(a) >= hours * 3600)
+    days = d.groupBy(KEY, "day").agg(
+        F.countDistinct(move).alias("moves"), F.max(F.col("talk") & (F.col("k") >= least)).alias("burst"), pause("t0", "ts").alias("gaps"), F.min("ts").alias("first"), F.max("ts").alias("last"),
+    )
+    days = days.withColumn("before", F.lag("last").over(Window.partitionBy(KEY).orderBy("day")))
+    bursts_ = F.count_if(F.col("burst") & F.col("day").isNotNull())
+    g = days.groupBy(KEY).agg(F.sum("moves").alias("moves"), bursts_.alias("bursts"), (F.sum("gaps") + pause("before", "first")).alias("gaps"))
+    return g.select(KEY, _found({"night_movement": F.col("moves"), "burst_activity": F.col("bursts"), "inactivity_gap": F.col("gaps")}))
+
+
 def anomaly_report(r: DataFrame, prefixes: DataFrame, satellites: list[tuple[str, str, str]], messengers: list[tuple[str, str, str]], home: str = "PL", critical: list[str] = (), forwarding: list[str] = ("related",)) -> DataFrame:
     """How many findings each subscriber has of each group, with the group's severity; contacts in a
-    critical country make foreign contacts critical. Groups without findings have no row."""
-    calls = long_and_late(r)
-    foreign = foreign_contacts(r, prefixes).where(~F.col("country").isin(home, "unknown"))
-    found = {
-        "long_call": calls.where("kind = 'long'"), "late_night_calls": r.where(is_call() & (F.hour("ts") < 5) & (F.col("duration_seconds") >= 10)), "night_activity": night_ratio(r).where("flag"),
-        "night_movement": night_movement(r), "burst_activity": bursts(r.where(is_call() | F.col("record_type").startswith("SMS"))), "premium_number": r.where(F.col("contact").rlike(PREMIUM)).select(KEY, "contact").distinct(),
-        "roaming": roaming(r), "foreign_contacts": foreign, "forwarded_calls": forwarded_calls(r, *forwarding), "one_time_contacts": one_time_contacts(r.where("contact <> ''")),
-        "satellite_numbers": satellite_numbers(r, satellites), "social_media": platforms(r, messengers, ["caller", "callee", "network", "service"]), "inactivity_gap": inactivity_gaps(r),
-    }
-    out = None
-    for kind, df in found.items():
-        worse = F.max(F.when(F.col("country").isin(*critical), 1).otherwise(0)) if kind == "foreign_contacts" and critical else F.lit(0)
-        part = df.groupBy(KEY).agg(F.count("*").alias("n"), worse.alias("_w")).select(KEY, F.lit(kind).alias("type"), F.when(F.col("_w") == 1, "critical").otherwise(SEVERITY[kind]).alias("severity"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    critical country make foreign contacts critical. Groups without findings have no row. Records are read
+    twice: once by contact, once by day."""
+    cells = _found_in_cells(r, prefixes, satellites, messengers, home, critical, forwarding)
+    return cells.unionByName(_found_in_order(r))
 
 
 def severest(report: DataFrame, n: int = 3) -> DataFrame:
