@@ -321,17 +321,12 @@ def satellite_numbers(r: DataFrame, rules: list[tuple[str, str, str]]) -> DataFr
     return g.withColumn("operator", satellite_operator("contact", rules)).where("operator is not null")
 
 
-def platform_hits(text: str, rules: list[tuple[str, str, str]]) -> Column:
-    """(platform, category) of every rule that a text in small letters fits."""
-    each = [F.when(F.col(text).rlike(f"(?i){p}"), F.struct(F.lit(n).alias("platform"), F.lit(c).alias("category"))) for n, c, p in rules]
-    return F.array_compact(F.array(*each))
-
-
 def platforms(r: DataFrame, rules: list[tuple[str, str, str]], fields: list[str]) -> DataFrame:
     """Names of messengers and networks in a record's texts; all that fit count. rules: platform,
     category, pattern."""
     text = F.lower(F.concat_ws(" ", *fields))
-    e = r.withColumn("_t", text).select(KEY, "ts", "record_type", "contact", "own", F.explode(platform_hits("_t", rules)).alias("h"))
+    hits = [F.when(F.col("_t").rlike(f"(?i){p}"), F.struct(F.lit(n).alias("platform"), F.lit(c).alias("category"))) for n, c, p in rules]
+    e = r.withColumn("_t", text).select(KEY, "ts", "record_type", "contact", "own", F.explode(F.array(*hits)).alias("h")).where("h is not null")
     other = F.when(F.col("contact") != F.col("own"), F.col("contact"))
     types = F.array_join(F.array_sort(F.collect_set("record_type")), ",")
     return e.groupBy(KEY, "h.platform", "h.category").agg(
@@ -370,14 +365,14 @@ def _found_in_cells(r: DataFrame, prefixes: DataFrame, satellites: list, messeng
     """Findings that need no order: records are added up by contact, network abroad and platform in one
     shuffle, and these sums by subscriber."""
     cell = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
-    own = F.array(cell("contact", F.col("contact"), F.lit(None).cast("string")), F.when(F.col("country") != "", cell("roaming", F.col("country"), F.col("network"))))
-    social = F.transform(platform_hits("_t", messengers), lambda h: cell("social", h["platform"], h["category"]))
+    own = [cell("contact", F.col("contact"), F.lit(None).cast("string")), F.when(F.col("country") != "", cell("roaming", F.col("country"), F.col("network")))]
+    social = [F.when(F.col("_t").rlike(f"(?i){p}"), cell("social", F.lit(n), F.lit(c))) for n, c, p in messengers]
     marks = {
         "long": is_call() & (F.col("duration_seconds") > 3600), "late": is_call() & (F.hour("ts") < 5) & (F.col("duration_seconds") >= 10),
         "night": (F.hour("ts") >= 23) | (F.hour("ts") < 5), "fwd": (F.col("record_type") == "CALL_FORWARDED") | forwarded_to(*forwarding).isNotNull(),
     }
     r = r.withColumn("_t", F.lower(F.concat_ws(" ", "caller", "callee", "network", "service")))
-    e = r.select(KEY, *(m.alias(k) for k, m in marks.items()), F.explode(F.array_compact(F.concat(own, social))).alias("f"))
+    e = r.select(KEY, *(m.alias(k) for k, m in marks.items()), F.explode(F.array(*own, *social)).alias("f")).where("f is not null")
     cells = e.groupBy(KEY, "f.kind", "f.a", "f.b").agg(F.count("*").alias("n"), *(F.count_if(k).alias(k) for k in marks))
     contact = F.col("kind") == "contact"
     cells = cells.withColumn("contact", F.when(contact & (F.col("a") != ""), F.col("a")))
