@@ -2,8 +2,9 @@
 
 The blended spectrum of a text is the set of its character n-grams of 1 to 3 (lower-cased, white
 space as one space). The kernel of two texts is the share of n-grams present in both, normalised:
-|A and B| / sqrt(|A| |B|), over the n-grams that at least ``LEAST`` landmarks hold (A and B are the
-texts' sets among these: what no landmark knows tells nothing of a language). ``LANDMARKS`` training texts of each language stand for all others:
+|A and B| / sqrt(|A| |B|), over the n-grams that at least ``LEAST`` landmarks hold (one, where each
+language has one landmark; A and B are the texts' sets among these: what no landmark knows tells
+nothing of a language). ``LANDMARKS`` training texts of each language stand for all others:
 with K their own kernel matrix, a text's features are its kernel values against them times
 K^(-1/2). One ridge regression a language against the rest is fitted on these features, classes
 weighted alike.
@@ -13,8 +14,10 @@ landmarks' presence matrix gives all kernel values; a second product gives all l
 The softmax of the scaled scores is the returned one.
 
 The fit uses a bounded sample: ``TRAIN`` texts a language (about), drawn by a hash of the id. The
-languages are those of the training rows; more than ``LANGUAGES`` of them are an error, none is left
-out.
+languages are those of the training rows, however many; none is left out. From ``MOST_LANDMARKS`` /
+``LANDMARKS`` languages on each has fewer landmarks, from ``MOST_TRAIN`` / ``TRAIN`` on fewer texts, but one
+landmark and ``LEAST_TRAIN`` texts at the least: beyond that the model grows with the languages, never with the
+rows.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; rows without a
 language are not learned from; without any training row all is ``und``. Ties (scores
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import ship, slices
 
-LANDMARKS, TRAIN, LANGUAGES = 48, 400, 200
+LANDMARKS, TRAIN = 48, 400
+#: Landmarks and texts of all languages together, and the texts that every language keeps.
+MOST_LANDMARKS, MOST_TRAIN, LEAST_TRAIN = 2400, 40_000, 32
 #: n-grams that occur in fewer landmarks than this tell little and are left out.
 LEAST = 2
 RIDGE, SHARP = 1e-2, 8.0
@@ -104,13 +109,18 @@ def presence(texts: list[str], places: Places, width: int) -> np.ndarray:
 
 def fit_texts(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """rows: (text, language), in a fixed order."""
-    langs = sorted({x for _, x in rows})
+    of: dict[str, list[str]] = {}
+    for t, x in rows:
+        of.setdefault(x, []).append(t)
+    langs = sorted(of)
     if not langs:
         return None
-    chosen = [t for a in langs for t in [t for t, x in rows if x == a][:landmarks]]
+    number = {x: i for i, x in enumerate(langs)}
+    landmarks = max(1, min(landmarks, MOST_LANDMARKS // len(langs)))
+    chosen = [t for x in langs for t in of[x][:landmarks]]
     all_ = np.concatenate([np.unique(grams(t)) for t in chosen])
     codes, n = np.unique(all_, return_counts=True)
-    codes = codes[n >= min(LEAST, len(chosen))]
+    codes = codes[n >= min(LEAST, landmarks, len(chosen))]
     places = Places(codes)
     marks = presence(chosen, places, len(codes))
     marks /= np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
@@ -123,7 +133,7 @@ def fit_texts(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: fl
         x = presence([t for t, _ in rows[i : i + 128]], places, len(codes))
         feats.append((x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))) @ marks.T)
     phi = np.concatenate(feats).astype(np.float64) @ root
-    y = np.array([langs.index(x) for _, x in rows])
+    y = np.array([number[x] for _, x in rows])
     w = 1.0 / np.bincount(y, minlength=len(langs))[y]
     mean = np.average(phi, 0, w)
     target = 2.0 * (y[:, None] == np.arange(len(langs))[None, :]) - 1
@@ -146,16 +156,14 @@ def predict_texts(m: Model, places: Places, texts: list[str]) -> tuple[list[str]
 def fit(docs: DataFrame, train: Column) -> Model | None:
     """From a sample of the rows that ``train`` allows: TRAIN of each language, about."""
     known = docs.where(train & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
+    counts = known.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return None
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages in the training rows")
-    part = F.lit(0.0)
-    for r in counts:
-        part = F.when(F.col("lang") == r["lang"], min(1.0, TRAIN / r["count"])).otherwise(part)
+    each = max(LEAST_TRAIN, min(TRAIN, MOST_TRAIN // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, part double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1e6
-    rows = known.where((draw < part) & F.col("text").rlike(r"\p{L}")).toArrow().to_pylist()
+    drawn = known.join(F.broadcast(shares), "lang").where(draw < F.col("part"))
+    rows = drawn.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang").toArrow().to_pylist()
     rows.sort(key=lambda r: (hash_order(r["doc_id"]), r["text"]))
     return fit_texts([(r["text"], r["lang"]) for r in rows])
 
