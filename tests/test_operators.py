@@ -4,13 +4,16 @@ import datetime as dt
 import random
 import re
 import time
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import geo
 from tracewell.functions import text as T
 from tracewell.operators import bank, calls, exchange, household, ledger, places, reconcile, references, segments
 from tracewell.operators.rules import city_of, classify, merchant_of
+from tracewell.plans.exchange import QUERIES
 from tracewell.sources import tables as sources
 
 TX = "tx_id long, account_id long, booking_date date, amount decimal(18,2), direction string, channel string, category string, counterparty string"
@@ -418,6 +421,30 @@ def test_one_busy_owner_like_a_loop(spark):
     assert {(r["first_id"], r["second_id"]) for r in exchange.wash_trades(records(spark, rows), block=64).collect()} == want
 
 
+@pytest.mark.parametrize("block", [8, 64, 4096])
+def test_all_trades_of_the_window_like_a_loop(spark, block):
+    rng = random.Random(8)
+    rows = [{"ts_s": rng.randrange(-400, 2000), "side": rng.choice(["BUY", "BUY", "BUY", "SELL", None]), "market": rng.choice("MN"), "owner": rng.choice("uuuv")} for _ in range(400)]
+    rows += [{"ts_s": 5000, "side": "BUY", "market": "M"} for _ in range(60)] + [{"ts_s": 5300, "side": "SELL", "market": "M"}]  # the 60th before it too
+    rows += [{"ts_s": 9000, "side": "BUY", "market": "M"} for _ in range(50)] + [{"ts_s": 9000, "side": "SELL", "market": ""}, {"ts_s": 9301, "side": "SELL", "market": "M"}, {"ts_s": None, "side": "SELL", "market": "M"}]
+    rows += [{"ts_s": 9301, "side": "BUY", "market": "M", "owner": None}, {"ts_s": 9302, "side": "SELL", "market": "M", "owner": None}]
+    want = []
+    for i, x in enumerate(rows):
+        for j, y in enumerate(rows):
+            if None not in (x["ts_s"], y["ts_s"], x.get("owner", "u")) and (x["ts_s"], i) < (y["ts_s"], j) and y["ts_s"] - x["ts_s"] <= 300:
+                if x["market"] and x["market"] == y["market"] and x.get("owner", "u") == y.get("owner", "u") and (x["side"] or "") != (y["side"] or ""):
+                    want.append((i, j, y["ts_s"] - x["ts_s"]))
+    got = exchange.wash_trades(records(spark, rows), ahead=None, block=block).collect()
+    assert sorted((r["first_id"], r["second_id"], r["seconds"]) for r in got) == sorted(want)
+    assert len([w for w in want if w[2] == 300 and w[1] == 460]) == 60
+
+
+def test_wash_trades_query_takes_the_whole_window(spark):
+    rows = [{"side": "BUY", "market": "M"}, *({"ts_s": 1, "side": "BUY", "market": "N"} for _ in range(18)), *({"ts_s": 2, "side": "SELL", "market": "M"} for _ in range(2))]
+    got = QUERIES["x33_wash_trades"](SimpleNamespace(exchange=records(spark, rows))).collect()
+    assert {(r["first_id"], r["second_id"]) for r in got} == {(0, 19), (0, 20)}
+
+
 def test_fiat_ramp_of_every_currency(spark):
     rows = [
         {"tx_type": "fiat_deposit", "token": "EUR", "amount": 10.0, "ts_s": 7200}, {"tx_type": "fiat_deposit", "token": "PLN", "amount": 5.5, "ts_s": 9000}, {"tx_type": "fiat_withdrawal", "token": "USD", "amount": 4.0, "ts_s": 0},

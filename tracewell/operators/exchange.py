@@ -358,21 +358,23 @@ def exchange_flow_nodes(edges: DataFrame) -> DataFrame:
     return g.agg(F.sum("n").alias("n"), F.sum("total_in").alias("total_in"), F.sum("total_out").alias("total_out")).withColumn("kind", F.lower(F.substring_index("node", ":", 1)))
 
 
-#: Fixed value: a trade is compared with so many trades of its owner after it.
+#: Fixed value: the surveyed code compares a trade with so many trades of its owner after it.
 AHEAD = 19
 
 
-def wash_trades(tx: DataFrame, seconds: int = 300, ahead: int = AHEAD, block: int = 4096) -> DataFrame:
-    """Of an owner's trades in order, each with those of the next ``ahead`` that lie within the window,
-    on the same market and the other side (a missing side is a side of its own).
+def wash_trades(tx: DataFrame, seconds: int = 300, ahead: int | None = AHEAD, block: int = 4096) -> DataFrame:
+    """Of an owner's trades in order, each with the later ones that lie within the window, on the same
+    market and the other side (a missing side is a side of its own): with all of them if ``ahead`` is
+    None, else with those alone that are among the owner's next ``ahead`` trades, as surveyed.
 
-    Trades are numbered by ranges, and dealt to blocks of numbers; a block also gets the first few of the
-    next, so a window of ``ahead`` rows finds all pairs, and an owner or a market with most of the trades
-    is many tasks' work.
+    All of them: see ``_opposite_trades``. Else trades are numbered by ranges, and dealt to blocks of numbers;
+    a block also gets the first few of the next, so a window of ``ahead`` rows finds all pairs, and an
+    owner or a market with most of the trades is many tasks' work.
     """
+    if ahead is None:
+        return _opposite_trades(_trades(tx), seconds, block)
     block = max(block, ahead)  # what follows a row is in its block or at the next one's beginning
-    t = tx.where("tx_type = 'swap' and market <> '' and ts_s is not null").select(OWNER, "row_id", "ts_s", "market", F.coalesce("side", F.lit("")).alias("side"))
-    r = numbered(t, [OWNER], ["ts_s", "row_id"], "at").withColumn("own", F.floor((F.col("at") - 1) / block))
+    r = numbered(_trades(tx), [OWNER], ["ts_s", "row_id"], "at").withColumn("own", F.floor((F.col("at") - 1) / block))
     first = ((F.col("at") - 1) % block) < ahead
     r = r.withColumn("block", F.explode(F.when(first & (F.col("own") > 0), F.array("own", F.col("own") - 1)).otherwise(F.array("own"))))
     w = Window.partitionBy(OWNER, "block").orderBy("at").rowsBetween(1, ahead)
@@ -382,6 +384,37 @@ def wash_trades(tx: DataFrame, seconds: int = 300, ahead: int = AHEAD, block: in
     return r.select(OWNER, "market", F.col("row_id").alias("first_id"), F.col("n.row_id").alias("second_id"), (F.col("n.ts_s") - F.col("ts_s")).alias("seconds"))
 
 
+def _trades(tx: DataFrame) -> DataFrame:
+    return tx.where("tx_type = 'swap' and market <> '' and ts_s is not null").select(OWNER, "row_id", "ts_s", "market", F.coalesce("side", F.lit("")).alias("side"))
+
+
+def _opposite_trades(t: DataFrame, seconds: int, block: int) -> DataFrame:
+    """Each trade with all later ones of its owner and market within the window that are of another side.
+
+    A bucket is as wide as the window, so a later trade is in the same bucket or the next one, and is dealt
+    to both. Trades are counted by bucket and side first: where there are more than ``block``, the earlier ones
+    are cut into rows and the later ones into columns of about so many, and each row meets each column under
+    a key of its own. A bucket of one side pairs nothing, and a full one is many tasks' work.
+    """
+    key, bucket = [OWNER, "market", "bucket"], F.floor(F.col("ts_s") / max(seconds, 1))
+    t = t.withColumn("bucket", bucket)
+    later = t.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") - 1)))
+    cells = later.groupBy(*key, "side").agg(F.count("*").alias("n"), F.count_if(bucket == F.col("bucket")).alias("own"))
+    cells = cells.groupBy(*key).agg(F.sum("own").alias("all"), F.collect_list(F.struct("side", "n", "own")).alias("cells"))
+    parts = lambda n: F.ceil(n / block).cast("int")
+    deal = F.transform("cells", lambda c: F.struct(c["side"].alias("side"), parts(F.col("all") - c["own"]).alias("rows"), parts(c["n"]).alias("columns")))
+    cells = cells.select(*key, F.filter(deal, lambda c: c["rows"] > 0).alias("cells")).where("size(cells) > 0")
+    place = F.struct("ts_s", "row_id", "side")
+    salt, part = F.xxhash64("ts_s", "row_id"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = t.join(cells, key).withColumn("cell", F.explode(F.filter("cells", lambda c: c["side"] != F.col("side"))))
+    a = a.select(*key, place.alias("a"), F.pmod(salt, "cell.rows").alias("row"), part("cell.columns").alias("column"), F.col("cell.side").alias("other"))
+    b = later.join(cells, key).withColumn("cell", F.explode(F.filter("cells", lambda c: c["side"] == F.col("side"))))
+    b = b.select(*key, place.alias("b"), part("cell.rows").alias("row"), F.pmod(salt, "cell.columns").alias("column"), F.col("side").alias("other"))
+    gap = F.col("b.ts_s") - F.col("a.ts_s")
+    pairs = a.join(b, [*key, "other", "row", "column"]).where((F.col("b") > F.col("a")) & (gap <= seconds))
+    return pairs.select(OWNER, "market", F.col("a.row_id").alias("first_id"), F.col("b.row_id").alias("second_id"), gap.alias("seconds"))
+
+
 def wash_markets(tx: DataFrame, below: float = 0.1) -> DataFrame:
     """An owner's markets whose net is small against the gross."""
     s = tx.where("tx_type = 'swap'").groupBy(OWNER, F.coalesce("market", F.lit("")).alias("market")).agg(sum_if("side = 'BUY'").alias("bought"), sum_if("side = 'SELL'").alias("sold"))

@@ -133,7 +133,7 @@ query("x16_exchange_flow", f"{_FLOW} SELECT * FROM flow")(_flow)
 query("x16_exchange_nodes", f"""{_FLOW} SELECT owner, node, CAST(sum(n) AS BIGINT) AS n, sum(i) AS total_in, sum(o) AS total_out, lower(split_part(node, ':', 1)) AS kind
 FROM (SELECT owner, src AS node, n, 0.0 AS i, total AS o FROM flow UNION ALL SELECT owner, dst, n, total, 0.0 FROM flow) GROUP BY 1, 2""")(lambda t: E.exchange_flow_nodes(_flow(t)))
 query("x33_wash_trades", f"""{WITH_E}, s AS (SELECT *, coalesce(side, '') AS way, row_number() OVER (PARTITION BY owner ORDER BY ts_s, row_id) AS i FROM e WHERE tx_type = 'swap' AND market <> '')
-SELECT a.owner, a.market, a.row_id AS first_id, b.row_id AS second_id, b.ts_s - a.ts_s AS seconds FROM s a JOIN s b ON a.owner = b.owner AND a.market = b.market AND a.way <> b.way AND b.i - a.i BETWEEN 1 AND 19 AND b.ts_s - a.ts_s <= 21600""")(lambda t: E.wash_trades(t.exchange, 21_600))
+SELECT a.owner, a.market, a.row_id AS first_id, b.row_id AS second_id, b.ts_s - a.ts_s AS seconds FROM s a JOIN s b ON a.owner = b.owner AND a.market = b.market AND a.way <> b.way AND b.i > a.i AND b.ts_s - a.ts_s <= 21600""")(lambda t: E.wash_trades(t.exchange, 21_600, ahead=None))
 query("x33_wash_ratio", f"""{WITH_E}, g AS (SELECT owner, coalesce(market, '') AS market, {_EIF("side = 'BUY'")} AS bought, {_EIF("side = 'SELL'")} AS sold FROM e WHERE tx_type = 'swap' GROUP BY 1, 2)
 SELECT *, round(abs(bought - sold) / (bought + sold), 6) AS ratio FROM g WHERE bought > 0 AND sold > 0 AND abs(bought - sold) / (bought + sold) < 0.1""")(lambda t: E.wash_markets(t.exchange))
 query("x34_fiat_currencies", f"""{WITH_E} SELECT owner, token, {_EIF("tx_type = 'fiat_deposit'")} AS fiat_in, {_EIF("tx_type = 'fiat_withdrawal'")} AS fiat_out FROM e WHERE tx_type IN ('fiat_deposit', 'fiat_withdrawal') GROUP BY 1, 2""")(lambda t: E.fiat_currencies(t.exchange))
