@@ -366,6 +366,31 @@ def test_more_training_documents_help_the_score(spark, monkeypatch):
     assert gain[1] > gain[0] + 0.02, gain
 
 
+def test_every_training_document_is_learned_from(spark, monkeypatch):
+    """Whichever document a task has, its ids move the model; the biases begin at all documents' counts."""
+    data = merges()
+    texts = [f"the {w} fox" for w in ("red", "blue", "old", "sly", "wet", "shy")] + ["the red fox " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    made = language_model.spelled(df, F.col("doc_id") != 0, data).cache()
+    own = made.where(F.col("kind") == language_model.TEXT).select("doc_id", "row", "ids").cache()
+    ids = {r["doc_id"]: np.frombuffer(r["ids"], np.int16).astype(np.int64) for r in own.collect()}
+    count = np.bincount(np.concatenate([ids[i] for i in ids if i]), minlength=language_model.ALL)
+    assert Counter({i: n for i, n in enumerate(count.tolist()) if n}) == sum((Counter({r["row"]: r["n"]}) for r in made.where(F.col("kind") == language_model.ID).collect()), Counter())
+    start = language_model.train([], data, count=count)
+    assert np.isclose(np.exp(start.p["o0"][0, 0]).sum(), 1) and np.argmax(start.p["o0"][0, 0]) == np.argmax(np.bincount(start.place, count).reshape(16, -1).sum(1))
+    for i in ids:
+        got = language_model.learn(own.where(F.col("doc_id") == i).coalesce(1), start)
+        moved = np.flatnonzero((got.p["k"] != start.p["k"]).any(1))
+        assert set(ids[i][:-1]) <= set(moved.tolist()), i
+    assert (language_model.learn(own.where("doc_id < 0"), start).flat() == start.flat()).all()
+    started = []
+    monkeypatch.setattr(language_model, "STEPS", 5)
+    monkeypatch.setattr(language_model, "SAMPLE", 2)
+    monkeypatch.setattr(language_model, "train", lambda seqs, data, count: started.append((len(seqs), count)) or start)
+    language_model.language_scores(df, F.col("doc_id") != 0, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    assert started[0][0] < 6 and (started[0][1] == count).all()
+
+
 def test_very_long_and_repeated_texts_are_scored_whole(spark, monkeypatch):
     monkeypatch.setattr(language_model, "STEPS", 20)
     long_ = "the red fox " * 60_000

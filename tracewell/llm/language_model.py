@@ -13,10 +13,11 @@ space and the word; a text ends with ``END``. Words are spelled once, into a tab
 * The score is the sum of the logarithms of all ids' probabilities and the end's. Each is a
   distribution over ids, and texts are spelled in one way only, so the probabilities of all texts sum
   to 1 at most.
-* Training: a first fit on the driver on a bounded sample (``SAMPLE`` documents, ``STEPS`` batches of
-  ``BATCH`` windows). From there each task goes on, over a share (``LEARN``) of the windows of all
-  training documents, and the tasks' models, each the mean of its steps, are averaged by Spark, each
-  weighted by its windows: what is learned from grows with the documents. Padding is no target.
+* Training: biases begin at the ids' counts over all training documents. Where the tasks begin is found by
+  a first fit on the driver on a bounded sample (``SAMPLE`` documents, ``STEPS`` batches of ``BATCH`` windows).
+  From there each task learns from every window of its training documents (``LEARN`` is all), and the
+  tasks' models, each the mean of its steps, are averaged by Spark, each weighted by its windows: every
+  training document's every id is learned from. Padding is no target.
 * Words' counts (for the base) are summed in each task, then by shuffle. The ``FREQUENT`` most
   frequent go to the tasks; all other words' counts are joined to their occurrences.
 
@@ -57,8 +58,8 @@ WIDTH, HIDDEN, SPAN = 16, 32, 32
 #: Hidden values are cut off here, so that the logits' range is known.
 TOP = np.float32(6.0)
 SAMPLE, STEPS, BATCH = 1500, 600, 96
-#: The share of all training documents' windows that the tasks learn from, the windows of a step there, and their rate.
-LEARN, PACE, RATE = 1 / 32, 256, 0.006
+#: The share of all training documents' windows that the tasks learn from (all), the windows of a step there, and their rate.
+LEARN, PACE, RATE = 1.0, 256, 0.006
 AT_ONCE, ROWS_AT_ONCE = 128, 1024
 FREQUENT, MEMO, ADD = 250_000, 200_000, 0.1
 #: Bytes of texts, and of ids, that a worker has in hand at once.
@@ -175,53 +176,63 @@ class Attention:
 
     def gradient(self, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The mean loss of the real targets, and its gradient. ids: (windows, 2 * SPAN)."""
-        p, own, before, goal = self.p, ids[:, SPAN:], ids[:, SPAN - 1 : -1], target.ravel()
-        q, k, v = p["q"][own], p["k"][ids], p["v"][ids]
-        q *= np.float32(1 / math.sqrt(WIDTH))
+        p, n, own, goal = self.p, len(ids), ids[:, SPAN:], target.ravel()
+        kind, root = p["w"].dtype, np.float32(1 / math.sqrt(WIDTH))
+        q, kv = np.take(p["q"], own, 0), np.take(np.concatenate([p["k"], p["v"]], 1), ids, 0)
+        k, v = kv[..., :WIDTH], kv[..., WIDTH:]
+        q *= root
         a = np.matmul(q, k.transpose(0, 2, 1))
         a += np.where(_MASK >= 0, p["far"][np.maximum(_MASK, 0)], np.float32(-40.0))
         _softmax(a)
         z = np.matmul(a, v).reshape(-1, WIDTH)
-        h = z @ p["w"]
-        h += (p["x"][own] + p["y"][before]).reshape(h.shape) + p["b"]
-        np.clip(h, 0, TOP, out=h)
 
-        real = np.flatnonzero(goal != PAD)
-        real = real[np.argsort(self.place[goal[real]], kind="stable")]
-        hs, r, loss, grad = h[real], np.arange(len(real)), 0.0, {}
-        dh = np.zeros_like(hs)
-        for d, (name, group, digit) in enumerate(self.steps(goal[real])):
-            e, parts, i = np.empty((len(real), WAYS), hs.dtype), [], 0
-            for c, j in enumerate(_ends(group, WAYS**d)):
-                if i < j:
-                    parts.append((c, i, j))
-                    e[i:j] = hs[i:j] @ p[name][c]
-                i = j
+        real = np.flatnonzero(goal != PAD)  # in the order of their targets' places
+        real = real[np.argsort(self.place[goal[real]].astype(np.uint16), kind="stable")]
+        size = max(1, len(real))
+        said, before = own.ravel()[real], ids[:, SPAN - 1 : -1].ravel()[real]
+        zs = z[real]
+        hs = zs @ p["w"]
+        hs += np.take(p["x"] + p["b"], said, 0)
+        hs += np.take(p["y"], before, 0)
+        np.clip(hs, 0, TOP, out=hs)
+        r, loss, grad = np.arange(len(real)), 0.0, {}
+        dh, part = np.zeros_like(hs), np.empty_like(hs)
+        for name, group, digit in self.steps(goal[real]):
+            w, e = p[name], np.empty((len(real), WAYS), kind)
+            grad[name] = np.zeros_like(w)
+            ends = _ends(group, len(w))
+            parts = [(c, i, j) for c, (i, j) in enumerate(zip([0, *ends], ends)) if i < j]
+            for c, i, j in parts:
+                np.matmul(hs[i:j], w[c], out=e[i:j])
             _softmax(e)
             loss -= np.log(e[r, digit] + 1e-30).sum()
             e[r, digit] -= 1
-            grad[name] = np.zeros_like(p[name])
+            e *= kind.type(1 / size)
             for c, i, j in parts:
-                grad[name][c] = hs[i:j].T @ e[i:j]
-                dh[i:j] += e[i:j] @ p[name][c].T
-        dh[(hs <= 0) | (hs >= TOP)] = 0
+                np.matmul(hs[i:j].T, e[i:j], out=grad[name][c])
+                np.matmul(e[i:j], w[c].T, out=part[i:j])
+            dh += part
+        dh *= (hs > 0) & (hs < TOP)
         dh[:, 0] = 0
-        back = np.zeros_like(h)
-        back[real] = dh
-        grad["b"], grad["w"] = dh.sum(0), z.T @ back
-        grad["x"], grad["y"] = _sum_rows(own.ravel(), back), _sum_rows(before.ravel(), back)
-        dz = (back @ p["w"].T).reshape(len(ids), SPAN, WIDTH)
-        dkv = [None, np.matmul(a.transpose(0, 2, 1), dz)]
+        grad["b"], grad["w"] = dh.sum(0), zs.T @ dh
+        same = _same(said)
+        grad["x"], grad["y"] = _sum_rows(same, dh), _sum_rows(_same(before), dh)
+        dz = np.zeros_like(z)
+        dz[real] = dh @ p["w"].T
+        dz = dz.reshape(n, SPAN, WIDTH)
+        dkv = np.empty_like(kv)
+        dkv[..., WIDTH:] = np.matmul(a.transpose(0, 2, 1), dz)
         ds = np.matmul(dz, v.transpose(0, 2, 1))
         ds -= np.einsum("ijk,ijk->ij", ds, a)[..., None]
         ds *= a
         grad["far"] = np.bincount(np.maximum(_MASK, 0).ravel(), (ds.sum(0) * (_MASK >= 0)).ravel(), 2 * SPAN).astype(np.float32)
-        dkv[0] = np.matmul(ds.transpose(0, 2, 1), q)
-        grad["q"] = _sum_rows(own.ravel(), np.matmul(ds, k).reshape(-1, WIDTH) * np.float32(1 / math.sqrt(WIDTH)))
-        both = _sum_rows(ids.ravel(), np.concatenate(dkv, 2).reshape(-1, 2 * WIDTH))
+        dkv[..., :WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
+        dq = np.matmul(ds, k).reshape(-1, WIDTH)[real]
+        dq *= root
+        grad["q"] = _sum_rows(same, dq)
+        both = _sum_rows(_same(ids.ravel()), dkv.reshape(-1, 2 * WIDTH))
         grad["k"], grad["v"] = both[:, :WIDTH], both[:, WIDTH:]
-        n = max(1, len(real))
-        return loss / n, {k: x / n for k, x in grad.items()}
+        return loss / size, grad
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
@@ -235,12 +246,11 @@ class Attention:
         return Attention(p, self.place)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Over the last axis, in place."""
-    x -= x.max(-1, keepdims=True)
+def _softmax(x: np.ndarray) -> None:
+    """Over the last axis, in place. What would leave the floats' range is cut off."""
+    np.clip(x, -60, 60, out=x)
     np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
+    x *= 1 / (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)).reshape(*x.shape[:-1], 1)
 
 
 class Adam:
@@ -250,20 +260,38 @@ class Adam:
 
     def __call__(self, ids: np.ndarray, target: np.ndarray, rate: float) -> None:
         self.step += 1
+        pace, root = np.float32(rate / (1 - 0.9**self.step)), np.float32(1 / math.sqrt(1 - 0.99**self.step))
         for k, g in self.model.gradient(ids, target)[1].items():
-            first, second = self.first[k], self.second[k]
-            first += 0.1 * (g - first)
-            second += 0.01 * (g * g - second)
-            self.model.p[k] -= np.float32(rate) * (first / (1 - 0.9**self.step)) / (np.sqrt(second / (1 - 0.99**self.step)) + np.float32(1e-8))
-
-
-def _sum_rows(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+            first, second, t = self.first[k], self.second[k], _scratch("adam", g.shape)
+            first *= np.float32(0.9)
+            first += np.multiply(g, np.float32(0.1), out=t)
+            second *= np.float32(0.99)
+            np.multiply(g, g, out=t)
+            t *= np.float32(0.01)
+            second += t
+            np.sqrt(second, out=t)
+            t *= root
+            t += np.float32(1e-8)
+            np.divide(first, t, out=t)
+            t *= pace
+            self.model.p[k] -= t
+
+
+def _same(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that brings rows of the same id together, where each id's begin, and the ids."""
+    own = ids.astype(np.uint16)
+    order = np.argsort(own, kind="stable")
+    i = own[order]
+    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])[: len(i)])
+    return order, first, i[first]
+
+
+def _sum_rows(same: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
     """Sums of the rows of each id."""
-    order = np.argsort(ids, kind="stable")
-    i = ids[order]
-    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+    order, first, ids = same
     out = np.zeros((ALL, x.shape[1]), np.float32)
-    out[i[first]] = np.add.reduceat(x[order], first, axis=0)
+    if len(first):
+        out[ids] = np.add.reduceat(np.take(x, order, 0), first, axis=0)
     return out
 
 
@@ -341,11 +369,11 @@ def id_probabilities(model: Attention, flat: np.ndarray, size: np.ndarray) -> np
     return np.concatenate([model.probability(ids[i : i + step], target[i : i + step]) for i in range(0, len(ids), step)]).ravel()[where]
 
 
-def train(seqs: list[np.ndarray], data: bytes, seed: int = 5) -> Attention:
-    """The first fit, on the texts' ids."""
+def train(seqs: list[np.ndarray], data: bytes, seed: int = 5, count: np.ndarray | None = None) -> Attention:
+    """The first fit, on the texts' ids. count: of each id in all texts, if these are not all."""
     rng = np.random.default_rng(seed)
     flat = np.concatenate([np.empty(0, np.int64), *seqs])
-    model = Attention.fresh(vocabulary(data), rng, np.bincount(flat, minlength=ALL))
+    model = Attention.fresh(vocabulary(data), rng, np.bincount(flat, minlength=ALL) if count is None else count)
     if len(seqs):
         x, y, _ = windows(flat, np.array(list(map(len, seqs))))
         adam = Adam(model)
@@ -372,13 +400,16 @@ def learn(ids: DataFrame, model: Attention) -> Attention:
             adam(own, y[:PACE], RATE)
             y, weight = y[PACE:], weight + len(own)
             for k, a in mean.p.items():
-                a += (adam.model.p[k] - a) * np.float32(len(own) / weight)
+                t = np.subtract(adam.model.p[k], a, out=_scratch("mean", a.shape))
+                t *= np.float32(len(own) / weight)
+                a += t
 
         for b in slices(batches, 256, ID_BYTES):
             seqs = [np.frombuffer(i, np.int16) for i in b.column(1).to_pylist()]
             all_x, all_y, _ = windows(np.concatenate(seqs).astype(np.int64), np.array(list(map(len, seqs))))
             pick = np.flatnonzero(rng.random(len(all_x)) < LEARN)
-            x, y = np.concatenate([x, all_x[pick]]), np.concatenate([y, all_y[pick]])
+            all_x, all_y = (all_x, all_y) if len(pick) == len(all_x) else (all_x[pick], all_y[pick])
+            x, y = np.concatenate([x, all_x]), np.concatenate([y, all_y])
             while len(x) >= PACE:
                 step()
         if len(x):
@@ -397,13 +428,13 @@ def learn(ids: DataFrame, model: Attention) -> Attention:
     return model.filled(values)
 
 
-TEXT, WORD = 0, 1
+TEXT, WORD, ID = 0, 1, 2
 SPELLED = "kind int, row long, doc_id long, train boolean, n long, ids binary, word binary"
 
 
 def spelled(docs: DataFrame, condition: Column, data: bytes) -> DataFrame:
-    """Rows of two kinds: TEXT (row, doc_id, train, n words and the end, ids of 16 bits), and the tasks'
-    counts over the documents that the condition allows: WORD (word, n; b"" is the end)."""
+    """Rows of three kinds: TEXT (row, doc_id, train, n words and the end, ids of 16 bits), and the tasks'
+    counts over the documents that the condition allows: WORD (word, n; b"" is the end), ID (row: the id, n)."""
     shared = docs.sparkSession.sparkContext.broadcast(data)
     names = [f.split()[0] for f in SPELLED.split(", ")]
     kinds = dict(zip(names, [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]))
@@ -422,7 +453,7 @@ def spelled(docs: DataFrame, condition: Column, data: bytes) -> DataFrame:
 
     def run(batches):
         spell = Spelling(vocabulary(shared.value))
-        row = TaskContext.get().partitionId() << 36
+        row, seen = TaskContext.get().partitionId() << 36, np.zeros(ALL, np.int64)
         for b in slices(batches, 1024, TEXT_BYTES):
             if len(spell) > MEMO:
                 yield from words(spell)
@@ -432,11 +463,14 @@ def spelled(docs: DataFrame, condition: Column, data: bytes) -> DataFrame:
             n = np.fromiter(map(len, each), np.int64, len(each))
             own = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             spell.count += np.bincount(number[np.repeat(own, n)], minlength=len(spell))
+            seen += np.bincount(flat[np.repeat(own, size)], minlength=ALL)
             ends = np.concatenate([[0], np.cumsum(size) * 2]).astype(np.int32)
             ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype(np.int16))])
             yield batch(TEXT, row=pa.array(row + np.arange(len(n))), doc_id=b.column(0), train=b.column(2), n=pa.array(n), ids=ids)
             row += len(n)
         yield from words(spell)
+        some = np.flatnonzero(seen)
+        yield batch(ID, row=pa.array(some), n=pa.array(seen[some]))
 
     ship(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), F.coalesce(condition, F.lit(False)).alias("train"))
@@ -457,7 +491,8 @@ def language_scores(docs: DataFrame, condition: Column, path: str) -> DataFrame:
     draw = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1_000_000)) / 1e6
     rows = own.where(F.col("train") & (draw < min(1.0, SAMPLE / max(sums["end"], 1)))).select("ids", draw.alias("draw")).toArrow().to_pylist()
     sample = [np.frombuffer(r["ids"], np.int16).astype(np.int64) for r in sorted(rows, key=lambda r: (r["draw"], r["ids"]))]
-    model = learn(own.where("train"), train(sample, data))
+    each = table.where(F.col("kind") == ID).groupBy("row").agg(F.sum("n").alias("n")).toArrow()  # 4,096 ids at most
+    model = learn(own.where("train"), train(sample, data, count=np.bincount(each.column("row").to_numpy(), each.column("n").to_numpy(), ALL)))
     shared = spark.sparkContext.broadcast((model.ready(), data, known, int(sums["end"]), room, len(top) >= FREQUENT))
 
     def run(batches):
