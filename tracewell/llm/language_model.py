@@ -63,7 +63,7 @@ LEARN, PACE, RATE = 1.0, 256, 0.006
 AT_ONCE, ROWS_AT_ONCE = 128, 1024
 FREQUENT, MEMO, ADD = 250_000, 200_000, 0.1
 #: Bytes of texts, and of ids, that a worker has in hand at once.
-TEXT_BYTES, ID_BYTES = 4 << 20, 1 << 20
+TEXT_BYTES, ID_BYTES = 1 << 20, 1 << 20
 _MASK = np.arange(SPAN)[:, None] + SPAN - np.arange(2 * SPAN)[None, :]  # how far back a key is; below 0: ahead
 FIXED = ("x", "y", "w")  # what feeds the hidden layer
 
