@@ -189,6 +189,59 @@ def test_scores_are_those_of_a_plain_reading(spark, monkeypatch):
     assert max(map(len, plain)) > 3 * language_model.SPAN
 
 
+def small_windows():
+    lengths = np.array([70, 1, 32, 40])
+    flat = np.random.default_rng(4).integers(0, 60, lengths.sum()) * 64
+    return flat, lengths, *language_model.windows(flat, lengths)[:2]
+
+
+def test_the_gradient_is_that_of_a_plain_reading():
+    """By differences of the plain loss; the same for windows that follow each other and for any order, and
+    scores made in between change nothing."""
+    rng = np.random.default_rng(3)
+    m = language_model.Attention.fresh(language_model.vocabulary(merges()), rng)
+    for k, by in (("o0", 0.2), ("o1", 0.2), ("o2", 0.2), ("far", 0.3), ("q", 0.5), ("k", 0.5)):
+        m.p[k] += (rng.standard_normal(m.p[k].shape) * by).astype(np.float32)
+    m.p = {k: a.astype(np.float64) for k, a in m.p.items()}
+    flat, lengths, ids, target = small_windows()
+    loss, grad = m.gradient(ids, target)
+    plain = lambda: -sum(sum(plain_logs(m, own.tolist())) for own in np.split(flat, np.cumsum(lengths)[:-1])) * math.log(10) / len(flat)
+    assert np.isclose(loss, plain(), atol=1e-6)
+    for k, g in grad.items():
+        top = np.argsort(np.abs(g).ravel())[-4:]
+        for at in zip(*np.unravel_index(top, g.shape)):
+            was, out = m.p[k][at], []
+            for by in (1e-6, -1e-6):
+                m.p[k][at] = was + by
+                out.append(plain())
+            m.p[k][at] = was
+            assert np.isclose((out[0] - out[1]) / 2e-6, g[at], rtol=1e-3, atol=1e-6), (k, at)
+    scores = m.ready().probability(ids, target)
+    order = rng.permutation(len(ids))
+    other = m.gradient(ids[order], target[order])[1]
+    assert all(np.allclose(g, other[k], atol=1e-6) for k, g in grad.items())
+    assert (m.ready().probability(ids, target) == scores).all()
+
+
+def test_steps_hold_only_the_rows_of_ids_met_and_are_those_of_a_whole_model():
+    m = language_model.Attention.fresh(language_model.vocabulary(merges()), np.random.default_rng(3))
+    _, _, ids, target = small_windows()
+    whole, adam = language_model.Attention({k: a.copy() for k, a in m.p.items()}, m.place), language_model.Adam(m)
+    first, second, total = ({k: np.zeros(a.shape) for k, a in m.p.items()} for _ in range(3))
+    for n in range(1, 5):
+        part = slice(0, 2) if n < 3 else slice(1, None)  # new ids come in the third step
+        for k, g in whole.gradient(ids[part], target[part])[1].items():
+            first[k], second[k] = first[k] * 0.9 + 0.1 * g, second[k] * 0.99 + 0.01 * np.square(g.astype(float))
+            whole.p[k] -= (0.01 * first[k] / (1 - 0.9**n) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
+            total[k] += whole.p[k]
+        adam(adam.rows(ids[part]), target[part], 0.01)
+        adam.into_mean(1 / n)
+        assert sorted(adam.ids) == sorted(set(ids[: 2 if n < 3 else None].ravel().tolist())) and len(adam.model.p["k"]) == len(adam.ids) < 70
+    for k, a in adam.whole(adam.model.p).p.items():
+        assert np.allclose(a, whole.p[k], atol=2e-3) and np.abs(a - whole.p[k]).mean() < 1e-5, k
+        assert np.abs(adam.whole(adam.mean).p[k] - total[k] / 4).mean() < 1e-5, k
+
+
 def test_windows_hold_32_ids_of_context():
     ids, target, where = language_model.windows(np.arange(150), np.array([150]))
     span = target.shape[1]

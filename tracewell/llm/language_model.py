@@ -66,19 +66,22 @@ FREQUENT, MEMO, ADD = 250_000, 200_000, 0.1
 TEXT_BYTES, ID_BYTES = 1 << 20, 1 << 20
 _MASK = np.arange(SPAN)[:, None] + SPAN - np.arange(2 * SPAN)[None, :]  # how far back a key is; below 0: ahead
 FIXED = ("x", "y", "w")  # what feeds the hidden layer
+ROWS = ("x", "y", "q", "k", "v")  # tables of a row an id
+#: Windows whose attention is in the processor's cache at once.
+IN_CACHE = 32
 
 #: The bits of the float exp(x) are about SCALE * x + SHIFT, to 3 %.
 SCALE, SHIFT = np.float32(12102203.0), np.float32(1064866805.0)
 _LOW, _HIGH = SHIFT - 80 * SCALE, SHIFT + 85 * SCALE
-_SCRATCH: dict[str, np.ndarray] = {}
+_SCRATCH: dict[tuple[str, type], np.ndarray] = {}
 
 
 def _scratch(name: str, shape: tuple[int, ...], kind=np.float32) -> np.ndarray:
     """An array to write over, of the same memory each time: a worker has one thread."""
-    size = math.prod(shape)
-    if name not in _SCRATCH or len(_SCRATCH[name]) < size:
-        _SCRATCH[name] = np.empty(size, kind)
-    return _SCRATCH[name][:size].reshape(shape)
+    size, own = math.prod(shape), (name, kind)
+    if own not in _SCRATCH or len(_SCRATCH[own]) < size:
+        _SCRATCH[own] = np.empty(size, kind)
+    return _SCRATCH[own][:size].reshape(shape)
 
 
 def bits_exp(x: np.ndarray, name: str) -> np.ndarray:
@@ -175,64 +178,104 @@ class Attention:
         h += take("y", ids[:, SPAN - 1 : -1], "y").reshape(h.shape)
 
     def gradient(self, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """The mean loss of the real targets, and its gradient. ids: (windows, 2 * SPAN)."""
-        p, n, own, goal = self.p, len(ids), ids[:, SPAN:], target.ravel()
-        kind, root = p["w"].dtype, np.float32(1 / math.sqrt(WIDTH))
-        q, kv = np.take(p["q"], own, 0), np.take(np.concatenate([p["k"], p["v"]], 1), ids, 0)
-        k, v = kv[..., :WIDTH], kv[..., WIDTH:]
+        """The mean loss of the real targets, and its gradient. ids: rows of the tables, (windows, 2 * SPAN)."""
+        p, n, own, goal = self.p, len(ids), ids[:, SPAN:], self.place[target.ravel()]
+        kind, root, size = p["w"].dtype.type, np.float32(1 / math.sqrt(WIDTH)), n * SPAN
+        scratch = lambda name, shape: _scratch(name, shape, kind)
+        take = lambda w, at, name: np.take(p[w], at, 0, scratch(name, (*at.shape, p[w].shape[1])), "clip")
+        q, k, v = take("q", own, "q"), take("k", ids, "k"), take("v", ids, "v")
         q *= root
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        a += np.where(_MASK >= 0, p["far"][np.maximum(_MASK, 0)], np.float32(-40.0))
-        _softmax(a)
-        z = np.matmul(a, v).reshape(-1, WIDTH)
-
-        real = np.flatnonzero(goal != PAD)  # in the order of their targets' places
-        real = real[np.argsort(self.place[goal[real]].astype(np.uint16), kind="stable")]
-        size = max(1, len(real))
-        said, before = own.ravel()[real], ids[:, SPAN - 1 : -1].ravel()[real]
-        zs = z[real]
-        hs = zs @ p["w"]
-        hs += np.take(p["x"] + p["b"], said, 0)
-        hs += np.take(p["y"], before, 0)
-        np.clip(hs, 0, TOP, out=hs)
-        r, loss, grad = np.arange(len(real)), 0.0, {}
-        dh, part = np.zeros_like(hs), np.empty_like(hs)
-        for name, group, digit in self.steps(goal[real]):
-            w, e = p[name], np.empty((len(real), WAYS), kind)
-            grad[name] = np.zeros_like(w)
-            ends = _ends(group, len(w))
-            parts = [(c, i, j) for c, (i, j) in enumerate(zip([0, *ends], ends)) if i < j]
-            for c, i, j in parts:
-                np.matmul(hs[i:j], w[c], out=e[i:j])
-            _softmax(e)
-            loss -= np.log(e[r, digit] + 1e-30).sum()
-            e[r, digit] -= 1
-            e *= kind.type(1 / size)
-            for c, i, j in parts:
-                np.matmul(hs[i:j].T, e[i:j], out=grad[name][c])
-                np.matmul(e[i:j], w[c].T, out=part[i:j])
-            dh += part
-        dh *= (hs > 0) & (hs < TOP)
-        dh[:, 0] = 0
-        grad["b"], grad["w"] = dh.sum(0), zs.T @ dh
-        same = _same(said)
-        grad["x"], grad["y"] = _sum_rows(same, dh), _sum_rows(_same(before), dh)
-        dz = np.zeros_like(z)
-        dz[real] = dh @ p["w"].T
-        dz = dz.reshape(n, SPAN, WIDTH)
-        dkv = np.empty_like(kv)
-        dkv[..., WIDTH:] = np.matmul(a.transpose(0, 2, 1), dz)
-        ds = np.matmul(dz, v.transpose(0, 2, 1))
-        ds -= np.einsum("ijk,ijk->ij", ds, a)[..., None]
-        ds *= a
-        grad["far"] = np.bincount(np.maximum(_MASK, 0).ravel(), (ds.sum(0) * (_MASK >= 0)).ravel(), 2 * SPAN).astype(np.float32)
-        dkv[..., :WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
-        dq = np.matmul(ds, k).reshape(-1, WIDTH)[real]
-        dq *= root
-        grad["q"] = _sum_rows(same, dq)
-        both = _sum_rows(_same(ids.ravel()), dkv.reshape(-1, 2 * WIDTH))
-        grad["k"], grad["v"] = both[:, :WIDTH], both[:, WIDTH:]
-        return loss / size, grad
+        bias = np.where(_MASK >= 0, p["far"][np.maximum(_MASK, 0)], np.float32(-40.0))
+        a, z, share = scratch("a", (n, SPAN, 2 * SPAN)), scratch("z", (n, SPAN, WIDTH)), scratch("share", (n, SPAN, 1))
+        pieces = [slice(i, i + IN_CACHE) for i in range(0, n, IN_CACHE)]
+        for r in pieces:  # a are exponentials: what they are multiplied with is divided by their sums
+            np.matmul(q[r], k[r].transpose(0, 2, 1), out=a[r])
+            a[r] += bias
+            np.divide(1, _exps(a[r]), out=share[r].reshape(-1))
+            np.matmul(a[r], v[r], out=z[r])
+        z *= share
+        flat_z = z.reshape(size, WIDTH)
+        h = np.matmul(flat_z, p["w"], out=scratch("h", (size, HIDDEN)))
+        h += np.take(p["x"] + p["b"], own.ravel(), 0, scratch("t", h.shape), "clip")
+        h += take("y", ids[:, SPAN - 1 : -1].ravel(), "t")
+        np.clip(h, 0, TOP, out=h)
+
+        real = np.flatnonzero(target.ravel() != PAD)  # in the order of their targets' places
+        real = real[np.argsort(goal[real].astype(np.uint16), kind="stable")]
+        goal, m = goal[real], len(real)
+        first = _firsts(goal // WAYS)
+        group = goal[first] // WAYS  # the targets of one are of one group in each step: the steps are one product
+        w = np.concatenate([p[f"o{d}"][group // WAYS ** (STEPS_DEEP - d - 1)] for d in range(STEPS_DEEP)], 2)
+        parts = list(zip(range(len(first)), first.tolist(), [*first[1:].tolist(), m]))
+        hs = np.take(h, real, 0, scratch("hs", (m, HIDDEN)), "clip")
+        e, dhs, dw = scratch("e", (m, STEPS_DEEP * WAYS)), scratch("dhs", hs.shape), scratch("dw", w.shape)
+        for c, i, j in parts:
+            np.dot(hs[i:j], w[c], out=e[i:j])
+        sums, of_one = _exps(e.reshape(m, STEPS_DEEP, WAYS)).reshape(m, STEPS_DEEP), kind(1 / max(1, m))
+        digits = np.stack([goal // WAYS ** (STEPS_DEEP - d - 1) % WAYS for d in range(STEPS_DEEP)], 1)
+        at = np.arange(0, e.size, WAYS).reshape(digits.shape) + digits
+        said = np.take(e, at, mode="clip") / sums
+        loss = -np.log(said.prod(1) + 1e-30).sum() * of_one
+        np.divide(of_one, sums, out=sums)
+        by_step = e.reshape(-1, WAYS)
+        by_step *= sums.reshape(-1, 1)
+        e.ravel()[at] = (said - 1) * of_one
+        for c, i, j in parts:
+            np.dot(hs[i:j].T, e[i:j], out=dw[c])
+            np.dot(e[i:j], w[c].T, out=dhs[i:j])
+        dhs *= (hs > 0) & (hs < TOP)
+        dhs[:, 0] = 0
+        grad = {}
+        for d in range(STEPS_DEEP):
+            own_dw, over, g = dw[..., d * WAYS : (d + 1) * WAYS], group // WAYS ** (STEPS_DEEP - d - 1), np.zeros_like(p[f"o{d}"])
+            if d == STEPS_DEEP - 1:
+                g[over] = own_dw
+            else:
+                begin = _firsts(over).tolist()
+                for i, j in zip(begin, [*begin[1:], len(over)]):
+                    g[over[i]] = own_dw[i:j].sum(0)
+            grad[f"o{d}"] = g
+
+        dh = scratch("dh", (size + 1, HIDDEN))  # the last row is of no place
+        dh[:] = 0
+        dh[real] = dhs
+        grad["b"], grad["w"] = np.ones(size, kind) @ dh[:size], flat_z.T @ dh[:size]
+        dz = np.matmul(dh[:size], p["w"].T, out=scratch("dz", (size, WIDTH)))
+        less = np.einsum("ij,ij->i", dz, flat_z).reshape(share.shape) * share
+        dz = dz.reshape(z.shape)
+        dz *= share
+        dq, dkv = scratch("dq", q.shape), scratch("dkv", (n, 2 * SPAN, 2 * WIDTH))
+        far = np.zeros_like(bias)
+        for r in pieces:
+            np.matmul(a[r].transpose(0, 2, 1), dz[r], out=dkv[r, :, WIDTH:])
+            ds = np.matmul(dz[r], v[r].transpose(0, 2, 1), out=scratch("ds", a[r].shape))
+            ds -= less[r]
+            ds *= a[r]
+            far += ds.sum(0)
+            np.matmul(ds.transpose(0, 2, 1), q[r], out=dkv[r, :, :WIDTH])
+            np.matmul(ds, k[r], out=dq[r])
+        grad["far"] = np.bincount(np.maximum(_MASK, 0).ravel(), (far * (_MASK >= 0)).ravel(), 2 * SPAN).astype(np.float32)
+
+        # Where a window goes on from the one before, its first half is that one's last: their sums by place
+        # come before the sums by id.
+        on = (ids[1:, :SPAN] == ids[:-1, SPAN:]).all(1)
+        last, begin = np.flatnonzero(np.append(~on, True)), np.flatnonzero(np.append(True, ~on))
+        every, after = np.arange(size), np.arange(1, size + 1)
+        after[last * SPAN + SPAN - 1] = size
+        both = scratch("both", (n, SPAN, 2 * WIDTH))
+        np.add(dkv[:-1, SPAN:], dkv[1:, :SPAN], out=both[:-1])
+        both[last] = dkv[last, SPAN:]
+        same = _same(own.ravel())
+        total = {w: np.zeros((len(p["x"]), i), kind) for w, i in (("x", HIDDEN), ("y", HIDDEN), ("q", WIDTH), ("kv", 2 * WIDTH))}
+        _sum_rows(same, dh, every, total["x"])
+        _sum_rows(same, dh, after, total["y"])
+        _sum_rows(same, dq.reshape(size, WIDTH), every, total["q"])
+        _sum_rows(same, both.reshape(size, 2 * WIDTH), every, total["kv"])
+        _sum_rows(_same(ids[begin, SPAN - 1]), dh, begin * SPAN, total["y"])
+        _sum_rows(_same(ids[begin, :SPAN].ravel()), dkv.reshape(-1, 2 * WIDTH), (begin[:, None] * 2 * SPAN + np.arange(SPAN)).ravel(), total["kv"])
+        total["q"] *= root
+        kv = total.pop("kv")
+        return loss, grad | total | {"k": kv[:, :WIDTH], "v": kv[:, WIDTH:]}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
@@ -246,17 +289,39 @@ class Attention:
         return Attention(p, self.place)
 
 
-def _softmax(x: np.ndarray) -> None:
-    """Over the last axis, in place. What would leave the floats' range is cut off."""
+def _exps(x: np.ndarray) -> np.ndarray:
+    """Exponentials, in place, and their sums over the last axis. What would leave the floats' range is cut off."""
     np.clip(x, -60, 60, out=x)
     np.exp(x, out=x)
-    x *= 1 / (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)).reshape(*x.shape[:-1], 1)
+    return x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)
 
 
 class Adam:
-    def __init__(self, model: Attention):
-        self.model, self.step = model, 0
-        self.first, self.second = ({k: np.zeros_like(a) for k, a in model.p.items()} for _ in range(2))
+    """Steps from a model on. Of the tables it holds the rows of ids met so far: those of others have no
+    gradient and stay as they are."""
+
+    def __init__(self, begin: Attention):
+        self.begin, self.step, self.ids, self.row = begin, 0, np.empty(0, np.int64), np.full(ALL, -1)
+        self.model = Attention({k: a[:0] if k in ROWS else a.copy() for k, a in begin.p.items()}, begin.place)
+        self.first, self.second, self.mean = ({k: np.zeros_like(a) for k, a in self.model.p.items()} for _ in range(3))
+
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        """Where the ids' rows are."""
+        new = np.flatnonzero((np.bincount(ids.ravel(), minlength=ALL) > 0) & (self.row < 0))
+        self.row[new] = len(self.ids) + np.arange(len(new))
+        self.ids = np.concatenate([self.ids, new])
+        for k in ROWS if len(new) else ():
+            own = self.begin.p[k][new]
+            for held, more in ((self.model.p, own), (self.mean, own), (self.first, 0 * own), (self.second, 0 * own)):
+                held[k] = np.concatenate([held[k], more])
+        return self.row[ids]
+
+    def whole(self, held: dict[str, np.ndarray]) -> Attention:
+        """The model of all ids, by ``mean`` or the weights of ``model``."""
+        p = {k: a.copy() for k, a in self.begin.p.items()}
+        for k, a in held.items():
+            p[k][self.ids if k in ROWS else slice(None)] = a
+        return Attention(p, self.begin.place)
 
     def __call__(self, ids: np.ndarray, target: np.ndarray, rate: float) -> None:
         self.step += 1
@@ -276,23 +341,33 @@ class Adam:
             t *= pace
             self.model.p[k] -= t
 
+    def into_mean(self, share: float) -> None:
+        for k, a in self.mean.items():
+            t = np.subtract(self.model.p[k], a, out=_scratch("adam", a.shape))
+            t *= np.float32(share)
+            a += t
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
+
 
 def _same(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that brings rows of the same id together, where each id's begin, and the ids."""
+    """The order that brings equal ids together, where each id's begin, and the ids."""
     own = ids.astype(np.uint16)
     order = np.argsort(own, kind="stable")
     i = own[order]
-    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])[: len(i)])
+    first = _firsts(i)
     return order, first, i[first]
 
 
-def _sum_rows(same: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """Sums of the rows of each id."""
+def _sum_rows(same: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+    """Adds to each id's row in out the sum of its rows of x. at: where in x the row of each place is."""
     order, first, ids = same
-    out = np.zeros((ALL, x.shape[1]), np.float32)
     if len(first):
-        out[ids] = np.add.reduceat(np.take(x, order, 0), first, axis=0)
-    return out
+        rows = np.take(x, at[order], 0, _scratch("sorted", (len(order), x.shape[1]), x.dtype.type), "clip")
+        out[ids] += np.add.reduceat(rows, first, axis=0)
 
 
 def windows(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -377,9 +452,11 @@ def train(seqs: list[np.ndarray], data: bytes, seed: int = 5, count: np.ndarray
     if len(seqs):
         x, y, _ = windows(flat, np.array(list(map(len, seqs))))
         adam = Adam(model)
+        x = adam.rows(x)
         for step in range(1, STEPS + 1):
             pick = rng.integers(0, len(x), BATCH)
             adam(x[pick], y[pick], 0.02 * min(1.0, step / 30) * (1 - 0.8 * step / STEPS))
+        model = adam.whole(adam.model.p)
     return model
 
 
@@ -389,9 +466,7 @@ def learn(ids: DataFrame, model: Attention) -> Attention:
     shared = ids.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        begin = shared.value
-        adam, rng = Adam(begin.filled(begin.flat())), np.random.default_rng(TaskContext.get().partitionId())
-        mean, weight = Attention({k: np.zeros_like(a) for k, a in begin.p.items()}, begin.place), 0
+        adam, rng, weight = Adam(shared.value), np.random.default_rng(TaskContext.get().partitionId()), 0
         x, y = np.empty((0, 2 * SPAN), np.int64), np.empty((0, SPAN), np.int64)
 
         def step():
@@ -399,23 +474,20 @@ def learn(ids: DataFrame, model: Attention) -> Attention:
             own, x = x[:PACE], x[PACE:]
             adam(own, y[:PACE], RATE)
             y, weight = y[PACE:], weight + len(own)
-            for k, a in mean.p.items():
-                t = np.subtract(adam.model.p[k], a, out=_scratch("mean", a.shape))
-                t *= np.float32(len(own) / weight)
-                a += t
+            adam.into_mean(len(own) / weight)
 
         for b in slices(batches, 256, ID_BYTES):
             seqs = [np.frombuffer(i, np.int16) for i in b.column(1).to_pylist()]
             all_x, all_y, _ = windows(np.concatenate(seqs).astype(np.int64), np.array(list(map(len, seqs))))
             pick = np.flatnonzero(rng.random(len(all_x)) < LEARN)
             all_x, all_y = (all_x, all_y) if len(pick) == len(all_x) else (all_x[pick], all_y[pick])
-            x, y = np.concatenate([x, all_x]), np.concatenate([y, all_y])
+            x, y = np.concatenate([x, adam.rows(all_x)]), np.concatenate([y, all_y])
             while len(x) >= PACE:
                 step()
         if len(x):
             step()
         if weight:
-            out = mean.flat().astype(np.float64)
+            out = adam.whole(adam.mean).flat().astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out * weight), pa.array(np.full(len(out), float(weight)))], names=["at", "sum", "weight"])
 
     ship(ids.sparkSession)
