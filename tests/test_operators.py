@@ -369,6 +369,22 @@ def test_greedy_clusters_like_a_loop(spark):
     assert got == want and rounds == sorted(rounds, reverse=True) and len(rounds) > 1
 
 
+def test_clusters_and_trips_broadcast_nothing_that_grows(spark, monkeypatch):
+    """Tables of cells, seeds and places grow with the records: small files as they are, none is broadcast; records without a subscriber end the rounds too."""
+    r = spark.range(400).selectExpr("id as event_id", "if(id % 10 = 9, null, id % 10) as subscriber", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(id * 5 as int)) as ts", "50 + 0.3 * (id % 3) + 0.004 * (id % 2) as lat", "20 + 0.5 * (id % 4) as lon").withColumns({c: F.col(c).cast("double") for c in ("lat", "lon")})
+    plans, kept = [], places.stash
+
+    def stash(df, name):
+        plans.append(df)
+        return kept(df, name)
+
+    monkeypatch.setattr(places, "stash", stash)
+    near = places.nearest_of(r, c := places.clusters(r))
+    trips = places.cluster_trips(r, c)
+    assert trips.where("subscriber is null").count() == 0 < trips.count() and near.count() == 360
+    assert len(plans) >= 4 and not [p for df in (*plans, near, trips) if "Broadcast" in (p := df._jdf.queryExecution().executedPlan().toString())]
+
+
 def test_chunks_of_a_very_long_text(spark):
     rng = random.Random(4)
     texts = ["", " ", "One. Two! Three?", " ".join(f"{'w ' * rng.randint(1, 90)}e." for _ in range(3000)), "word. " * 100_000, f"{'long ' * 500}end. short. short.", None]

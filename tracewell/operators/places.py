@@ -16,41 +16,44 @@ from . import ranks
 KEY = "subscriber"
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """A table that grows with the records, to be joined by sorting: by the size of its file, which is packed
+    well, Spark would broadcast it, and on the driver it is many times that."""
+    return df.hint("merge")
+
+
 def cells(r: DataFrame, metres: float = 500.0) -> DataFrame:
     """Counts, sums and first record of grid cells."""
     g = r.where("lat is not null and lon is not null").withColumn("cy", grid(F.col("lat"), metres)).withColumn("cx", grid(F.col("lon"), metres))
     return g.groupBy(KEY, "cy", "cx").agg(F.count("*").alias("n"), F.sum("lat").alias("sum_lat"), F.sum("lon").alias("sum_lon"), F.min(F.struct("ts", "event_id")).alias("first"))
 
 
-def _visit() -> Column:
-    """A cell's place in the greedy order: more records first, of equal ones the one seen first."""
-    return F.struct((-F.col("n")).alias("n"), "first", "cy", "cx")
-
-
-def _about(df: DataFrame, *more: str) -> DataFrame:
-    """Each cell's place in the order, and further columns, at the nine cells about it."""
+def _about(df: DataFrame) -> DataFrame:
+    """Each cell's turn at the nine cells about it; own: at itself."""
     d = F.explode(F.array(*(F.struct(F.lit(dy).alias("y"), F.lit(dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))).alias("d")
-    return df.select(KEY, _visit().alias("who"), d, *more).select(KEY, (F.col("who.cy") + F.col("d.y")).alias("cy"), (F.col("who.cx") + F.col("d.x")).alias("cx"), "who", *more)
+    own = (F.col("d.y") == 0) & (F.col("d.x") == 0)
+    return df.select(KEY, "cy", "cx", "turn", d).select(KEY, (F.col("cy") + F.col("d.y")).alias("cy"), (F.col("cx") + F.col("d.x")).alias("cx"), "turn", own.alias("own"))
 
 
 def seeds(c: DataFrame, least: int, log: list[int] | None = None) -> DataFrame:
-    """The cells at which greedy visiting (most records first) begins a cluster.
+    """The cells at which greedy visiting (by turn: most records first) begins a cluster.
 
     A cell with enough records begins one if none of its neighbours before it in the order does. Rounds
     find them all at once: a cell before all its undecided neighbours begins one, which decides those
     neighbours; what is left goes on to the next round. log: gets the number of undecided cells of each
-    round.
+    round. What is met about a cell is added up there, not joined to it.
     """
-    left = stash(c.where(F.col("n") >= least).select(KEY, "n", "first", "cy", "cx"), "cells")
+    left = stash(c.where(F.col("n") >= least).select(KEY, "cy", "cx", "turn"), "cells")
     found, n = [], left.count()
     while n:
         if log is not None:
             log.append(n)
-        first = _about(left).groupBy(KEY, "cy", "cx").agg(F.min("who").alias("best"))
-        at = left.join(first, [KEY, "cy", "cx"])
-        new = stash(at.where((F.col("best.cy") == F.col("cy")) & (F.col("best.cx") == F.col("cx"))).drop("best"), "seeds")
+        at = _about(left).groupBy(KEY, "cy", "cx").agg(F.min("turn").alias("best"), F.max(F.when(F.col("own"), F.col("turn"))).alias("turn"))
+        new = stash(at.where("best = turn").drop("best"), "seeds")
         found.append(new)
-        left = stash(left.join(_about(new).select(KEY, "cy", "cx").distinct(), [KEY, "cy", "cx"], "left_anti"), "cells")
+        decided = _about(new).select(KEY, "cy", "cx", F.lit(None).cast("int").alias("turn"), F.lit(True).alias("decided"))
+        both = left.withColumn("decided", F.lit(False)).unionByName(decided).groupBy(KEY, "cy", "cx").agg(F.max("turn").alias("turn"), F.bool_or("decided").alias("decided"))
+        left = stash(both.where("turn is not null and not decided").drop("decided"), "cells")
         n = left.count()
     out = found[0] if found else left
     for f in found[1:]:
@@ -61,11 +64,12 @@ def seeds(c: DataFrame, least: int, log: list[int] | None = None) -> DataFrame:
 def clusters(r: DataFrame, least: int = 3, top: int = 30, metres: float = 500.0, log: list[int] | None = None) -> DataFrame:
     """M4: greedy clusters: cells in the order of their records (of equal ones the one seen first) begin a
     cluster, if they have enough, and take their neighbours that none has taken; each key's largest."""
-    c = stash(cells(r, metres), "cells")
-    takes = _about(seeds(c, least, log)).groupBy(KEY, "cy", "cx").agg(F.min("who").alias("seed"))
-    joined = c.join(takes, [KEY, "cy", "cx"])
-    g = joined.groupBy(KEY, "seed").agg(F.sum("n").alias("n"), (F.sum("sum_lat") / F.sum("n")).alias("lat"), (F.sum("sum_lon") / F.sum("n")).alias("lon"), F.count("*").alias("cells"))
-    g = g.select(KEY, F.col("seed.cy").alias("seed_y"), F.col("seed.cx").alias("seed_x"), "n", "lat", "lon", "cells", "seed")
+    turn = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("n"), "first", "cy", "cx"))
+    c = stash(cells(r, metres).withColumn("turn", turn).drop("first"), "cells")
+    takes = _about(seeds(c, least, log)).groupBy(KEY, "cy", "cx").agg(F.min("turn").alias("seed"))
+    joined = c.join(_large(takes), [KEY, "cy", "cx"])
+    of_seed = lambda x: F.max(F.when(F.col("turn") == F.col("seed"), F.col(x)))
+    g = joined.groupBy(KEY, "seed").agg(of_seed("cy").alias("seed_y"), of_seed("cx").alias("seed_x"), F.sum("n").alias("n"), (F.sum("sum_lat") / F.sum("n")).alias("lat"), (F.sum("sum_lon") / F.sum("n")).alias("lon"), F.count("*").alias("cells"))
     w = Window.partitionBy(KEY).orderBy(F.desc("n"), "seed")
     return g.withColumn("cluster", F.row_number().over(w)).where(F.col("cluster") <= top).drop("seed")
 
@@ -106,12 +110,11 @@ def travel_mode(km: Column, minutes: Column, kmh: Column) -> Column:
 def cluster_trips(r: DataFrame, centres: DataFrame, least_km: float = 5.0) -> DataFrame:
     """M8: changes of the nearest cluster from one record to the next, between clusters far enough apart,
     with the time since the record before; hops between masts are left out."""
-    near = nearest_of(r.select(KEY, "event_id", "ts", "lat", "lon"), centres).drop("lat", "lon")
+    near = _nearest(r.select(KEY, "event_id", "ts", "lat", "lon"), centres, KEY).select(KEY, "event_id", "ts", "b")
     w = Window.partitionBy(KEY).orderBy("ts", "event_id")
-    d = near.withColumns({"c0": F.lag("cluster").over(w), "ts0": F.lag("ts").over(w)}).where("c0 <> cluster")
-    at = centres.select(KEY, F.col("cluster").alias("c"), "lat", "lon")
-    d = d.join(at.toDF(KEY, "c0", "lat0", "lon0"), [KEY, "c0"]).join(at.toDF(KEY, "cluster", "lat1", "lon1"), [KEY, "cluster"])
-    km = haversine(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1")) / 1000
+    d = near.withColumns({"b0": F.lag("b").over(w), "ts0": F.lag("ts").over(w)}).where("b0.cluster <> b.cluster")
+    d = d.withColumns({"c0": F.col("b0.cluster"), "cluster": F.col("b.cluster")})
+    km = haversine(F.col("b0.clat"), F.col("b0.clon"), F.col("b.clat"), F.col("b.clon")) / 1000
     s = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("ts0").cast("timestamp"))
     d = d.withColumns({"km": km, "minutes": F.when(s > 0, s / 60).otherwise(0.01)}).where(F.col("km") >= least_km)
     d = d.withColumn("kmh", F.col("km") / (F.col("minutes") / 60))
@@ -246,14 +249,19 @@ def resolve_points(r: DataFrame, stations: DataFrame, addresses: DataFrame | Non
     return out.select("event_id", pick("lat"), pick("lon"), F.when(own, "direct").when(cell, F.col("s.source")).when(cached, "address").otherwise("none").alias("source"))
 
 
+def _nearest(points: DataFrame, centres: DataFrame, key: str) -> DataFrame:
+    """Each point with its nearest centre in b: metres, cluster, clat, clon."""
+    at = points.select(key, "lat", "lon").where("lat is not null and lon is not null").distinct()
+    j = at.join(_large(centres.select(key, "cluster", F.col("lat").alias("clat"), F.col("lon").alias("clon"))), key)
+    m = haversine(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
+    best = j.groupBy(key, "lat", "lon").agg(F.min(F.struct(F.round(m, 1).alias("metres"), "cluster", "clat", "clon")).alias("b"))
+    return points.join(_large(best), [key, "lat", "lon"])
+
+
 def nearest_of(points: DataFrame, centres: DataFrame, key: str = KEY) -> DataFrame:
     """M7: each point's nearest centre of its key (a key has some tens at most), and how far it is. Places
     are measured once, not once for each of their records; all columns of the points stay."""
-    at = points.select(key, "lat", "lon").where("lat is not null and lon is not null").distinct()
-    j = at.join(centres.select(key, "cluster", F.col("lat").alias("clat"), F.col("lon").alias("clon")), key)
-    m = haversine(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
-    best = j.groupBy(key, "lat", "lon").agg(F.min(F.struct(F.round(m, 1).alias("metres"), "cluster")).alias("b"))
-    return points.join(best, [key, "lat", "lon"]).select(*points.columns, "b.cluster", "b.metres")
+    return _nearest(points, centres, key).select(*points.columns, "b.cluster", "b.metres")
 
 
 def in_area(r: DataFrame, lat: float, lon: float, metres: float) -> DataFrame:
