@@ -385,6 +385,25 @@ def test_clusters_and_trips_broadcast_nothing_that_grows(spark, monkeypatch):
     assert len(plans) >= 4 and not [p for df in (*plans, near, trips) if "Broadcast" in (p := df._jdf.queryExecution().executedPlan().toString())]
 
 
+def test_period_anomalies_at_the_edge_of_the_band(spark):
+    """A week right at 1.5 deviations is inside in any order of the weeks and any split of the sums; against whole numbers."""
+    edge = [(20, 14, 16, 12, 8), (2, 4, 6, 7, 11, 11, 14, 17, 18), (3, 5, 5, 17, 18, 24), (2, 4, 5, 7, 8, 11, 14, 15, 15), (6, 8, 13, 13, 16, 17, 23, 24), (5, 8, 8, 10, 11, 18, 24, 24), (12, 13, 19, 21, 21, 22), (9, 11, 12, 13, 15)]
+    beyond = [(20, 14, 16, 12, 7), (1, 1, 1, 1, 9), (9, 9, 9, 9, 1), (3, 3, 3, 3, 1), (1, 1, 1, 1, 1, 7), (4,), (1, 3)]
+    rng, counts, want = random.Random(3), [], []
+    for c in (edge + beyond) * 60:
+        counts.append(rng.sample(c, len(c)))
+    for who, c in enumerate(counts):
+        w, total, squares = len(c), sum(c), sum(x * x for x in c)
+        off = [(x, x * w - total) for x in c]
+        want += [(who, x, "high" if d > 0 else "low") for x, d in off if w > 1 and 4 * d * d > 9 * (w * squares - total * total) and abs(d) > w and (d > 0 or total > 2 * w)]
+    assert {who % len(edge + beyond) for who, _, _ in want} == {8, 9, 10, 11, 12}
+    weeks = spark.createDataFrame([(who, week, x) for who, c in enumerate(counts) for week, x in enumerate(c)], "subscriber long, week int, n int")
+    r = weeks.select("subscriber", F.expr("timestamp '2024-01-01' + make_interval(0, 0, week)").alias("ts"), F.explode(F.sequence(F.lit(1), "n")))
+    got = calls.period_anomalies(r).collect()
+    assert sorted((x["subscriber"], x["n"], x["kind"]) for x in got) == sorted(want)
+    assert {x["mean"] for x in got if x["subscriber"] == len(edge)} == {13.8}
+
+
 def test_chunks_of_a_very_long_text(spark):
     rng = random.Random(4)
     texts = ["", " ", "One. Two! Three?", " ".join(f"{'w ' * rng.randint(1, 90)}e." for _ in range(3000)), "word. " * 100_000, f"{'long ' * 500}end. short. short.", None]
